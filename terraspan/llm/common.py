@@ -53,6 +53,11 @@ def string_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, byte
     return at.astype(np.int64), memoryview(data) if data else b""
 
 
+def key_of(name: str) -> Column:
+    """A string that equals for equal ids, null included, so that joins and windows on it share a partitioning."""
+    return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit(""))
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary() if not pa.types.is_large_string(column.type) else pa.large_binary()).to_pylist()]

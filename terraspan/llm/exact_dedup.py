@@ -133,15 +133,14 @@ def decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay, with all their columns; the rules are those of decisions()."""
-    rows = with_digest(docs, text)
+    rows = with_digest(docs, text).withColumn("__key", common.key_of(doc_id))
     groups = copy_groups(rows, doc_id, text)
-    drop = (rows.groupBy("__sha", doc_id).agg(F.count(F.lit(1)).alias("__rows")).join(groups, "__sha").where(f"__rows > 1 or not (`{doc_id}` <=> __keep)")
-            .select(F.col("__sha").alias("__s"), F.col(doc_id).alias("__d"), F.col(doc_id).eqNullSafe(F.col("__keep")).alias("__first")))
-    at = (F.col("__sha") == F.col("__s")) & F.col(doc_id).eqNullSafe(F.col("__d"))
-    marked = rows.join(drop, at, "left")
-    # rows that repeat the id and the text of a kept row are the only ones that need numbering
-    ties = marked.where("__first").withColumn("__n", F.row_number().over(Window.partitionBy("__sha", doc_id).orderBy(F.lit(1)))).where("__n = 1")
-    return marked.where("__first is null").select(*docs.columns).unionByName(ties.select(*docs.columns))
+    copies = rows.groupBy("__sha", "__key").agg(F.max(doc_id).alias("__id"), F.count(F.lit(1)).alias("__rows")).join(groups, "__sha")
+    stays = F.col("__id").eqNullSafe(F.col("__keep"))
+    marked = rows.join(copies.where((F.col("__rows") > 1) | ~stays).select("__sha", "__key", stays.alias("__stays")), ["__sha", "__key"], "left")
+    # rows that repeat the id and the text of a row that stays are told apart by a number
+    number = F.row_number().over(Window.partitionBy("__sha", "__key").orderBy(F.lit(1)))
+    return marked.withColumn("__n", number).where("__stays is null or (__stays and __n = 1)").select(*docs.columns)
 
 
 def query(spark, sf_dir):

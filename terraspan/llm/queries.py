@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terraspan.llm import exact_dedup
+from terraspan.llm import exact_dedup, simhash, substring_dedup
 
-QUERIES = {"op4_exact_dedup": exact_dedup.query}
-ORACLE_SQL = {"op4_exact_dedup": exact_dedup.SQL}
+QUERIES = {"op4_exact_dedup": exact_dedup.query, "op8_substring_dedup": substring_dedup.query, "op10_simhash": simhash.query}
+ORACLE_SQL = {"op4_exact_dedup": exact_dedup.SQL, "op8_substring_dedup": substring_dedup.SQL}
