@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from terraspan.llm import exact_dedup, simhash, substring_dedup
+from terraspan.llm import bpe, exact_dedup, packing, simhash, substring_dedup, wavelet
 
-QUERIES = {"op4_exact_dedup": exact_dedup.query, "op8_substring_dedup": substring_dedup.query, "op10_simhash": simhash.query}
+QUERIES = {
+    "op3_packing": packing.query,
+    "op4_exact_dedup": exact_dedup.query,
+    "op5_wavelet": wavelet.query,
+    "op6_bpe": bpe.query,
+    "op8_substring_dedup": substring_dedup.query,
+    "op10_simhash": simhash.query,
+}
 ORACLE_SQL = {"op4_exact_dedup": exact_dedup.SQL, "op8_substring_dedup": substring_dedup.SQL}
