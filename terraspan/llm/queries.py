@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from terraspan.llm import bpe, exact_dedup, packing, simhash, substring_dedup, wavelet
+from terraspan.llm import bpe, exact_dedup, packing, sharding, simhash, substring_dedup, wavelet
 
 QUERIES = {
+    "op1_sharding": sharding.query,
     "op3_packing": packing.query,
     "op4_exact_dedup": exact_dedup.query,
     "op5_wavelet": wavelet.query,
