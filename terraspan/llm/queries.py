@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terraspan.llm import bpe, exact_dedup, packing, sharding, simhash, substring_dedup, wavelet
+from terraspan.llm import bpe, exact_dedup, packing, sharding, simhash, substring_dedup, syncmers, wavelet
 
 QUERIES = {
     "op1_sharding": sharding.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_wavelet": wavelet.query,
     "op6_bpe": bpe.query,
     "op8_substring_dedup": substring_dedup.query,
+    "op9_syncmers": syncmers.query,
     "op10_simhash": simhash.query,
 }
 ORACLE_SQL = {"op4_exact_dedup": exact_dedup.SQL, "op8_substring_dedup": substring_dedup.SQL}
