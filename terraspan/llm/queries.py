@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from terraspan.llm import bpe, exact_dedup, packing, sharding, simhash, substring_dedup, syncmers, wavelet
+from terraspan.llm import bpe, exact_dedup, licenses, packing, quality, sharding, simhash, substring_dedup, syncmers, wavelet
 
 QUERIES = {
     "op1_sharding": sharding.query,
+    "op2_quality": quality.query,
     "op3_packing": packing.query,
     "op4_exact_dedup": exact_dedup.query,
     "op5_wavelet": wavelet.query,
     "op6_bpe": bpe.query,
+    "op7_licenses": licenses.query,
     "op8_substring_dedup": substring_dedup.query,
     "op9_syncmers": syncmers.query,
     "op10_simhash": simhash.query,
 }
-ORACLE_SQL = {"op4_exact_dedup": exact_dedup.SQL, "op8_substring_dedup": substring_dedup.SQL}
+ORACLE_SQL = {"op7_licenses": licenses.SQL, "op4_exact_dedup": exact_dedup.SQL, "op8_substring_dedup": substring_dedup.SQL}
