@@ -150,6 +150,14 @@ def scored(docs: DataFrame, model: Ranking, doc_id: str = "doc_id", text: str =
     return out.withColumn("held_out", held_out(doc_id))
 
 
+def keep_good(docs: DataFrame, model: Ranking, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that the model doesn't reject, with all their columns as they were."""
+    marks = ("held_out", "score", "predicted")
+    clash = {c: f"__own_{c}" for c in marks if c in docs.columns and c not in (doc_id, text)}
+    found = scored(docs.withColumnsRenamed(clash), model, doc_id, text)
+    return found.where(F.col("predicted") == 1).drop(*marks).withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns)
+
+
 def query(spark, sf_dir):
     docs = common.documents(spark, sf_dir)
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -316,6 +316,21 @@ def cut(block: Block, plan: Plan, digest: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*columns, pa.array(counts), pa.array(removed), pa.array(words, pa.string())], names=[*names, "n_words", "n_removed", "kept_sha256" if digest else "kept_text"])
 
 
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", window: int = 20, first: int = 10) -> DataFrame:
+    """The documents with their columns, the text cut as remove_repeats() says; n_chars, if docs has it, follows the text.
+
+    A text of which nothing is removed stays as it is, white space and null included.
+    """
+    new = ("n_words", "n_removed", "kept_text")
+    clash = {c: f"__own_{c}" for c in new if c in docs.columns and c not in (doc_id, text)}
+    cut_ = remove_repeats(docs.withColumnsRenamed(clash), doc_id, text, window, first)
+    changed = F.col("n_removed") > 0
+    out = cut_.withColumn(text, F.when(changed, F.col("kept_text")).otherwise(F.col(text)))
+    if n_chars in docs.columns:
+        out = out.withColumn(n_chars, F.when(changed, F.length(text)).otherwise(F.col(n_chars)).cast(docs.schema[n_chars].dataType))
+    return out.drop(*new).withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns)
+
+
 def query(spark, sf_dir):
     return remove_repeats(common.documents(spark, sf_dir), digest=True)
 
