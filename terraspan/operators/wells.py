@@ -369,8 +369,8 @@ def parallel_samples(samples: DataFrame, tolerance: dict[str, float]) -> DataFra
     """(well, seq, other): samples that are within the tolerances of x, y and z of some sample of another well."""
     size = max(tolerance["x"], tolerance["y"])
     own = samples.select("well", "seq", "x", "y", "z").withColumns({"tx": F.floor(F.col("x") / size), "ty": F.floor(F.col("y") / size)})
-    near = own.select(F.col("well").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"), (F.col("tx") + F.explode(F.array(*map(F.lit, (-1, 0, 1))))).alias("tx"), "ty")
-    near = near.withColumn("ty", F.col("ty") + F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
+    around = lambda c: F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: F.col(c) + k))
+    near = own.select(F.col("well").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"), around("tx").alias("tx"), "ty").withColumn("ty", around("ty"))
     pairs = own.join(near, ["tx", "ty"]).where((F.col("well") != F.col("other")) & (F.abs(F.col("x") - F.col("ox")) <= tolerance["x"]) & (F.abs(F.col("y") - F.col("oy")) <= tolerance["y"]) & (F.abs(F.col("z") - F.col("oz")) <= tolerance["z"]))
     return pairs.select("well", "seq", "other").distinct()
 

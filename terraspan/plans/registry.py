@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,8 @@ class Registry:
         def add(f: Callable[..., DataFrame]):
             self.queries[f.__name__] = lambda spark, sf_dir: f(*(view(spark, sf_dir, v) for v in views))
             if sql:
-                self.sql[f.__name__] = with_views(sql)
+                # numbers with a point are decimals in SQL; ours are doubles
+                self.sql[f.__name__] = re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1e0", with_views(sql))
             return f
 
         return add

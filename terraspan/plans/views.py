@@ -22,7 +22,7 @@ SELECT concat('W', lpad(cast(u AS string), 5, '0')) AS well, seq, 1000e0 + 40e0
 FROM (SELECT user_id AS u, event_id, event_type, value, cast(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS int) AS seq FROM {events}) e
 """,
     "nodes": """
-SELECT cast(l_linenumber AS int) AS realisation, cast(l_partkey % 50 + 1 AS int) AS i, cast(l_suppkey % 40 + 1 AS int) AS j, avg(l_extendedprice) / 1000e0 AS value
+SELECT cast(l_linenumber AS int) AS realisation, cast(l_partkey % 50 + 1 AS int) AS i, cast(l_suppkey % 40 + 1 AS int) AS j, avg(l_extendedprice) / 1013e0 AS value
 FROM {lineitem} GROUP BY l_linenumber, l_partkey % 50, l_suppkey % 40
 """,
     "depths": """
