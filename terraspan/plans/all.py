@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from terraspan.plans import polygons, surfaces, wells
+from terraspan.plans import cells, cubes, polygons, surfaces, wells
 
-MODULES = (wells, surfaces, polygons)
+MODULES = (wells, surfaces, polygons, cells, cubes)
 QUERIES = {k: v for m in MODULES for k, v in m.R.queries.items()}
 SQL = {k: v for m in MODULES for k, v in m.R.sql.items()}

@@ -66,6 +66,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_views(sql: str) -> str:
     """DuckDB SQL with the views that it uses as common table expressions."""
     used = [n for n in VIEWS if re.search(rf"\b{n}\b", sql)]
+    if not used:
+        return sql.strip()
     text = ", ".join(f"{n} AS ({re.sub(r'[{}]', '', VIEWS[n])})" for n in used)
     sql = sql.strip()
     return f"WITH {text}, {sql[5:]}" if sql.upper().startswith("WITH ") else f"WITH {text} {sql}"
