@@ -30,7 +30,7 @@ SELECT i, j, 1500e0 + 2e0 * i + 1.5e0 * j AS value FROM (SELECT DISTINCT cast(l_
 """,
     "cells": """
 SELECT i, j, k, poro, perm, CASE WHEN k <= 2 THEN 1 WHEN k <= 5 THEN 2 ELSE 3 END AS zone, cast(CASE WHEN n % 7 = 0 THEN 0 ELSE 1 END AS int) AS actnum
-FROM (SELECT cast(l_partkey % 20 + 1 AS int) AS i, cast(l_suppkey % 20 + 1 AS int) AS j, cast(l_linenumber AS int) AS k, avg(l_discount) AS poro, avg(l_quantity) AS perm, count(*) AS n
+FROM (SELECT cast(l_partkey % 20 + 1 AS int) AS i, cast(l_suppkey % 20 + 1 AS int) AS j, cast(l_linenumber AS int) AS k, avg(l_discount) / 1.0137e0 AS poro, avg(l_quantity) / 1.0137e0 AS perm, count(*) AS n
 FROM {lineitem} GROUP BY l_partkey % 20, l_suppkey % 20, l_linenumber) c
 """,
     "traces": """
