@@ -109,12 +109,12 @@ def part_of(rows: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
             at += 1
         bins.append((b, low, own))
     cut = pa.list_(pa.struct([("t", pa.int64()), ("i", pa.int64())]))
-    table = spark.createDataFrame(pa.table({"bin": pa.array([b for b, _, _ in bins]), "low": pa.array([n for _, n, _ in bins], pa.int32()), "cuts": pa.array([[{"t": t, "i": i} for t, i in own] for _, _, own in bins], cut)}))
+    table = spark.createDataFrame(pa.table({"__bin": pa.array([b for b, _, _ in bins], pa.int64()), "__low": pa.array([n for _, n, _ in bins], pa.int32()), "__cuts": pa.array([[{"t": t, "i": i} for t, i in own] for _, _, own in bins], cut)}))
     if len(cuts) <= BROADCAST:
         table = F.broadcast(table)
     text, id_ = F.col("__major"), F.col("__minor")
-    passed = F.size(F.filter("cuts", lambda c: (c["t"] < text) | ((c["t"] == text) & (c["i"] <= id_))))
-    return rows.withColumn("bin", F.shiftright(text, shift)).join(table, "bin").withColumn("__part", F.col("low") + passed).drop("bin", "low", "cuts")
+    passed = F.size(F.filter("__cuts", lambda c: (c["t"] < text) | ((c["t"] == text) & (c["i"] <= id_))))
+    return rows.withColumn("__bin", F.shiftright(text, shift)).join(table, "__bin").withColumn("__part", F.col("__low") + passed).drop("__bin", "__low", "__cuts")
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str = "text", tolerance: float = TOLERANCE, part_bytes: int = PART) -> DataFrame:
