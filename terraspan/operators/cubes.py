@@ -96,16 +96,20 @@ def with_samples(places: DataFrame, traces: DataFrame, header: CubeHeader, metho
     m = header.map
     fi, fj = m.fi(F.col("x"), F.col("y")), m.fj(F.col("x"), F.col("y"))
     key = F.monotonically_increasing_id()
+    edge = 0.5 if method == "nearest" else 1e-9  # so far outside the outer samples
+    tops = {"__fi": m.ncol - 1, "__fj": m.nrow - 1, "__fk": header.nlay - 1}
     own = places.withColumns({"__fi": fi, "__fj": fj, "__fk": (F.col("z") - header.zori) / header.zinc})
+    own = own.withColumn("__in", reduce(lambda p, q: p & q, (F.col(c).between(-edge, top + edge) for c, top in tops.items())))
+    own = own.withColumns({c: F.greatest(F.lit(0.0), F.least(F.lit(float(top)), F.col(c))) for c, top in tops.items()})
+    inside = F.col("__in")
     low = {"nearest": 0, "trilinear": 0, "catmull_rom": -1}[method]
     n = {"nearest": 1, "trilinear": 2, "catmull_rom": 4}[method]
-    inside = F.col("__fi").between(-0.5 if method == "nearest" else 0, m.ncol - (0.5 if method == "nearest" else 1)) & F.col("__fj").between(-0.5 if method == "nearest" else 0, m.nrow - (0.5 if method == "nearest" else 1)) & F.col("__fk").between(-0.5 if method == "nearest" else 0, header.nlay - (0.5 if method == "nearest" else 1))
     blank = F.lit(outside).cast("double")
     if method == "nearest":
-        own = own.withColumns({c: F.least(F.greatest(F.rint(f"__f{c[-1]}"), F.lit(0.0)), F.lit(float(top))).cast("int") for c, top in (("__i", m.ncol - 1), ("__j", m.nrow - 1), ("__k", header.nlay - 1))})
+        own = own.withColumns({f"__{c[-1]}": F.rint(c).cast("int") for c in tops})
         near = traces.select((F.col("i") - 1).alias("__i"), (F.col("j") - 1).alias("__j"), "amp")
         found = own.join(near, ["__i", "__j"], "left")
-        return found.withColumn(name, F.coalesce(F.when(inside, F.get("amp", "__k").cast("double")), blank)).drop("amp", "__i", "__j", "__k", "__fi", "__fj", "__fk")
+        return found.withColumn(name, F.coalesce(F.when(inside, F.get("amp", "__k").cast("double")), blank)).drop("amp", "__i", "__j", "__k", "__fi", "__fj", "__fk", "__in")
     base = own.withColumns({f"__{c}": F.least(F.floor(F.col(f"__f{c}")), F.lit(top - 2)).cast("int") for c, top in (("i", m.ncol), ("j", m.nrow), ("k", header.nlay))}).withColumn("__key", key)
     clamp = lambda c, top: F.greatest(F.lit(0), F.least(F.lit(top - 1), c))
     steps = F.explode(F.array(*(F.struct(F.lit(a + low).alias("a"), F.lit(b + low).alias("b")) for a in range(n) for b in range(n))))
@@ -117,7 +121,7 @@ def with_samples(places: DataFrame, traces: DataFrame, header: CubeHeader, metho
     down = reduce(lambda p, q: p + q, (w * F.get("amp", clamp(F.col("__k") + (low + c), header.nlay)).cast("double") for c, w in enumerate(weights(F.col("__fk") - F.col("__k")))))
     part = hit.select("__key", (pick(F.col("__fi") - F.col("__i"), F.col("s.a")) * pick(F.col("__fj") - F.col("__j"), F.col("s.b")) * down).alias("v"))
     sums = part.groupBy("__key").agg(F.sum("v").alias("__v"), F.count(F.lit(1)).alias("__n")).where(F.col("__n") == n * n)
-    return base.join(sums, "__key", "left").withColumn(name, F.coalesce("__v", blank)).drop("__v", "__n", "__key", "__i", "__j", "__k", "__fi", "__fj", "__fk")
+    return base.join(sums, "__key", "left").withColumn(name, F.coalesce("__v", blank)).drop("__v", "__n", "__key", "__i", "__j", "__k", "__fi", "__fj", "__fk", "__in")
 
 
 def _linear(t: Column) -> list[Column]:
