@@ -76,6 +76,29 @@ def from_pillars(cells: DataFrame, pillars: DataFrame) -> DataFrame:
     return out.withColumns(new).drop(*(f"__p{n}" for n in range(4)), *(f"z{n}" for n in range(8)))
 
 
+def from_surfaces(surfaces: Sequence[DataFrame], header: g.MapHeader, dimension: tuple[int, int], origin: tuple[float, float], increment: tuple[float, float], rotation: float = 0.0, miss: float = 1000.0) -> DataFrame:
+    """A layer between each two maps of a stack (all with one header), on vertical pillars.
+
+    Where a map has no value at a pillar, its depth there is `miss`, and the columns around the pillar are inactive.
+    """
+    from terraspan.operators.surfaces import lattice, sample, with_xy
+
+    nx, ny = dimension
+    pillars = g.MapHeader(nx + 1, ny + 1, float(origin[0]), float(origin[1]), float(increment[0]), float(increment[1]), rotation)
+    own = with_xy(lattice(surfaces[0].sparkSession, pillars), pillars)
+    for n, nodes in enumerate(surfaces):
+        own = sample(own, nodes, header, name=f"__s{n}")
+    zs = F.array(*(F.col(f"__s{n}") for n in range(len(surfaces))))
+    own = own.select("i", "j", "x", "y", F.transform(zs, lambda z: F.coalesce(z, F.lit(float(miss)))).alias("z"), F.exists(zs, lambda z: z.isNull()).alias("miss"))
+    columns = lattice(surfaces[0].sparkSession, g.MapHeader(nx, ny))
+    for n, (di, dj, _) in enumerate(ENDS[:4]):
+        columns = columns.join(own.select((F.col("i") - di).alias("i"), (F.col("j") - dj).alias("j"), F.struct("x", "y", "z", "miss").alias(f"__p{n}")), ["i", "j"])
+    cells = columns.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(len(surfaces) - 1))))
+    missed = reduce(lambda a, b: a | b, (F.col(f"__p{n}.miss") for n in range(4)))
+    new = {f"c{n}{a}": F.col(f"__p{n % 4}.{a}") for n in range(8) for a in "xy"} | {f"c{n}z": F.get(F.col(f"__p{n % 4}.z"), F.col("k") - (1 if n < 4 else 0)) for n in range(8)}
+    return cells.withColumn("actnum", F.when(missed, 0).otherwise(1)).withColumns(new).drop(*(f"__p{n}" for n in range(4)))
+
+
 # --- geometry -------------------------------------------------------------------------------------------------------
 
 
@@ -402,6 +425,90 @@ def between_surfaces(cells: DataFrame, top: DataFrame, base: DataFrame, header:
     return own.withColumn(name, F.when(F.col("z").between(F.col("__top"), F.col("__base")), value).otherwise(0.0)).drop("__top", "__base", "x", "y", "z")
 
 
+def layer_map(cells: DataFrame, header: g.MapHeader, where: str | int = "top", prop: str = "depth", tile: float | None = None) -> DataFrame:
+    """(i, j, value): a map of the first layer's top ("top"), the last one's base ("base") or a layer's top, in its active cells: its depth, a property, or the cell's "i" or "j".
+
+    A node takes its value from the cell whose outline it is in (of several the least i, then j); the depth is a plane's
+    through the half of the outline that holds the node. Nodes and cells meet in tiles of the map.
+    """
+    from terraspan.operators.surfaces import lattice, with_xy
+
+    on = cells.where("actnum = 1")
+    if isinstance(where, int):
+        own, low = on.where(F.col("k") == where), 0
+    else:
+        low = 0 if where == "top" else 4
+        whole = F.struct(*CORNERS, *([] if prop in ("depth", "i", "j") else [prop]))
+        own = on.groupBy("i", "j").agg((F.min_by if where == "top" else F.max_by)(whole, "k").alias("__c")).select("i", "j", "__c.*")
+    xs, ys = [F.col(f"c{n + low}x") for n in range(4)], [F.col(f"c{n + low}y") for n in range(4)]
+    tile = tile or 4 * max(header.xinc, header.yinc)
+    span = lambda c: F.explode(F.sequence(F.floor(F.least(*c) / tile).cast("long"), F.floor(F.greatest(*c) / tile).cast("long")))
+    ring = [f"c{n + low}{a}" for n in range(4) for a in "xyz"]
+    value = {"depth": F.lit(None).cast("double"), "i": F.col("i").cast("double"), "j": F.col("j").cast("double")}.get(prop)
+    quads = own.select(F.col("i").alias("__i"), F.col("j").alias("__j"), *ring, (F.col(prop).cast("double") if value is None else value).alias("__v"), span(xs).alias("__tx")).withColumn("__ty", span(ys))
+    nodes = with_xy(lattice(cells.sparkSession, header), header).withColumns({"__tx": F.floor(F.col("x") / tile).cast("long"), "__ty": F.floor(F.col("y") / tile).cast("long")})
+
+    def within(a: int, b: int, c: int) -> tuple[Column, Column]:
+        """Is the node in this triangle, and the depth of its plane there."""
+        ax, ay, az, bx, by, bz, dx, dy, dz_ = (F.col(f"c{n + low}{x}") for n in (a, b, c) for x in "xyz")
+        det = (bx - ax) * (dy - ay) - (dx - ax) * (by - ay)
+        u = F.try_divide((F.col("x") - ax) * (dy - ay) - (F.col("y") - ay) * (dx - ax), det)
+        v = F.try_divide((F.col("y") - ay) * (bx - ax) - (F.col("x") - ax) * (by - ay), det)
+        return F.coalesce((u >= 0) & (v >= 0) & (u + v <= 1), F.lit(False)), az + u * (bz - az) + v * (dz_ - az)
+
+    (in1, z1), (in2, z2) = within(0, 1, 2), within(0, 2, 3)
+    hits = nodes.join(quads, ["__tx", "__ty"]).withColumns({"__h1": in1, "__h2": in2}).where("__h1 or __h2")
+    depth = F.when(F.col("__h1"), z1).otherwise(z2)
+    return hits.groupBy("i", "j").agg(F.min_by(depth if prop == "depth" else F.col("__v"), F.struct("__i", "__j")).alias("value"))
+
+
+def slice_surface(nodes: DataFrame, header: g.MapHeader, cells: DataFrame, prop: str, tile: float) -> DataFrame:
+    """(i, j, value): a property along a map of depths: that of the cell that each node is in; null outside."""
+    from terraspan.operators.surfaces import with_xy
+
+    places = with_xy(nodes.where(F.col("value").isNotNull()), header).select(F.struct("i", "j").alias("__n"), "x", "y", F.col("value").alias("z"), F.xxhash64("i", "j").alias("__id"))
+    found = lookup(points_in_cells(places, cells, tile, "__id"), cells, [prop])
+    return found.select("__n.i", "__n.j", F.col(prop).alias("value"))
+
+
+def random_line(fence: DataFrame, cells: DataFrame, prop: str, zmin: float, zmax: float, zinc: float, tile: float) -> DataFrame:
+    """(poly_id, seq, h, z, value): a vertical section through a property along a fence(poly_id, seq, x, y, h)."""
+    n = int(round((zmax - zmin) / zinc))
+    places = fence.select("poly_id", "seq", "h", "x", "y", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("__n")).withColumn("z", zmin + F.col("__n") * zinc)
+    places = places.withColumn("__id", F.xxhash64("poly_id", "seq", "__n"))
+    found = lookup(points_in_cells(places, cells, tile, "__id"), cells, [prop])
+    return found.select("poly_id", "seq", "h", "z", F.col(prop).alias("value"))
+
+
+def conform(cells: DataFrame, surfaces: Sequence[DataFrame], header: g.MapHeader, layers: Sequence[int]) -> DataFrame:
+    """Cells whose zone boundaries lie on maps; layers between them keep their shares. layers: how many each zone has, so there is one map more than zones.
+
+    Pillars are vertical. Where a map has no value at a corner, the corner keeps its depth there.
+    """
+    from terraspan.operators.surfaces import sample
+
+    if len(surfaces) != len(layers) + 1:
+        raise ValueError("one map more than zones is asked for")
+    corner4 = F.explode(F.array(*(F.struct(F.lit(n).alias("c"), F.col(f"c{n}x").alias("x"), F.col(f"c{n}y").alias("y")) for n in range(4))))
+    places = cells.groupBy("i", "j").agg(*(F.first(f"c{n}{a}").alias(f"c{n}{a}") for n in range(4) for a in "xy")).select("i", "j", corner4.alias("p")).select("i", "j", "p.c", "p.x", "p.y")
+    for n, nodes in enumerate(surfaces):
+        places = sample(places, nodes, header, name=f"__s{n}")
+    lists = places.groupBy("i", "j").agg(*(F.max(F.when(F.col("c") == n, F.array(*(F.col(f"__s{m}") for m in range(len(surfaces)))))).alias(f"__s{n}") for n in range(4)))
+    ends = [sum(layers[: n + 1]) for n in range(len(layers))]
+    zone = reduce(lambda a, b: a + b, (F.when(F.col("k") > e, 1).otherwise(0) for e in ends[:-1]), F.lit(0))
+    w = Window.partitionBy("i", "j", "__zone").orderBy("k")
+    span = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own = cells.withColumn("__zone", zone).join(lists, ["i", "j"])
+    new = {}
+    for n in range(8):
+        c, s = n % 4, F.col(f"__s{n % 4}")
+        top, base = F.first(f"c{c}z").over(span), F.last(f"c{c + 4}z").over(span)
+        to, bottom = F.coalesce(F.get(s, F.col("__zone")), top), F.coalesce(F.get(s, F.col("__zone") + 1), base)
+        share = F.coalesce(F.try_divide(F.col(f"c{n}z") - top, base - top), F.lit(0.0))
+        new[f"c{n}z"] = to + share * (bottom - to)
+    return own.withColumns(new).drop("__zone", *(f"__s{n}" for n in range(4)))
+
+
 def box_index(points: DataFrame, dimension: tuple[int, int, int], origin: tuple[float, float, float], increment: tuple[float, float, float], rotation: float = 0.0) -> DataFrame:
     """Adds (i, j, k) of the box-grid cell that a point is in, null outside: by arithmetic, without a join."""
     c, s = math.cos(math.radians(rotation)), math.sin(math.radians(rotation))

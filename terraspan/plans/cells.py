@@ -283,3 +283,55 @@ def calc_linear_index(cells):
     own = cells.withColumn("ib", linear_index(F.col("i"), F.col("j"), F.col("k"), 20, 20))
     i, j, k = cell_index(F.col("ib"), 20, 20)
     return own.select("i", "j", "k", "ib", i.alias("i2"), j.alias("j2"), k.alias("k2"))
+
+
+from terraspan.functions.geometry import MapHeader  # noqa: E402
+from terraspan.operators import surfaces as s_  # noqa: E402
+
+#: A map of cell corners' size, whose nodes lie within cells.
+FINE = MapHeader(30, 25, 1013.0, 2017.0, 61.0, 55.0)
+_NODES = f"nd AS (SELECT cast(a.i AS int) AS ni, cast(b.j AS int) AS nj, 1013.0 + 61.0 * (a.i - 1) AS x, 2017.0 + 55.0 * (b.j - 1) AS y FROM range(1, {FINE.ncol + 1}) a(i), range(1, {FINE.nrow + 1}) b(j))"
+
+
+def _on(alias: str) -> str:
+    return f"x >= {alias}.c0x AND x < {alias}.c1x AND y >= {alias}.c0y AND y < {alias}.c3y"
+
+
+@R.query(f"""WITH {BOX}, {_NODES}, t AS (SELECT i, j, min(k) AS k FROM box WHERE actnum = 1 GROUP BY i, j), o AS (SELECT box.* FROM box JOIN t USING (i, j, k))
+SELECT ni AS i, nj AS j, round(c0z + 0.5 * (x - c0x) / 100 + 0.25 * (y - c0y) / 80, 6) AS value FROM nd JOIN o ON {_on('o')}""", "cells")
+def grid_to_surface_top(cells):
+    return c.layer_map(boxes(cells), FINE).withColumn("value", rounded("value"))
+
+
+@R.query(f"WITH {BOX}, {_NODES} SELECT ni AS i, nj AS j, round(poro, 6) AS value FROM nd JOIN box ON actnum = 1 AND k = 3 AND {_on('box')}", "cells")
+def grid_to_surface_property(cells):
+    return c.layer_map(boxes(cells), FINE, 3, "poro").withColumn("value", rounded("value"))
+
+
+@R.query(f"""WITH {BOX}, {_NODES}, q AS (SELECT *, 1520.03125 + 0.0625 * ni AS z FROM nd) SELECT ni AS i, nj AS j, round(poro, 6) AS value FROM q LEFT JOIN box ON actnum = 1 AND {_on('box')}
+ AND z > c0z + 0.5 * (x - c0x) / 100 + 0.25 * (y - c0y) / 80 AND z < c4z + 0.5 * (x - c0x) / 100 + 0.25 * (y - c0y) / 80""", "cells")
+def grid_slice_surface(cells):
+    nodes = s_.lattice(cells.sparkSession, FINE).withColumn("value", 1520.03125 + 0.0625 * F.col("i"))
+    return c.slice_surface(nodes, FINE, boxes(cells), "poro", 100.0).withColumn("value", rounded("value"))
+
+
+@R.query(None, "cells", "fence")
+def grid_randomline(cells, fence):
+    from terraspan.operators.polygons import fence as fence_of
+
+    out = c.random_line(fence_of(fence, 60.0), boxes(cells), "poro", 1500.0, 1560.0, 5.0, 100.0)
+    return out.select("poly_id", "seq", rounded("h").alias("h"), "z", rounded("value").alias("value"))
+
+
+@R.query(None, "depths")
+def grid_from_surfaces(nodes):
+    stack = [nodes.withColumn("value", F.col("value") + 10.0 * n) for n in range(4)]
+    out = c.from_surfaces(stack, MAP, (8, 6), (1300.0, 2400.0), (50.0, 40.0), 30.0)
+    return out.select("i", "j", "k", "actnum", *(rounded(x).alias(x) for x in ("c0z", "c2z", "c6z")))
+
+
+@R.query(None, "cells", "depths")
+def grid_conform_to_surfaces(cells, nodes):
+    full = boxes(s_.lattice(cells.sparkSession, MapHeader(20, 20)).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(7)))).withColumn("actnum", F.lit(1)))
+    stack = [nodes.withColumn("value", F.col("value") + d) for d in (0.0, 15.0, 60.0)]
+    return c.conform(full, stack, MAP, (2, 5)).select("i", "j", "k", *(rounded(x).alias(x) for x in ("c0z", "c4z")))

@@ -124,3 +124,39 @@ def test_segy(spark, tmp_path):
 
 def test_ibm_floats():
     assert np.allclose(binary.ibm_floats(np.array([0x42640000, 0xC276A000, 0x00000000, 0x40800000], np.int64)), [100.0, -118.625, 0.0, 0.5])
+
+
+def test_simulator_files(spark, tmp_path):
+    from terraspan.operators import cells as c
+    from terraspan.sources import simulator as sim
+
+    grid = c.box_grid(spark, (3, 2, 2), (10, 20, 1000), (5, 6, 7), rotation=30).withColumn("actnum", F.when(F.expr("i = 2 and k = 1"), 0).otherwise(1))
+    arrays = {k: [r.value for r in sim.corner_arrays(grid, 3, 2).where(F.col("keyword") == k).orderBy("pos").collect()] for k in ("COORD", "ZCORN", "ACTNUM")}
+    assert {k: len(v) for k, v in arrays.items()} == {"COORD": 72, "ZCORN": 96, "ACTNUM": 12}
+    data = sim.record_bytes("GRIDHEAD", "INTE", [1, 3, 2, 2]) + b"".join(sim.record_bytes(k, "INTE" if k == "ACTNUM" else "DOUB", v) for k, v in arrays.items())
+    records = sim.read_records(spark, put(tmp_path, "a.egrid", data))
+    assert [(r.keyword, r["count"]) for r in sim.catalog(records).orderBy("n").collect()] == [("GRIDHEAD", 4), ("COORD", 72), ("ZCORN", 96), ("ACTNUM", 12)]
+    back = sim.corner_grid(sim.values(records, ["COORD", "ZCORN", "ACTNUM"]), 3, 2, 2)
+    key = lambda d: {(r.i, r.j, r.k): [r.actnum, *(round(r[x], 6) for x in c.CORNERS)] for r in d.collect()}
+    assert key(back) == key(grid)
+    text = "\n".join(r.value for k, digits in (("COORD", 9), ("ZCORN", 9), ("ACTNUM", None)) for r in sim.grdecl_lines(sim.corner_arrays(grid, 3, 2), k, digits=digits).orderBy("n").collect())
+    assert key(sim.corner_grid(tables.read_grdecl(spark, put(tmp_path, "a.grdecl", text), ["COORD", "ZCORN", "ACTNUM"]), 3, 2, 2)) == key(grid)
+
+
+def test_restart_files(spark, tmp_path):
+    from terraspan.operators import cells as c
+    from terraspan.sources import simulator as sim
+
+    grid = c.box_grid(spark, (2, 2, 2)).withColumn("actnum", F.when(F.expr("i = 1 and j = 1 and k = 1"), 0).otherwise(1))
+    data = b""
+    for n, day in enumerate((1, 15)):
+        head = [0] * 95
+        head[64:67] = [day, 6, 2021]
+        data += sim.record_bytes("SEQNUM", "INTE", [n]) + sim.record_bytes("INTEHEAD", "INTE", head) + sim.record_bytes("NAMES", "CHAR", ["OP_1", "OP_2"]) + sim.record_bytes("STARTSOL", "MESS", [])
+        data += sim.record_bytes("SWAT", "REAL", [0.25 + n * 0.125] * 7) + sim.record_bytes("PRESSURE", "REAL", np.arange(7) + 100 * n)
+    records = sim.read_records(spark, put(tmp_path, "a.unrst", data), ["INTEHEAD", "SWAT", "PRESSURE"])
+    assert sorted({str(r.date) for r in sim.catalog(records).collect()}) == ["2021-06-01", "2021-06-15"]
+    last = sim.scatter(sim.with_remainder(sim.values(records, ["SWAT", "PRESSURE"], "last")), grid)
+    got = {(r.keyword, r.i, r.j, r.k): r.value for r in last.collect()}
+    assert len(got) == 21 and got["PRESSURE", 2, 1, 1] == 100 and got["PRESSURE", 1, 1, 2] == 103 and got["SWAT", 2, 2, 2] == 0.375 and got["SOIL", 2, 2, 2] == 0.625
+    assert sim.values(records, ["SWAT"], ["2021-06-01"]).agg(F.max("value")).first()[0] == 0.25
