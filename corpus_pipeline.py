@@ -2,7 +2,8 @@
 
 1. quality: documents that the ranking model rejects go.
 2. exact: of equal texts the row with the largest doc_id stays.
-3. near: of each group of near-duplicates (SimHash over three words, three bits or fewer apart, as op10) the document with the least doc_id stays.
+3. near: of each group of near copies the document with the least doc_id stays. Near are fingerprints three bits or fewer
+   apart (SimHash over three words, as op10), and texts whose sets of five-word shingles have a similarity of 0.8 or more.
 4. substring: words of passages of 20 words or more that started earlier go. Texts without such passages stay as they
    are; of others, the words left are joined by one space. A text of which nothing is left stays as an empty one.
 5. packing: sequences of 4096 tokens; its rows are the packed pieces.

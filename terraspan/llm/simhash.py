@@ -10,16 +10,18 @@ returns a spanning forest, never all links of a group. Components of the forest
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraspan.llm import common
+from terraspan.llm.words import Hasher, U, mix
 
 #: Distinct fingerprints in a subtrie, at most, as long as the depth of the cut is under DEEPEST.
 SUBTRIE = 100_000
@@ -28,6 +30,10 @@ SEED = 42
 #: Shingles that are held as bits at a time.
 STEP = 1 << 15
 ONE = np.uint64(1)
+#: Fingerprints of a document's set of words, for candidates. More find more of the pairs near the limit.
+TABLES = 8
+#: Fixed value: an odd step that sets the tables' hashes apart.
+APART = 0x9E3779B97F4A7C15
 
 
 def simhash(text: bytes, shingle: int = 3) -> int:
@@ -148,28 +154,30 @@ def trie_join(left: np.ndarray, right: np.ndarray | None, depth: int, budget: in
     return values[a], values[b]
 
 
-def links(fps: DataFrame, budget: int = 3) -> DataFrame:
-    """A spanning forest (a, b) of the links between distinct fingerprints (column __fp, each once)."""
-    counts = fps.groupBy(F.shiftrightunsigned("__fp", 64 - DEEPEST).alias("p")).count().toPandas()  # 65,536 rows at most
+def links(fps: DataFrame, budget: int = 3, by: str | None = None) -> DataFrame:
+    """A spanning forest (a, b) of the links between distinct fingerprints (column __fp, each once), apart for each value of the int column `by`."""
+    own = [by] if by else []
+    counts = fps.groupBy(*own, F.shiftrightunsigned("__fp", 64 - DEEPEST).alias("p")).count().toPandas()  # 65,536 rows a value of `by` at most
     depth = SHALLOWEST
-    while depth < DEEPEST and len(counts) and counts.groupby(counts.p.to_numpy() >> (DEEPEST - depth))["count"].sum().max() > SUBTRIE:
+    while depth < DEEPEST and len(counts) and counts.groupby([*(counts[c] for c in own), counts.p.to_numpy() >> (DEEPEST - depth)])["count"].sum().max() > SUBTRIE:
         depth += 1
     near = [sum(1 << k for k in c) for n in range(1, budget + 1) for c in combinations(range(depth), n)]
     prefix = F.shiftrightunsigned("__fp", 64 - depth)
     # a subtrie goes to itself and to each subtrie within the budget; the pair is named after the lesser root
     others = F.transform(F.array(F.lit(0).cast("long"), *(F.lit(x).cast("long") for x in near)), lambda x: F.struct(F.least(prefix, prefix.bitwiseXOR(x)).alias("u"), F.greatest(prefix, prefix.bitwiseXOR(x)).alias("v")))
-    dealt = fps.select("__fp", F.explode(others).alias("pair")).select("pair.u", "pair.v", "__fp")
+    dealt = fps.select(*own, "__fp", F.explode(others).alias("pair")).select(*own, "pair.u", "pair.v", "__fp")
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        *of, u, v = key
         values = np.sort(pdf["__fp"].to_numpy().view(np.uint64))
-        if key[0] == key[1]:
+        if u == v:
             a, b = trie_join(values, None, depth, budget)
         else:
-            cut = int(np.searchsorted(values, np.uint64(int(key[1]) << (64 - depth))))
+            cut = int(np.searchsorted(values, np.uint64(int(v) << (64 - depth))))
             a, b = (values[:0],) * 2 if cut in (0, len(values)) else trie_join(values[:cut], values[cut:], depth, budget)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+        return pd.DataFrame({c: k for c, k in zip(own, of, strict=True)} | {"a": a.view(np.int64), "b": b.view(np.int64)}, columns=[*own, "a", "b"])
 
-    return dealt.groupBy("u", "v").applyInPandas(compare, "a long, b long")
+    return dealt.groupBy(*own, "u", "v").applyInPandas(compare, "".join(f"{c} int, " for c in own) + "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -209,13 +217,87 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return marked.join(of, "__fp").select(doc_id, F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, budget: int = 3) -> DataFrame:
-    """The documents with the least id of their component, with all their columns; of rows with one id and text one stays."""
-    key = common.key_of(doc_id).alias("__key")
-    keep = near_duplicates(docs, doc_id, text, shingle, budget).where(F.col(doc_id).eqNullSafe(F.col("component_id"))).select(key).distinct()
-    kept = docs.select("*", key, F.xxhash64(common.text_or_empty(text)).alias("__hash")).join(keep, "__key")
-    one = F.row_number().over(Window.partitionBy("__key", "__hash").orderBy(F.lit(1)))
-    return kept.withColumn("__n", one).where("__n = 1").select(*docs.columns)
+def word_set_signs(text: bytes, tables: int) -> np.ndarray:
+    """SimHashes of the set of a text's words (A-Z lower-cased), one for each table; zeros if it has no words."""
+    words = list(dict.fromkeys(text.lower().split()))
+    if not words:
+        return np.zeros(tables, np.int64)
+    h, out = hasher().words(words), np.empty(tables, np.uint64)
+    for t in range(tables):
+        with np.errstate(over="ignore"):
+            own = mix(h + U((APART * (t + 1)) % (1 << 64)))
+        ones = np.zeros(64, np.int64)
+        for i in range(0, len(own), STEP):
+            ones += np.unpackbits(own[i : i + STEP].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out[t] = int.from_bytes(np.packbits(ones * 2 > len(own)).tobytes(), "big")
+    return out.view(np.int64)
+
+
+@lru_cache(1)
+def hasher() -> Hasher:
+    return Hasher(3)
+
+
+def jaccard(a: bytes, b: bytes, shingle: int) -> float:
+    """Of the sets of word shingles, A-Z lower-cased; of fewer words the whole sequence is the one shingle. 1 if both have no words."""
+
+    def shingles(text: bytes) -> np.ndarray:
+        h = hasher().words(text.lower().split())
+        return np.unique(hasher().windows(h, min(shingle, len(h)))) if len(h) else h
+
+    x, y = shingles(a), shingles(b)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+def verified(pairs: DataFrame, rows: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of rows whose texts have the similarity. Texts go only to the pairs that need them."""
+    texts_ = rows.select("__row", common.text_or_empty(text).alias("__text"))
+    side = lambda c: texts_.select(F.col("__row").alias(c), F.col("__text").alias(f"__text_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "__text_a", "__text_b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            near = pa.array([jaccard(p, q, shingle) >= similarity for p, q in zip(common.texts(x.column(2)), common.texts(x.column(3)), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(x.columns[:2], names=["a", "b"]).filter(near)
+
+    return both.mapInArrow(compare, "a long, b long")
+
+
+def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tables: int = TABLES, shingle: int = 5, similarity: float = 0.8, budget: int = 3) -> DataFrame:
+    """One document of each group of near copies, that with the least id, with all its columns.
+
+    Two documents are linked by near_duplicates()' rule (fingerprints of three-word shingles within the budget), and by a
+    Jaccard similarity of five-word shingles of 0.8 or more. Candidates for the latter come from trie joins of `tables`
+    fingerprints of the sets of words, within the budget each, and every one is verified on the whole texts. A trie join
+    gives a spanning forest of its links, so a pair may be missed where no table links it or where a link of its path fails.
+    Null and empty texts have no words and are near copies of each other. Null ids count as the largest; of rows that repeat
+    an id and a text one stays. Columns keep their values, whatever their names.
+    """
+    rows = common.save(docs.withColumn("__row", F.monotonically_increasing_id()), "near")
+    slim = rows.select("__row", common.text_or_empty(text).alias("__text"))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # table 0 is the rule of near_duplicates()
+        for b in batches:
+            fps = [np.append(np.array([simhash(x)], np.uint64).view(np.int64), word_set_signs(x, tables)) for x in common.texts(b.column(1))]
+            n = len(fps)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), tables + 1)), pa.array(np.tile(np.arange(tables + 1, dtype=np.int32), n)), pa.array(np.concatenate(fps) if n else np.zeros(0, np.int64))], names=["__row", "__t", "__fp"])
+
+    signs = common.save(slim.mapInArrow(sign, "__row long, __t int, __fp long"), "signs")
+    each = common.save(signs.groupBy("__t", "__fp").agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n")), "first")
+    same = signs.join(each.where("__n > 1").drop("__n"), ["__t", "__fp"]).where("__row > __first").select("__t", F.col("__first").alias("a"), F.col("__row").alias("b"))
+    found = links(each.select("__t", "__fp"), budget, "__t")
+    for c in ("a", "b"):
+        found = found.join(each.select("__t", F.col("__fp").alias(c), F.col("__first").alias(f"__{c}")), ["__t", c])
+    pairs = common.save(same.unionByName(found.select("__t", F.least("__a", "__b").alias("a"), F.greatest("__a", "__b").alias("b"))), "pairs")
+    sure = pairs.where("__t = 0").select("a", "b")
+    edges = sure.unionByName(verified(pairs.where("__t > 0").select("a", "b").distinct(), rows, text, shingle, similarity))
+    linked = components(edges)
+    ids = linked.join(rows.select(F.col("__row").alias("node"), F.col(doc_id).alias("__id")), "node")
+    keep = ids.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "node")).alias("__keep")).select(F.col("__keep.node").alias("node"))
+    lost = linked.select("node").join(keep, "node", "left_anti").select(F.col("node").alias("__row"))
+    return rows.join(lost, "__row", "left_anti").select(*docs.columns)
 
 
 def query(spark, sf_dir):

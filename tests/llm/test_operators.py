@@ -299,9 +299,47 @@ def test_simhash(docs):
     root = linked(values, 3)
     want = Counter((i, f"{v:016x}", rows[r][0]) for (i, _), v, r in zip(rows, values.tolist(), root, strict=True))
     assert Counter(tuple(r) for r in simhash.near_duplicates(docs).collect()) == want
+
+
+def shingle_set(t, n=5):
+    w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    return frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))) if w else frozenset()
+
+
+def near_groups(rows, similarity=0.8):
+    """The group of each row, by both rules: fingerprints within three bits, and similar sets of shingles."""
+    values, sets = np.array([plain_simhash(t) for _, t in rows], np.uint64), [shingle_set(t) for _, t in rows]
+    root = linked(values, 3)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            x, y = sets[a], sets[b]
+            if (not x and not y) or (x and y and len(x & y) >= similarity * len(x | y)):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(k) for k in range(len(rows))]
+
+
+def test_near_dedup(docs):
+    rows = sorted(rows_of(docs), key=lambda x: (x[0] is None, x[0] or 0))
+    root = near_groups(rows)
     kept = simhash.near_dedup(docs)
     assert kept.columns == docs.columns
-    assert Counter(r.doc_id for r in kept.select("doc_id").collect() if r.doc_id is not None) == Counter({rows[r][0] for r in root} - {None})
+    assert Counter((r.doc_id, r.text or "") for r in kept.collect()) == Counter(rows[r] for r in set(root))
+
+
+def test_near_dedup_finds_edited_copies_and_keeps_others(spark):
+    r = np.random.default_rng(4)
+    base = [[f"w{x}" for x in r.integers(0, 3000, 250)] for _ in range(60)]
+    edited = [[w if k % 60 else f"new{n}" for k, w in enumerate(words, 1)] for n, words in enumerate(base)]  # 4 of 250 words: 0.85
+    other = [[w if k % 12 else f"other{n}" for k, w in enumerate(words, 1)] for n, words in enumerate(base[:20])]  # 0.4
+    docs = spark.createDataFrame([(n, " ".join(w)) for n, w in enumerate(base + edited + other)], "doc_id long, text string")
+    kept = {x.doc_id for x in simhash.near_dedup(docs).collect()}
+    assert set(range(60)) <= kept and set(range(120, 140)) <= kept and len(kept & set(range(60, 120))) <= 3
 
 
 @pytest.mark.parametrize(("bits", "budget"), [(12, 1), (16, 3), (20, 2)])

@@ -4,9 +4,7 @@ from collections import Counter
 
 import corpus_pipeline as cp
 from terraspan.llm import quality
-from tests.llm.test_operators import check_pieces, id_key, linked, plain_simhash, removed, rows_of, tokenizer  # noqa: F401
-
-import numpy as np
+from tests.llm.test_operators import check_pieces, id_key, near_groups, removed, rows_of, tokenizer  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,7 +29,7 @@ def test_stages_in_turn(spark, some, tokenizer):  # noqa: F811
     docs = stage(spark, docs, "exact").cache()
     rows = sorted((i, t) for t, i in keep.items())
     assert texts(docs) == Counter(rows)
-    root = linked(np.array([plain_simhash(t) for _, t in rows], np.uint64), 3)
+    root = near_groups(rows)
     rows = [rows[k] for k in sorted(set(root))]
     docs = stage(spark, docs, "near").cache()
     assert texts(docs) == Counter(rows)
