@@ -74,7 +74,7 @@ def idw(points: DataFrame, header: MapHeader, power: float = 2.0, radius: float
 
 
 def nearest(points: DataFrame, header: MapHeader) -> DataFrame:
-    """(i, j, value): the nearest point's z (of equally near ones the least x, y). The radius grows until every node has one."""
+    """(i, j, value): the nearest point's z (of equally near ones the least x, y, z). The radius grows until every node has one."""
     own = inside_map(points, header)
     radius = auto_radius(own, header)
     size = header.ncol * header.xinc + header.nrow * header.yinc
@@ -82,7 +82,7 @@ def nearest(points: DataFrame, header: MapHeader) -> DataFrame:
     if not own.limit(1).count():
         return nodes.select("i", "j", F.lit(None).cast("double").alias("value")).where("false")
     while True:
-        found = pairs(own, header, radius).join(nodes, ["i", "j"], "left_semi").groupBy("i", "j").agg(F.min_by("pz", F.struct("d", "px", "py")).alias("value"))
+        found = pairs(own, header, radius).join(nodes, ["i", "j"], "left_semi").groupBy("i", "j").agg(F.min_by("pz", F.struct("d", "px", "py", "pz")).alias("value"))
         done = found if done is None else done.unionByName(found)
         if radius > size:
             return done

@@ -19,12 +19,12 @@ def gridding_idw(points):
     return gr.idw(points, GRID, 2.0, 110.0, 2).withColumn("value", rounded("value"))
 
 
-@R.query(f"""WITH {_LAT}, d AS (SELECT i, j, z, pin.x AS px, pin.y AS py, sqrt((lat.x - pin.x)**2 + (lat.y - pin.y)**2) AS d FROM lat, pin) SELECT i, j, arg_min(z, (d, px, py)) AS value FROM d GROUP BY i, j""", "points")
+@R.query(f"""WITH {_LAT}, d AS (SELECT i, j, z, pin.x AS px, pin.y AS py, sqrt((lat.x - pin.x)**2 + (lat.y - pin.y)**2) AS d FROM lat, pin) SELECT i, j, arg_min(z, (d, px, py, z)) AS value FROM d GROUP BY i, j""", "points")
 def gridding_nearest(points):
     return gr.nearest(points, GRID)
 
 
-@R.query(f"""WITH {_LAT}, n AS (SELECT i, j, arg_min(z, (d, px, py)) AS v FROM (SELECT i, j, z, pin.x AS px, pin.y AS py, sqrt((lat.x - pin.x)**2 + (lat.y - pin.y)**2) AS d FROM lat, pin) GROUP BY i, j),
+@R.query(f"""WITH {_LAT}, n AS (SELECT i, j, arg_min(z, (d, px, py, z)) AS v FROM (SELECT i, j, z, pin.x AS px, pin.y AS py, sqrt((lat.x - pin.x)**2 + (lat.y - pin.y)**2) AS d FROM lat, pin) GROUP BY i, j),
 k AS (SELECT count(*) AS k FROM range(-2, 3) a(a), range(-2, 3) b(b) WHERE (a * 50.0)**2 + (b * 60.0)**2 <= 14400)
 SELECT l.i, l.j, round(sum(n.v) / any_value(k), 6) AS value FROM lat l, n, k WHERE ((l.i - n.i) * 50.0)**2 + ((l.j - n.j) * 60.0)**2 <= 14400 GROUP BY l.i, l.j""", "points")
 def gridding_moving_average(points):
