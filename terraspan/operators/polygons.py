@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terraspan.operators.rounds import cut
+
 #: Edges that are broadcast, at most (40 bytes each).
 BROADCAST_EDGES = 100_000
 
@@ -193,13 +195,13 @@ def clusters(points: DataFrame, distance: float, pid: str = "pid") -> DataFrame:
     the rounds grow with the logarithm of a chain's length.
     """
     pairs = close_pairs(points, distance, pid)
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    labels = points.select(F.col(pid).alias("a"), F.col(pid).alias("l")).checkpoint()
+    both = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = cut(points.select(F.col(pid).alias("a"), F.col(pid).alias("l")))
     while True:
         lower = both.join(labels.select(F.col("a").alias("b"), F.col("l").alias("lb")), "b").groupBy("a").agg(F.min("lb").alias("lb"))
         new = labels.join(lower, "a", "left").select("a", F.least("l", F.coalesce("lb", "l")).alias("l"), F.col("l").alias("old"))
         up = new.select(F.col("a").alias("l"), F.col("l").alias("ll"))
-        new = new.join(up, "l").select("a", F.least("l", "ll").alias("l"), "old").checkpoint()
+        new = cut(new.join(up, "l").select("a", F.least("l", "ll").alias("l"), "old"))
         if not new.where("l <> old").limit(1).count():
             return new.select(F.col("a").alias(pid), F.col("l").alias("cluster"))
         labels = new.select("a", "l")
