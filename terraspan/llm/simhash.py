@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraspan.llm import common
-from terraspan.llm.words import Hasher, U, mix
+from terraspan.llm.words import Hasher, U
 
 #: Distinct fingerprints in a subtrie, at most, as long as the depth of the cut is under DEEPEST.
 SUBTRIE = 100_000
@@ -30,13 +30,13 @@ SEED = 42
 #: Shingles that are held as bits at a time.
 STEP = 1 << 15
 ONE = np.uint64(1)
-#: Fingerprints of a document's set of words, for candidates. More find more of the pairs near the limit.
-TABLES = 8
-#: Bits that two sets of words may differ in on average over the tables, for their pair to be verified on the texts. Of 516
-#: pairs with a similarity of 0.8 or more none differed in more than 7.25.
-WIDE = 12
-#: Fixed value: an odd step that sets the tables' hashes apart.
-APART = 0x9E3779B97F4A7C15
+#: Neighbours in size that a text is compared with, among those that share a shingle, before components are formed.
+FIRST = 4
+#: One of SAMPLE texts tells which shingles are common: those in COMMON or more of them, LATE at most. They only set the
+#: order of a text's shingles; any order finds all pairs.
+SAMPLE, COMMON, LATE = 16, 8, 100_000
+#: Rounding of the limits on sizes.
+SLACK = 1e-9
 
 
 def simhash(text: bytes, shingle: int = 3) -> int:
@@ -220,39 +220,108 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return marked.join(of, "__fp").select(doc_id, F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def word_set_signs(text: bytes, tables: int) -> np.ndarray:
-    """SimHashes of the set of a text's words (A-Z lower-cased), one for each table; zeros if it has no words."""
-    words = list(dict.fromkeys(text.lower().split()))
-    if not words:
-        return np.zeros(tables, np.int64)
-    h, out = hasher().words(words), np.empty(tables, np.uint64)
-    for t in range(tables):
-        with np.errstate(over="ignore"):
-            own = mix(h + U((APART * (t + 1)) % (1 << 64)))
-        ones = np.zeros(64, np.int64)
-        for i in range(0, len(own), STEP):
-            ones += np.unpackbits(own[i : i + STEP].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out[t] = int.from_bytes(np.packbits(ones * 2 > len(own)).tobytes(), "big")
-    return out.view(np.int64)
-
-
 @lru_cache(1)
 def hasher() -> Hasher:
     return Hasher(3)
 
 
-def jaccard(a: bytes, b: bytes, shingle: int) -> float:
-    """Of the sets of word shingles, A-Z lower-cased; of fewer words the whole sequence is the one shingle. 1 if both have no words."""
+def shingles(text: bytes, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles, A-Z lower-cased; of fewer words the whole sequence is the one shingle."""
+    h = hasher().words(text.lower().split())
+    return np.unique(hasher().windows(h, min(shingle, len(h)))) if len(h) else h
 
-    def shingles(text: bytes) -> np.ndarray:
-        h = hasher().words(text.lower().split())
-        return np.unique(hasher().windows(h, min(shingle, len(h)))) if len(h) else h
 
-    x, y = shingles(a), shingles(b)
+def jaccard(a: bytes, b: bytes, shingle: int) -> float:
+    """Of the sets of word shingles; 1 if both have no words."""
+    x, y = shingles(a, shingle), shingles(b, shingle)
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
+def common_shingles(slim: DataFrame, shingle: int) -> np.ndarray:
+    """Sorted hashes of the shingles that many texts of a sample have (slim: __row, __text)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(x, shingle) for x in common.texts(b.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, U), *sets]).view(np.int64))], names=["h"])
+
+    sample = slim.select("__text").where(F.pmod(F.xxhash64("__text"), F.lit(SAMPLE)) == 0)
+    often = sample.mapInArrow(each, "h long").groupBy("h").count().where(F.col("count") >= COMMON)
+    return np.sort(np.array([r.h for r in often.orderBy(F.desc("count"), "h").limit(LATE).collect()], np.int64).view(U))
+
+
+def prefixes(slim: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(h, size, row): each text's first shingles, so many that two similar texts share one of them.
+
+    The order is by hash, common shingles last. Of n shingles a similar text shares n * similarity at least, so all but
+    that many, and one more, are enough. size: the number of shingles and, in the lower 32 bits, the place in the order.
+    """
+    late = common_shingles(slim, shingle)
+
+    def first(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        x = shingles(text, shingle)
+        if len(late) and len(x):
+            last = late[np.minimum(np.searchsorted(late, x), len(late) - 1)] == x
+            x = np.concatenate([x[~last], x[last]])
+        n = len(x)
+        x = x[: n - int(np.ceil(similarity * n - SLACK)) + 1] if n else x
+        return x, (n << 32) + np.arange(len(x), dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [first(x) for x in common.texts(b.column(1))]
+            if parts:
+                h, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+                row = np.repeat(b.column(0).to_numpy(), [len(x) for x, _ in parts])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(size), pa.array(row)], names=["h", "size", "row"])
+
+    return slim.select("__row", "__text").mapInArrow(run, "h long, size long, row long")
+
+
+def candidates(posts: DataFrame, similarity: float, rest: bool = False) -> DataFrame:
+    """(a, b, h, size) from prefixes(): pairs of rows that share a shingle, unless their sizes or its places rule out the similarity.
+
+    First, a text is paired with the FIRST next larger ones of each shingle. If more can be paired, all rows of that shingle
+    are returned, too (b is null), for the second time (rest): then all other pairs whose `root` differs are returned.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("h", pa.int64()), ("size", pa.int64())])
+    columns = ["h", "size", "row", *(["root"] if rest else [])]
+
+    def pairs(h: np.ndarray, size: np.ndarray, row: np.ndarray, root: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        n, place = size >> 32, size & 0xFFFFFFFF
+        at, d = np.arange(len(h)), FIRST + 1 if rest else 1
+        while True:
+            at = at[: np.searchsorted(at, len(h) - d)]
+            # within a shingle sizes ascend: one too large is followed by larger ones
+            at = at[(h[at] == h[at + d]) & (n[at] >= similarity * n[at + d] - SLACK)]
+            if not len(at) or (not rest and d > FIRST):
+                break
+            to = at + d
+            ok = np.minimum(n[at] - place[at], n[to] - place[to]) >= similarity / (1 + similarity) * (n[at] + n[to]) - SLACK
+            if rest:
+                ok &= root[at] != root[to]
+            x, y = row[at[ok]], row[to[ok]]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), *[pa.nulls(len(x), pa.int64())] * 2], schema=schema)
+            d += 1
+        if len(at):
+            more = np.isin(h, np.unique(h[at]))
+            yield pa.RecordBatch.from_arrays([pa.array(row[more]), pa.nulls(int(more.sum()), pa.int64()), pa.array(h[more]), pa.array(size[more])], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * len(columns)
+        for b in batches:
+            held = [np.concatenate([x, y.to_numpy()]) for x, y in zip(held, b.columns, strict=True)]
+            if len(held[0]):
+                cut = np.searchsorted(held[0], held[0][-1])  # the last shingle's rows may go on
+                yield from pairs(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+        yield from pairs(*held)
+
+    return posts.select(*columns).repartition("h").sortWithinPartitions("h", "size", "row").mapInArrow(run, "a long, b long, h long, size long")
+
+
 def verified(pairs: DataFrame, rows: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of rows whose texts have the similarity. Only texts that stand in a pair are moved to pairs."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("__row")).distinct()
@@ -268,42 +337,33 @@ def verified(pairs: DataFrame, rows: DataFrame, text: str, shingle: int, similar
     return both.mapInArrow(compare, "a long, b long")
 
 
-def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tables: int = TABLES, shingle: int = 5, similarity: float = 0.8, budget: int = 3) -> DataFrame:
+def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, budget: int = 3) -> DataFrame:
     """One document of each group of near copies, that with the least id, with all its columns.
 
     Two documents are linked by near_duplicates()' rule (fingerprints of three-word shingles within the budget), and by a
-    Jaccard similarity of five-word shingles of 0.8 or more. Candidates for the latter come from trie joins of `tables`
-    fingerprints of the sets of words, within the budget each, and every one that isn't far apart in the other tables (WIDE) is verified on the whole texts. A trie join
-    gives a spanning forest of its links, so a pair may be missed where no table links it or where a link of its path fails.
+    Jaccard similarity of five-word shingles of 0.8 or more. The latter pairs all share one of their first shingles
+    (prefixes()), so each is found, and verified on the whole texts, unless verified links already join its two texts.
     Null and empty texts have no words and are near copies of each other. Null ids count as the largest; of rows that repeat
     an id and a text one stays. Columns keep their values, whatever their names.
     """
     rows = common.save(docs.withColumn("__row", F.monotonically_increasing_id()), "near")
     slim = rows.select("__row", common.text_or_empty(text).alias("__text"))
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # table 0 is the rule of near_duplicates()
-        for b in batches:
-            fps = [np.append(np.array([simhash(x)], np.uint64).view(np.int64), word_set_signs(x, tables)) for x in common.texts(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.list_(pa.int64()))], names=["__row", "__fps"])
-
-    signed = common.save(slim.mapInArrow(sign, "__row long, __fps array<long>"), "signs")
-    signs = signed.select("__row", F.posexplode("__fps").alias("__t", "__fp"))
-    each = common.save(signs.groupBy("__t", "__fp").agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n")), "first")
-    same = signs.join(each.where("__n > 1").drop("__n"), ["__t", "__fp"]).where("__row > __first").select("__t", F.col("__first").alias("a"), F.col("__row").alias("b"))
-    found = links(each.select("__t", "__fp"), budget, "__t")
-    for c in ("a", "b"):
-        found = found.join(each.select("__t", F.col("__fp").alias(c), F.col("__first").alias(f"__{c}")), ["__t", c])
-    pairs = common.save(same.unionByName(found.select("__t", F.least("__a", "__b").alias("a"), F.greatest("__a", "__b").alias("b"))), "pairs")
-    sure = pairs.where("__t = 0").select("a", "b")
-    maybe = pairs.where("__t > 0").select("a", "b").distinct()
+    signed = common.save(with_simhash(slim, "__text", keep=("__row",)), "signs")
+    each = common.save(signed.groupBy("__fp").agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n")), "first")
+    same = signed.join(each.where("__n > 1").drop("__n"), "__fp").where("__row > __first").select(F.col("__first").alias("a"), F.col("__row").alias("b"))
+    found = links(each.select("__fp"), budget)
     for c in ("a", "b"):
-        maybe = maybe.join(signed.select(F.col("__row").alias(c), F.col("__fps").alias(f"__{c}")), c)
-    # chance links of one table are far apart in the others, and needn't be verified on the texts
-    apart = F.aggregate(F.slice(F.zip_with("__a", "__b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), 2, tables), F.lit(0), lambda n, x: n + x)
-    maybe = common.save(maybe.where(apart <= WIDE * tables).select("a", "b"), "maybe")
-    edges = sure.unionByName(verified(maybe, rows, text, shingle, similarity))
-    linked = components(edges)
+        found = found.join(each.select(F.col("__fp").alias(c), F.col("__first").alias(f"__{c}")), c)
+    sure = same.unionByName(found.select(F.col("__a").alias("a"), F.col("__b").alias("b")))
+    maybe = common.save(candidates(prefixes(slim, shingle, similarity), similarity), "candidates")
+    pairs = maybe.where("b IS NOT NULL").select("a", "b").distinct()
+    linked = components(sure.unionByName(verified(common.save(pairs, "pairs"), rows, text, shingle, similarity)))
+    more = maybe.where("b IS NULL").select("h", "size", F.col("a").alias("row"))
+    if more.limit(1).count():
+        more = more.join(linked.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+        pairs = candidates(more, similarity, rest=True).select("a", "b").distinct()
+        joined = linked.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+        linked = components(joined.unionByName(verified(common.save(pairs, "pairs"), rows, text, shingle, similarity)))
     ids = linked.join(rows.select(F.col("__row").alias("node"), F.col(doc_id).alias("__id")), "node")
     keep = ids.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "node")).alias("__keep")).select(F.col("__keep.node").alias("node"))
     lost = linked.select("node").join(keep, "node", "left_anti").select(F.col("node").alias("__row"))

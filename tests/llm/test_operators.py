@@ -342,6 +342,18 @@ def test_near_dedup_finds_edited_copies_and_keeps_others(spark):
     assert set(range(60)) <= kept and set(range(120, 140)) <= kept and len(kept & set(range(60, 120))) <= 3
 
 
+@pytest.mark.parametrize("kind", ["appended", "truncated", "block"])
+def test_near_dedup_finds_block_edits(spark, kind):
+    r = np.random.default_rng(6)
+    base = [[f"w{x}" for x in r.zipf(1.3, 150 + 10 * n) % 5000] for n in range(40)]
+    new = lambda n: [f"new{x}" for x in r.integers(0, 5000, n)]
+    edit = {"appended": lambda w: w + new(len(w) // 5 - 4), "truncated": lambda w: w[: -(len(w) // 6)], "block": lambda w: w[:40] + new(len(w) // 12 - 4) + w[40 + len(w) // 12 - 4 :]}[kind]
+    rows = [(n, " ".join(w)) for n, w in enumerate(base + [edit(w) for w in base])]
+    root = near_groups(rows)
+    kept = {x.doc_id for x in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(root) and len(kept) <= 42
+
+
 @pytest.mark.parametrize(("bits", "budget"), [(12, 1), (16, 3), (20, 2)])
 def test_trie_join_in_subtries(spark, monkeypatch, bits, budget):
     """Dense values, cut in many subtries: the components are those of all pairs."""
