@@ -354,6 +354,36 @@ def test_near_dedup_finds_block_edits(spark, kind):
     assert kept == set(root) and len(kept) <= 42
 
 
+def test_near_dedup_goes_on_behind_failing_pairs(spark):
+    r = np.random.default_rng(8)
+    words = [f"w{x}" for x in range(200)]
+    order = [words[x] for x in r.permutation(200)]
+    trio = [words, order, order[:2] + order[3:6] + order[2:3] + order[6:]]  # one set of words; only the last two are near
+    drift = [[f"d{x}" for x in range(300)]]
+    for n in range(12):  # each is near the one before only
+        drift.append([f"e{n}x{x}" if 25 * n <= x < 25 * n + 15 else w for x, w in enumerate(drift[-1])])
+    shared = [f"s{x}" for x in range(150)]
+    frames = [shared + [f"f{n}x{x}" for x in range(50)] for n in range(30)]  # 0.59 to each other
+    copies = [f[:-1] + [f"end{n}"] for n, f in enumerate(frames[:10])]
+    groups = [*trio, *drift, *frames, *copies]
+    rows = [(n, " ".join(groups[k])) for n, k in enumerate([0, 1, 2, *(3 + r.permutation(len(groups) - 3)).tolist()])]
+    root = near_groups(rows)
+    assert root[1] == root[2] == 1 and len(set(root)) == 33
+    assert {x.doc_id for x in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == set(root)
+
+
+def test_pairs_of_a_shingle_in_many_texts(spark):
+    n = 12
+    posts = spark.createDataFrame([(7, (100 << 32) + 2, k) for k in range(n)] + [(8, (k << 32), k) for k in (10, 20, 40)], "h long, size long, row long")
+    first = simhash.candidates(posts, 0.8).collect()
+    near = {(r.a, r.b) for r in first if r.b is not None}
+    assert near == {(a, b) for a in range(n) for b in range(a + 1, n) if b - a <= simhash.FIRST}
+    more = spark.createDataFrame([(r.h, r.size, r.a, int(r.a > 5)) for r in first if r.b is None], "h long, size long, row long, root long")
+    assert more.count() == n
+    rest = {(r.a, r.b) for r in simhash.candidates(more, 0.8, rest=True).collect()}
+    assert rest == {(a, b) for a in range(6) for b in range(6, n) if b - a > simhash.FIRST}
+
+
 @pytest.mark.parametrize(("bits", "budget"), [(12, 1), (16, 3), (20, 2)])
 def test_trie_join_in_subtries(spark, monkeypatch, bits, budget):
     """Dense values, cut in many subtries: the components are those of all pairs."""
