@@ -230,12 +230,13 @@ VARIOGRAMS = {
 }
 
 
-def kriging(points: DataFrame, header: MapHeader, model: str = "gaussian", range_: float = 1000.0, nugget: float = 0.0, variance: float = 1.0, angle: float = 0.0, ratio: float = 1.0, mean: float | None = None, max_points: int = 500, block: int = 25) -> DataFrame:
+def kriging(points: DataFrame, header: MapHeader, model: str = "gaussian", range_: float = 1000.0, nugget: float = 0.0, variance: float = 1.0, angle: float = 0.0, ratio: float = 1.0, mean: float | None = None, max_points: int | None = None, block: int = 25) -> DataFrame:
     """(i, j, value): ordinary kriging, or simple kriging about a known mean.
 
     angle and ratio: the direction of the long range (degrees from east) and the short range as a share of it. Nodes are
-    taken in blocks of block by block; a block uses the points within two ranges of it, the max_points nearest to its
-    middle at most. Blocks without points are left out.
+    taken in blocks of block by block; a block uses all points within two ranges of it. Of more than DENSE points (or
+    max_points) the block is halved, and each half uses those within two ranges of it; too many for one node are an
+    error. Blocks without points are left out.
     """
     own = inside_map(points, header).groupBy("x", "y").agg(F.avg("z").alias("z"))
     reach, h = 2 * range_, header
@@ -248,14 +249,27 @@ def kriging(points: DataFrame, header: MapHeader, model: str = "gaussian", range
     dealt = own.withColumn("bi", F.explode(F.sequence(first(fi, h.xinc), last(fi, h.xinc, bi)))).withColumn("bj", F.explode(F.sequence(first(fj, h.yinc), last(fj, h.yinc, bj))))
     rho = VARIOGRAMS[model]
 
+    most = max_points or DENSE
+
     def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = (v.ravel() for v in np.meshgrid(np.arange(key[0] * block, min(h.ncol, (key[0] + 1) * block)), np.arange(key[1] * block, min(h.nrow, (key[1] + 1) * block)), indexing="ij"))
+        return nodes(i, j, *(pdf[k].to_numpy() for k in "xyz"))
+
+    def nodes(i: np.ndarray, j: np.ndarray, px: np.ndarray, py: np.ndarray, z: np.ndarray) -> pd.DataFrame:
+        if len(px) > most:
+            if len(i) == 1:
+                raise ValueError(f"{len(px)} points within two ranges of a node; coarsen to {most}")
+            longer = i if np.ptp(i) >= np.ptp(j) else j
+            low = longer <= (longer.min() + longer.max()) // 2
+            fi, fj = ((px - h.xori) * h.cos + (py - h.yori) * h.sin) / h.xinc, ((py - h.yori) * h.cos - (px - h.xori) * h.sin) * h.yflip / h.yinc
+            out = []
+            for own in (low, ~low):
+                u, v = i[own], j[own]
+                near = (fi >= u.min() - reach / h.xinc) & (fi <= u.max() + reach / h.xinc) & (fj >= v.min() - reach / h.yinc) & (fj <= v.max() + reach / h.yinc)
+                out += [nodes(u, v, px[near], py[near], z[near])] if near.any() else []
+            return pd.concat(out) if out else pd.DataFrame({"i": np.zeros(0, np.int32), "j": np.zeros(0, np.int32), "value": np.zeros(0)})
         x = h.xori + i * h.xinc * h.cos - j * h.yflip * h.yinc * h.sin
         y = h.yori + i * h.xinc * h.sin + j * h.yflip * h.yinc * h.cos
-        px, py, z = (pdf[k].to_numpy() for k in "xyz")
-        if len(px) > max_points:
-            near = np.argsort(np.hypot(px - x.mean(), py - y.mean()), kind="stable")[:max_points]
-            px, py, z = px[near], py[near], z[near]
 
         def cov(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> np.ndarray:
             dx, dy = ax[:, None] - bx[None, :], ay[:, None] - by[None, :]

@@ -181,6 +181,15 @@ def test_kriging_and_idw_are_exact_at_points(spark):
     assert all(math.isclose(r.value, 3, abs_tol=1e-5) for r in constant.collect())
 
 
+def test_kriging_uses_all_points(spark):
+    header = MapHeader(25, 25, 0.0, 0.0, 10.0, 10.0)
+    rows = [(10.0 * a, 10.0 * b, float((a * 7 + b * 5) % 17)) for a in range(25) for b in range(25)]
+    points = spark.createDataFrame(rows, "x double, y double, z double")
+    for out in (gr.kriging(points, header, "exponential", 80.0), gr.kriging(points, header, "exponential", 30.0, max_points=300)):
+        got = {(r.i, r.j): r.value for r in out.collect()}
+        assert len(got) == 625 and all(math.isclose(got[x / 10 + 1, y / 10 + 1], z, abs_tol=1e-4) for x, y, z in rows)
+
+
 def test_outlines(spark):
     points = spark.createDataFrame([("a", float(x), float(y)) for x in range(8) for y in range(8) if not (2 <= x <= 5 and y >= 3)], "g string, x double, y double")
     ring = [(r.x, r.y) for r in gr.hull(points, "g").orderBy("seq").collect()]
