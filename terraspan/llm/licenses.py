@@ -3,10 +3,14 @@
 A document's whole text and each of its lines are brought to a canonical form: lower case, one spelling where licences
 have two, punctuation and white space reduced to single spaces; of whole texts, copyright lines are left out. The form
 is digested and hash-joined to the digests of known licence texts. Only units as long as some known text are digested.
+A known text of many words is found inside a longer document, too, however its lines are broken.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +59,21 @@ Unless required by applicable law or agreed to in writing, software distributed
 #: Spellings that count as the same.
 SPELLINGS = [("licence", "license"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("merchantibility", "merchantability"), ("copyright owner", "copyright holder")]
 COPYRIGHT = "^(copyright( c)?|c) [0-9]{4}.*"
+#: Lines that name a copyright's holder, in lower case: those of COPYRIGHT, and with the sign or the year elsewhere.
+HOLDER = r"^[^a-z0-9©]*(©|copyright[^a-z0-9]*(©|\(c\))|copyright\b.*\b(19|20)[0-9]{2}\b|\(?c\)?[^a-z0-9]+[0-9]{4})"
+#: Characters of a canonical form from which on it is looked for inside of documents; notices are shorter.
+LONG = 400
+
+
+@lru_cache(1)
+def full_texts() -> list[tuple[str, str]]:
+    """The whole licences in license_texts, and BSD's with other holders, two clauses, and without "All rights reserved."."""
+    found = {f.stem: f.read_text() for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+    regents = found["BSD-3-Clause"]
+    holder = regents.replace("the University nor", "the copyright holder nor").replace("THE REGENTS AND CONTRIBUTORS", "THE COPYRIGHT HOLDERS AND CONTRIBUTORS").replace("THE REGENTS OR CONTRIBUTORS", "THE COPYRIGHT HOLDER OR CONTRIBUTORS")
+    two = lambda x: x[: x.index("3. Neither")] + x[x.index("THIS SOFTWARE") :]
+    out = [*found.items(), ("BSD-3-Clause", holder), ("BSD-2-Clause", two(holder)), ("BSD-2-Clause", two(regents))]
+    return out + [(n, t.replace("All rights reserved.", "")) for n, t in out if n.startswith("BSD")] + [("MIT", t.replace("MIT License\n", "")) for n, t in KNOWN if t.startswith("MIT License\n")]
 
 
 def sql_canonical(text: str) -> str:
@@ -74,37 +93,48 @@ def canonical(line: Column) -> Column:
 
 def units(text: Column) -> Column:
     """Canonical forms of the lines, and of the whole text at the end."""
-    lines = F.filter(F.transform(F.split(text, "\n"), canonical), lambda x: x != "")
-    whole = lambda x: F.array_join(F.filter(x, lambda y: ~y.rlike(COPYRIGHT)), " ")
-    return F.get(F.transform(F.array(lines), lambda x: F.concat(F.transform(x, lambda y: F.struct(F.lit(False).alias("whole"), y.alias("form"))), F.array(F.struct(F.lit(True).alias("whole"), whole(x).alias("form"))))), F.lit(0))
+    named = lambda x: F.lower(x).rlike(HOLDER) | canonical(x).rlike(COPYRIGHT)
+    both = F.transform(F.split(text, "\n"), lambda x: F.struct(canonical(x).alias("form"), named(x).alias("named")))
+    lines = F.filter(both, lambda x: x["form"] != "")
+    whole = lambda x: F.array_join(F.transform(F.filter(x, lambda y: ~y["named"]), lambda y: y["form"]), " ")
+    return F.get(F.transform(F.array(lines), lambda x: F.concat(F.transform(x, lambda y: F.struct(F.lit(False).alias("whole"), y["form"].alias("form"))), F.array(F.struct(F.lit(True).alias("whole"), whole(x).alias("form"))))), F.lit(0))
 
 
 def known(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
-    """(license, digest, size): the known texts' canonical forms, each once; two licences with one form keep the first name."""
+    """(form, digest, size, license): the known texts' canonical forms, each once; two licences with one form keep the first name."""
     rows = spark.createDataFrame(texts, "license string, text string")
     forms = rows.select("license", F.element_at(units(F.col("text")), -1)["form"].alias("form"))
-    return forms.groupBy(F.sha2("form", 256).alias("digest"), F.length("form").alias("size")).agg(F.min("license").alias("license"))
+    return forms.groupBy("form", F.sha2("form", 256).alias("digest"), F.length("form").alias("size")).agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """One row per document: doc_id, n_lines (lines that are a known licence or notice), licenses (all that were found,
-    in order, joined by commas; empty if none), whole_license (the one that the whole text is, null if none).
+    in order, joined by commas; empty if none), whole_license (the one that the whole text is, null if none). Licences
+    include those whose LONG text is a part of the document.
 
     texts: the known (name, text) pairs; they are few, so they are collected and broadcast. Null and empty texts have
     no findings. Rows that repeat an id and a text have the same findings. Other columns are ignored.
     """
     spark = docs.sparkSession
-    table = [(r.license, r.digest, r.size) for r in known(spark, texts or KNOWN).collect()]
+    forms = known(spark, texts or KNOWN + full_texts()).collect()
+    table = [(r.license, r.digest, r.size) for r in forms]
     digests = F.broadcast(spark.createDataFrame(table, "license string, digest string, size int"))
     sizes = sorted({n for _, _, n in table})
     rows = docs.select(F.col(doc_id), common.text_or_empty(text).alias("__text"))
     mark = [common.key_of(doc_id).alias("__key"), F.xxhash64("__text").alias("__hash")]
     # only forms as long as a known one leave the document
-    kept = rows.select(*mark, F.explode(F.filter(units(F.col("__text")), lambda u: F.length(u["form"]).isin(sizes))).alias("u"))
-    hits = kept.select("__key", "__hash", "u.whole", F.sha2("u.form", 256).alias("digest")).join(digests.select("license", "digest"), "digest")
+    parts = [(r.license, f" {r.form} ", r.size) for r in forms if r.size >= LONG]
+    # a document's form as the last unit, longer than the known text, may have it inside
+    inside = lambda u: F.array_compact(F.array(*(F.when((F.length(u["form"]) > n) & F.concat(F.lit(" "), u["form"], F.lit(" ")).contains(F.lit(x)), F.lit(name)) for name, x, n in parts)))
+    nothing = F.array().cast("array<string>")
+    kinds = lambda u: F.when(u["whole"] & (F.length(u["form"]) > LONG), inside(u)).otherwise(nothing) if parts else nothing
+    each = F.transform(units(F.col("__text")), lambda u: F.struct(u["whole"].alias("whole"), u["form"].alias("form"), kinds(u).alias("inside")))
+    kept = rows.select(*mark, F.explode(F.filter(each, lambda u: F.length(u["form"]).isin(sizes) | (F.size(u["inside"]) > 0))).alias("u"))
+    equal = kept.select("__key", "__hash", "u.whole", F.sha2("u.form", 256).alias("digest"), "u.inside").join(digests.select("license", "digest"), "digest", "left")
+    hits = equal.where(F.col("license").isNotNull() | (F.size("inside") > 0))
     # a row's lines are counted within one row of repeated ones, so repeats are told apart by how many there are
     times = rows.groupBy(*mark).agg(F.count(F.lit(1)).alias("__rows"))
-    found = hits.groupBy("__key", "__hash").agg(F.sum((~F.col("whole")).cast("long")).alias("n"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"), F.min(F.when(F.col("whole"), F.col("license"))).alias("whole"))
+    found = hits.groupBy("__key", "__hash").agg(F.sum((~F.col("whole")).cast("long")).alias("n"), F.array_join(F.array_sort(F.array_distinct(F.concat(F.collect_set("license"), F.flatten(F.collect_list("inside"))))), ",").alias("licenses"), F.min(F.when(F.col("whole"), F.col("license"))).alias("whole"))
     per = found.join(times, ["__key", "__hash"]).select("__key", "__hash", (F.col("n") / F.col("__rows")).cast("long").alias("n"), "licenses", "whole")
     joined = rows.select(doc_id, *mark).join(per, ["__key", "__hash"], "left")
     return joined.select(doc_id, F.coalesce("n", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("licenses", F.lit("")).alias("licenses"), F.col("whole").alias("whole_license"))

@@ -212,6 +212,19 @@ def test_licenses(spark, docs):
     assert Counter(tuple(r) for r in licenses.scan(docs).collect()) == want
 
 
+def test_full_licenses_whole_and_inside(spark):
+    full = dict(licenses.full_texts()[:11])
+    mit = licenses.KNOWN[4][1]
+    rows = [("© 2020 X\n" + mit, "MIT", "MIT"), ("Copyright (c) X\n" + mit, "MIT", "MIT"), ("Copyright X 2020\n" + mit, "MIT", "MIT")]
+    rows += [(t, n, n) for n, t in full.items()]
+    rows += [("# code\n" + "\n".join("# " + x for x in t.split("\n")) + "\nx = 1", n, None) for n, t in [*full.items(), ("MIT", mit)]]
+    rows += [(full["GPL-2.0"][:9000], "", None), ("All rights reserved.", "Proprietary", "Proprietary")]
+    out = licenses.scan(spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(rows)], "doc_id long, text string")).collect()
+    # the line "All rights reserved." is a notice by itself, within a licence too
+    want = {k: (f"{a},Proprietary" if a and a != "Proprietary" and re.search("^(# )?All rights reserved.$", t, re.M) else a, b) for k, (t, a, b) in enumerate(rows)}
+    assert {r.doc_id: (r.licenses, r.whole_license) for r in out} == want
+
+
 def test_license_of_a_whole_text(spark):
     text = "Copyright (c) 2019 Someone\n" + licenses.KNOWN[4][1].replace("sublicense", "sub-license").upper()
     out = licenses.scan(spark.createDataFrame([(1, text), (2, "MIT")], "doc_id long, text string")).collect()
