@@ -221,7 +221,7 @@ def test_full_licenses_whole_and_inside(spark):
     rows += [(full["GPL-2.0"][:9000], "", None), ("All rights reserved.", "Proprietary", "Proprietary")]
     out = licenses.scan(spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(rows)], "doc_id long, text string")).collect()
     # the line "All rights reserved." is a notice by itself, within a licence too
-    want = {k: (f"{a},Proprietary" if a and a != "Proprietary" and re.search(r"^\W*All rights reserved\W*$", t, re.M | re.I) else a, b) for k, (t, a, b) in enumerate(rows)}
+    want = {k: (f"{a},Proprietary" if a and a != "Proprietary" and re.search(r"^[\W_]*All rights reserved\W*$", t, re.M | re.I) else a, b) for k, (t, a, b) in enumerate(rows)}
     assert {r.doc_id: (r.licenses, r.whole_license) for r in out} == want
 
 
