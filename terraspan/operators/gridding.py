@@ -1,7 +1,8 @@
 """From points to maps: interpolation on a map's nodes.
 
-Search methods join nodes and points in tiles as wide as the search radius. Methods that solve a system do so tile by tile
-in grouped pandas functions, each with the points in reach of its tile; numpy alone is used.
+Search methods join nodes and points in tiles as wide as the search radius. Methods that solve a system or triangulate do
+so tile by tile in grouped pandas functions, each with the points in reach of its tile; numpy alone is used. A method's
+rule is the same for any number of points.
 """
 
 from __future__ import annotations
@@ -11,16 +12,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraspan.functions.geometry import MapHeader
+from terraspan.operators.rounds import cut
 from terraspan.operators.surfaces import lattice, with_xy
 
-#: Points up to which a method without a radius uses them all; beyond, a radius is made from their density.
-ALL_POINTS = 1000
+#: Points that a node is compared with in one row, where a method uses all points.
+CHUNK = 1000
 #: Points that a dense system is solved for, at most.
 DENSE = 5000
+#: Points of a tile that is triangulated by one task, about, before those around it.
+TILE = 500
 
 
 def inside_map(points: DataFrame, header: MapHeader) -> DataFrame:
@@ -54,23 +58,27 @@ def pairs(points: DataFrame, header: MapHeader, radius: float) -> DataFrame:
 def idw(points: DataFrame, header: MapHeader, power: float = 2.0, radius: float | None = None, min_points: int = 1) -> DataFrame:
     """(i, j, value): means weighted by distance ** -power of points within the radius; a point at a node gives its value.
 
-    Without a radius all points count, if they are ALL_POINTS at most; then they are gathered in one broadcast row. Nodes with
-    fewer than min_points points are left out.
+    Without a radius all points count for every node: each node then meets the points in chunks of about CHUNK, and the
+    chunks' sums are added. Nodes with fewer than min_points points are left out.
     """
     own = inside_map(points, header).select("x", "y", "z")
-    if radius is None and own.limit(ALL_POINTS + 1).count() <= ALL_POINTS:
-        every = own.agg(F.array_sort(F.collect_list(F.struct("x", "y", "z"))).alias("__p"))
-        nodes = with_xy(lattice(points.sparkSession, header), header).join(F.broadcast(every)).where(F.size("__p") >= min_points)
-        d = lambda p: F.sqrt((F.col("x") - p["x"]) * (F.col("x") - p["x"]) + (F.col("y") - p["y"]) * (F.col("y") - p["y"]))
-        at = F.get(F.transform(F.filter("__p", lambda p: d(p) < 1e-10), lambda p: p["z"]), F.lit(0))
-        w = lambda p: F.pow(F.greatest(d(p), F.lit(1e-10)), F.lit(-power))
-        sums = F.aggregate("__p", F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b")), lambda s, p: F.struct((s["a"] + w(p) * p["z"]).alias("a"), (s["b"] + w(p)).alias("b")))
-        return nodes.withColumn("__s", sums).select("i", "j", F.coalesce(at, F.col("__s.a") / F.col("__s.b")).alias("value")).where("value is not null")
-    near = pairs(own, header, radius or auto_radius(own, header))
-    w = F.pow(F.greatest(F.col("d"), F.lit(1e-10)), F.lit(-power))
-    at = F.min(F.when(F.col("d") < 1e-10, F.col("pz")))
-    out = near.groupBy("i", "j").agg(F.coalesce(at, F.sum(w * F.col("pz")) / F.sum(w)).alias("value"), F.count(F.lit(1)).alias("n"))
-    return out.where(F.col("n") >= min_points).select("i", "j", "value")
+    if radius is not None:
+        near = pairs(own, header, radius)
+        w = F.pow(F.greatest(F.col("d"), F.lit(1e-10)), F.lit(-power))
+        at = F.min(F.when(F.col("d") < 1e-10, F.col("pz")))
+        out = near.groupBy("i", "j").agg(F.coalesce(at, F.sum(w * F.col("pz")) / F.sum(w)).alias("value"), F.count(F.lit(1)).alias("n"))
+        return out.where(F.col("n") >= min_points).select("i", "j", "value")
+    count = own.count()
+    chunks = max(1, -(-count // CHUNK))
+    dealt = own.groupBy(F.pmod(F.xxhash64("x", "y", "z"), F.lit(chunks)).cast("int").alias("__c")).agg(F.array_sort(F.collect_list(F.struct("x", "y", "z"))).alias("__p"))
+    nodes = with_xy(lattice(points.sparkSession, header), header).withColumn("__c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    d = lambda p: F.sqrt((F.col("x") - p["x"]) * (F.col("x") - p["x"]) + (F.col("y") - p["y"]) * (F.col("y") - p["y"]))
+    at = F.array_min(F.transform(F.filter("__p", lambda p: d(p) < 1e-10), lambda p: p["z"]))
+    w = lambda p: F.pow(F.greatest(d(p), F.lit(1e-10)), F.lit(-power))
+    sums = F.aggregate("__p", F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b")), lambda s, p: F.struct((s["a"] + w(p) * p["z"]).alias("a"), (s["b"] + w(p)).alias("b")))
+    parts = nodes.join(dealt, "__c").select("i", "j", at.alias("at"), sums.alias("s"))
+    out = parts.groupBy("i", "j").agg(F.coalesce(F.min("at"), F.sum("s.a") / F.sum("s.b")).alias("value"))
+    return out if count >= min_points else out.where("false")
 
 
 def nearest(points: DataFrame, header: MapHeader) -> DataFrame:
@@ -82,11 +90,11 @@ def nearest(points: DataFrame, header: MapHeader) -> DataFrame:
     if not own.limit(1).count():
         return nodes.select("i", "j", F.lit(None).cast("double").alias("value")).where("false")
     while True:
-        found = pairs(own, header, radius).join(nodes, ["i", "j"], "left_semi").groupBy("i", "j").agg(F.min_by("pz", F.struct("d", "px", "py", "pz")).alias("value"))
+        found = cut(pairs(own, header, radius).join(nodes, ["i", "j"], "left_semi").groupBy("i", "j").agg(F.min_by("pz", F.struct("d", "px", "py", "pz")).alias("value")))
         done = found if done is None else done.unionByName(found)
         if radius > size:
             return done
-        nodes = nodes.join(found.select("i", "j"), ["i", "j"], "left_anti")
+        nodes = cut(nodes.join(found.select("i", "j"), ["i", "j"], "left_anti"))
         if not nodes.limit(1).count():
             return done
         radius *= 4
@@ -138,40 +146,98 @@ def delaunay(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return tri[(tri < n).all(axis=1)]
 
 
-def linear(points: DataFrame, header: MapHeader, group: str | None = None) -> DataFrame:
+def shaken(x: np.ndarray, y: np.ndarray, by: float) -> np.ndarray:
+    """(n, 2): points moved by a little that only their own place tells, so that points on one circle have one triangulation, in every tile."""
+    noise = [np.modf(np.sin(x * a + y * b) * 43758.5453)[0] for a, b in ((12.9898, 78.233), (39.3461, 11.135))]
+    return np.column_stack([x, y]) + by * np.column_stack(noise)
+
+
+def in_hull(places: DataFrame, hulls: DataFrame, slack: float) -> DataFrame:
+    """Places (__g, x, y) inside of or on their group's convex ring hulls(__g, seq, x, y), or out of it by the slack at most."""
+    ring = hulls.groupBy("__g").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("__r"))
+
+    def left_of(p: Column, n: Column) -> Column:
+        q = F.get("__r", n + 1)
+        ex, ey = q["x"] - p["x"], q["y"] - p["y"]
+        return q.isNull() | (ex * (F.col("y") - p["y"]) - ey * (F.col("x") - p["x"]) >= -slack * F.sqrt(ex * ex + ey * ey))
+
+    return places.join(ring, "__g").where(F.forall(F.transform("__r", left_of), lambda ok: ok)).drop("__r")
+
+
+def linear(points: DataFrame, header: MapHeader, group: str | None = None, tile: int | None = None) -> DataFrame:
     """([group,] i, j, value): linear in the Delaunay triangles of the points; nodes outside their hull are left out.
 
-    A group's points (a horizon's picks, say) are triangulated by one task, DENSE of them at most; more are an error.
-    Points at one place are averaged first.
+    Points at one place are averaged first. Tiles of nodes are triangulated with the points around them. A triangle is
+    one of the whole set's if its circle, as far as the points' bounds reach, lies within the part that the tile knows;
+    nodes without such a triangle are tried again with twice the points around, so any number of points will do. tile:
+    columns and rows of nodes in a tile; from the number of points where it is not given.
     """
-    own = inside_map(points, header).withColumn("__g", F.col(group) if group else F.lit(0)).groupBy("__g", "x", "y").agg(F.avg("z").alias("z"))
     h = header
-
-    def grid(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > DENSE:
-            raise ValueError(f"{len(pdf)} points in one triangulation; coarsen to {DENSE}")
-        x, y, z = (pdf[c].to_numpy() for c in "xyz")
-        fi = ((x - h.xori) * h.cos + (y - h.yori) * h.sin) / h.xinc
-        fj = ((y - h.yori) * h.cos - (x - h.xori) * h.sin) * h.yflip / h.yinc
-        values = np.full((h.ncol, h.nrow), np.nan)
-        for a, b, c in delaunay(x, y):
-            i0, i1 = max(0, math.ceil(min(fi[[a, b, c]]) - 1e-9)), min(h.ncol - 1, math.floor(max(fi[[a, b, c]]) + 1e-9))
-            j0, j1 = max(0, math.ceil(min(fj[[a, b, c]]) - 1e-9)), min(h.nrow - 1, math.floor(max(fj[[a, b, c]]) + 1e-9))
-            if i0 > i1 or j0 > j1:
-                continue
-            gi, gj = np.meshgrid(np.arange(i0, i1 + 1), np.arange(j0, j1 + 1), indexing="ij")
+    own = inside_map(points, h).withColumn("__g", F.col(group) if group else F.lit(0)).groupBy("__g", "x", "y").agg(F.avg("z").alias("z"))
+    own = cut(own.withColumns({"fi": h.fi(F.col("x"), F.col("y")), "fj": h.fj(F.col("x"), F.col("y"))}))
+    bounds = own.groupBy("__g").agg(*(f(c).alias(f"{n}{c}") for c in ("fi", "fj") for n, f in (("lo", F.min), ("hi", F.max))), F.count(F.lit(1)).alias("n")).where("n > 2")
+    most = bounds.agg(F.max(F.col("n") / (F.greatest(F.col("hifi") - F.col("lofi"), F.lit(1.0)) * F.greatest(F.col("hifj") - F.col("lofj"), F.lit(1.0))))).first()[0]
+    tile = tile or max(1, int(math.sqrt(TILE / most))) if most else tile or 1
+    nodes = with_xy(lattice(points.sparkSession, h), h).join(F.broadcast(bounds.select("__g")))  # a row a group
+    open_ = cut(in_hull(nodes, hull(own, "__g"), 1e-9 * max(h.xinc, h.yinc)).select("__g", "i", "j", F.floor((F.col("i") - 1) / tile).cast("int").alias("ti"), F.floor((F.col("j") - 1) / tile).cast("int").alias("tj")))
+    around, done = tile, None
+    key = ["__g", "ti", "tj"]
+
+    def grid(k: tuple, wanted: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"__g": [], "i": [], "j": [], "value": []})
+        if len(pdf) < 3 or not len(wanted):
+            return empty
+        # the part that is known: the tile and so many nodes around it, as far as the points go
+        lo = pdf[["lofi", "lofj"]].to_numpy()[0], np.array(k[1:]) * tile - reach
+        hi = pdf[["hifi", "hifj"]].to_numpy()[0], (np.array(k[1:]) + 1) * tile + reach
+        pdf = pdf.sort_values(["x", "y"])
+        x, y, z, fi, fj = (pdf[c].to_numpy() for c in ("x", "y", "z", "fi", "fj"))
+        triangles = delaunay(*shaken(x, y, 1e-6 * min(h.xinc, h.yinc)).T)
+        if not len(triangles):
+            return empty
+        a, b, c = (np.column_stack([x, y])[triangles[:, n]] for n in range(3))
+        u, v = b - a, c - a
+        e = 2 * (u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            o = np.column_stack([v[:, 1] * (u**2).sum(1) - u[:, 1] * (v**2).sum(1), u[:, 0] * (v**2).sum(1) - v[:, 0] * (u**2).sum(1)]) / e[:, None]
+        radius = np.hypot(*o.T)
+        middle = a + o - [h.xori, h.yori]
+        ci, cj = (middle @ [h.cos, h.sin]) / h.xinc, (middle @ [-h.sin, h.cos]) * h.yflip / h.yinc
+        sure = np.isfinite(radius)
+        for n, (at, r) in enumerate(((ci, radius / h.xinc), (cj, radius / h.yinc))):
+            sure &= (np.maximum(at - r, lo[0][n]) >= lo[1][n]) & (np.minimum(at + r, hi[0][n]) <= hi[1][n])
+        i0, j0 = (int(wanted[n].min()) - 1 for n in "ij")
+        values = np.full((int(wanted["i"].max()) - i0, int(wanted["j"].max()) - j0), np.nan)
+        for a, b, c in triangles[sure]:
+            corner = [a, b, c]
+            p0, p1 = max(i0, math.ceil(min(fi[corner]) - 1e-9)), min(i0 + values.shape[0] - 1, math.floor(max(fi[corner]) + 1e-9))
+            q0, q1 = max(j0, math.ceil(min(fj[corner]) - 1e-9)), min(j0 + values.shape[1] - 1, math.floor(max(fj[corner]) + 1e-9))
             det = (fi[b] - fi[a]) * (fj[c] - fj[a]) - (fi[c] - fi[a]) * (fj[b] - fj[a])
-            if abs(det) < 1e-12:
+            if p0 > p1 or q0 > q1 or abs(det) < 1e-12:
                 continue
-            u = ((gi - fi[a]) * (fj[c] - fj[a]) - (gj - fj[a]) * (fi[c] - fi[a])) / det
-            v = ((fi[b] - fi[a]) * (gj - fj[a]) - (fj[b] - fj[a]) * (gi - fi[a])) / det
-            ok = (u >= -1e-9) & (v >= -1e-9) & (u + v <= 1 + 1e-9)
-            values[gi[ok], gj[ok]] = (z[a] + u * (z[b] - z[a]) + v * (z[c] - z[a]))[ok]
-        i, j = np.nonzero(np.isfinite(values))
-        return pd.DataFrame({"__g": key[0], "i": (i + 1).astype(np.int32), "j": (j + 1).astype(np.int32), "value": values[i, j]})
-
-    out = own.groupBy("__g").applyInPandas(grid, own.select("__g").schema.add("i", "integer").add("j", "integer").add("value", "double"))
-    return out.withColumnRenamed("__g", group) if group else out.drop("__g")
+            gi, gj = np.meshgrid(np.arange(p0, p1 + 1), np.arange(q0, q1 + 1), indexing="ij")
+            s = ((gi - fi[a]) * (fj[c] - fj[a]) - (gj - fj[a]) * (fi[c] - fi[a])) / det
+            t = ((fi[b] - fi[a]) * (gj - fj[a]) - (fj[b] - fj[a]) * (gi - fi[a])) / det
+            ok = (s >= -1e-9) & (t >= -1e-9) & (s + t <= 1 + 1e-9)
+            values[gi[ok] - i0, gj[ok] - j0] = (z[a] + s * (z[b] - z[a]) + t * (z[c] - z[a]))[ok]
+        out = wanted[["__g", "i", "j"]].assign(value=values[wanted["i"] - 1 - i0, wanted["j"] - 1 - j0])
+        return out[np.isfinite(out["value"])]
+
+    span = math.hypot(h.ncol, h.nrow)
+    while True:
+        reach = around
+        first = lambda c: F.floor((F.col(c) - reach) / tile).cast("int")  # noqa: E731, B023
+        last = lambda c: F.floor((F.col(c) + reach) / tile).cast("int")  # noqa: E731, B023
+        tiles = open_.select(*key).distinct()
+        near = own.withColumn("ti", F.explode(F.sequence(first("fi"), last("fi")))).withColumn("tj", F.explode(F.sequence(first("fj"), last("fj")))).join(tiles, key, "left_semi").join(bounds.drop("n"), "__g")
+        near = near.select(*(F.col(c).alias(c) for c in near.columns))  # columns of its own, as both sides come from the points
+        found = cut(open_.groupBy(*key).cogroup(near.groupBy(*key)).applyInPandas(grid, own.select("__g").schema.add("i", "integer").add("j", "integer").add("value", "double")))
+        done = found if done is None else done.unionByName(found)
+        open_ = cut(open_.join(found.select("__g", "i", "j"), ["__g", "i", "j"], "left_anti"))
+        if around > span or not open_.limit(1).count():
+            break
+        around *= 2
+    return done.withColumnRenamed("__g", group) if group else done.drop("__g")
 
 
 # --- systems --------------------------------------------------------------------------------------------------------
@@ -236,7 +302,7 @@ def kriging(points: DataFrame, header: MapHeader, model: str = "gaussian", range
     angle and ratio: the direction of the long range (degrees from east) and the short range as a share of it. Nodes are
     taken in blocks of block by block; a block uses all points within two ranges of it. Of more than DENSE points (or
     max_points) the block is halved, and each half uses those within two ranges of it; too many for one node are an
-    error. Blocks without points are left out.
+    error. Nodes of which no point is in reach get the mean: the known one, or that of all points.
     """
     own = inside_map(points, header).groupBy("x", "y").agg(F.avg("z").alias("z"))
     reach, h = 2 * range_, header
@@ -286,7 +352,10 @@ def kriging(points: DataFrame, header: MapHeader, model: str = "gaussian", range
         value = z @ w if free else mean + (z - mean) @ w
         return pd.DataFrame({"i": (i + 1).astype(np.int32), "j": (j + 1).astype(np.int32), "value": value})
 
-    return dealt.groupBy("bi", "bj").applyInPandas(solve, "i int, j int, value double")
+    solved = dealt.groupBy("bi", "bj").applyInPandas(solve, "i int, j int, value double")
+    average = own.agg(F.avg("z").alias("__mean")) if mean is None else points.sparkSession.range(1).select(F.lit(float(mean)).alias("__mean"))  # one row
+    every = lattice(points.sparkSession, header).join(F.broadcast(average)).join(solved, ["i", "j"], "left")
+    return every.select("i", "j", F.coalesce("value", "__mean").alias("value")).where("value is not null")
 
 
 # --- outlines -------------------------------------------------------------------------------------------------------
@@ -331,28 +400,38 @@ def hull(points: DataFrame, group: str) -> DataFrame:
 def alpha_shape(points: DataFrame, group: str, alpha: float) -> DataFrame:
     """(group, poly_id, seq, x, y): closed rings around the Delaunay triangles whose circumradius is under alpha.
 
-    A group's points are triangulated by one task, DENSE at most.
+    A triangle's points lie within two radii of each other, so tiles with the points up to two alphas around them hold all
+    triangles of their own points. What one task sees of a group in the end is its outline.
     """
+    size = 4 * alpha
+    tiles = lambda c: F.explode(F.sequence(F.floor((F.col(c) - 2 * alpha) / size).cast("long"), F.floor((F.col(c) + 2 * alpha) / size).cast("long")))
+    slim = points.select(F.col(group).alias("__g"), "x", "y").distinct()
+    dealt = slim.withColumn("tx", tiles("x")).withColumn("ty", tiles("y"))
 
-    def outline(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def edges(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         p = np.unique(pdf[["x", "y"]].to_numpy(), axis=0)
-        if len(p) > DENSE:
-            raise ValueError(f"{len(p)} points in one outline; coarsen to {DENSE}")
-        empty = pd.DataFrame({group: [], "poly_id": [], "seq": [], "x": [], "y": []})
-        t = delaunay(p[:, 0], p[:, 1])
-        if not len(t):
-            return empty
+        t = delaunay(*shaken(p[:, 0], p[:, 1], 1e-6 * alpha).T)
         a, b, c = (p[t[:, k]] for k in range(3))
         la, lb, lc = (np.hypot(*(u - v).T) for u, v in ((b, c), (a, c), (a, b)))
         area = np.abs((b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (c[:, 0] - a[:, 0])) / 2
-        t = t[(area > 0) & (la * lb * lc / np.maximum(4 * area, 1e-300) < alpha)]
-        edges = np.sort(t[:, [[0, 1], [1, 2], [2, 0]]].reshape(-1, 2), axis=1)
-        unique, counts = np.unique(edges, axis=0, return_counts=True)
-        left: dict[int, list[int]] = {}
-        for u, v in unique[counts == 1].tolist():
-            left.setdefault(u, []).append(v)
-            left.setdefault(v, []).append(u)
-        rows, rings = [], 0
+        # a triangle belongs to the tile of its least point
+        least = p[t.min(axis=1)] if len(t) else p[:0]
+        mine = (np.floor(least[:, 0] / size) == key[1]) & (np.floor(least[:, 1] / size) == key[2])
+        t = t[mine & (area > 0) & (la * lb * lc / np.maximum(4 * area, 1e-300) < alpha)]
+        e = np.sort(t[:, [[0, 1], [1, 2], [2, 0]]].reshape(-1, 2), axis=1)
+        u, v = p[e[:, 0]], p[e[:, 1]]
+        return pd.DataFrame({"__g": key[0], "ax": u[:, 0], "ay": u[:, 1], "bx": v[:, 0], "by": v[:, 1]})
+
+    of = slim.select("__g").schema
+    found = dealt.groupBy("__g", "tx", "ty").applyInPandas(edges, of.add("ax", "double").add("ay", "double").add("bx", "double").add("by", "double"))
+    rim = found.groupBy("__g", "ax", "ay", "bx", "by").count().where("count = 1")
+
+    def rings(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        left: dict[tuple, list[tuple]] = {}
+        for ax, ay, bx, by in sorted(zip(pdf["ax"], pdf["ay"], pdf["bx"], pdf["by"], strict=True)):
+            left.setdefault((ax, ay), []).append((bx, by))
+            left.setdefault((bx, by), []).append((ax, ay))
+        rows, n = [], 0
         for start in sorted(left):
             while left[start]:
                 ring, at = [start], start
@@ -363,13 +442,12 @@ def alpha_shape(points: DataFrame, group: str, alpha: float) -> DataFrame:
                     at = nxt
                     if at == start:
                         break
-                rows += [(key[0], rings, k, *p[v]) for k, v in enumerate(ring)]
-                rings += 1
-        return pd.DataFrame(rows, columns=[group, "poly_id", "seq", "x", "y"]) if rows else empty
+                rows += [(key[0], n, k, *v) for k, v in enumerate(ring)]
+                n += 1
+        return pd.DataFrame(rows, columns=["__g", "poly_id", "seq", "x", "y"])
 
-    slim = points.select(group, "x", "y")
-    schema = slim.select(group).schema.add("poly_id", "integer").add("seq", "integer").add("x", "double").add("y", "double")
-    return slim.groupBy(group).applyInPandas(outline, schema)
+    out = slim.select("__g").schema.add("poly_id", "integer").add("seq", "integer").add("x", "double").add("y", "double")
+    return rim.groupBy("__g").applyInPandas(rings, out).withColumnRenamed("__g", group)
 
 
 def simplify(polygons: DataFrame, tolerance: float) -> DataFrame:

@@ -237,3 +237,53 @@ def test_streaming_ensemble_follows_the_files(spark, tmp_path):
     for (i, j), (n, mean, std) in out.items():
         own = [v for _, a, b, v in rows if (a, b) == (i, j)]
         assert n == 6 and math.isclose(mean, np.mean(own)) and math.isclose(std, np.std(own, ddof=1))
+
+
+def by_node(df):
+    return {(r.i, r.j): r.value for r in df.collect()}
+
+
+def test_linear_by_tiles_is_linear_in_one(spark):
+    r = np.random.default_rng(12)
+    xy = np.column_stack([r.uniform(0, 400, 260), r.uniform(0, 300, 260)])
+    xy = xy[(xy[:, 0] < 150) | (xy[:, 0] > 230)]  # with a gap that only long triangles span
+    points = spark.createDataFrame([(float(x), float(y), float(np.sin(x / 50) * y)) for x, y in xy], "x double, y double, z double")
+    header = gr.MapHeader(41, 31, 0.0, 0.0, 10.0, 10.0)
+    whole, tiles = by_node(gr.linear(points, header, tile=1000)), by_node(gr.linear(points, header, tile=6))
+    assert whole.keys() == tiles.keys() and len(whole) > 900
+    assert all(abs(whole[k] - tiles[k]) < 1e-9 for k in whole)
+
+
+def test_idw_means_the_same_for_any_number_of_points(spark, monkeypatch):
+    r = np.random.default_rng(13)
+    rows = [tuple(map(float, x)) for x in r.uniform(0, 100, (300, 3))]
+    points, header = spark.createDataFrame(rows, "x double, y double, z double"), gr.MapHeader(6, 5, 0.0, 0.0, 20.0, 25.0)
+    one = by_node(gr.idw(points, header))
+    monkeypatch.setattr(gr, "CHUNK", 40)
+    many = by_node(gr.idw(points, header))
+    x, y, z = np.array(rows).T
+    for (i, j), v in one.items():
+        w = ((x - 20 * (i - 1)) ** 2 + (y - 25 * (j - 1)) ** 2) ** -1.0
+        assert abs(v - (w @ z) / w.sum()) < 1e-9 and abs(v - many[i, j]) < 1e-9
+    assert len(one) == len(many) == 30
+
+
+def test_kriging_out_of_reach_is_the_mean(spark):
+    points = spark.createDataFrame([(5.0, 5.0, 2.0), (15.0, 5.0, 4.0)], "x double, y double, z double")
+    out = by_node(gr.kriging(points, gr.MapHeader(60, 3, 0.0, 0.0, 10.0, 10.0), "spherical", 20.0, block=5))
+    assert len(out) == 180 and out[60, 3] == 3.0
+    assert by_node(gr.kriging(points, gr.MapHeader(60, 3, 0.0, 0.0, 10.0, 10.0), "spherical", 20.0, mean=7.0, block=5))[60, 3] == 7.0
+
+
+def test_alpha_shape_by_tiles(spark):
+    """Two squares of points, apart by more than the radius: two rings around them, in tiles much smaller than the squares."""
+    rows = [(1, float(a + s), float(b)) for s in (0, 100) for a in range(0, 41, 4) for b in range(0, 41, 4)]
+    out = gr.alpha_shape(spark.createDataFrame(rows, "g int, x double, y double"), "g", 4.0).collect()
+    rings = {}
+    for r in out:
+        rings.setdefault(r.poly_id, []).append((r.seq, r.x, r.y))
+    assert len(rings) == 2
+    for n, ring in rings.items():
+        p = [(x, y) for _, x, y in sorted(ring)]
+        assert p[0] == p[-1] and len(p) == 41
+        assert abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:]))) / 2 == 1600.0
