@@ -466,7 +466,7 @@ def slice_surface(nodes: DataFrame, header: g.MapHeader, cells: DataFrame, prop:
     """(i, j, value): a property along a map of depths: that of the cell that each node is in; null outside."""
     from terraspan.operators.surfaces import with_xy
 
-    places = with_xy(nodes.where(F.col("value").isNotNull()), header).select(F.struct("i", "j").alias("__n"), "x", "y", F.col("value").alias("z"), F.xxhash64("i", "j").alias("__id"))
+    places = with_xy(nodes.where(F.col("value").isNotNull()), header).select(F.struct("i", "j").alias("__n"), "x", "y", F.col("value").alias("z"), F.struct("i", "j").alias("__id"))
     found = lookup(points_in_cells(places, cells, tile, "__id"), cells, [prop])
     return found.select("__n.i", "__n.j", F.col(prop).alias("value"))
 
@@ -475,7 +475,7 @@ def random_line(fence: DataFrame, cells: DataFrame, prop: str, zmin: float, zmax
     """(poly_id, seq, h, z, value): a vertical section through a property along a fence(poly_id, seq, x, y, h)."""
     n = int(round((zmax - zmin) / zinc))
     places = fence.select("poly_id", "seq", "h", "x", "y", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("__n")).withColumn("z", zmin + F.col("__n") * zinc)
-    places = places.withColumn("__id", F.xxhash64("poly_id", "seq", "__n"))
+    places = places.withColumn("__id", F.struct("poly_id", "seq", "__n"))
     found = lookup(points_in_cells(places, cells, tile, "__id"), cells, [prop])
     return found.select("poly_id", "seq", "h", "z", F.col(prop).alias("value"))
 
@@ -518,24 +518,28 @@ def box_index(points: DataFrame, dimension: tuple[int, int, int], origin: tuple[
     return points.withColumns({a: F.when(inside, F.least(F.floor(x), F.lit(n - 1)).cast("int") + 1) for (a, x), n in zip(at.items(), dimension, strict=True)})
 
 
-def points_in_cells(points: DataFrame, cells: DataFrame, tile: float, pid: str = "pid") -> DataFrame:
+def points_in_cells(points: DataFrame, cells: DataFrame, tile: float, pid: str = "pid", band: float | None = None) -> DataFrame:
     """Adds (i, j, k) of the active cell of any shape that a point is in (the least of several), null outside.
 
-    Cells and points meet in tiles of the map that a cell's box touches; in a tile the cell's box is tried first, then
-    the six tetrahedra of the cell.
+    Cells and points meet in tiles of the map, and bands of depth, that a cell's box touches, by the cells' boxes alone;
+    the corners join where the box holds the point, for the six tetrahedra of the cell. band: the depth of a band; the
+    cells' mean height where it is not given.
     """
-    xs, ys, zs = ([F.col(f"c{n}{a}") for n in range(8)] for a in "xyz")
-    span = lambda c: F.sequence(F.floor(F.least(*c) / tile).cast("long"), F.floor(F.greatest(*c) / tile).cast("long"))
-    boxes = cells.where("actnum = 1").select(*IJK, *CORNERS, F.least(*zs).alias("__lo"), F.greatest(*zs).alias("__hi"))
-    tiled = boxes.withColumn("__tx", F.explode(span(xs))).withColumn("__ty", F.explode(span(ys)))
-    own = points.select(pid, "x", "y", "z", F.floor(F.col("x") / tile).alias("__tx"), F.floor(F.col("y") / tile).alias("__ty"))
-    p = F.col("x"), F.col("y"), F.col("z")
+    on = cells.where("actnum = 1")
+    box = on.select(*IJK, *(f(*(F.col(f"c{n}{a}") for n in range(8))).alias(f"__{m}{a}") for a in "xyz" for m, f in (("lo", F.least), ("hi", F.greatest))))
+    band = band or max(1e-9, float(box.agg(F.avg(F.col("__hiz") - F.col("__loz"))).first()[0] or 1.0))
+    size = {"x": tile, "y": tile, "z": band}
+    for a, n in size.items():
+        box = box.withColumn(f"__t{a}", F.explode(F.sequence(F.floor(F.col(f"__lo{a}") / n).cast("long"), F.floor(F.col(f"__hi{a}") / n).cast("long"))))
+    own = points.select(F.col(pid).alias("__pid"), *(F.col(a).alias(f"__{a}") for a in "xyz"), *(F.floor(F.col(a) / n).cast("long").alias(f"__t{a}") for a, n in size.items()))
+    boxed = reduce(lambda p, q: p & q, (F.col(f"__{a}").between(F.col(f"__lo{a}"), F.col(f"__hi{a}")) for a in "xyz"))
+    met = own.join(box, [f"__t{a}" for a in "xyz"]).where(boxed).select("__pid", "__x", "__y", "__z", *IJK)
     # the tetrahedra are rows of an array, so that the test is compiled once
     every = F.array(*(F.struct(*(F.struct(*(F.col(f"c{n}{a}").alias(a) for a in "xyz")).alias(v) for n, v in zip(t, "abcd", strict=True))) for t in g.AROUND))
+    p = F.col("__x"), F.col("__y"), F.col("__z")
     inside = F.exists(every, lambda t: g.in_tetrahedron(p, *((t[v]["x"], t[v]["y"], t[v]["z"]) for v in "abcd")))
-    box = p[2].between(F.col("__lo"), F.col("__hi")) & p[0].between(F.least(*xs), F.greatest(*xs)) & p[1].between(F.least(*ys), F.greatest(*ys))
-    hits = own.join(tiled, ["__tx", "__ty"]).where(box & inside).groupBy(pid).agg(F.min(F.struct(*IJK)).alias("__c"))
-    return points.join(hits.select(pid, "__c.*"), pid, "left")
+    hits = met.join(on.select(*IJK, *CORNERS), IJK).where(inside).groupBy("__pid").agg(F.min(F.struct(*IJK)).alias("__c"))
+    return points.join(hits.select(F.col("__pid").alias(pid), "__c.*"), pid, "left")
 
 
 def _passed(u: Column, v: Column):

@@ -91,11 +91,11 @@ def slice_surface(traces: DataFrame, header: CubeHeader, nodes: DataFrame, metho
 def with_samples(places: DataFrame, traces: DataFrame, header: CubeHeader, method: str = "nearest", name: str = "sampled", outside: float | None = None) -> DataFrame:
     """Adds the cube's value at (x, y, z): the nearest sample's, trilinear, or by Catmull-Rom splines (4 samples each way); `outside` off the cube.
 
-    Places go to the traces around them by an equi-join; of a trace only the value at the place's depth goes on.
+    Places go to the traces around them by an equi-join; of a trace only the value at the place's depth goes on. Equal
+    places have equal values, so values come back to them by their fractional indices, however often rows are computed.
     """
     m = header.map
     fi, fj = m.fi(F.col("x"), F.col("y")), m.fj(F.col("x"), F.col("y"))
-    key = F.monotonically_increasing_id()
     edge = 0.5 if method == "nearest" else 1e-9  # so far outside the outer samples
     tops = {"__fi": m.ncol - 1, "__fj": m.nrow - 1, "__fk": header.nlay - 1}
     own = places.withColumns({"__fi": fi, "__fj": fj, "__fk": (F.col("z") - header.zori) / header.zinc})
@@ -110,18 +110,19 @@ def with_samples(places: DataFrame, traces: DataFrame, header: CubeHeader, metho
         near = traces.select((F.col("i") - 1).alias("__i"), (F.col("j") - 1).alias("__j"), "amp")
         found = own.join(near, ["__i", "__j"], "left")
         return found.withColumn(name, F.coalesce(F.when(inside, F.get("amp", "__k").cast("double")), blank)).drop("amp", "__i", "__j", "__k", "__fi", "__fj", "__fk", "__in")
-    base = own.withColumns({f"__{c}": F.least(F.floor(F.col(f"__f{c}")), F.lit(top - 2)).cast("int") for c, top in (("i", m.ncol), ("j", m.nrow), ("k", header.nlay))}).withColumn("__key", key)
+    base = own.withColumns({f"__{c}": F.least(F.floor(F.col(f"__f{c}")), F.lit(top - 2)).cast("int") for c, top in (("i", m.ncol), ("j", m.nrow), ("k", header.nlay))})
     clamp = lambda c, top: F.greatest(F.lit(0), F.least(F.lit(top - 1), c))
     steps = F.explode(F.array(*(F.struct(F.lit(a + low).alias("a"), F.lit(b + low).alias("b")) for a in range(n) for b in range(n))))
-    spread = base.where(inside).select("__key", "__i", "__j", "__k", "__fi", "__fj", "__fk", steps.alias("s"))
+    at = ["__fi", "__fj", "__fk"]
+    spread = base.where(inside).select("__i", "__j", "__k", *at).distinct().select("*", steps.alias("s"))
     spread = spread.withColumns({"__ti": clamp(F.col("__i") + F.col("s.a"), m.ncol), "__tj": clamp(F.col("__j") + F.col("s.b"), m.nrow)})
     hit = spread.join(traces.select((F.col("i") - 1).alias("__ti"), (F.col("j") - 1).alias("__tj"), "amp"), ["__ti", "__tj"])
     weights = _linear if method == "trilinear" else _catmull_rom
     pick = lambda t, s: F.element_at(F.array(*weights(t)), s - low + 1)
     down = reduce(lambda p, q: p + q, (w * F.get("amp", clamp(F.col("__k") + (low + c), header.nlay)).cast("double") for c, w in enumerate(weights(F.col("__fk") - F.col("__k")))))
-    part = hit.select("__key", (pick(F.col("__fi") - F.col("__i"), F.col("s.a")) * pick(F.col("__fj") - F.col("__j"), F.col("s.b")) * down).alias("v"))
-    sums = part.groupBy("__key").agg(F.sum("v").alias("__v"), F.count(F.lit(1)).alias("__n")).where(F.col("__n") == n * n)
-    return base.join(sums, "__key", "left").withColumn(name, F.coalesce("__v", blank)).drop("__v", "__n", "__key", "__i", "__j", "__k", "__fi", "__fj", "__fk", "__in")
+    part = hit.select(*at, (pick(F.col("__fi") - F.col("__i"), F.col("s.a")) * pick(F.col("__fj") - F.col("__j"), F.col("s.b")) * down).alias("v"))
+    sums = part.groupBy(*at).agg(F.sum("v").alias("__v"), F.count(F.lit(1)).alias("__n")).where(F.col("__n") == n * n)
+    return base.join(sums, at, "left").withColumn(name, F.coalesce(F.when(inside, F.col("__v")), blank)).drop("__v", "__n", "__i", "__j", "__k", "__fi", "__fj", "__fk", "__in")
 
 
 def _linear(t: Column) -> list[Column]:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from terraspan.functions import geometry as g
 from terraspan.functions.geometry import MapHeader
+from terraspan.operators.rounds import cut
 
 OPERATIONS = {
     "add": lambda a, b: a + b, "sub": lambda a, b: a - b, "mul": lambda a, b: a * b, "div": lambda a, b: F.try_divide(a, b),
@@ -72,8 +73,13 @@ def describe(nodes: DataFrame) -> DataFrame:
 
 
 def content_hash(nodes: DataFrame) -> DataFrame:
-    """One row: the nodes' number, and a hash of their content that doesn't depend on their order."""
-    return nodes.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("i", "j", "value")).alias("hash"))
+    """One row: the nodes' number, and a hash of their content, the same on any engine and in any order of rows.
+
+    It is the sum, as a text, of the first 60 bits of the MD5 of each node's "i|j|value", the value in millionths, rounded.
+    """
+    value = F.coalesce(F.floor(F.col("value") * 1000000.0 + 0.5).cast("long").cast("string"), F.lit("null"))
+    digest = F.md5(F.concat_ws("|", F.col("i").cast("string"), F.col("j").cast("string"), value))
+    return nodes.agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(20,0)")).cast("string").alias("hash"))
 
 
 # --- stacks ---------------------------------------------------------------------------------------------------------
@@ -259,11 +265,13 @@ def fill(nodes: DataFrame, header: MapHeader, value: float | None = None, reach:
     size = max(header.ncol * header.xinc, header.nrow * header.yinc)
     unit = min(header.xinc, header.yinc)
     while True:
-        found = nearest_node(open_, known, header, reach)
+        found = cut(nearest_node(open_, known, header, reach))
         done = done.unionByName(found)
         if reach * unit > size:
             return done
-        open_ = open_.join(found.select("i", "j"), ["i", "j"], "left_anti")
+        open_ = cut(open_.join(found.select("i", "j"), ["i", "j"], "left_anti"))
+        if not open_.limit(1).count():
+            return done
         reach *= 4
 
 

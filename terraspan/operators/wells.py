@@ -337,29 +337,38 @@ def segments(samples: DataFrame, md: str = "md") -> DataFrame:
     return own.where(F.col("x2").isNotNull())
 
 
-def intersections(samples: DataFrame, md: str = "md", tile: float = 100.0, tolerance: dict[str, float] | None = None) -> DataFrame:
+def intersections(samples: DataFrame, md: str = "md", tile: float | None = None, tolerance: dict[str, float] | None = None) -> DataFrame:
     """Where wells cross in the map: well, md on it, other (the crossing well), and x, y, z of the other's line.
 
-    Both directions have their row. Segments meet only in tiles that both touch, so the join is on equal tiles; a crossing
-    is reported once, by the tile it lies in. tolerance (x, y, z): samples of a well that are within all of these of a
+    Both directions have their row. Segments meet only in tiles that both touch, so the join is on equal tiles, and each
+    pair meets once; tiles of the length of most segments hold few, also where many wells start from one place. A crossing
+    is reported once. tolerance (x, y, z): samples of a well that are within all of these of a
     sample of the other are left out, so that parallel paths don't cross.
     """
     seg = segments(samples, md)
+    length = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
+    tile = tile or max(1e-9, 2 * float(seg.agg(F.percentile_approx(length, 0.9)).first()[0] or 1.0))
     span = lambda a, b: F.sequence(F.floor(F.least(a, b) / tile).cast("long"), F.floor(F.greatest(a, b) / tile).cast("long"))
     tiled = seg.withColumn("tx", F.explode(span(F.col("x1"), F.col("x2")))).withColumn("ty", F.explode(span(F.col("y1"), F.col("y2"))))
     a, b = tiled.alias("a"), tiled.alias("b")
-    joined = a.join(b, (F.col("a.tx") == F.col("b.tx")) & (F.col("a.ty") == F.col("b.ty")) & (F.col("a.well") != F.col("b.well")))
+    # boxes of crossing segments overlap; of the tiles that both touch, the first one counts
+    overlap = lambda c: (F.least(f"a.{c}1", f"a.{c}2") <= F.greatest(f"b.{c}1", f"b.{c}2")) & (F.least(f"b.{c}1", f"b.{c}2") <= F.greatest(f"a.{c}1", f"a.{c}2"))
+    first = lambda c: F.col(f"a.t{c}") == F.greatest(F.floor(F.least(f"a.{c}1", f"a.{c}2") / tile), F.floor(F.least(f"b.{c}1", f"b.{c}2") / tile))
+    joined = a.join(b, (F.col("a.tx") == F.col("b.tx")) & (F.col("a.ty") == F.col("b.ty")) & (F.col("a.well") < F.col("b.well")) & overlap("x") & overlap("y") & first("x") & first("y"))
     c = lambda s: F.col(s)
     rx, ry, sx, sy = c("a.x2") - c("a.x1"), c("a.y2") - c("a.y1"), c("b.x2") - c("b.x1"), c("b.y2") - c("b.y1")
     det = rx * sy - ry * sx
     qx, qy = c("b.x1") - c("a.x1"), c("b.y1") - c("a.y1")
     t, u = (qx * sy - qy * sx) / F.nullif(det, F.lit(0.0)), (qx * ry - qy * rx) / F.nullif(det, F.lit(0.0))
-    hit = joined.select(
-        c("a.well").alias("well"), c("a.seq").alias("seq"), (c("a.md1") + t * (c("a.md2") - c("a.md1"))).alias("md"), c("b.well").alias("other"), c("b.seq").alias("other_seq"),
-        (c("b.x1") + u * sx).alias("x"), (c("b.y1") + u * sy).alias("y"), (c("b.z1") + u * (c("b.z2") - c("b.z1"))).alias("z"), t.alias("t"), u.alias("u"),
-    )
+    hit = joined.select(*(c(f"{s}.{n}").alias(f"{s}_{n}") for s in "ab" for n in ("well", "seq", "x1", "y1", "z1", "md1", "x2", "y2", "z2", "md2")), t.alias("t"), u.alias("u"))
     # segments are half open, so that a crossing at a sample is one crossing
-    hit = hit.where((F.col("t") >= 0) & (F.col("t") < 1) & (F.col("u") >= 0) & (F.col("u") < 1)).dropDuplicates(["well", "seq", "other", "other_seq"])
+    hit = hit.where((F.col("t") >= 0) & (F.col("t") < 1) & (F.col("u") >= 0) & (F.col("u") < 1))
+
+    def seen(s: str, o: str, share: str, at: str) -> Column:
+        on = lambda w, n, v: c(f"{w}_{n}1") + c(v) * (c(f"{w}_{n}2") - c(f"{w}_{n}1"))
+        return F.struct(c(f"{s}_well").alias("well"), c(f"{s}_seq").alias("seq"), on(s, "md", share).alias("md"), c(f"{o}_well").alias("other"), *(on(o, n, at).alias(n) for n in "xyz"))
+
+    hit = hit.select(F.explode(F.array(seen("a", "b", "t", "u"), seen("b", "a", "u", "t"))).alias("h")).select("h.*")
     if tolerance:
         hit = hit.join(parallel_samples(samples, tolerance), ["well", "seq", "other"], "left_anti")
     return hit.select("well", "seq", "md", "other", "x", "y", "z")

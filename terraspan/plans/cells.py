@@ -211,13 +211,11 @@ def well_ijk_from_box_grid(samples):
     return c.box_index(samples, _DIM, _O, _I).select("well", "seq", "i", "j", "k")
 
 
-@R.query(f"""WITH {BOX} SELECT pid, i, j, k FROM (SELECT cast(row_number() OVER (ORDER BY well, seq) AS int) AS pid, x + 3.125 AS x, y + 3.125 AS y, z - 30.0625 AS z FROM wells) p LEFT JOIN box b ON actnum = 1 AND x > c0x AND x < c1x AND y > c0y AND y < c3y
+@R.query(f"""WITH {BOX} SELECT well, seq, i, j, k FROM (SELECT well, seq, x + 3.125 AS x, y + 3.125 AS y, z - 30.0625 AS z FROM wells) p LEFT JOIN box b ON actnum = 1 AND x > c0x AND x < c1x AND y > c0y AND y < c3y
  AND z > c0z + 0.5 * (x - c0x) / 100 + 0.25 * (y - c0y) / 80 AND z < c4z + 0.5 * (x - c0x) / 100 + 0.25 * (y - c0y) / 80""", "wells", "cells")
 def points_in_cells(samples, cells):
-    from pyspark.sql import Window
-
-    own = samples.select(F.row_number().over(Window.orderBy("well", "seq")).alias("pid"), (F.col("x") + 3.125).alias("x"), (F.col("y") + 3.125).alias("y"), (F.col("z") - 30.0625).alias("z"))
-    return c.points_in_cells(own, boxes(cells), 100.0).select("pid", "i", "j", "k")
+    own = samples.select(F.struct("well", "seq").alias("pid"), (F.col("x") + 3.125).alias("x"), (F.col("y") + 3.125).alias("y"), (F.col("z") - 30.0625).alias("z"))
+    return c.points_in_cells(own, boxes(cells), 100.0).select("pid.*", "i", "j", "k")
 
 
 @R.query(None, "wells")
@@ -332,6 +330,7 @@ def grid_from_surfaces(nodes):
 
 @R.query(None, "cells", "depths")
 def grid_conform_to_surfaces(cells, nodes):
-    full = boxes(s_.lattice(cells.sparkSession, MapHeader(20, 20)).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(7)))).withColumn("actnum", F.lit(1)))
+    # each column that has cells gets all its seven layers
+    full = boxes(cells.groupBy("i", "j").agg(F.max("actnum").alias("actnum")).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(7)))))
     stack = [nodes.withColumn("value", F.col("value") + d) for d in (0.0, 15.0, 60.0)]
     return c.conform(full, stack, MAP, (2, 5)).select("i", "j", "k", *(rounded(x).alias(x) for x in ("c0z", "c4z")))

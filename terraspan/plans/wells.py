@@ -153,7 +153,7 @@ c AS (SELECT a.well, a.seq, a.md, a.m2, b.well AS other, b.x, b.y, b.z, b.x2, b.
  FROM s a JOIN s b ON a.well <> b.well AND least(a.x, a.x2) <= greatest(b.x, b.x2) AND least(b.x, b.x2) <= greatest(a.x, a.x2) AND least(a.y, a.y2) <= greatest(b.y, b.y2) AND least(b.y, b.y2) <= greatest(a.y, a.y2) WHERE a.x2 IS NOT NULL AND b.x2 IS NOT NULL)
 SELECT well, seq, round(md + tn / det * (m2 - md), 6) AS md, other, round(x + un / det * (x2 - x), 6) AS x, round(y + un / det * (y2 - y), 6) AS y, round(z + un / det * (z2 - z), 6) AS z FROM c WHERE det <> 0 AND tn / det >= 0 AND tn / det < 1 AND un / det >= 0 AND un / det < 1""", "wells")
 def well_intersections(samples):
-    out = w.intersections(samples, tile=50.0)
+    out = w.intersections(samples)
     return out.select("well", "seq", rounded("md").alias("md"), "other", *(rounded(c).alias(c) for c in "xyz"))
 
 

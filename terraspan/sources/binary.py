@@ -131,10 +131,15 @@ def ibm_floats(raw: np.ndarray) -> np.ndarray:
     return sign * (raw & 0xFFFFFF) / float(1 << 24) * 16.0 ** ((raw >> 24 & 0x7F).astype(float) - 64)
 
 
+#: Sample formats by their codes in a SEG-Y header.
+SAMPLES = {1: ">u4", 2: ">i4", 3: ">i2", 5: ">f4", 6: ">f8", 8: ">i1", 10: ">u4", 11: ">u2", 16: ">u1"}
+
+
 def read_segy(spark: SparkSession, path: str, iline: int = 189, xline: int = 193) -> DataFrame:
     """(file, n, iline, xline, x, y, traceid, z0, dz, amp) of SEG-Y files, a row a trace. iline and xline are byte places in trace headers.
 
-    A file is read by one task, 2 GB at most: large surveys come as one file a line or a swath.
+    Samples of SAMPLES' codes are read; any other code is an error. A file is read by one task, 2 GB at most: large
+    surveys come as one file a line or a swath.
     """
     schema = "file string, n int, iline int, xline int, x double, y double, traceid int, z0 double, dz double, amp array<float>"
     files = spark.read.format("binaryFile").load(path).select("path", "content")
@@ -143,7 +148,10 @@ def read_segy(spark: SparkSession, path: str, iline: int = 189, xline: int = 193
         for b in batches:
             for f, c in zip(b["path"], b["content"], strict=True):
                 dt, ns, code = (struct.unpack(">h", c[3200 + k : 3202 + k])[0] for k in (16, 20, 24))
-                size = 240 + 4 * ns
+                if code not in SAMPLES:
+                    raise ValueError(f"{f}: samples of code {code} can't be read")
+                ns &= 0xFFFF
+                size = 240 + np.dtype(SAMPLES[code]).itemsize * ns
                 n = (len(c) - 3600) // size
                 traces = np.frombuffer(c, np.uint8, n * size, 3600).reshape(n, size)
                 word = lambda at, kind=">i4", t=traces: np.ascontiguousarray(t[:, at - 1 : at - 1 + np.dtype(kind).itemsize]).view(kind).ravel()
@@ -151,8 +159,8 @@ def read_segy(spark: SparkSession, path: str, iline: int = 189, xline: int = 193
                 scale = np.where(scale < 0, -1 / np.where(scale == 0, 1, scale), np.where(scale == 0, 1, scale))
                 for low in range(0, n, 2000):
                     part = slice(low, low + 2000)
-                    body = np.ascontiguousarray(traces[part, 240:])
-                    amp = (ibm_floats(body.view(">u4").astype(np.int64)) if code == 1 else body.view(">f4")).astype(np.float32)
+                    body = np.ascontiguousarray(traces[part, 240:]).view(SAMPLES[code])
+                    amp = (ibm_floats(body.astype(np.int64)) if code == 1 else body).astype(np.float32)
                     yield pd.DataFrame({
                         "file": f, "n": np.arange(low, low + len(amp), dtype=np.int32), "iline": word(iline)[part].astype(np.int32), "xline": word(xline)[part].astype(np.int32), "x": word(181)[part] * scale[part], "y": word(185)[part] * scale[part],
                         "traceid": word(29, ">i2")[part].astype(np.int32), "z0": word(109, ">i2")[part].astype(float), "dz": dt / 1000.0, "amp": list(amp),
