@@ -151,8 +151,33 @@ def thickness_share(top: Column, base: Column, contact_top: Column, contact_base
     return F.greatest(F.lit(0.0), F.least(base, contact_base) - F.greatest(top, contact_top)) / F.nullif(base - top, F.lit(0.0))
 
 
+def phase_volumes_in_parts(cells: DataFrame, water_contact: float | str, gas_contact: float | str, boundary: DataFrame | None = None, parts: tuple[int, int, int] = (9, 9, 4)) -> DataFrame:
+    """(i, j, k, gas, oil, water) of active cells of any shape, inside of closed polygons if a boundary is given.
+
+    Contacts are depths, or columns of the cells (sampled from a map, say). A cell is cut in so many parts in each direction;
+    each part is split at the contacts by its mean top and base, and counts if its centre is inside of the boundary. A
+    cell's volume is shared among its parts. Cells that no contact cuts are cut in parts only for the boundary.
+    """
+    from terraspan.operators.polygons import covering
+
+    water, gas = g.number(water_contact), g.number(gas_contact)
+    top, base = F.least(*(F.col(f"c{n}z") for n in range(8))), F.greatest(*(F.col(f"c{n}z") for n in range(8)))
+    own = cells.where("actnum = 1").withColumns({"__v": bulk_volume(), "__w": water, "__g": gas, "__cell": F.struct(*IJK)}).select(*IJK, *CORNERS, "__v", "__w", "__g", "__cell")
+    cut = F.lit(True) if boundary is not None else ((top < F.col("__w")) & (F.col("__w") < base)) | ((top < F.col("__g")) & (F.col("__g") < base))
+    small = refine(own.where(cut), *parts).unionByName(own.where(~cut))
+    small = small.withColumns({"__p": bulk_volume(), "__t": mean(*(F.col(f"c{n}z") for n in range(4))), "__b": mean(*(F.col(f"c{n}z") for n in range(4, 8)))})
+    inside = F.lit(1.0)
+    if boundary is not None:
+        small, inside = covering(with_centre(small), boundary, "__n"), F.when(F.col("__n") > 0, 1.0).otherwise(0.0)
+    lo, hi = F.lit(-1e30), F.lit(1e30)
+    spans = {"gas": (lo, F.col("__g")), "oil": (F.col("__g"), F.col("__w")), "water": (F.greatest("__g", "__w"), hi)}
+    level = lambda a, b: F.coalesce(thickness_share(F.col("__t"), F.col("__b"), a, b), F.lit(0.0))
+    sums = small.groupBy("__cell").agg(*(F.sum(F.col("__p") * level(*s) * inside).alias(c) for c, s in spans.items()), F.sum("__p").alias("__all"), F.first("__v").alias("__v"))
+    return sums.select("__cell.*", *(F.coalesce(F.try_divide(F.col(c) * F.col("__v"), F.col("__all")), F.lit(0.0)).alias(c) for c in spans))
+
+
 def phase_volumes(cells: DataFrame, water_contact: float, gas_contact: float) -> DataFrame:
-    """Adds gas, oil and water volumes of active cells between level contacts, from the mean top and base of a cell (exact for level boxes)."""
+    """Adds gas, oil and water volumes of active cells between level contacts, from the mean top and base of a cell (exact for level boxes; phase_volumes_in_parts() takes others)."""
     volume = F.when(F.col("actnum") == 1, bulk_volume()).otherwise(0.0)
     own = cells.withColumns({"__v": volume, "__t": mean(*(F.col(f"c{n}z") for n in range(4))), "__b": mean(*(F.col(f"c{n}z") for n in range(4, 8)))})
     lo, hi = F.lit(-1e30), F.lit(1e30)
@@ -250,6 +275,16 @@ def inactivate(cells: DataFrame, polygons: DataFrame, layers: tuple[int, int] |
     return marked.withColumn("actnum", F.when(hit, 0).otherwise(F.col("actnum"))).drop("__n", "x", "y", "z")
 
 
+def operate(cells: DataFrame, polygons: DataFrame, prop: str, operation: str, value: float = 0.0, inside: bool = True) -> DataFrame:
+    """Changes a property (set, add, sub, mul, div) of the cells whose centre is in any polygon, or in none; its type stays, division by zero gives zero."""
+    from terraspan.operators import polygons as p
+
+    kind = cells.schema[prop].dataType
+    own = with_centre(cells, ("__x", "__y", "__z")).withColumnsRenamed({c: f"__own_{c}" for c in "xyz" if c in cells.columns}).withColumnsRenamed({f"__{c}": c for c in "xyz"})
+    out = p.operate(own, polygons, operation, value, inside, 2, prop).drop("x", "y", "z").withColumnsRenamed({f"__own_{c}": c for c in "xyz"})
+    return out.withColumn(prop, F.col(prop).cast(kind)).select(*cells.columns)
+
+
 def crop(cells: DataFrame, columns: tuple[int, int], rows: tuple[int, int], layers: tuple[int, int]) -> DataFrame:
     """A box of cells, counted anew from 1."""
     own = cells
@@ -305,9 +340,21 @@ def refine_vertically(cells: DataFrame, factor: int | dict[int, int], zone: str
     return own.withColumns(new).drop("__f", "__before", "__c")
 
 
-def merge(a: DataFrame, b: DataFrame, columns_of_a: int) -> DataFrame:
-    """Two grids side by side, with an empty column between; a property that one lacks is null there."""
-    return a.unionByName(b.withColumn("i", F.col("i") + columns_of_a + 1), allowMissingColumns=True)
+def merge(a: DataFrame, b: DataFrame, columns_of_a: int, layers_a: Sequence[int] | None = None, layers_b: Sequence[int] | None = None) -> DataFrame:
+    """Two grids side by side, with an empty column between; a property that one lacks is null there.
+
+    layers_a and layers_b: the layer of the merged grid that each of a grid's layers becomes, ascending; without them
+    layers stay. Layers of the merged grid that a grid has none for are without cells there.
+    """
+
+    def moved(cells: DataFrame, layers: Sequence[int] | None) -> DataFrame:
+        if layers is None:
+            return cells
+        if any(y <= x for x, y in zip(layers, layers[1:])):
+            raise ValueError("layers have to ascend")
+        return cells.withColumn("k", F.get(F.array(*map(F.lit, layers)), F.col("k") - 1))
+
+    return moved(a, layers_a).unionByName(moved(b.withColumn("i", F.col("i") + columns_of_a + 1), layers_b), allowMissingColumns=True)
 
 
 def reduce_to_one_layer(cells: DataFrame) -> DataFrame:
@@ -425,11 +472,12 @@ def between_surfaces(cells: DataFrame, top: DataFrame, base: DataFrame, header:
     return own.withColumn(name, F.when(F.col("z").between(F.col("__top"), F.col("__base")), value).otherwise(0.0)).drop("__top", "__base", "x", "y", "z")
 
 
-def layer_map(cells: DataFrame, header: g.MapHeader, where: str | int = "top", prop: str = "depth", tile: float | None = None) -> DataFrame:
+def layer_map(cells: DataFrame, header: g.MapHeader, where: str | int = "top", prop: str = "depth", tile: float | None = None, per: str | None = None) -> DataFrame:
     """(i, j, value): a map of the first layer's top ("top"), the last one's base ("base") or a layer's top, in its active cells: its depth, a property, or the cell's "i" or "j".
 
     A node takes its value from the cell whose outline it is in (of several the least i, then j); the depth is a plane's
-    through the half of the outline that holds the node. Nodes and cells meet in tiles of the map.
+    through the half of the outline that holds the node. Nodes and cells meet in tiles of the map. per: a column by which
+    cells have a map each ("zone", say); it comes before i and j.
     """
     from terraspan.operators.surfaces import lattice, with_xy
 
@@ -439,13 +487,13 @@ def layer_map(cells: DataFrame, header: g.MapHeader, where: str | int = "top", p
     else:
         low = 0 if where == "top" else 4
         whole = F.struct(*CORNERS, *([] if prop in ("depth", "i", "j") else [prop]))
-        own = on.groupBy("i", "j").agg((F.min_by if where == "top" else F.max_by)(whole, "k").alias("__c")).select("i", "j", "__c.*")
+        own = on.groupBy(*([per] if per else []), "i", "j").agg((F.min_by if where == "top" else F.max_by)(whole, "k").alias("__c")).select(*([per] if per else []), "i", "j", "__c.*")
     xs, ys = [F.col(f"c{n + low}x") for n in range(4)], [F.col(f"c{n + low}y") for n in range(4)]
     tile = tile or 4 * max(header.xinc, header.yinc)
     span = lambda c: F.explode(F.sequence(F.floor(F.least(*c) / tile).cast("long"), F.floor(F.greatest(*c) / tile).cast("long")))
     ring = [f"c{n + low}{a}" for n in range(4) for a in "xyz"]
     value = {"depth": F.lit(None).cast("double"), "i": F.col("i").cast("double"), "j": F.col("j").cast("double")}.get(prop)
-    quads = own.select(F.col("i").alias("__i"), F.col("j").alias("__j"), *ring, (F.col(prop).cast("double") if value is None else value).alias("__v"), span(xs).alias("__tx")).withColumn("__ty", span(ys))
+    quads = own.select(*([F.col(per).alias("__per")] if per else []), F.col("i").alias("__i"), F.col("j").alias("__j"), *ring, (F.col(prop).cast("double") if value is None else value).alias("__v"), span(xs).alias("__tx")).withColumn("__ty", span(ys))
     nodes = with_xy(lattice(cells.sparkSession, header), header).withColumns({"__tx": F.floor(F.col("x") / tile).cast("long"), "__ty": F.floor(F.col("y") / tile).cast("long")})
 
     def within(a: int, b: int, c: int) -> tuple[Column, Column]:
@@ -459,7 +507,14 @@ def layer_map(cells: DataFrame, header: g.MapHeader, where: str | int = "top", p
     (in1, z1), (in2, z2) = within(0, 1, 2), within(0, 2, 3)
     hits = nodes.join(quads, ["__tx", "__ty"]).withColumns({"__h1": in1, "__h2": in2}).where("__h1 or __h2")
     depth = F.when(F.col("__h1"), z1).otherwise(z2)
-    return hits.groupBy("i", "j").agg(F.min_by(depth if prop == "depth" else F.col("__v"), F.struct("__i", "__j")).alias("value"))
+    out = hits.groupBy(*(["__per"] if per else []), "i", "j").agg(F.min_by(depth if prop == "depth" else F.col("__v"), F.struct("__i", "__j")).alias("value"))
+    return out.withColumnRenamed("__per", per) if per else out
+
+
+def zone_maps(cells: DataFrame, header: g.MapHeader, zone: str = "zone") -> DataFrame:
+    """(zone, i, j, value): the top of each zone as a map, and the base of the grid, whose zone is null."""
+    base = layer_map(cells, header, "base").withColumn(zone, F.lit(None).cast(cells.schema[zone].dataType))
+    return layer_map(cells, header, "top", per=zone).unionByName(base)
 
 
 def slice_surface(nodes: DataFrame, header: g.MapHeader, cells: DataFrame, prop: str, tile: float) -> DataFrame:
@@ -567,12 +622,59 @@ def trajectory_cells(samples: DataFrame, dimension: tuple[int, int, int], origin
     a, b = F.col("__s.a"), F.col("__s.b")
     own = pieces.where(b > a).select("well", "seq", a.alias("__a"), at("md", a).alias("md_in"), at("md", b).alias("md_out"), *(at(c, (a + b) / 2).alias(c) for c in "xyz"))
     own = box_index(own, dimension, origin, increment).where(F.col("i").isNotNull())
-    w = Window.partitionBy("well").orderBy("seq", "__a")
+    return visits(own)
+
+
+def visits(pieces: DataFrame) -> DataFrame:
+    """(well, visit, i, j, k, md_in, md_out, length_md): pieces of paths (well, seq, __a, i, j, k, md_in, md_out) that follow each other in one cell, as one."""
+    own, w = pieces, Window.partitionBy("well").orderBy("seq", "__a")
     same = reduce(lambda p, q: p & q, (F.col(c) == F.lag(c).over(w) for c in IJK)) & (F.abs(F.col("md_in") - F.lag("md_out").over(w)) < 1e-9)
     own = own.withColumn("__new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("visit", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
     return own.groupBy("well", "visit", *IJK).agg(F.min("md_in").alias("md_in"), F.max("md_out").alias("md_out")).withColumn("length_md", F.col("md_out") - F.col("md_in"))
 
 
+def trajectory_in_cells(samples: DataFrame, cells: DataFrame, tile: float, md: str = "md", band: float | None = None) -> DataFrame:
+    """trajectory_cells() for active cells of any shape: per well and cell that its trajectory passes, entry and exit md, and the length between, in the order of the path.
+
+    Segments and cells meet by their boxes, in tiles of the map and bands of depth; each pair once. A segment is then cut
+    to each of the cell's six tetrahedra: shares of the corners are linear along it, and inside none is negative.
+    """
+    from terraspan.operators.wells import segments
+
+    on = cells.where("actnum = 1")
+    box = on.select(*IJK, *(f(*(F.col(f"c{n}{a}") for n in range(8))).alias(f"__{m}{a}") for a in "xyz" for m, f in (("lo", F.least), ("hi", F.greatest))))
+    band = band or max(1e-9, float(box.agg(F.avg(F.col("__hiz") - F.col("__loz"))).first()[0] or 1.0))
+    seg = segments(samples, md)
+    ends = seg.withColumns({f"__{m}{a}": f(f"{a}1", f"{a}2") for a in "xyz" for m, f in (("lo", F.least), ("hi", F.greatest))})
+    at = lambda c, n: F.floor(F.col(c) / n).cast("long")
+    for a, n in (("x", tile), ("y", tile), ("z", band)):
+        span = F.explode(F.sequence(at(f"__lo{a}", n), at(f"__hi{a}", n)))
+        box, ends = box.withColumn(f"__t{a}", span), ends.withColumn(f"__t{a}", span)
+    own = box.withColumnsRenamed({f"__{m}{a}": f"__c{m}{a}" for a in "xyz" for m in ("lo", "hi")})
+    met = ends.join(own, ["__tx", "__ty", "__tz"])
+    for a, n in (("x", tile), ("y", tile), ("z", band)):
+        met = met.where((F.col(f"__lo{a}") <= F.col(f"__chi{a}")) & (F.col(f"__clo{a}") <= F.col(f"__hi{a}")) & (F.col(f"__t{a}") == F.greatest(at(f"__lo{a}", n), at(f"__clo{a}", n))))
+    pairs = met.select("well", "seq", *(f"{a}{e}" for a in ("x", "y", "z", "md") for e in "12"), *IJK).join(on.select(*IJK, *CORNERS), IJK)
+    p, q = ((F.col(f"x{e}"), F.col(f"y{e}"), F.col(f"z{e}")) for e in "12")
+    every = F.array(*(F.struct(*(F.struct(*(F.col(f"c{n}{a}").alias(a) for a in "xyz")).alias(v) for n, v in zip(t, "abcd", strict=True))) for t in g.AROUND))
+
+    def within(t: Column) -> Column:
+        """The shares of the segment at which it goes into and out of a tetrahedron."""
+        v = [(t[c]["x"], t[c]["y"], t[c]["z"]) for c in "abcd"]
+        whole = F.nullif(g.tetrahedron(*v), F.lit(0.0))
+        share = lambda o: [g.tetrahedron(*(o if m == n else c for m, c in enumerate(v))) / whole for n in range(4)]
+        first, last = [F.lit(0.0)], [F.lit(1.0)]
+        for a, b in zip(share(p), share(q), strict=True):
+            out = F.when((a == b) & (a < 0), 2.0)  # along a face, outside of it
+            first.append(F.coalesce(out, F.when(b > a, -a / (b - a)), F.lit(0.0)))
+            last.append(F.coalesce(F.when(b < a, a / (a - b)), F.lit(1.0)))
+        return F.when(whole.isNotNull(), F.struct(F.greatest(*first).alias("a"), F.least(*last).alias("b")))
+
+    pieces = pairs.withColumn("__s", F.explode(F.filter(F.transform(every, within), lambda s: s["b"] - s["a"] > 1e-12)))
+    depth = lambda s: F.col("md1") + s * (F.col("md2") - F.col("md1"))
+    return visits(pieces.select("well", "seq", *IJK, F.col("__s.a").alias("__a"), depth(F.col("__s.a")).alias("md_in"), depth(F.col("__s.b")).alias("md_out")))
+
+
 def transmissibilities(cells: DataFrame, perm: Sequence[str] = ("permx", "permy", "permz"), ntg: str | float = 1.0, min_dz: float = 1e-4, units: str = "metric") -> DataFrame:
     """(i, j, k, tranx, trany, tranz) of active cells: two-point flux to the next cell in each direction; 0 to an inactive one.
 

@@ -218,12 +218,83 @@ def points_in_cells(samples, cells):
     return c.points_in_cells(own, boxes(cells), 100.0).select("pid.*", "i", "j", "k")
 
 
-@R.query(None, "wells")
-def well_cell_intersections(samples):
-    out = c.trajectory_cells(samples, _DIM, _O, _I)
+def _path_sql(cells: str, sides: list[tuple[str, str]]) -> str:
+    """Which parts of each segment are in which cells, by the sides' distances at both ends; then neighbouring pieces in a cell as one."""
+    first = ", ".join(f"CASE WHEN {b} > {a} THEN -({a}) / (({b}) - ({a})) ELSE 0 END" for a, b in sides)
+    last = ", ".join(f"CASE WHEN {b} < {a} THEN ({a}) / (({a}) - ({b})) ELSE 1 END" for a, b in sides)
+    out = " OR ".join(f"({a} = {b} AND {a} < 0)" for a, b in sides)
+    return f"""sg AS (SELECT well, seq, x + 3.125 AS x1, y + 3.125 AS y1, z - 30.0625 AS z1, md AS m1, lead(x + 3.125) OVER o AS x2, lead(y + 3.125) OVER o AS y2, lead(z - 30.0625) OVER o AS z2, lead(md) OVER o AS m2 FROM wells WINDOW o AS (PARTITION BY well ORDER BY seq)),
+pc AS (SELECT well, seq, i, j, k, greatest(0, {first}) AS t1, least(1, {last}) AS t2, m1, m2 FROM sg JOIN {cells} WHERE x2 IS NOT NULL AND NOT ({out})),
+pm AS (SELECT well, seq, i, j, k, t1, m1 + t1 * (m2 - m1) AS md_in, m1 + t2 * (m2 - m1) AS md_out FROM pc WHERE t2 - t1 > 1e-12),
+pn AS (SELECT *, CASE WHEN i = lag(i) OVER o AND j = lag(j) OVER o AND k = lag(k) OVER o AND abs(md_in - lag(md_out) OVER o) < 1e-9 THEN 0 ELSE 1 END AS new FROM pm WINDOW o AS (PARTITION BY well ORDER BY seq, t1)),
+pv AS (SELECT *, cast(sum(new) OVER (PARTITION BY well ORDER BY seq, t1 ROWS UNBOUNDED PRECEDING) AS int) AS visit FROM pn)
+SELECT well, visit, i, j, k, round(min(md_in), 6) AS md_in, round(max(md_out), 6) AS md_out, round(max(md_out) - min(md_in), 6) AS length_md FROM pv GROUP BY well, visit, i, j, k"""
+
+
+def _moved(samples):
+    """Paths that don't run along the sides of cells."""
+    return samples.withColumns({"x": F.col("x") + 3.125, "y": F.col("y") + 3.125, "z": F.col("z") - 30.0625})
+
+
+def _path(out):
     return out.select("well", "visit", "i", "j", "k", *(rounded(x).alias(x) for x in ("md_in", "md_out", "length_md")))
 
 
+_BOXES = "(SELECT cast(a.i AS int) AS i, cast(b.j AS int) AS j, cast(d.k AS int) AS k, 1000.0 + (a.i - 1) * 20.0 AS xl, 2000.0 + (b.j - 1) * 25.0 AS yl, 1500.0 + (d.k - 1) * 15.0 AS zl FROM range(1, 21) a(i), range(1, 21) b(j), range(1, 11) d(k)) bx ON x1 < 1440 AND x2 > 960"
+_BOX_SIDES = [(f"{a}1 - {a}l", f"{a}2 - {a}l") for a in "xyz"] + [(f"{a}l + {n} - {a}1", f"{a}l + {n} - {a}2") for a, n in zip("xyz", (20.0, 25.0, 15.0), strict=True)]
+
+
+@R.query(f"WITH {_path_sql(_BOXES, _BOX_SIDES)}", "wells")
+def well_cell_intersections(samples):
+    return _path(c.trajectory_cells(_moved(samples), _DIM, _O, _I))
+
+
+def _above(n: int, e: int) -> str:
+    """How far the segment's end lies below a cell's tilted top (0) or base (4)."""
+    return f"z{e} - (c{n}z + 0.5 * (x{e} - c0x) / 100 + 0.25 * (y{e} - c0y) / 80)"
+
+
+_TILTED = [("x1 - c0x", "x2 - c0x"), ("c1x - x1", "c1x - x2"), ("y1 - c0y", "y2 - c0y"), ("c3y - y1", "c3y - y2"), (_above(0, 1), _above(0, 2)), (f"-({_above(4, 1)})", f"-({_above(4, 2)})")]
+
+
+@R.query(f"WITH {BOX}, {_path_sql('(SELECT * FROM box WHERE actnum = 1) bx ON least(x1, x2) <= c1x AND greatest(x1, x2) >= c0x AND least(y1, y2) <= c3y AND greatest(y1, y2) >= c0y', _TILTED)}", "wells", "cells")
+def well_intersections_of_corner_cells(samples, cells):
+    return _path(c.trajectory_in_cells(_moved(samples), boxes(cells), 100.0))
+
+
+_CENTRES = f"o AS (SELECT *, {CX} AS x, {CY} AS y FROM box), t AS (SELECT poly_id, seq, 2 * x + 900 AS x, 2 * y + 1900 AS y FROM polygons), e AS (SELECT poly_id, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM t WINDOW w AS (PARTITION BY poly_id ORDER BY seq))"
+
+
+def _outline(polygons):
+    return polygons.withColumns({"x": 2 * F.col("x") + 900, "y": 2 * F.col("y") + 1900})
+
+
+for _op, _sql, _inside in (("add", "poro + 5.0", True), ("set", "5.0", False), ("mul", "poro * 5.0", True), ("div", "poro / 5.0", False), ("sub", "poro - 5.0", True)):
+
+    def _operated(cells, polygons, op=_op, inside=_inside):
+        return c.operate(boxes(cells), _outline(polygons), "poro", op, 5.0, inside).select("i", "j", "k", rounded("poro").alias("poro"))
+
+    _operated.__name__ = f"grid_property_{_op}_{'inside' if _inside else 'outside'}"
+    R.query(f"""WITH {BOX}, {_CENTRES}, h AS (SELECT DISTINCT i, j, k FROM (SELECT i, j, k, poly_id FROM o, e WHERE (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY i, j, k, poly_id HAVING count(*) % 2 = 1))
+SELECT o.i, o.j, o.k, round(CASE WHEN (h.i IS {'NOT ' if _inside else ''}NULL) THEN {_sql} ELSE poro END, 6) AS poro FROM o LEFT JOIN h ON h.i = o.i AND h.j = o.j AND h.k = o.k""", "cells", "polygons")(_operated)
+
+
+@R.query(f"""WITH {BOX}, u AS (SELECT box.*, c0x + 100.0 * (a + 0.5) / 3 AS x, c0y + 80.0 * (b + 0.5) / 3 AS y, c0z + 0.5 * (a + 0.5) / 3 + 0.25 * (b + 0.5) / 3 + 5.0 * d AS t FROM box, range(3) ra(a), range(3) rb(b), range(2) rd(d) WHERE actnum = 1),
+tt AS (SELECT poly_id, seq, 2 * x + 900 AS x, 2 * y + 1900 AS y FROM polygons), e AS (SELECT poly_id, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM tt WINDOW w AS (PARTITION BY poly_id ORDER BY seq)),
+xy AS (SELECT DISTINCT x, y FROM u), h AS (SELECT DISTINCT x, y FROM (SELECT x, y, poly_id FROM xy, e WHERE (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY x, y, poly_id HAVING count(*) % 2 = 1))
+SELECT i, j, k, round(sum(CASE WHEN h.x IS NULL THEN 0 ELSE 80000.0 / 18 * greatest(0, least(t + 5, 1520.0) - t) / 5 END), 3) AS gas, round(sum(CASE WHEN h.x IS NULL THEN 0 ELSE 80000.0 / 18 * greatest(0, least(t + 5, 1540.0) - greatest(t, 1520.0)) / 5 END), 3) AS oil,
+ round(sum(CASE WHEN h.x IS NULL THEN 0 ELSE 80000.0 / 18 * greatest(0, t + 5 - greatest(t, 1540.0)) / 5 END), 3) AS water FROM u LEFT JOIN h USING (x, y) GROUP BY i, j, k""", "cells", "polygons")
+def grid_phase_volumes_in_boundary(cells, polygons):
+    out = c.phase_volumes_in_parts(boxes(cells), 1540.0, 1520.0, _outline(polygons), (3, 3, 2))
+    return out.select("i", "j", "k", *(rounded(x, 3).alias(x) for x in ("gas", "oil", "water")))
+
+
+@R.query("SELECT i, j, cast(k + 1 AS int) AS k, actnum FROM cells WHERE i <= 10 AND k <= 3 UNION ALL SELECT i + 1, j, cast(CASE k WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 6 END AS int), actnum FROM cells WHERE i > 10 AND k <= 3", "cells")
+def grid_merge_with_layer_maps(cells):
+    left, right = cells.where("i <= 10 and k <= 3"), cells.where("i > 10 and k <= 3").withColumn("i", F.col("i") - 10)
+    return c.merge(left, right, 10, [2, 3, 4], [1, 3, 6]).select("i", "j", "k", "actnum")
+
+
 _D = c.DARCY["metric"]
 
 
@@ -334,3 +405,10 @@ def grid_conform_to_surfaces(cells, nodes):
     full = boxes(cells.groupBy("i", "j").agg(F.max("actnum").alias("actnum")).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(7)))))
     stack = [nodes.withColumn("value", F.col("value") + d) for d in (0.0, 15.0, 60.0)]
     return c.conform(full, stack, MAP, (2, 5)).select("i", "j", "k", *(rounded(x).alias(x) for x in ("c0z", "c4z")))
+
+
+@R.query(f"""WITH {BOX}, {_NODES}, t AS (SELECT zone, i, j, min(k) AS k FROM box WHERE actnum = 1 GROUP BY zone, i, j), o AS (SELECT box.* FROM box JOIN t USING (zone, i, j, k)), bk AS (SELECT i, j, max(k) AS k FROM box WHERE actnum = 1 GROUP BY i, j), ob AS (SELECT box.* FROM box JOIN bk USING (i, j, k))
+SELECT zone, ni AS i, nj AS j, round(c0z + 0.5 * (x - c0x) / 100 + 0.25 * (y - c0y) / 80, 6) AS value FROM nd JOIN o ON {_on('o')}
+UNION ALL SELECT NULL, ni, nj, round(c4z + 0.5 * (x - c0x) / 100 + 0.25 * (y - c0y) / 80, 6) FROM nd JOIN ob ON {_on('ob')}""", "cells")
+def grid_zone_maps(cells):
+    return c.zone_maps(boxes(cells), FINE).withColumn("value", rounded("value"))
