@@ -1,42 +1,34 @@
 """SimHash near-duplicates by a self-join of the fingerprints' binary trie.
 
-Fingerprints are made where the texts are and written once; after that only distinct fingerprints move. The trie is cut
-at a depth at which every subtrie is small (measured, not assumed). Two subtries are compared by one task if their roots
-differ in no more bits than the budget. There, pairs of nodes go down together, a bit at a time, carrying the bits that
+Fingerprints are made where the texts are and written once; after that only distinct fingerprints move. They are dealt to
+subtries by some of their bits, in so many ways that each linked pair shares a subtrie, and so finely that each subtrie is
+small (measured, not assumed). In a subtrie, pairs of nodes go down together, a bit at a time, carrying the bits that
 differ so far; a pair over the budget is pruned, and so is a pair whose leaves are known to be one component. A task
-returns a spanning forest, never all links of a group. Components of the forest are found by star contraction.
+returns a spanning forest, never all links of a group. Components of the forests are found by star contraction.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraspan.llm import common
-from terraspan.llm.words import Hasher, U
+from terraspan.llm.shingles import candidates, not_ruled_out, prefixes, signatures, verified
 
-#: Distinct fingerprints in a subtrie, at most, as long as the depth of the cut is under DEEPEST.
-SUBTRIE = 100_000
-SHALLOWEST, DEEPEST = 5, 16
+#: Distinct fingerprints in a subtrie, at most, unless the cut is the finest; and in the subtries that a task joins, about.
+SUBTRIE, TOGETHER = 5_000, 100_000
+#: Fingerprints of a subtrie from which on single differing bits are looked up first.
+DENSE = 256
 SEED = 42
 #: Shingles that are held as bits at a time.
 STEP = 1 << 15
 ONE = np.uint64(1)
-#: Neighbours in size that a text is compared with, among those that share a shingle, before components are formed.
-FIRST = 4
-#: One of SAMPLE texts tells which shingles are common: those in COMMON or more of them, LATE at most. They only set the
-#: order of a text's shingles; any order finds all pairs.
-SAMPLE, COMMON, LATE = 16, 8, 100_000
-#: Rounding of the limits on sizes.
-SLACK = 1e-9
 
 
 def simhash(text: bytes, shingle: int = 3) -> int:
@@ -98,36 +90,35 @@ class Forest:
                 self.root = up
 
 
-def trie_join(left: np.ndarray, right: np.ndarray | None, depth: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that join all fingerprints of two sorted subtries (or of one with itself) that are linked across them.
+def trie_join(values: np.ndarray, depth: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs that join all sorted distinct values that are linked, in each subtrie below the depth by itself.
 
     A pair's differing bits are at most the budget. The pairs make a forest with the components of all links.
     """
-    values = left if right is None else np.concatenate([left, right])
-    forest, cut = Forest(len(values)), len(left)
-    used = bin(int(left[0] ^ right[0]) >> (64 - depth)).count("1") if right is not None and depth else 0
-    spans = [(0, cut)] if right is None else [(0, cut), (cut, len(values))]
-    # cheap first links: values that differ in one bit, so that dense clusters are one component early
-    if right is None:
-        for k in range(64 - depth):
-            other = values ^ (ONE << np.uint64(k))
-            at = np.minimum(np.searchsorted(values, other), len(values) - 1)
-            hit = np.flatnonzero((values[at] == other) & (at > np.arange(len(values))))
-            forest.join(hit, at[hit])
+    forest = Forest(len(values))
+    roots = np.flatnonzero(np.append(True, values[1:] >> np.uint64(64 - depth) != values[:-1] >> np.uint64(64 - depth)))
+    ends = np.append(roots[1:], len(values))
+    # cheap first links in large subtries: values that differ in one bit, so that dense clusters are one component early
+    many = np.flatnonzero(np.repeat(ends - roots > DENSE, ends - roots))
+    for k in range(64 - depth if len(many) else 0):
+        other = values[many] ^ (ONE << np.uint64(k))
+        at = np.minimum(np.searchsorted(values, other), len(values) - 1)
+        hit = (values[at] == other) & (at > many)
+        forest.join(many[hit], at[hit])
+    roots, ends = roots[ends - roots > 1], ends[ends - roots > 1]
     # frontier: two nodes (ranges of positions) and the differing bits so far, taken last first to bound memory
-    stack = [(depth, *(np.array([x], np.int64) for x in (*spans[0], *spans[-1], used)))]
+    stack = [(depth, roots, ends, roots, ends, np.zeros(len(roots), np.int64))]
     while stack:
         d, al, ah, bl, bh, diff = stack.pop()
         if len(al) > 200_000:
             h = len(al) // 2
             stack += [(d, *(x[:h] for x in (al, ah, bl, bh, diff))), (d, *(x[h:] for x in (al, ah, bl, bh, diff)))]
             continue
-        single = (ah - al == 1) & (bh - bl == 1)
-        if single.any() or d == 64:
-            pair = single | (d == 64)
+        pair = (ah - al == 1) & (bh - bl == 1)
+        if pair.any():
             a, b = al[pair], bl[pair]
-            apart = np.bitwise_count(values[a] ^ values[b]) <= budget
-            forest.join(a[apart & (a != b)], b[apart & (a != b)])
+            near = (np.bitwise_count(values[a] ^ values[b]) <= budget) & (a != b)
+            forest.join(a[near], b[near])
             al, ah, bl, bh, diff = (x[~pair] for x in (al, ah, bl, bh, diff))
         # a pair of nodes whose leaves are one component has nothing to add
         if len(al):
@@ -137,12 +128,8 @@ def trie_join(left: np.ndarray, right: np.ndarray | None, depth: int, budget: in
         if not len(al):
             continue
         bit = np.uint64(63 - d)
-
-        def split(low: np.ndarray, high: np.ndarray, bit: np.uint64 = bit) -> np.ndarray:
-            prefix = values[low] >> bit | ONE
-            return np.clip(np.searchsorted(values, prefix << bit), low, high) if right is None else np.where(low < cut, np.clip(np.searchsorted(left, prefix << bit), low, high), np.clip(cut + np.searchsorted(right, prefix << bit), low, high))
-
-        am, bm = split(al, ah), split(bl, bh)
+        middle = lambda low, high, bit=bit: np.clip(np.searchsorted(values, (values[low] >> bit | ONE) << bit), low, high)
+        am, bm = middle(al, ah), middle(bl, bh)
         same = (al == bl) & (ah == bh)
         nexts = [(al, am, bl, bm, diff, None), (am, ah, bm, bh, diff, None), (al, am, bm, bh, diff + 1, None), (am, ah, bl, bm, diff + 1, ~same)]
         parts = []
@@ -151,36 +138,66 @@ def trie_join(left: np.ndarray, right: np.ndarray | None, depth: int, budget: in
             ok = ok if only is None else ok & only
             parts.append([z[ok] for z in (x, y, u, v, w)])
         stack.append((d + 1, *(np.concatenate(x) for x in zip(*parts, strict=True))))
-    if not forest.edges:
-        return values[:0], values[:0]
-    a, b = (np.concatenate(x) for x in zip(*forest.edges, strict=True))
-    return values[a], values[b]
-
-
-def links(fps: DataFrame, budget: int = 3, by: str | None = None) -> DataFrame:
-    """A spanning forest (a, b) of the links between distinct fingerprints (column __fp, each once), apart for each value of the int column `by`."""
-    own = [by] if by else []
-    counts = fps.groupBy(*own, F.shiftrightunsigned("__fp", 64 - DEEPEST).alias("p")).count().toPandas()  # 65,536 rows a value of `by` at most
-    depth = SHALLOWEST
-    while depth < DEEPEST and len(counts) and counts.groupby([*(counts[c] for c in own), counts.p.to_numpy() >> (DEEPEST - depth)])["count"].sum().max() > SUBTRIE:
-        depth += 1
-    near = [sum(1 << k for k in c) for n in range(1, budget + 1) for c in combinations(range(depth), n)]
-    prefix = F.shiftrightunsigned("__fp", 64 - depth)
-    # a subtrie goes to itself and to each subtrie within the budget; the pair is named after the lesser root
-    others = F.transform(F.array(F.lit(0).cast("long"), *(F.lit(x).cast("long") for x in near)), lambda x: F.struct(F.least(prefix, prefix.bitwiseXOR(x)).alias("u"), F.greatest(prefix, prefix.bitwiseXOR(x)).alias("v")))
-    dealt = fps.select(*own, "__fp", F.explode(others).alias("pair")).select(*own, "pair.u", "pair.v", "__fp")
-
-    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        *of, u, v = key
-        values = np.sort(pdf["__fp"].to_numpy().view(np.uint64))
-        if u == v:
-            a, b = trie_join(values, None, depth, budget)
-        else:
-            cut = int(np.searchsorted(values, np.uint64(int(v) << (64 - depth))))
-            a, b = (values[:0],) * 2 if cut in (0, len(values)) else trie_join(values[:cut], values[cut:], depth, budget)
-        return pd.DataFrame({c: k for c, k in zip(own, of, strict=True)} | {"a": a.view(np.int64), "b": b.view(np.int64)}, columns=[*own, "a", "b"])
-
-    return dealt.groupBy(*own, "u", "v").applyInPandas(compare, "".join(f"{c} int, " for c in own) + "a long, b long")
+    return tuple(np.concatenate(x) for x in zip(*forest.edges, strict=True)) if forest.edges else (roots[:0], roots[:0])
+
+
+class Cut:
+    """The 64 bits in so many blocks. A pair within the budget differs in that many blocks at most, so it agrees on all
+    blocks of one of the choices; each choice makes a trie of its own, with the bits of its blocks first."""
+
+    def __init__(self, blocks: int, budget: int):
+        edges = [64 * k // blocks for k in range(blocks + 1)]
+        self.choices = []
+        for own in combinations(range(blocks), blocks - budget):
+            order = [*own, *(k for k in range(blocks) if k not in own)]
+            self.choices.append([(edges[k], edges[k + 1] - edges[k]) for k in order])
+        self.agree = blocks - budget
+
+    def depth(self, choice: int) -> int:
+        return sum(n for _, n in self.choices[choice][: self.agree])
+
+    def mask(self, choice: int) -> int:
+        """Of the bits that a subtrie shares, as a signed long."""
+        mask = sum(((1 << n) - 1) << (64 - at - n) for at, n in self.choices[choice][: self.agree])
+        return mask - (1 << 64) if mask >> 63 else mask
+
+    def moved(self, values: np.ndarray, choice: int) -> np.ndarray:
+        out = np.zeros(len(values), np.uint64)
+        for at, n in self.choices[choice]:
+            out = out << np.uint64(n) | (values >> np.uint64(64 - at - n)) & np.uint64((1 << n) - 1)
+        return out
+
+    def dealt(self, fps: DataFrame) -> DataFrame:
+        """(c, root, __fp): each fingerprint in its subtrie of each choice."""
+        roots = F.array(*(F.struct(F.lit(c).alias("c"), F.col("__fp").bitwiseAND(F.lit(self.mask(c)).cast("long")).alias("root")) for c in range(len(self.choices))))
+        return fps.select("__fp", F.explode(roots).alias("at")).select("at.c", "at.root", "__fp")
+
+
+def links(fps: DataFrame, budget: int = 3) -> DataFrame:
+    """A forest (a, b) with the components of all links between distinct fingerprints (column __fp, each once).
+
+    Each fingerprint goes to as many subtries as the cut has choices: 4 for a budget of 3, 20 at most, by what the
+    largest subtrie holds. A task joins whole subtries, about TOGETHER fingerprints in all.
+    """
+    finest = budget + 3
+    for blocks in range(budget + 1, finest + 1):
+        cut = Cut(blocks, budget)
+        sizes = cut.dealt(fps).groupBy("c", "root").count().agg(F.max("count").alias("most"), F.sum("count").alias("n")).first()
+        if blocks == finest or (sizes.most or 0) <= SUBTRIE:
+            break
+    tasks = max(-(-(sizes.n or 0) // TOGETHER), common.shuffle_partitions(fps.sparkSession))
+    slices = -(-tasks // len(cut.choices))
+    dealt = cut.dealt(fps).select("c", F.pmod(F.xxhash64("c", "root"), F.lit(slices)).alias("slice"), "__fp")
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        c = key[0].as_py()
+        values = table.column("__fp").to_numpy()
+        moved = cut.moved(values.view(np.uint64), c)
+        by = np.argsort(moved)
+        a, b = trie_join(moved[by], cut.depth(c), budget)
+        return pa.table({"a": values[by[a]], "b": values[by[b]]})
+
+    return dealt.groupBy("c", "slice").applyInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -220,123 +237,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return marked.join(of, "__fp").select(doc_id, F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-@lru_cache(1)
-def hasher() -> Hasher:
-    return Hasher(3)
-
-
-def shingles(text: bytes, shingle: int) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles, A-Z lower-cased; of fewer words the whole sequence is the one shingle."""
-    h = hasher().words(text.lower().split())
-    return np.unique(hasher().windows(h, min(shingle, len(h)))) if len(h) else h
-
-
-def jaccard(a: bytes, b: bytes, shingle: int) -> float:
-    """Of the sets of word shingles; 1 if both have no words."""
-    x, y = shingles(a, shingle), shingles(b, shingle)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
-
-
-def common_shingles(slim: DataFrame, shingle: int) -> np.ndarray:
-    """Sorted hashes of the shingles that many texts of a sample have (slim: __row, __text)."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(x, shingle) for x in common.texts(b.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, U), *sets]).view(np.int64))], names=["h"])
-
-    sample = slim.select("__text").where(F.pmod(F.xxhash64("__text"), F.lit(SAMPLE)) == 0)
-    often = sample.mapInArrow(each, "h long").groupBy("h").count().where(F.col("count") >= COMMON)
-    return np.sort(np.array([r.h for r in often.orderBy(F.desc("count"), "h").limit(LATE).collect()], np.int64).view(U))
-
-
-def prefixes(slim: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(h, size, row): each text's first shingles, so many that two similar texts share one of them.
-
-    The order is by hash, common shingles last. Of n shingles a similar text shares n * similarity at least, so all but
-    that many, and one more, are enough. size: the number of shingles and, in the lower 32 bits, the place in the order.
-    """
-    late = common_shingles(slim, shingle)
-
-    def first(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        x = shingles(text, shingle)
-        if len(late) and len(x):
-            last = late[np.minimum(np.searchsorted(late, x), len(late) - 1)] == x
-            x = np.concatenate([x[~last], x[last]])
-        n = len(x)
-        x = x[: n - int(np.ceil(similarity * n - SLACK)) + 1] if n else x
-        return x, (n << 32) + np.arange(len(x), dtype=np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = [first(x) for x in common.texts(b.column(1))]
-            if parts:
-                h, size = (np.concatenate(x) for x in zip(*parts, strict=True))
-                row = np.repeat(b.column(0).to_numpy(), [len(x) for x, _ in parts])
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(size), pa.array(row)], names=["h", "size", "row"])
-
-    return slim.select("__row", "__text").mapInArrow(run, "h long, size long, row long")
-
-
-def candidates(posts: DataFrame, similarity: float, rest: bool = False) -> DataFrame:
-    """(a, b, h, size) from prefixes(): pairs of rows that share a shingle, unless their sizes or its places rule out the similarity.
-
-    First, a text is paired with the FIRST next larger ones of each shingle. If more can be paired, all rows of that shingle
-    are returned, too (b is null), for the second time (rest): then all other pairs whose `root` differs are returned.
-    """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("h", pa.int64()), ("size", pa.int64())])
-    columns = ["h", "size", "row", *(["root"] if rest else [])]
-
-    def pairs(h: np.ndarray, size: np.ndarray, row: np.ndarray, root: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-        n, place = size >> 32, size & 0xFFFFFFFF
-        at, d = np.arange(len(h)), FIRST + 1 if rest else 1
-        while True:
-            at = at[: np.searchsorted(at, len(h) - d)]
-            # within a shingle sizes ascend: one too large is followed by larger ones
-            at = at[(h[at] == h[at + d]) & (n[at] >= similarity * n[at + d] - SLACK)]
-            if not len(at) or (not rest and d > FIRST):
-                break
-            to = at + d
-            ok = np.minimum(n[at] - place[at], n[to] - place[to]) >= similarity / (1 + similarity) * (n[at] + n[to]) - SLACK
-            if rest:
-                ok &= root[at] != root[to]
-            x, y = row[at[ok]], row[to[ok]]
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), *[pa.nulls(len(x), pa.int64())] * 2], schema=schema)
-            d += 1
-        if len(at):
-            more = np.isin(h, np.unique(h[at]))
-            yield pa.RecordBatch.from_arrays([pa.array(row[more]), pa.nulls(int(more.sum()), pa.int64()), pa.array(h[more]), pa.array(size[more])], schema=schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * len(columns)
-        for b in batches:
-            held = [np.concatenate([x, y.to_numpy()]) for x, y in zip(held, b.columns, strict=True)]
-            if len(held[0]):
-                cut = np.searchsorted(held[0], held[0][-1])  # the last shingle's rows may go on
-                yield from pairs(*(x[:cut] for x in held))
-                held = [x[cut:] for x in held]
-        yield from pairs(*held)
-
-    return posts.select(*columns).repartition("h").sortWithinPartitions("h", "size", "row").mapInArrow(run, "a long, b long, h long, size long")
-
-
-def verified(pairs: DataFrame, rows: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of rows whose texts have the similarity. Only texts that stand in a pair are moved to pairs."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("__row")).distinct()
-    texts_ = common.save(rows.select("__row", common.text_or_empty(text).alias("__text")).join(needed, "__row", "left_semi"), "texts")
-    side = lambda c: texts_.select(F.col("__row").alias(c), F.col("__text").alias(f"__text_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "__text_a", "__text_b")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            near = pa.array([jaccard(p, q, shingle) >= similarity for p, q in zip(common.texts(x.column(2)), common.texts(x.column(3)), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays(x.columns[:2], names=["a", "b"]).filter(near)
-
-    return both.mapInArrow(compare, "a long, b long")
-
-
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, budget: int = 3) -> DataFrame:
     """One document of each group of near copies, that with the least id, with all its columns.
 
@@ -355,15 +255,15 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     for c in ("a", "b"):
         found = found.join(each.select(F.col("__fp").alias(c), F.col("__first").alias(f"__{c}")), c)
     sure = same.unionByName(found.select(F.col("__a").alias("a"), F.col("__b").alias("b")))
+    marks = common.save(signatures(slim, shingle), "signatures")
     maybe = common.save(candidates(prefixes(slim, shingle, similarity), similarity), "candidates")
-    pairs = maybe.where("b IS NOT NULL").select("a", "b").distinct()
-    linked = components(sure.unionByName(verified(common.save(pairs, "pairs"), rows, text, shingle, similarity)))
+    near = lambda pairs: verified(common.save(not_ruled_out(pairs, marks, similarity), "pairs"), rows, text, shingle, similarity)
+    linked = components(sure.unionByName(near(maybe.where("b IS NOT NULL"))))
     more = maybe.where("b IS NULL").select("h", "size", F.col("a").alias("row"))
     if more.limit(1).count():
         more = more.join(linked.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-        pairs = candidates(more, similarity, rest=True).select("a", "b").distinct()
         joined = linked.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
-        linked = components(joined.unionByName(verified(common.save(pairs, "pairs"), rows, text, shingle, similarity)))
+        linked = components(joined.unionByName(near(candidates(more, similarity, rest=True))))
     ids = linked.join(rows.select(F.col("__row").alias("node"), F.col(doc_id).alias("__id")), "node")
     keep = ids.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "node")).alias("__keep")).select(F.col("__keep.node").alias("node"))
     lost = linked.select("node").join(keep, "node", "left_anti").select(F.col("node").alias("__row"))

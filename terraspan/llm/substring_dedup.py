@@ -4,11 +4,13 @@ Windows of a first length that occur more than once, and they alone, are extende
 the full window. Of the full windows, those whose words also start earlier (lesser doc_id, or same document, earlier
 start) are covered, and the words they cover are removed.
 
-The documents are packed once into blocks of whole texts, one row each, in a table bucketed by block. A level then is:
-each block sends, for every slice of the hash space, its sorted distinct window hashes (differences, packed); a slice
-finds which of them other blocks have too, and answers each block with one bit a hash. The block table isn't shuffled
-again: the answers come to it. Hashes of inner levels are only as long as the number of windows asks for, since a false
-repeat there costs work, not correctness; full windows are compared by 128 bits.
+Documents are dealt once to blocks of neighbouring rows, in a table bucketed by block. A level then is: each block
+sends, for every slice of the hash space, its sorted distinct window hashes (differences, packed); a slice finds which
+of them other blocks have too, and answers each block with one bit a hash. The block table isn't shuffled again: the
+answers come to its buckets, and a block meets its answers in one group. Hashes of inner levels are only as long as the
+number of windows asks for, since a false repeat there costs work, not correctness; full windows are compared by 128 bits.
+
+What is sent is at most one row for each distinct window of a block, and a task holds one block, or one slice, at a time.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -29,12 +31,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terraspan.llm import common
-from terraspan.llm.words import Hasher, U
+from terraspan.llm.words import Hasher, U, spans
 
 #: Bytes of text in a block; a longer text is a block by itself.
-BLOCK = 8 << 20
+BLOCK = 2 << 20
+#: Bytes of text in a bucket of the block table, about.
+BUCKET = 64 << 20
 #: Windows in a slice of the hash space, about, over all blocks.
-SLICE = 4_000_000
+SLICE = 2_000_000
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -48,46 +52,35 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel(), dtype=U)
 
 
-def blocks(docs: DataFrame, text: str) -> DataFrame:
-    """The block table, bucketed by __block: __bytes of text, and __rows, the documents of the block as they came."""
-    schema = T.StructType([T.StructField("__block", T.LongType()), T.StructField("__bytes", T.LongType()), T.StructField("__rows", T.ArrayType(docs.schema))])
-    place = docs.columns.index(text)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
-
-        def close() -> pa.RecordBatch:
-            rows = pa.concat_arrays([b.to_struct_array() for b in held])
-            listed = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
-            return pa.RecordBatch.from_arrays([pa.array([part << 24 | number]), pa.array([size]), listed], names=["__block", "__bytes", "__rows"])
+def blocks(docs: DataFrame, text: str, size: int) -> tuple[DataFrame, str]:
+    """The block table, bucketed by __block: the rows of docs, each with its block; and its name in the catalogue."""
+    names, place = docs.columns, docs.columns.index(text)
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = TaskContext.get().partitionId() << 24, 0
         for b in batches:
-            lengths = np.array([len(x) for x in common.texts(b.column(place))], np.int64)
-            i = 0
-            while i < len(lengths):
-                fits = max(int(np.searchsorted(np.cumsum(lengths[i:]), BLOCK - size, "right")), 0 if held else 1)
-                if fits:
-                    held.append(b.slice(i, fits))
-                    size += int(lengths[i : i + fits].sum())
-                    i += fits
-                if i < len(lengths):
-                    yield close()
-                    held, size, number = [], 0, number + 1
-        if held:
-            yield close()
+            lengths = pc.binary_length(b.column(place)).fill_null(0).to_pylist()
+            own = np.empty(len(lengths), np.int64)
+            for k, n in enumerate(lengths):
+                if held and held + n > BLOCK:
+                    number, held = number + 1, 0
+                held += n + 1
+                own[k] = number
+            yield pa.RecordBatch.from_arrays([pa.array(own), *b.columns], names=["__block", *names])
 
     spark, name = docs.sparkSession, f"substring_blocks_{uuid.uuid4().hex}"
     path = f"{common.shared_folder(spark)}/{name}"
-    docs.mapInArrow(pack, schema).write.bucketBy(max(4, common.shuffle_partitions(spark)), "__block").option("path", path).saveAsTable(name)
-    return spark.table(name)
+    schema = T.StructType([T.StructField("__block", T.LongType()), *docs.schema.fields])
+    docs.mapInArrow(deal, schema).write.bucketBy(max(4, common.shuffle_partitions(spark), size // BUCKET), "__block").option("path", path).saveAsTable(name)
+    return spark.table(name), name
 
 
 @dataclass(frozen=True)
 class Plan:
     """How a run works; the same for all its blocks and passes."""
 
-    id: int  # places of the columns
-    text: int
+    id: str  # names of the columns
+    text: str
     window: int
     levels: tuple[int, ...]
     bits: int  # of a hash of an inner level
@@ -97,28 +90,27 @@ class Plan:
 class Block:
     """A block's words and what the answered levels tell of them; each pass works it out anew and alike."""
 
-    def __init__(self, plan: Plan, rows: pa.StructArray, answers: list[dict]):
-        self.plan, self.answers, self.table = plan, answers, pa.RecordBatch.from_struct_array(rows)
-        self.ids, self.texts = self.table.column(plan.id).to_pylist(), common.texts(self.table.column(plan.text))
+    def __init__(self, plan: Plan, table: pa.Table, answers: list[dict]):
+        self.plan, self.answers, self.table = plan, answers, table
+        ids, texts = table.column(plan.id).to_pylist(), common.texts(table.column(plan.text))
         # null ids come first; rows of one id go by their text, so that the order doesn't depend on how they came
-        self.order = sorted(range(len(self.ids)), key=lambda k: (self.ids[k] is not None, self.ids[k] or 0, self.texts[k]))
-        words, self.counts = [], np.zeros(len(self.order), np.int64)
-        for k, i in enumerate(self.order):
-            own = self.texts[i].split()
-            self.counts[k] = len(own)
-            words += own
-        self.hashes = hasher(1).words(words)
-        self.second = hasher(2).words(words) if answers else self.hashes[:0]
-        del words
+        self.order = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or 0, texts[k]))
+        self.ids, self.texts = [ids[i] for i in self.order], [texts[i] for i in self.order]
+        ends = np.cumsum([len(x) + 1 for x in self.texts])
+        data = np.frombuffer(b"\n".join(self.texts), np.uint8)
+        starts, lengths = spans(data)
+        self.counts = np.diff(np.searchsorted(starts, ends), prepend=0)
+        self.hashes = hasher(1).words(data, starts, lengths)
+        self.second = hasher(2).words(data, starts, lengths) if answers else self.hashes[:0]
         self.left = np.repeat(np.cumsum(self.counts), self.counts) - np.arange(len(self.hashes))  # words from here to the document's end
         self.flags, self.last = None, 0
         for level in plan.levels:
             bits = answered([x for x in answers if x["level"] == level])
             if bits is None:
                 break
-            start, values, back, times = self.inner(level)
+            start, h, values, times = self.inner(level)
             flags = np.zeros(len(self.hashes), bool)
-            flags[start] = ((times > 1) | same_size(bits, values))[back]
+            flags[start] = members(values[(times > 1) | same_size(bits, values)], h, plan.bits)
             self.flags, self.last = flags, level
 
     def starts(self, level: int) -> np.ndarray:
@@ -130,10 +122,12 @@ class Block:
         return start
 
     def inner(self, level: int) -> tuple[np.ndarray, ...]:
-        """Starts of the windows, their sorted distinct hashes, and for each start the place of its hash; how often each hash occurs."""
+        """Starts of the windows and their hashes; the sorted distinct hashes, and how often each occurs."""
         start = self.starts(level)
         h = hasher(1).windows(self.hashes, level)[start] >> U(64 - self.plan.bits) if len(start) else np.zeros(0, U)
-        return start, *np.unique(h, return_inverse=True, return_counts=True)
+        ordered = np.sort(h)
+        new = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(h) else start
+        return start, h, ordered[new], np.diff(new, append=len(h))
 
     def outer(self) -> tuple[np.ndarray, ...]:
         """Starts of the full windows; of each distinct one, in the order of its two hashes: the hashes, its first start; and for each start the place of its hashes."""
@@ -167,61 +161,73 @@ def same_size(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return bits
 
 
-def read_block(plan: Plan, b: pa.RecordBatch) -> Iterator[tuple[int, Block]]:
-    for i in range(len(b)):
-        rows = b.column("__rows").slice(i, 1).flatten()
-        answers = (b.column("__answers")[i].as_py() or []) if "__answers" in b.schema.names else []
-        yield b.column("__block")[i].as_py(), Block(plan, rows, answers)
+def by_block(table: DataFrame, known: DataFrame | None, plan: Plan, work, schema: str | T.StructType) -> DataFrame:
+    """What work(number, Block) gives for each block, with its answers where there are any."""
+    own = table.groupBy("__block")
+    if known is None:
+        return own.applyInArrow(lambda key, rows: work(key[0].as_py(), Block(plan, rows, [])), schema)
 
+    def run(key: tuple, rows: pa.Table, told: pa.Table) -> pa.Table:
+        return work(key[0].as_py(), Block(plan, rows, told.to_pylist()))
 
-def sent(table: DataFrame, plan: Plan, level: int) -> DataFrame:
+    return own.cogroup(known.groupBy("__block")).applyInArrow(run, schema)
+
+
+def sent(table: DataFrame, known: DataFrame | None, plan: Plan, level: int) -> DataFrame:
     """What blocks send: (__block, slice, data), the distinct window hashes of a level that fall in a slice; for full windows also their second hashes and first documents."""
-    schema, full = "__block long, slice int, data binary", level == plan.window
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for number, block in read_block(plan, b):
-                if full:
-                    _, one, two, first, _ = block.outer()
-                    doc = np.searchsorted(np.cumsum(block.counts), first, "right")
-                    ids = np.array([np.iinfo(np.int64).min if block.ids[i] is None else block.ids[i] for i in block.order], np.int64)
-                    at = (one >> U(64 - plan.slices)).astype(np.int64)
-                else:
-                    one = block.inner(level)[1]
-                    at = (one >> U(plan.bits - plan.slices)).astype(np.int64)
-                cuts = np.searchsorted(at, np.arange((1 << plan.slices) + 1))
-                filled = np.flatnonzero(cuts[1:] > cuts[:-1])
-                data = []
-                for s in filled:
-                    own = slice(cuts[s], cuts[s + 1])
-                    body = packed(one[own])
-                    if full:
-                        docs, of = np.unique(doc[own], return_inverse=True)
-                        parts = [body, two[own].tobytes(), zstandard.compress(ids[docs].tobytes(), 1), zstandard.compress(of.astype("<u4").tobytes(), 1)]
-                        body = np.array([len(x) for x in parts], "<u8").tobytes() + b"".join(parts)
-                    data.append(body)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(filled), number)), pa.array(filled.astype(np.int32)), pa.array(data, pa.binary())], names=["__block", "slice", "data"])
-
-    return table.mapInArrow(run, schema)
-
-
-def answer_inner(pdf: pd.DataFrame) -> list[np.ndarray]:
-    """For each block's hashes: does another block have them too?"""
-    lists = [unpacked(x) for x in pdf["data"]]
-    every = np.sort(np.concatenate(lists))
+    def send(number: int, block: Block) -> pa.Table:
+        if level == plan.window:
+            _, one, two, first, _ = block.outer()
+            doc = np.searchsorted(np.cumsum(block.counts), first, "right")
+            ids = np.array([np.iinfo(np.int64).min if i is None else i for i in block.ids], np.int64)
+            at = (one >> U(64 - plan.slices)).astype(np.int64)
+        else:
+            one = block.inner(level)[2]
+            at = (one >> U(plan.bits - plan.slices)).astype(np.int64)
+        cuts = np.searchsorted(at, np.arange((1 << plan.slices) + 1))
+        filled = np.flatnonzero(cuts[1:] > cuts[:-1])
+        data = []
+        for s in filled:
+            own = slice(cuts[s], cuts[s + 1])
+            body = packed(one[own])
+            if level == plan.window:
+                docs, of = np.unique(doc[own], return_inverse=True)
+                parts = [body, two[own].tobytes(), zstandard.compress(ids[docs].tobytes(), 1), zstandard.compress(of.astype("<u4").tobytes(), 1)]
+                body = np.array([len(x) for x in parts], "<u8").tobytes() + b"".join(parts)
+            data.append(body)
+        return pa.table({"__block": pa.array(np.full(len(filled), number)), "slice": pa.array(filled.astype(np.int32)), "data": pa.array(data, pa.binary())})
+
+    return by_block(table, known, plan, send, "__block long, slice int, data binary")
+
+
+def answer_inner(data: list[bytes], bits: int) -> list[np.ndarray]:
+    """For each block's hashes, of so many bits: does another block have them too?"""
+    lists = [unpacked(x) for x in data]
+    every = np.concatenate(lists)
+    every.sort()
     shared = np.unique(every[1:][every[1:] == every[:-1]])
-    return [found(shared, x) for x in lists]
+    del every
+    return [members(shared, x, bits) for x in lists]
 
 
-def found(ordered: np.ndarray, x: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(ordered, x)
-    return (at < len(ordered)) & (ordered[np.minimum(at, max(0, len(ordered) - 1))] == x) if len(ordered) else np.zeros(len(x), bool)
+def members(ordered: np.ndarray, x: np.ndarray, bits: int) -> np.ndarray:
+    """Is each x, a number of so many bits, among the ordered ones? A table of first bits answers most without a search."""
+    if not len(ordered):
+        return np.zeros(len(x), bool)
+    first = min(bits, len(ordered).bit_length() + 4)
+    maybe = np.zeros(1 << first, bool)
+    maybe[(ordered >> U(bits - first)).astype(np.int64)] = True
+    out = maybe[(x >> U(bits - first)).astype(np.int64)]
+    some = x[out]
+    out[out] = ordered[np.minimum(np.searchsorted(ordered, some), len(ordered) - 1)] == some
+    return out
 
 
-def answer_full(pdf: pd.DataFrame) -> list[np.ndarray]:
+def answer_full(data: list[bytes], blocks_: np.ndarray) -> list[np.ndarray]:
     """For each block's full windows: has another block an earlier start of the same words (lesser document; of one document's rows, lesser block)?"""
     ones, twos, ids = [], [], []
-    for x in pdf["data"]:
+    for x in data:
         lengths, at, parts = np.frombuffer(x, "<u8", 4).astype(int), 32, []
         for n in lengths:
             parts.append(x[at : at + n])
@@ -230,7 +236,7 @@ def answer_full(pdf: pd.DataFrame) -> list[np.ndarray]:
         twos.append(np.frombuffer(parts[1], U))
         ids.append(np.frombuffer(zstandard.decompress(parts[2]), np.int64)[np.frombuffer(zstandard.decompress(parts[3]), "<u4")])
     one, two, doc = map(np.concatenate, (ones, twos, ids))
-    block = np.repeat(pdf["__block"].to_numpy(), [len(x) for x in ones])
+    block = np.repeat(blocks_, [len(x) for x in ones])
     by = np.lexsort((block, doc, two, one))
     new = np.append(True, (one[by][1:] != one[by][:-1]) | (two[by][1:] != two[by][:-1]))
     later = np.empty(len(by), bool)
@@ -238,20 +244,16 @@ def answer_full(pdf: pd.DataFrame) -> list[np.ndarray]:
     return np.split(later, np.cumsum([len(x) for x in ones])[:-1])
 
 
-def answers(messages: DataFrame, level: int, full: bool) -> DataFrame:
-    """(__block, __answers): each block's answers of a level, from all slices."""
+def answers(messages: DataFrame, plan: Plan, level: int) -> DataFrame:
+    """(__block, level, slice, n, bits): each block's answer of a level from each slice."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        bits = (answer_full if full else answer_inner)(pdf)
-        return pd.DataFrame({"__block": pdf["__block"], "level": level, "slice": int(key[0]), "n": [len(x) for x in bits], "bits": [np.packbits(x).tobytes() for x in bits]})
+    def run(key: tuple, sent_: pa.Table) -> pa.Table:
+        blocks_, data = sent_.column("__block").to_numpy(), sent_.column("data").to_pylist()
+        bits = answer_full(data, blocks_) if level == plan.window else answer_inner(data, plan.bits)
+        n = len(bits)
+        return pa.table({"__block": blocks_, "level": pa.array([level] * n, pa.int32()), "slice": pa.array([key[0].as_py()] * n, pa.int32()), "n": pa.array([len(x) for x in bits], pa.int32()), "bits": pa.array([np.packbits(x).tobytes() for x in bits], pa.binary())})
 
-    return messages.groupBy("slice").applyInPandas(run, "__block long, level int, slice int, n int, bits binary")
-
-
-def with_answers(table: DataFrame, known: DataFrame) -> DataFrame:
-    """The block table with what has been answered; the answers go to the buckets of the table, not the table to them."""
-    gathered = known.groupBy("__block").agg(F.collect_list(F.struct("level", "slice", "n", "bits")).alias("__answers"))
-    return table.join(gathered.hint("shuffle_hash"), "__block", "left")
+    return messages.groupBy("slice").applyInArrow(run, "__block long, level int, slice int, n int, bits binary")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20, first: int = 10, digest: bool = False) -> DataFrame:
@@ -262,7 +264,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     others. Rows that share an id count as one document after the other, so of repeated rows the first stays whole.
     Null and empty texts have no words; texts under `window` words keep all. `first` times a power of two is `window`.
     digest: kept_sha256 instead of kept_text, and of the columns of docs only doc_id. Columns that have the names of
-    new ones are replaced. An empty table gives no rows.
+    new ones are replaced. An empty table gives no rows. The result is written to the shared folder and read back.
     """
     levels = [first]
     while levels[-1] < window:
@@ -272,28 +274,22 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     new = ("n_words", "n_removed", "kept_sha256" if digest else "kept_text")
     docs = docs.select(doc_id, text) if digest else docs.drop(*(c for c in new if c not in (doc_id, text)))
     docs = docs.withColumn(text, F.col(text).cast("string"))
-    table = blocks(docs, text)
-    size = int(table.agg(F.sum("__bytes")).first()[0] or 0)
+    size = int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
+    table, name = blocks(docs, text, size)
     slices = max(common.shuffle_partitions(docs.sparkSession), size // 6 // SLICE, 2).bit_length()
-    plan = Plan(docs.columns.index(doc_id), docs.columns.index(text), window, tuple(levels[:-1]), min(64, max(20, (size // 4).bit_length()) + 10), slices)
-    now, known = table, None
+    plan = Plan(doc_id, text, window, tuple(levels[:-1]), min(64, max(20, (size // 4).bit_length()) + 10), slices)
+    known = None
     for level in levels:
-        told = answers(sent(now, plan, level), level, level == window)
-        told = common.save(told, "answers")
+        told = common.save(answers(sent(table, known, plan, level), plan, level), "answers")
         known = told if known is None else known.unionByName(told)
-        now = with_answers(table, known)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for _, block in read_block(plan, b):
-                yield cut(block, plan, digest)
-
     kept = [f for f in docs.schema.fields if not digest or f.name == doc_id]
     schema = T.StructType([*kept, T.StructField(new[0], T.LongType()), T.StructField(new[1], T.LongType()), T.StructField(new[2], T.StringType())])
-    return now.select("__block", "__rows", "__answers").mapInArrow(run, schema)
+    out = common.save(by_block(table, known, plan, lambda _, block: cut(block, plan, digest), schema), "substring")
+    docs.sparkSession.sql(f"DROP TABLE {name}")  # an external table: its files stay in the shared folder
+    return out
 
 
-def cut(block: Block, plan: Plan, digest: bool) -> pa.RecordBatch:
+def cut(block: Block, plan: Plan, digest: bool) -> pa.Table:
     """The block's documents without their covered words."""
     start, _, _, firsts, back = block.outer()
     bits = answered([x for x in block.answers if x["level"] == plan.window])
@@ -304,16 +300,15 @@ def cut(block: Block, plan: Plan, digest: bool) -> pa.RecordBatch:
         np.add.at(covered, here + plan.window, -1)
     gone = np.cumsum(covered)[:-1] > 0
     ends = np.cumsum(block.counts)
-    n, removed, words = len(block.order), np.zeros(len(block.order), np.int64), [None] * len(block.order)
-    counts = np.zeros(n, np.int64)
+    n = len(block.order)
+    counts, removed, words = np.zeros(n, np.int64), np.zeros(n, np.int64), [None] * n
     for k, i in enumerate(block.order):
-        own, flags = block.texts[i].split(), gone[ends[k] - block.counts[k] : ends[k]]
+        own, flags = block.texts[k].split(), gone[ends[k] - block.counts[k] : ends[k]]
         counts[i], removed[i] = len(own), int(flags.sum())
         line = b" ".join([w for w, f in zip(own, flags.tolist(), strict=True) if not f] if removed[i] else own)
         words[i] = hashlib.sha256(line).hexdigest() if digest else line.decode()
-    columns = [block.table.column(plan.id)] if digest else block.table.columns
-    names = [block.table.schema.names[plan.id]] if digest else block.table.schema.names
-    return pa.RecordBatch.from_arrays([*columns, pa.array(counts), pa.array(removed), pa.array(words, pa.string())], names=[*names, "n_words", "n_removed", "kept_sha256" if digest else "kept_text"])
+    names = [plan.id] if digest else [c for c in block.table.column_names if c != "__block"]
+    return pa.table([*(block.table.column(c) for c in names), pa.array(counts), pa.array(removed), pa.array(words, pa.string())], names=[*names, "n_words", "n_removed", "kept_sha256" if digest else "kept_text"])
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", window: int = 20, first: int = 10) -> DataFrame:

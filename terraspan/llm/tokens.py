@@ -2,8 +2,8 @@
 
 The word-level tokenizer's rules never look across white space, and the special tokens hold none. So a text's ids are
 those of its white-space separated chunks in order, and a chunk that has been seen needs only a lookup. Chunks of
-ASCII and Latin-1 letters, digits and marks are split here as the tokenizer's pattern does; any other chunk goes to the
-tokenizer as it is.
+ASCII and Latin-1 letters, digits and marks are split here as the tokenizer's pattern does; others by the tokenizer's own
+normaliser and pre-tokenizer. The ids of all pieces come from piece_ids.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 #: The id that ends a document.
 END = 2
-#: Chunks, and pieces, that a worker remembers at most; then it starts over.
-REMEMBER = 400_000
+#: Chunks, and pieces, of one generation that a worker remembers; it keeps two.
+REMEMBER = 120_000
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -38,6 +38,19 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
 
 
+class Memory:
+    """What has been worked out lately: when a generation is full, the one before it is forgotten. What is used stays."""
+
+    def __init__(self):
+        self.young, self.old = {}, {}
+
+    def put(self, key, value):
+        if len(self.young) >= REMEMBER:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
+        return value
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers. piece_ids gives the ids of one lower-case piece."""
 
@@ -46,34 +59,40 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.letters = byte_letters()
+        self.bytes = {letter: b for b, letter in enumerate(self.letters)}
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = {t: np.array([i], "<u4").tobytes() for t, i in special.items()}
+        self.around = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")" if special else "(?!)")
         self.piece_ids = piece_ids or self._by_library
-        self.chunks: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.chunks, self.pieces = Memory(), Memory()
 
     def _by_library(self, piece: bytes) -> list[int]:
         return [t.id for t in self.tokenizer.model.tokenize("".join(map(self.letters.__getitem__, piece)))]
 
     def _piece(self, piece: str) -> bytes:
-        if (ids := self.pieces.get(piece)) is None:
-            if len(self.pieces) >= REMEMBER:
-                self.pieces.clear()
-            ids = self.pieces[piece] = np.array(self.piece_ids(piece.encode()), "<u4").tobytes()
+        if (ids := self.pieces.young.get(piece)) is None:
+            ids = self.pieces.old.get(piece)
+            ids = self.pieces.put(piece, np.array(self.piece_ids(piece.encode()), "<u4").tobytes() if ids is None else ids)
         return ids
 
     def _chunk(self, chunk: bytes) -> bytes:
+        if (ids := self.chunks.old.get(chunk)) is not None:
+            return self.chunks.put(chunk, ids)
         text = chunk.decode()
         if PLAIN.fullmatch(text) and "<|" not in text:
             pieces = PIECES.findall(text.lower())
             ids = self._piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self._piece, pieces))
         else:
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.chunks) >= REMEMBER:
-            self.chunks.clear()
-        self.chunks[chunk] = ids
-        return ids
+            ids = b"".join(self.special[x] if x in self.special else self._split(x) for x in self.around.split(text) if x)
+        return self.chunks.put(chunk, ids)
+
+    def _split(self, text: str) -> bytes:
+        """By the tokenizer's rules; a piece then has a letter for each of its bytes."""
+        pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))
+        return b"".join(self._piece(bytes(map(self.bytes.__getitem__, x)).decode()) for x, _ in pieces)
 
     def ids(self, text: bytes) -> bytes:
-        known, new = self.chunks.get, self._chunk
+        known, new = self.chunks.young.get, self._chunk
         return b"".join([known(c) or new(c) for c in text.split()])
 
 

@@ -8,10 +8,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import xxhash
 from tokenizers import Tokenizer
 
-from terraspan.llm import bpe, exact_dedup, licenses, packing, quality, sharding, simhash, substring_dedup, syncmers, wavelet
+from terraspan.llm import bpe, exact_dedup, licenses, packing, quality, sharding, shingles, simhash, substring_dedup, syncmers, wavelet
 from tests.llm.conftest import CLASHING
 
 TABLES = ["odd", "some"]
@@ -194,7 +195,7 @@ def test_licenses(spark, docs):
         line = line.lower()
         for a, b in licenses.SPELLINGS:
             line = line.replace(a, b)
-        return re.sub("[^a-z0-9]+", " ", line).strip()
+        return regex.sub(r"[^\p{L}\p{N}]+", " ", line).strip()
 
     def units(text):
         lines = [x for x in map(canonical, text.split("\n")) if x]
@@ -215,7 +216,7 @@ def test_licenses(spark, docs):
 def test_full_licenses_whole_and_inside(spark):
     full = dict(licenses.full_texts()[:11])
     mit = licenses.KNOWN[4][1]
-    rows = [("© 2020 X\n" + mit, "MIT", "MIT"), ("Copyright (c) X\n" + mit, "MIT", "MIT"), ("Copyright X 2020\n" + mit, "MIT", "MIT")]
+    rows = [("© 2020 X\n" + mit, "MIT", "MIT"), ("Copyright (c) X\n" + mit, "MIT", "MIT"), ("Copyright X 2020\n" + mit, "MIT", "MIT"), ("Copyright Jane Doe\n" + mit, "MIT", "MIT"), ("Автор All rights reserved. Иван", "", None)]
     rows += [(t, n, n) for n, t in full.items()]
     rows += [("# code\n" + "\n".join("# " + x for x in t.split("\n")) + "\nx = 1", n, None) for n, t in [*full.items(), ("MIT", mit)]]
     rows += [(full["GPL-2.0"][:9000], "", None), ("All rights reserved.", "Proprietary", "Proprietary")]
@@ -278,6 +279,68 @@ def test_syncmers(docs):
     assert all(len(x) == 1 for x in of.values())
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of strings' bytes and longs, one after the other."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else v.to_bytes(8, "little", signed=True), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def plain_anchors(text):
+    words = re.findall("[^\x20\x09-\x0d]+", text)
+    line = [1, 2, 3, *(spark_hash(w.encode()) for w in words)] if words else []
+    p = [spark_hash(a, b) for a, b in zip(line, line[1:])]
+    return [(i, spark_hash(p[i], p[i + 2])) for i in range(len(p) - 2) if min(p[i], p[i + 2]) <= p[i + 1]]
+
+
+def plain_sketch(text):
+    return sorted({(h & (1 << 64) - 1) >> 32 for _, h in plain_anchors(text)})[: syncmers.SKETCH]
+
+
+def plain_likeness(a, b):
+    least = sorted({*a, *b})[: syncmers.SKETCH]
+    return 2 * len({*a} & {*b} & {*least}) / (len({*a} & {*least}) + len({*b} & {*least})) if least else 1.0
+
+
+def test_syncmers_are_those_of_the_rule(spark, some):
+    docs = some.limit(120)
+    rows = sorted(rows_of(docs), key=lambda x: id_key(x[0]))
+    want = {}
+    for k, (i, t) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        s, e, n = map(plain_sketch, (t, edited, after))
+        want[i] = len(t), sha(edited.encode()), "".join(f"{x:08x}" for x in s), "".join(f"{x:08x}" for x in e), plain_likeness(s, e), plain_likeness(s, n)
+    assert {r[0]: tuple(r[1:]) for r in syncmers.fingerprints(docs).collect()} == want
+
+
+@pytest.mark.parametrize(("partitions", "range_"), [(3, 16 << 20), (4, 2000)])
+def test_syncmers_in_many_ranges(spark, some, monkeypatch, partitions, range_):
+    """The next document is found across ranges, counted ones and steps within them, wherever the cuts are."""
+    monkeypatch.setattr(syncmers, "RANGE", range_)
+    monkeypatch.setattr(syncmers, "COARSE", 5)
+    monkeypatch.setattr(syncmers, "GROUP", 4)
+    gaps = some.where("doc_id % 7 <> 3").withColumn("doc_id", syncmers.F.expr("if(doc_id > 100, doc_id * 1000003, doc_id)")).repartition(partitions)
+    rows = sorted(rows_of(gaps), key=lambda x: id_key(x[0]))
+    want = {i: sha((t[: len(t) - len(t) // 2] + rows[(k + 1) % len(rows)][1][: len(t) // 2]).encode()) for k, (i, t) in enumerate(rows)}
+    assert {r.doc_id: r.edited_sha256 for r in syncmers.fingerprints(gaps).collect()} == want
+
+
+def test_anchors_match_by_position(spark):
+    r = np.random.default_rng(3)
+    words = [f"w{x}" for x in r.integers(0, 400, 300)]
+    moved = ["new"] * 17 + words[40:]
+    rows = [(0, " ".join(words), " ".join(moved)), (1, " ".join(words), " ".join(words)), (2, " ".join(words), "nothing of this is there at all"), (3, None, "one two three"), (4, "", None)]
+    out = {x.pair: x for x in syncmers.matched(spark.createDataFrame(rows, "pair int, left string, right string")).collect()}
+    for k, a, b in rows:
+        first = [{h: i for i, h in reversed(plain_anchors(t or ""))} for t in (a, b)]
+        shifts = Counter(first[1][h] - i for h, i in first[0].items() if h in first[1])
+        best = min(shifts.items(), key=lambda x: (-x[1], x[0])) if shifts else (None, 0)
+        assert (out[k].n_left, out[k].n_right, out[k].shift, out[k].n_shift) == (len(first[0]), len(first[1]), *best)
+    assert out[0].shift == -23 and out[0].n_shift > 100 and out[1].shift == 0
+
+
 def test_syncmers_one_document(spark):
     out = syncmers.fingerprints(spark.createDataFrame([(7, "a b c d e f g h")], "doc_id long, text string")).collect()
     assert len(out) == 1 and out[0].near_next == 1 and out[0].edited_sha256 == sha(b"a b c d a b c d"[:0] + ("a b c d e f g h"[:8] + "a b c d e f g h"[:7]).encode())
@@ -388,13 +451,13 @@ def test_near_dedup_goes_on_behind_failing_pairs(spark):
 def test_pairs_of_a_shingle_in_many_texts(spark):
     n = 12
     posts = spark.createDataFrame([(7, (100 << 32) + 2, k) for k in range(n)] + [(8, (k << 32), k) for k in (10, 20, 40)], "h long, size long, row long")
-    first = simhash.candidates(posts, 0.8).collect()
+    first = shingles.candidates(posts, 0.8).collect()
     near = {(r.a, r.b) for r in first if r.b is not None}
-    assert near == {(a, b) for a in range(n) for b in range(a + 1, n) if b - a <= simhash.FIRST}
+    assert near == {(a, b) for a in range(n) for b in range(a + 1, n) if b - a <= shingles.FIRST}
     more = spark.createDataFrame([(r.h, r.size, r.a, int(r.a > 5)) for r in first if r.b is None], "h long, size long, row long, root long")
     assert more.count() == n
-    rest = {(r.a, r.b) for r in simhash.candidates(more, 0.8, rest=True).collect()}
-    assert rest == {(a, b) for a in range(6) for b in range(6, n) if b - a > simhash.FIRST}
+    rest = {(r.a, r.b) for r in shingles.candidates(more, 0.8, rest=True).collect()}
+    assert rest == {(a, b) for a in range(6) for b in range(6, n) if b - a > shingles.FIRST}
 
 
 @pytest.mark.parametrize(("bits", "budget"), [(12, 1), (16, 3), (20, 2)])
