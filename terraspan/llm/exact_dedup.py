@@ -5,7 +5,8 @@ fingerprint space. A filter holds, for every quotient that occurs, the sorted ru
 filters of one slice merge without loss by merging sorted remainders. Fingerprints with a merged count above one send
 their rows to byte verification, where the texts themselves are the grouping key. All other rows are unique.
 
-Shuffled: the filters (about 5 bytes a distinct text and partition), ids with digests, and the texts of candidates.
+Shuffled: the filters (about 5 bytes a distinct text and partition), ids with digests, and the texts of candidates. (All
+texts move only if more than BROADCAST fingerprints are repeated, so that most texts are candidates anyway, or are many.)
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from terraspan.llm import common
 BITS = 48
 #: Fingerprints that a task gathers before it closes a set of filters.
 GATHER = 2_000_000
+#: Fingerprints, or keys of copies, that are broadcast at most (some 40 bytes each); more are joined by a shuffle.
+BROADCAST = 1_000_000
 
 
 def filter_bytes(fingerprints: np.ndarray, counts: np.ndarray, low: int) -> bytes:
@@ -109,9 +112,16 @@ def with_digest(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumn("__sha", digest).withColumn("__fp", F.conv(F.substring("__sha", 1, BITS // 4), 16, 10).cast("long"))
 
 
+def counted(table: DataFrame, what: str) -> DataFrame:
+    """A table, written and counted; to be broadcast if it has few rows."""
+    table = common.save(table, what)
+    return F.broadcast(table) if table.limit(BROADCAST + 1).count() <= BROADCAST else table
+
+
 def copy_groups(rows: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(__sha, __keep, __size) of each text that several rows hold; rows as with_digest gives them."""
-    candidates = rows.select(doc_id, common.text_or_empty(text).alias("__text"), "__sha", "__fp").join(repeated_fingerprints(rows), "__fp", "left_semi")
+    repeated = counted(repeated_fingerprints(rows), "fingerprints")
+    candidates = rows.select(doc_id, common.text_or_empty(text).alias("__text"), "__sha", "__fp").join(repeated, "__fp", "left_semi")
     # the text is in the key: rows are counted together only if their bytes are the same
     return candidates.groupBy("__sha", "__text").agg(F.max(doc_id).alias("__keep"), F.count(F.lit(1)).alias("__size")).where("__size > 1").drop("__text")
 
@@ -137,10 +147,12 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     groups = copy_groups(rows, doc_id, text)
     copies = rows.groupBy("__sha", "__key").agg(F.max(doc_id).alias("__id"), F.count(F.lit(1)).alias("__rows")).join(groups, "__sha")
     stays = F.col("__id").eqNullSafe(F.col("__keep"))
-    marked = rows.join(copies.where((F.col("__rows") > 1) | ~stays).select("__sha", "__key", stays.alias("__stays")), ["__sha", "__key"], "left")
+    odd = counted(copies.where((F.col("__rows") > 1) | ~stays).select("__sha", "__key", stays.alias("__stays")), "copies")
+    once = rows.join(odd, ["__sha", "__key"], "left_anti")
     # rows that repeat the id and the text of a row that stays are told apart by a number
     number = F.row_number().over(Window.partitionBy("__sha", "__key").orderBy(F.lit(1)))
-    return marked.withColumn("__n", number).where("__stays is null or (__stays and __n = 1)").select(*docs.columns)
+    again = rows.join(odd.where("__stays"), ["__sha", "__key"], "left_semi").withColumn("__n", number).where("__n = 1")
+    return once.select(*docs.columns).unionByName(again.select(*docs.columns))
 
 
 def query(spark, sf_dir):
