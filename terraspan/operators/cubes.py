@@ -6,9 +6,12 @@ traceid 2 marks a dead trace.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -168,14 +171,54 @@ def _attributes(values: Column) -> dict[str, Column]:
     return {"a": a, "lo": F.array_min(values), "hi": F.array_max(values)}
 
 
-def window_attributes(traces: DataFrame, header: CubeHeader, upper: DataFrame, lower: DataFrame, ndiv: int = 10, minimum_thickness: float = 0.0) -> DataFrame:
+def curvatures(n: int) -> np.ndarray:
+    """(n, n): what makes of n samples the second derivatives of the cubic spline through them, whose outer two pieces on each side are one cubic."""
+    a, b = np.zeros((n, n)), np.zeros((n, n))
+    for k in range(1, n - 1):
+        a[k, k - 1 : k + 2], b[k, k - 1 : k + 2] = (1, 4, 1), (6, -12, 6)
+    a[0, :3] = a[-1, -3:] = (1, -2, 1)
+    return np.linalg.solve(a, b)
+
+
+def splined(amp: Column, low: int, high: int, ndiv: int) -> Column:
+    """Samples low to high - 1 of each trace, ndiv times as dense on the cubic spline through them. Traces are taken in Arrow batches."""
+    n = high - low
+    bend = curvatures(n) if n > 2 else np.zeros((n, n))
+
+    @F.pandas_udf("array<double>")
+    def dense(own: pd.Series) -> pd.Series:
+        y = np.stack(own.to_numpy())[:, low:high].astype(float)
+        m = y @ bend.T
+        t = np.arange(ndiv) / ndiv
+        a, b, ma, mb = (x[:, :, None] for x in (y[:, :-1], y[:, 1:], m[:, :-1], m[:, 1:]))
+        s = 1 - t
+        between = s * a + t * b + ((s**3 - s) * ma + (t**3 - t) * mb) / 6
+        return pd.Series(list(np.concatenate([between.reshape(len(y), -1), y[:, -1:]], axis=1)))
+
+    return dense(amp)
+
+
+def window_around(traces: DataFrame, header: CubeHeader, surface: DataFrame, zrange: float, ndiv: int = 10, method: str = "linear") -> DataFrame:
+    """window_attributes() of the samples within a distance of one map."""
+    moved = lambda d: surface.withColumn("value", F.col("value") + d)
+    return window_attributes(traces, header, moved(-zrange), moved(zrange), ndiv, method=method)
+
+
+def window_attributes(traces: DataFrame, header: CubeHeader, upper: DataFrame, lower: DataFrame, ndiv: int = 10, minimum_thickness: float = 0.0, method: str = "linear") -> DataFrame:
     """(i, j, 14 attributes) of the samples between two maps of the cube's geometry, both ends included.
 
-    Samples are made ndiv times as dense by lines between them; the three sums are over the cube's own samples. Zero counts
+    Samples are made ndiv times as dense by lines between them, or (method "cubic") by a cubic spline through those from
+    two above the upper map's least depth to two below the lower map's largest; the three sums are over the cube's own samples. Zero counts
     as positive. A kind without samples has null, and so have dead traces and windows not thicker than the minimum.
     """
     maps = upper.select("i", "j", F.col("value").alias("__u")).join(lower.select("i", "j", F.col("value").alias("__l")), ["i", "j"])
     own = traces.where(F.col("traceid") != DEAD).join(maps, ["i", "j"]).where(F.col("__l") - F.col("__u") > minimum_thickness)
+    low = 0
+    if method == "cubic":
+        top, base = maps.agg(F.min("__u"), F.max("__l")).first()
+        ends = ((top or 0) - header.zori) / header.zinc - 2, ((base or 0) - header.zori) / header.zinc + 2
+        low, high = max(0, math.ceil(ends[0] - 1e-9)), min(header.nlay, math.floor(ends[1] + 1e-9) + 1)
+        own = own.withColumn("__dense", splined(F.col("amp"), low, high, ndiv) if high > low else F.array().cast("array<double>"))
 
     def within(n: int) -> Column:
         first = F.greatest(F.lit(0), F.ceil((F.col("__u") - header.zori) / header.zinc * n - 1e-9).cast("int"))
@@ -183,6 +226,8 @@ def window_attributes(traces: DataFrame, header: CubeHeader, upper: DataFrame, l
         places = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
         def value(p: Column) -> Column:
+            if n > 1 and method == "cubic":
+                return F.get("__dense", p - low * n)
             k = F.floor(p / n).cast("int")
             a = F.get("amp", k).cast("double")
             return a if n == 1 else a + (p % n) / float(n) * (F.coalesce(F.get("amp", k + 1).cast("double"), a) - a)

@@ -164,16 +164,17 @@ def in_hull(places: DataFrame, hulls: DataFrame, slack: float) -> DataFrame:
     return places.join(ring, "__g").where(F.forall(F.transform("__r", left_of), lambda ok: ok)).drop("__r")
 
 
-def linear(points: DataFrame, header: MapHeader, group: str | None = None, tile: int | None = None) -> DataFrame:
+def linear(points: DataFrame, header: MapHeader, group: str | None = None, tile: int | None = None, beyond: bool = False) -> DataFrame:
     """([group,] i, j, value): linear in the Delaunay triangles of the points; nodes outside their hull are left out.
 
     Points at one place are averaged first. Tiles of nodes are triangulated with the points around them. A triangle is
     one of the whole set's if its circle, as far as the points' bounds reach, lies within the part that the tile knows;
     nodes without such a triangle are tried again with twice the points around, so any number of points will do. tile:
-    columns and rows of nodes in a tile; from the number of points where it is not given.
+    columns and rows of nodes in a tile; from the number of points where it is not given. beyond: take points out of the
+    map, too.
     """
     h = header
-    own = inside_map(points, h).withColumn("__g", F.col(group) if group else F.lit(0)).groupBy("__g", "x", "y").agg(F.avg("z").alias("z"))
+    own = (points.where(F.col("z").isNotNull()) if beyond else inside_map(points, h)).withColumn("__g", F.col(group) if group else F.lit(0)).groupBy("__g", "x", "y").agg(F.avg("z").alias("z"))
     own = cut(own.withColumns({"fi": h.fi(F.col("x"), F.col("y")), "fj": h.fj(F.col("x"), F.col("y"))}))
     bounds = own.groupBy("__g").agg(*(f(c).alias(f"{n}{c}") for c in ("fi", "fj") for n, f in (("lo", F.min), ("hi", F.max))), F.count(F.lit(1)).alias("n")).where("n > 2")
     most = bounds.agg(F.max(F.col("n") / (F.greatest(F.col("hifi") - F.col("lofi"), F.lit(1.0)) * F.greatest(F.col("hifj") - F.col("lofj"), F.lit(1.0))))).first()[0]
@@ -240,6 +241,29 @@ def linear(points: DataFrame, header: MapHeader, group: str | None = None, tile:
     return done.withColumnRenamed("__g", group) if group else done.drop("__g")
 
 
+def from_cells(cells: DataFrame, header: MapHeader, prop: str, zones: tuple[int, int] | None = None, zone: str = "zone", coarsen: int = 1, by_zone: bool = False, summing: bool = False, truncate_le: float | None = None) -> DataFrame:
+    """(i, j, value): a property's mean over depth, weighted by thickness, on the nodes of a map; or (summing) its sum, for a property that is a thickness.
+
+    Each layer (by_zone: each zone, averaged or summed in each column first) is gridded by linear(), from the centres of
+    every coarsen-th column and row; inactive cells have no thickness. Layers count as zero beyond their hull. Means under
+    truncate_le are left out, and so are nodes without thickness.
+    """
+    from terraspan.operators import cells as c
+
+    own = c.with_centre(cells).withColumn("__dz", F.when(F.col("actnum") == 1, c.dz()).otherwise(0.0))
+    if zones:
+        own = own.where(F.col(zone).between(*zones))
+    own = own.where(((F.col("i") - 1) % coarsen == 0) & ((F.col("j") - 1) % coarsen == 0))
+    own = own.withColumn("__m", F.coalesce(F.col(prop) if summing else F.col(prop) * F.col("__dz"), F.lit(0.0)))
+    layer = F.col(zone if by_zone else "k").alias("__layer")
+    flat = own.groupBy(layer, "i", "j").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.sum(F.when(F.col("actnum") == 1, F.col("__m")).otherwise(0.0)).alias("__m"), F.sum("__dz").alias("__dz"))
+    gridded = lambda v: linear(flat.select("__layer", "x", "y", F.col(v).alias("z")), header, "__layer", beyond=True).groupBy("i", "j").agg(F.sum("value").alias(v))
+    if summing:
+        return gridded("__m").withColumnRenamed("__m", "value")
+    out = gridded("__m").join(gridded("__dz"), ["i", "j"]).where(F.col("__dz") > 1e-20).select("i", "j", (F.col("__m") / F.col("__dz")).alias("value"))
+    return out if truncate_le is None else out.where(F.col("value") >= truncate_le)
+
+
 # --- systems --------------------------------------------------------------------------------------------------------
 
 #: Radial functions by their usual names; r is the distance times epsilon.

@@ -166,6 +166,22 @@ def wells_rms_lines(samples: DataFrame, headers: DataFrame, types: dict[str, dic
     return head.unionByName(body)
 
 
+def blocked(samples: DataFrame, types: DataFrame | None = None, names: Sequence[str] = ("I_INDEX", "J_INDEX", "K_INDEX"), from_zero: bool = False) -> DataFrame:
+    """Wells whose samples are cells of a grid: the cells' indices, logs by the usual names, become i, j and k, from 1.
+
+    samples: of read_wells_csv(), or of read_wells_rms() with its log types. Samples without an index are left out.
+    """
+    own = samples
+    if types is not None:
+        for name in names:
+            own = log(own, types, name)
+    missing = [n for n in names if n not in own.columns]
+    if missing:
+        raise ValueError(f"no blocked wells: {missing} are missing")
+    index = {a: F.rint(F.col(n).cast("double")).cast("int") + int(from_zero) for a, n in zip("ijk", names, strict=True)}
+    return own.withColumns(index).where("i is not null and j is not null and k is not null").drop(*names)
+
+
 # --- triangulated surfaces and cell properties ----------------------------------------------------------------------
 
 

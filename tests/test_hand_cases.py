@@ -287,3 +287,44 @@ def test_alpha_shape_by_tiles(spark):
         p = [(x, y) for _, x, y in sorted(ring)]
         assert p[0] == p[-1] and len(p) == 41
         assert abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:]))) / 2 == 1600.0
+
+
+def test_cubic_windows_are_exact_for_cubics(spark):
+    from terraspan.operators import cubes
+
+    z = np.arange(30.0)
+    cubic = lambda v: 0.01 * v**3 - 0.3 * v**2 + v - 5
+    traces = spark.createDataFrame([(1, 1, 1, [float(x) for x in cubic(z)]), (1, 2, 1, [float(x) for x in -2 * cubic(z)]), (2, 1, 2, [0.0] * 30)], "i int, j int, traceid int, amp array<double>")
+    header = cubes.CubeHeader(gr.MapHeader(2, 2), 30, 1000.0, 4.0)
+    maps = [spark.createDataFrame([(i, j, v) for i in (1, 2) for j in (1, 2)], "i int, j int, value double") for v in (1020.0, 1050.0)]
+    out = {(r.i, r.j): r for r in cubes.window_attributes(traces, header, *maps, ndiv=8, method="cubic").collect()}
+    fine = cubic(np.arange(5 * 8, int(12.5 * 8) + 1) / 8)
+    assert set(out) == {(1, 1), (1, 2)}
+    for key, v in (((1, 1), fine), ((1, 2), -2 * fine)):
+        got = out[key]
+        assert np.allclose([got.min, got.max, got.mean, got.rms], [v.min(), v.max(), v.mean(), np.sqrt((v**2).mean())], rtol=0, atol=1e-3)
+    near = cubes.window_around(traces, header, maps[0].withColumn("value", F.lit(1035.0)), 15.0, 8, "cubic").where("i = 1 and j = 1").first()
+    assert abs(near["mean"] - out[1, 1]["mean"]) < 1e-9
+
+
+def test_property_on_a_map(spark):
+    from terraspan.operators import cells as c
+
+    box = c.box_grid(spark, (8, 6, 4), (0, 0, 1000), (10, 10, 5)).withColumns({"zone": F.when(F.col("k") <= 2, 1).otherwise(2), "actnum": F.when((F.col("k") == 4), 0).otherwise(1)})
+    cells = box.withColumn("poro", F.col("k") * 0.1 + (F.col("c0x") + F.col("c1x")) / 2 * 0.01)
+    header = gr.MapHeader(7, 5, 5.0, 5.0, 11.0, 12.0)
+    out = by_node(gr.from_cells(cells, header, "poro"))
+    assert len(out) == 35 and all(abs(v - (0.2 + (5 + 11 * (i - 1)) * 0.01)) < 1e-6 for (i, j), v in out.items())
+    zoned = by_node(gr.from_cells(cells, header, "poro", (1, 1), by_zone=True))
+    assert all(abs(v - (0.15 + (5 + 11 * (i - 1)) * 0.01)) < 1e-6 for (i, j), v in zoned.items())
+    thick = by_node(gr.from_cells(cells.withColumn("hc", F.lit(2.0)), header, "hc", summing=True))
+    assert all(abs(v - 6.0) < 1e-6 for v in thick.values())
+    assert set(by_node(gr.from_cells(cells, header, "poro", truncate_le=0.5))) == {k for k, v in out.items() if v >= 0.5}
+
+
+def test_blocked_wells(spark, tmp_path):
+    from terraspan.sources import tables
+
+    (tmp_path / "b.csv").write_text("WELLNAME,X_UTME,Y_UTMN,Z_TVDSS,PHIT,I_INDEX,J_INDEX,K_INDEX\nW,1,2,3,0.1,4,5,6\nW,2,3,4,0.2,4,5,7\nW,3,4,5,0.3,,,\n")
+    got = tables.blocked(tables.read_wells_csv(spark, str(tmp_path / "b.csv"))).orderBy("seq").collect()
+    assert [(r.well, r.i, r.j, r.k, r.PHIT) for r in got] == [("W", 4, 5, 6, 0.1), ("W", 4, 5, 7, 0.2)]
