@@ -474,6 +474,25 @@ def alpha_shape(points: DataFrame, group: str, alpha: float) -> DataFrame:
     return rim.groupBy("__g").applyInPandas(rings, out).withColumnRenamed("__g", group)
 
 
+def outline(cells: DataFrame, alpha_factor: float = 1.0, convex: bool = False, tolerance: float = 0.0) -> DataFrame:
+    """(poly_id, seq, x, y): rings around the columns that have active cells, through the columns' centres.
+
+    The rings are the alpha shape of the centres, its radius alpha_factor times a mean column's diagonal, or their convex
+    hull; with a tolerance, simplified.
+    """
+    from terraspan.operators import cells as c
+
+    own = c.with_centre(cells.where("actnum = 1")).withColumns({"__dx": c.dx(), "__dy": c.dy()}).groupBy("i", "j").agg(*(F.avg(a).alias(a) for a in ("x", "y", "__dx", "__dy")))
+    places = own.select(F.lit(0).alias("poly_id"), "x", "y")
+    if convex:
+        rings = hull(places, "poly_id")
+    else:
+        size = own.agg(F.avg("__dx"), F.avg("__dy")).first()
+        alpha = alpha_factor * math.hypot(size[0] or 1.0, size[1] or 1.0)
+        rings = alpha_shape(places.withColumnRenamed("poly_id", "__all"), "__all", alpha).drop("__all")
+    return simplify(rings, tolerance) if tolerance else rings
+
+
 def simplify(polygons: DataFrame, tolerance: float) -> DataFrame:
     """Polylines with only the vertices that Douglas and Peucker's method keeps; ends of open lines and the start of rings stay."""
 

@@ -79,6 +79,25 @@ def surface_eli_outside(nodes, polygons):
     return p.operate(s.with_xy(nodes, MAP), moved, "eli", 0.0, False, 2, "value").select("i", "j", "value")
 
 
+for _op, _sql in (("add", "value + 50.0"), ("sub", "value - 50.0"), ("mul", "value * 50.0"), ("div", "value / 50.0"), ("set", "50.0")):
+    for _inside in (True, False):
+        if (_op, _inside) == ("add", True):
+            continue
+
+        def _on_map(nodes, polygons, op=_op, inside=_inside):
+            moved = polygons.withColumns({"x": F.col("x") + 1000, "y": F.col("y") + 2000})
+            return p.operate(s.with_xy(nodes, MAP), moved, op, 50.0, inside, 2, "value").select("i", "j", rounded("value").alias("value"))
+
+        _on_map.__name__ = f"surface_{_op}_{'inside' if _inside else 'outside'}"
+        R.query(f"WITH {_MAP_EDGES} SELECT i, j, round(CASE WHEN {'' if _inside else 'NOT '}coalesce(hit, false) THEN {_sql} ELSE value END, 6) AS value FROM depths LEFT JOIN k USING (i, j)", "depths", "polygons")(_on_map)
+
+
+@R.query(f"WITH {_MAP_EDGES} SELECT i, j, value FROM depths LEFT JOIN k USING (i, j) WHERE hit IS NULL", "depths", "polygons")
+def surface_eli_inside(nodes, polygons):
+    moved = polygons.withColumns({"x": F.col("x") + 1000, "y": F.col("y") + 2000})
+    return p.operate(s.with_xy(nodes, MAP), moved, "eli", 0.0, True, 2, "value").select("i", "j", "value")
+
+
 @R.query("SELECT poly_id, seq, x, y, z FROM polygons WHERE poly_id = 1", "polygons")
 def polygons_filter_ids(polygons):
     return p.filter_ids(polygons, [1]).drop("order")

@@ -58,14 +58,39 @@ def zmap_text(data: bytes) -> tuple[dict, np.ndarray]:
     return {"ncol": ncol, "nrow": nrow, "xori": xmin, "yori": ymin, "xinc": (xmax - xmin) / (ncol - 1), "yinc": (ymax - ymin) / (nrow - 1), "rotation": 0.0, "yflip": 1}, values
 
 
+def gxf_text(data: bytes) -> tuple[dict, np.ndarray]:
+    """Keys in lines that begin with #, each with its value in the next line; the values follow #GRID, row by row. Double keys and comments are passed over."""
+    keys, lines = {}, data.decode("latin-1").splitlines()
+    for k, line in enumerate(lines):
+        own = line.strip()
+        if not own.startswith("#") or own.startswith("##"):
+            continue
+        key = own[1:].split()[0].upper() if own[1:].split() else ""
+        if key == "GRID":
+            values = np.array(" ".join(lines[k + 1 :]).split(), float)
+            break
+        keys[key] = next((x.strip() for x in lines[k + 1 :] if x.strip()), "")
+    else:
+        raise ValueError("a GXF file has to have #GRID")
+    if float(keys.get("GTYPE", 0)) or float(keys.get("SENSE", 1)) != 1:
+        raise ValueError("compressed grids, and grids of another sense than 1, can't be read")
+    number = lambda key, default: float(keys.get(key, default))
+    ncol, nrow, yinc = int(number("POINTS", 0)), int(number("ROWS", 0)), number("RWSEPARATION", 1)
+    if ncol * nrow != len(values):
+        raise ValueError(f"{len(values)} values for {ncol} by {nrow} nodes")
+    if "DUMMY" in keys:
+        values[values == number("DUMMY", 0)] = np.nan
+    return {"ncol": ncol, "nrow": nrow, "xori": number("XORIGIN", 0), "yori": number("YORIGIN", 0), "xinc": number("PTSEPARATION", 1), "yinc": abs(yinc), "rotation": number("ROTATION", 0), "yflip": -1 if yinc < 0 else 1}, values
+
+
 def _map(data: bytes, file_format: str) -> tuple[dict, np.ndarray]:
     if file_format == "irap_binary":
         return irap_binary_header(data), irap_binary_values(data)
-    return {"irap_ascii": irap_text, "zmap": zmap_text}[file_format](data)
+    return {"irap_ascii": irap_text, "zmap": zmap_text, "gxf": gxf_text}[file_format](data)
 
 
 def read_maps(spark: SparkSession, path: str, file_format: str = "irap_binary") -> tuple[DataFrame, DataFrame]:
-    """(headers, nodes) of map files (irap_binary, irap_ascii, zmap); masked nodes are left out. Reading headers alone decodes no values in text formats' place: both are lazy."""
+    """(headers, nodes) of map files (irap_binary, irap_ascii, zmap, gxf); masked nodes are left out. Reading headers alone decodes no values in text formats' place: both are lazy."""
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
 
     def headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,6 +132,10 @@ def map_files(nodes: DataFrame, header: MapHeader, file_format: str = "irap_bina
             head = f"! Export\n@ MAP, GRID, 5\n20, {UNDEF_MAP:g},  , 6, 1\n{h.nrow}, {h.ncol}, {h.xori}, {h.xori + (h.ncol - 1) * h.xinc}, {h.yori}, {h.yori + (h.nrow - 1) * h.yinc}\n0.0, 0.0, 0.0\n@\n"
             flat = values.T[:, ::-1].ravel()
             data = (head + "\n".join(" ".join(f"{v:19.6f}" if v < UNDEF_MAP else f"{v:19.6g}" for v in flat[k : k + 5]) for k in range(0, len(flat), 5)) + "\n").encode()
+        elif file_format == "gxf":
+            keys = {"POINTS": h.ncol, "ROWS": h.nrow, "PTSEPARATION": h.xinc, "RWSEPARATION": yinc, "XORIGIN": h.xori, "YORIGIN": h.yori, "ROTATION": h.rotation, "DUMMY": f"{UNDEF_MAP:g}"}
+            rows = "\n".join(" ".join(f"{v:.6f}" if v < UNDEF_MAP else f"{v:g}" for v in row) for row in values)
+            data = ("".join(f"#{k}\n{v}\n" for k, v in keys.items()) + f"#GRID\n{rows}\n").encode()
         else:
             raise ValueError(f"unknown format {file_format}")
         return pd.DataFrame({name: [key[0]], "content": [data]})
@@ -131,6 +160,41 @@ def ibm_floats(raw: np.ndarray) -> np.ndarray:
     return sign * (raw & 0xFFFFFF) / float(1 << 24) * 16.0 ** ((raw >> 24 & 0x7F).astype(float) - 64)
 
 
+def read_ijxyz(spark: SparkSession, path: str) -> tuple[MapHeader, DataFrame, DataFrame]:
+    """(header, nodes, lines) of one map as lines of inline, xline, x, y and value: the map's geometry comes from the places.
+
+    nodes(i, j, value) count lines from 1; lines(i, j, iline, xline) keep their numbers. Lines that are skipped are masked
+    nodes. x and y have to be linear in the line numbers, to a hundredth of the smaller increment.
+    """
+    words = F.split(F.trim("value"), r"\s+")
+    raw = spark.read.text(path).where(F.col("value").rlike(r"^\s*[-+0-9]")).select(*(F.get(words, F.lit(k)).cast("double").alias(c) for k, c in enumerate(("il", "xl", "x", "y", "value"))))
+    steps, first, count = [], [], []
+    for c in ("il", "xl"):
+        own = np.sort([r[0] for r in raw.select(c).distinct().collect()])  # a line each
+        step = int(np.gcd.reduce(np.diff(own).astype(int))) if len(own) > 1 else 1
+        steps, first, count = [*steps, step], [*first, int(own[0])], [*count, int((own[-1] - own[0]) // step) + 1]
+    nodes = raw.withColumns({a: F.rint((F.col(c) - f) / n).cast("int") + 1 for a, c, f, n in zip("ij", ("il", "xl"), first, steps, strict=True)})
+    # least squares of x and y on (1, i, j), from sums that one row holds
+    u = {"o": F.lit(1.0), "i": F.col("i") - 1.0, "j": F.col("j") - 1.0}
+    sums = nodes.agg(*(F.sum(p * q).alias(f"{a}{b}") for a, p in u.items() for b, q in u.items()), *(F.sum(p * F.col(c)).alias(f"{a}_{c}") for a, p in u.items() for c in "xy")).first()
+    left = np.array([[sums[a + b] for b in u] for a in u])
+    (x0, xi, xj), (y0, yi, yj) = (np.linalg.lstsq(left, np.array([sums[f"{a}_{c}"] for a in u]), rcond=None)[0] for c in "xy")
+    xinc, yinc = float(np.hypot(xi, yi)), float(np.hypot(xj, yj))
+    header = MapHeader(count[0], count[1], float(x0), float(y0), xinc, yinc, float(np.degrees(np.arctan2(yi, xi)) % 360), 1 if xi * yj - yi * xj >= 0 else -1)
+    off = nodes.agg(F.max(F.hypot(header.x(F.col("i"), F.col("j")) - F.col("x"), header.y(F.col("i"), F.col("j")) - F.col("y")))).first()[0]
+    if off > 0.01 * min(xinc, yinc or xinc):
+        raise ValueError(f"places are {off} off a regular map")
+    return header, nodes.where("value is not null").select("i", "j", "value"), nodes.select("i", "j", F.col("il").cast("int").alias("iline"), F.col("xl").cast("int").alias("xline"))
+
+
+def ijxyz_lines(nodes: DataFrame, header: MapHeader, lines: DataFrame | None = None) -> DataFrame:
+    """(value): a line of inline, xline, x, y and value for each defined node; without lines(i, j, iline, xline) the node's i and j."""
+    own = nodes.where(F.col("value").isNotNull())
+    own = own.join(lines, ["i", "j"]) if lines is not None else own.withColumns({"iline": F.col("i"), "xline": F.col("j")})
+    place = [F.format_string("%.6f", c) for c in (header.x(F.col("i"), F.col("j")), header.y(F.col("i"), F.col("j")), F.col("value"))]
+    return own.orderBy("xline", "iline").select(F.concat_ws("\t", F.col("iline").cast("string"), F.col("xline").cast("string"), *place).alias("value"))
+
+
 #: Sample formats by their codes in a SEG-Y header.
 SAMPLES = {1: ">u4", 2: ">i4", 3: ">i2", 5: ">f4", 6: ">f8", 8: ">i1", 10: ">u4", 11: ">u2", 16: ">u1"}
 

@@ -45,6 +45,16 @@ def read_points(spark: SparkSession, path: str, file_format: str = "csv", polygo
     raise ValueError(f"unknown format {file_format}")
 
 
+def points_from_list(spark: SparkSession, rows: Sequence[Sequence[float]], attributes: Sequence[str] = ()) -> DataFrame:
+    """(x, y, z, attributes) of a short list."""
+    return spark.createDataFrame([tuple(r) for r in rows], "x double, y double, z double" + "".join(f", `{a}` double" for a in attributes))
+
+
+def random_points(spark: SparkSession, n: int, seed: int = 0, size: float = 1.0) -> DataFrame:
+    """(pid, x, y, z): n points, uniform from 0 to size in each direction."""
+    return spark.range(n).select(F.col("id").alias("pid"), *((F.rand(seed + k) * size).alias(c) for k, c in enumerate("xyz")))
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, n, value): the lines of text files with their number. A file's lines are put in order together, so a file should fit a task's memory."""
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("__all"))

@@ -328,3 +328,15 @@ def test_blocked_wells(spark, tmp_path):
     (tmp_path / "b.csv").write_text("WELLNAME,X_UTME,Y_UTMN,Z_TVDSS,PHIT,I_INDEX,J_INDEX,K_INDEX\nW,1,2,3,0.1,4,5,6\nW,2,3,4,0.2,4,5,7\nW,3,4,5,0.3,,,\n")
     got = tables.blocked(tables.read_wells_csv(spark, str(tmp_path / "b.csv"))).orderBy("seq").collect()
     assert [(r.well, r.i, r.j, r.k, r.PHIT) for r in got] == [("W", 4, 5, 6, 0.1), ("W", 4, 5, 7, 0.2)]
+
+
+def test_outline_of_cells_with_a_hole(spark):
+    from terraspan.operators import cells as c
+
+    box = c.box_grid(spark, (12, 10, 2), (0, 0, 1000), (10, 10, 5)).withColumn("actnum", F.expr("cast(not (i between 5 and 8 and j between 4 and 7) as int)"))
+    rings = {}
+    for r in gr.outline(box, 0.6).collect():
+        rings.setdefault(r.poly_id, []).append((r.seq, r.x, r.y))
+    area = lambda ring: abs(sum(a[1] * b[2] - b[1] * a[2] for a, b in zip(sorted(ring), sorted(ring)[1:]))) / 2
+    assert sorted(map(area, rings.values())) == [2300.0, 9900.0]  # the hole's corners are cut
+    assert area([tuple(x) for x in gr.outline(box, convex=True).select("seq", "x", "y").collect()]) == 9900.0

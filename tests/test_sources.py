@@ -160,3 +160,33 @@ def test_restart_files(spark, tmp_path):
     got = {(r.keyword, r.i, r.j, r.k): r.value for r in last.collect()}
     assert len(got) == 21 and got["PRESSURE", 2, 1, 1] == 100 and got["PRESSURE", 1, 1, 2] == 103 and got["SWAT", 2, 2, 2] == 0.375 and got["SOIL", 2, 2, 2] == 0.625
     assert sim.values(records, ["SWAT"], ["2021-06-01"]).agg(F.max("value")).first()[0] == 0.25
+
+
+def test_gxf_round_trip(spark, tmp_path):
+    header = MapHeader(4, 3, 100.0, 200.0, 10.0, 20.0, 30.0, -1)
+    nodes = spark.createDataFrame([("m", i, j, float(10 * i + j)) for i in range(1, 5) for j in range(1, 4) if (i, j) != (2, 2)], "name string, i int, j int, value double")
+    content = binary.map_files(nodes, header, "gxf").first()["content"]
+    (tmp_path / "m.gxf").write_bytes(b"## made by a test\n" + bytes(content))
+    heads, got = binary.read_maps(spark, str(tmp_path / "m.gxf"), "gxf")
+    r = heads.first()
+    assert (r.ncol, r.nrow, r.xori, r.yori, r.xinc, r.yinc, r.rotation, r.yflip) == (4, 3, 100.0, 200.0, 10.0, 20.0, 30.0, -1)
+    assert {(r.i, r.j, r.value) for r in got.collect()} == {(r.i, r.j, r.value) for r in nodes.collect()}
+
+
+def test_ijxyz_round_trip(spark, tmp_path):
+    for flip in (1, -1):
+        header = MapHeader(5, 4, 1000.0, 2000.0, 25.0, 12.5, 40.0, flip)
+        nodes = spark.createDataFrame([(i, j, float(i * j)) for i in range(1, 6) for j in range(1, 5) if (i, j) != (3, 2)], "i int, j int, value double")
+        lines = spark.createDataFrame([(i, j, 100 + 2 * i, 7 + 3 * j) for i in range(1, 6) for j in range(1, 5)], "i int, j int, iline int, xline int")
+        path = str(tmp_path / f"map{flip}")
+        binary.ijxyz_lines(nodes, header, lines).coalesce(1).write.text(path)
+        found, got, kept = binary.read_ijxyz(spark, path)
+        assert (found.ncol, found.nrow, found.yflip) == (5, 4, flip) and all(abs(getattr(found, c) - getattr(header, c)) < 1e-3 for c in ("xori", "yori", "xinc", "yinc", "rotation"))
+        assert {tuple(r) for r in got.collect()} == {tuple(r) for r in nodes.collect()}
+        assert {tuple(r) for r in kept.collect()} == {tuple(r) for r in lines.collect() if (r.i, r.j) != (3, 2)}
+
+
+def test_points_of_a_list_and_random_ones(spark):
+    assert [tuple(r) for r in tables.points_from_list(spark, [(1.0, 2.0, 3.0, 9.0)], ["a"]).collect()] == [(1.0, 2.0, 3.0, 9.0)]
+    out = tables.random_points(spark, 50, 3, 10.0).collect()
+    assert len({(r.x, r.y, r.z) for r in out}) == 50 and all(0 <= v < 10 for r in out for v in (r.x, r.y, r.z))
