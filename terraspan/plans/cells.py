@@ -384,22 +384,38 @@ def grid_slice_surface(cells):
     return c.slice_surface(nodes, FINE, boxes(cells), "poro", 100.0).withColumn("value", rounded("value"))
 
 
-@R.query(None, "cells", "fence")
+from terraspan.plans.polygons import _FENCE  # noqa: E402
+
+
+@R.query(f"""WITH {BOX}, {_FENCE}, pl AS (SELECT poly_id, seq, h, x + 3.125 AS x, y + 3.125 AS y, 1500.0 + 5.0 * n AS z FROM fn, range(13) r(n))
+SELECT poly_id, seq, round(h, 6) + 0.0 AS h, z, round(poro, 6) AS value FROM pl LEFT JOIN box ON actnum = 1 AND {_on('box')}
+ AND z > c0z + 0.5 * (x - c0x) / 100 + 0.25 * (y - c0y) / 80 AND z < c4z + 0.5 * (x - c0x) / 100 + 0.25 * (y - c0y) / 80""", "cells", "fence")
 def grid_randomline(cells, fence):
     from terraspan.operators.polygons import fence as fence_of
 
-    out = c.random_line(fence_of(fence, 60.0), boxes(cells), "poro", 1500.0, 1560.0, 5.0, 100.0)
+    places = fence_of(fence, 60.0).withColumns({"x": F.col("x") + 3.125, "y": F.col("y") + 3.125})
+    out = c.random_line(places, boxes(cells), "poro", 1500.0, 1560.0, 5.0, 100.0)
     return out.select("poly_id", "seq", rounded("h").alias("h"), "z", rounded("value").alias("value"))
 
 
-@R.query(None, "depths")
+_PILLARS = "SELECT cast(a.i AS int) AS i, cast(b.j AS int) AS j, 1300.0 + (a.i - 1) * 50.0 * cos(radians(30)) - (b.j - 1) * 40.0 * sin(radians(30)) AS x, 2400.0 + (a.i - 1) * 50.0 * sin(radians(30)) + (b.j - 1) * 40.0 * cos(radians(30)) AS y FROM range(1, 10) a(i), range(1, 8) b(j)"
+
+
+@R.query(f"""WITH {bilinear_sql(_PILLARS, 'i, j', 'r')}, s AS (SELECT i, j, sampled, sampled IS NULL AS miss FROM r)
+SELECT a.i, a.j, cast(l.k AS int) AS k, CASE WHEN a.miss OR b.miss OR c.miss OR d.miss THEN 0 ELSE 1 END AS actnum, round(coalesce(a.sampled + 10.0 * (l.k - 1), 1000.0), 6) AS c0z, round(coalesce(d.sampled + 10.0 * (l.k - 1), 1000.0), 6) AS c2z, round(coalesce(d.sampled + 10.0 * l.k, 1000.0), 6) AS c6z
+FROM s a JOIN s b ON b.i = a.i + 1 AND b.j = a.j JOIN s c ON c.i = a.i AND c.j = a.j + 1 JOIN s d ON d.i = a.i + 1 AND d.j = a.j + 1, range(1, 4) l(k)""", "depths")
 def grid_from_surfaces(nodes):
     stack = [nodes.withColumn("value", F.col("value") + 10.0 * n) for n in range(4)]
     out = c.from_surfaces(stack, MAP, (8, 6), (1300.0, 2400.0), (50.0, 40.0), 30.0)
     return out.select("i", "j", "k", "actnum", *(rounded(x).alias(x) for x in ("c0z", "c2z", "c6z")))
 
 
-@R.query(None, "cells", "depths")
+_COLUMNS = "SELECT i, j, 1000.0 + (i - 1) * 100.0 AS x, 2000.0 + (j - 1) * 80.0 AS y FROM (SELECT DISTINCT i, j FROM cells)"
+
+
+@R.query(f"""WITH {bilinear_sql(_COLUMNS, 'i, j', 'r')}, t AS (SELECT i, j, sampled, 1500.0 + 0.5 * (i - 1) + 0.25 * (j - 1) + CASE WHEN i > 10 THEN 7.0 ELSE 0.0 END AS t FROM r),
+z AS (SELECT i, j, cast(l.k AS int) AS k, CASE WHEN l.k <= 2 THEN coalesce(sampled, t) ELSE coalesce(sampled + 15.0, t + 20.0) END AS hi, CASE WHEN l.k <= 2 THEN coalesce(sampled + 15.0, t + 20.0) ELSE coalesce(sampled + 60.0, t + 70.0) END AS lo, CASE WHEN l.k <= 2 THEN (l.k - 1) / 2.0 ELSE (l.k - 3) / 5.0 END AS a, CASE WHEN l.k <= 2 THEN l.k / 2.0 ELSE (l.k - 2) / 5.0 END AS b FROM t, range(1, 8) l(k))
+SELECT i, j, k, round(hi + a * (lo - hi), 6) AS c0z, round(hi + b * (lo - hi), 6) AS c4z FROM z""", "cells", "depths")
 def grid_conform_to_surfaces(cells, nodes):
     # each column that has cells gets all its seven layers
     full = boxes(cells.groupBy("i", "j").agg(F.max("actnum").alias("actnum")).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(7)))))

@@ -117,9 +117,15 @@ def grid_property_from_cube(cells, traces):
     return q.to_cells(own, traces, CUBE, name="sampled").select("i", "j", "k", "sampled")
 
 
-@R.query(None, "fence", "traces")
+from terraspan.plans.polygons import _FENCE  # noqa: E402
+
+
+@R.query(f"""WITH {_FENCE}, {SAMPLES}, pl AS (SELECT poly_id, seq, h, 1000.0 + 8.0 * n AS z, (x - 1000.0) / 50 AS fi, (y + 3.0 - 2000.0) / 40 AS fj, 2.0 * n AS fk FROM fn, range(26) r(n)),
+pi AS (SELECT *, fi BETWEEN -0.5 AND 19.5 AND fj BETWEEN -0.5 AND 24.5 AND fk BETWEEN -0.5 AND 63.5 AS ok, cast(round_even(greatest(0, least(19, fi)), 0) AS int) + 1 AS i, cast(round_even(greatest(0, least(24, fj)), 0) AS int) + 1 AS j, cast(fk AS int) + 1 AS k FROM pl)
+SELECT poly_id, seq, round(h, 6) + 0.0 AS h, z, CASE WHEN ok THEN v END AS value FROM pi LEFT JOIN smp USING (i, j, k)""", "fence", "traces")
 def cube_randomline(fence, traces):
-    out = q.random_line(p.fence(fence, 60.0), traces, CUBE, 1000.0, 1200.0, 8.0)
+    places = p.fence(fence, 60.0).withColumn("y", F.col("y") + 3.0)
+    out = q.random_line(places, traces, CUBE, 1000.0, 1200.0, 8.0)
     return out.select("poly_id", "seq", rounded("h").alias("h"), "z", "value")
 
 
