@@ -353,3 +353,12 @@ def test_shared_heights_of_slanted_faces(spark):
         ta, ba, tb, bb = (row[k] + w * (row[k + 1] - row[k]) for k in (0, 2, 4, 6))
         assert abs(row.s - np.maximum(0, np.minimum(ba, bb) - np.maximum(ta, tb)).mean()) < 1e-4
     assert got[-1].s == 5.0
+
+
+def test_fill_by_triangles_keeps_a_plane(spark):
+    from terraspan.operators import surfaces as s
+
+    header = gr.MapHeader(9, 8, 0.0, 0.0, 10.0, 10.0)
+    nodes = spark.createDataFrame([(i, j, 2.0 * i + 3.0 * j) for i in range(1, 10) for j in range(1, 8) if not (3 <= i <= 6 and 3 <= j <= 5)], "i int, j int, value double")
+    out = by_node(s.fill(nodes, header, method="linear"))
+    assert len(out) == 72 and all(abs(v - (2 * i + 3 * min(j, 7))) < 1e-4 for (i, j), v in out.items())
