@@ -210,6 +210,14 @@ def zone_interval(samples: DataFrame, zone: int, log: str = "zone", resample: in
     return own
 
 
+def zone_polylines(samples: DataFrame, zone: int, log: str = "zone", resample: int = 1) -> DataFrame:
+    """zone_interval() of all wells as polylines: POLY_ID is unique over wells, which follow each other by name."""
+    own = zone_interval(samples, zone, log, resample)
+    ends = own.groupBy("well").agg(F.max("POLY_ID").alias("__max"))  # a row a well
+    shift = F.coalesce(F.sum(F.col("__max") + 1).over(Window.orderBy("well").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return own.join(ends.select("well", shift.alias("__shift")), "well").withColumn("POLY_ID", (F.col("POLY_ID") + F.col("__shift")).cast("int")).drop("__shift")
+
+
 def zone_quality(samples: DataFrame, log: str = "zone", name: str = "zoneqc") -> DataFrame:
     """Adds a flag by run: 0 first or last run, 1 increasing, 2 decreasing, 3 turn back from above, 4 from below, 9 a neighbour is undefined.
 

@@ -92,6 +92,11 @@ def well_zone_interval(samples):
     return w.zone_interval(samples, 2, resample=3).select("well", "seq", F.col("POLY_ID").alias("poly_id"), "x", "y", "z")
 
 
+@R.query(f"WITH {INTERVAL}, o AS (SELECT well, coalesce(sum(m + 1) OVER (ORDER BY well ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM (SELECT well, max(poly_id) AS m FROM iv WHERE ind = 1 GROUP BY well)) SELECT well, seq, cast(poly_id + s AS int) AS poly_id, x, y, z FROM iv JOIN o USING (well) WHERE ind = 1", "wells")
+def polygons_from_wells(samples):
+    return w.zone_polylines(samples, 2).select("well", "seq", F.col("POLY_ID").alias("poly_id"), "x", "y", "z")
+
+
 RUNS = """n AS (SELECT *, CASE WHEN row_number() OVER o = 1 OR zone IS DISTINCT FROM lag(zone) OVER o THEN 1 ELSE 0 END AS nw FROM geo WINDOW o AS (PARTITION BY well ORDER BY seq)),
 r AS (SELECT *, cast(sum(nw) OVER (PARTITION BY well ORDER BY seq ROWS UNBOUNDED PRECEDING) AS int) AS run FROM n),
 g AS (SELECT well, run, coalesce(any_value(zone), 2000000000) AS v FROM r GROUP BY well, run),
