@@ -10,17 +10,18 @@ share of anchors that agree, 2m / (n1 + n2), taken over the least hashes of both
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraspan.llm import common
-from terraspan.llm.sharding import part_of, splitters
+from terraspan.llm.sharding import KEY_BITS, ROW_BYTES, part_of, small, splitters
 
 #: Hashes in a fingerprint, at most.
 SKETCH = 64
-#: Bytes of text in a range of documents, about, and its slack.
+#: Bytes of text in a range of documents, about.
 RANGE = 16 << 20
+#: Ranges whose bounds are counted; ranges that are numbered together.
+COARSE, GROUP = 256, 1024
 
 
 def let(value: Column, use) -> Column:
@@ -56,6 +57,22 @@ def anchors(text: Column) -> Column:
     return let(pairs(text), lambda p: chosen(p, lambda a, b, i: F.struct(i.alias("at"), F.xxhash64(a, b).alias("hash"))))
 
 
+def matched(pairs: DataFrame, pair: str = "pair", left: str = "left", right: str = "right") -> DataFrame:
+    """(pair, n_left, n_right, shift, n_shift): how two texts match by the places of their anchors, a row for each row of pairs.
+
+    n_left and n_right: the distinct anchors of each text; shift: by how many words the right text lies further on where
+    most anchors agree (of equally many the least), null if none agree; n_shift: how many agree there. Of an anchor that
+    a text repeats, the first place counts. pair has to be unique; null texts count as empty.
+    """
+    side = lambda c, at: pairs.select(F.col(pair), F.explode(anchors(common.text_or_empty(c))).alias("x")).groupBy(pair, F.col("x.hash").alias("hash")).agg(F.min("x.at").alias(at))
+    both = side(left, "a").join(side(right, "b"), [pair, "hash"], "full")
+    counts = both.groupBy(pair, (F.col("b") - F.col("a")).alias("shift")).agg(F.count(F.lit(1)).alias("n"), F.count("a").alias("l"), F.count("b").alias("r"))
+    best = F.max_by(F.struct("shift", "n"), F.when(F.col("shift").isNotNull(), F.struct("n", (-F.col("shift")).alias("least"))))
+    found = counts.groupBy(pair).agg(F.sum("l").alias("n_left"), F.sum("r").alias("n_right"), best.alias("best"))
+    none = F.lit(0).cast("long")
+    return pairs.select(pair).join(found, pair, "left").select(pair, F.coalesce("n_left", none).alias("n_left"), F.coalesce("n_right", none).alias("n_right"), "best.shift", F.coalesce("best.n", none).alias("n_shift"))
+
+
 def sketch(text: Column) -> Column:
     hashes = let(pairs(text), lambda p: chosen(p, lambda a, b, _: F.shiftrightunsigned(F.xxhash64(a, b), 32)))
     return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH)
@@ -75,6 +92,40 @@ def likeness(a: Column, b: Column) -> Column:
     return let(F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH), of)
 
 
+def ranges(keys: DataFrame, parts: int):
+    """What adds __part to rows (__major, __minor): about equal bytes, ascending with the keys. Also, how many parts there are.
+
+    The first COARSE bounds are sought by counts of bytes; each of these ranges then has equal steps of the key.
+    """
+    total = int(keys.agg(F.sum("size")).first()[0] or 0)
+    coarse = min(COARSE, parts)
+    cuts = splitters(keys, total, coarse, total // coarse // 20) if total and coarse > 1 else []
+    steps = -(-parts // coarse)
+    named = keys.select(F.col("major").alias("__major"), F.col("minor").alias("__minor"))
+    spans = part_of(named, cuts).groupBy("__part").agg(F.min("__major").alias("__low"), F.max("__major").alias("__high"))  # COARSE rows at most
+
+    def placed(rows: DataFrame) -> DataFrame:
+        own = part_of(rows, cuts)
+        if steps == 1:
+            return own
+        one = F.col("__low") == F.col("__high")
+        share = F.when(one, F.col("__minor") / F.lit(float(1 << KEY_BITS))).otherwise((F.col("__major") - F.col("__low")) / (F.col("__high") - F.col("__low") + 1))
+        return own.join(F.broadcast(spans), "__part").withColumn("__part", F.col("__part") * steps + F.least(F.floor(share * steps), F.lit(steps - 1)).cast("int")).drop("__low", "__high")
+
+    return placed, coarse * steps
+
+
+def before(firsts: DataFrame) -> DataFrame:
+    """Adds to rows, one for each __part, the __part before that has a row; to the first of all, the last."""
+    groups = firsts.withColumn("__g", F.floor(F.col("__part") / GROUP))
+    own = groups.withColumn("__before", F.lag("__part").over(Window.partitionBy("__g").orderBy("__part")))
+    # a row for GROUP parts, so the one task has few of them
+    last, w = groups.groupBy("__g").agg(F.max("__part").alias("__last")), Window.orderBy("__g")
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = last.select("__g", F.coalesce(F.lag("__last").over(w), F.max("__last").over(every)).alias("__last"))
+    return own.join(ends, "__g").withColumn("__before", F.coalesce("__before", "__last")).drop("__g", "__last")
+
+
 def with_next(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Window]:
     """(__id, __text, __sketch, __ghost, __part, __minor) in ranges of ascending ids, and the window in which the next row is the next document.
 
@@ -82,27 +133,25 @@ def with_next(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Windo
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("__id"), common.text_or_empty(text).alias("__text"))
-    low, high = rows.agg(F.min("__id"), F.max("__id")).first()
+    low, high, size = rows.agg(F.min("__id"), F.max("__id"), F.sum(F.octet_length("__text"))).first()
     low = 0 if low is None else low
-    shift = max(0, ((high or 0) - low + 1).bit_length() - 48)
-    major = F.when(F.col("__id").isNull(), F.lit(0).cast("long")).otherwise(F.shiftright(F.col("__id") - F.lit(low) + F.lit(1 << shift), shift))
+    # ids as keys of KEY_BITS: null ones first, the first bits used, so that one round of counts tells ranges apart
+    bits = ((high or 0) - low + 1).bit_length() + 1
+    shift, lift = max(0, bits - KEY_BITS), max(0, KEY_BITS - bits)
+    major = F.when(F.col("__id").isNull(), F.lit(0).cast("long")).otherwise(F.shiftleft(F.shiftright(F.col("__id") - F.lit(low) + F.lit(1 << shift), shift), lift))
     # ids that share a major key are never cut apart, unless they are the same id
-    minor = F.shiftrightunsigned(F.xxhash64("__text"), 16) if shift == 0 else F.lit(0).cast("long")
+    minor = F.shiftrightunsigned(F.xxhash64("__text"), 64 - KEY_BITS) if shift == 0 else F.lit(0).cast("long")
     rows = rows.withColumns({"__major": major, "__minor": minor})
-    keys = common.save(rows.select("__id", F.octet_length("__text").cast("long").alias("size"), F.col("__major").alias("major"), F.col("__minor").alias("minor")).withColumn("size", F.col("size") + 8), "keys")
-    total = int(keys.agg(F.sum("size")).first()[0] or 0)
-    parts = max(1, common.shuffle_partitions(spark), total // RANGE)
-    cuts = splitters(keys, total, parts, total // parts // 50) if total else []
+    keys = common.save(rows.select("__id", (F.octet_length("__text").cast("long") + ROW_BYTES).alias("size"), F.col("__major").alias("major"), F.col("__minor").alias("minor")), "keys")
+    placed, parts = ranges(keys, max(common.shuffle_partitions(spark), int(size or 0) // RANGE))
     order = [F.asc_nulls_first("__id"), F.asc("__minor")]
-    placed = part_of(keys.select("__id", F.col("major").alias("__major"), F.col("minor").alias("__minor")), cuts)
-    first = placed.groupBy("__part").agg(F.min(F.struct(F.col("__id").isNotNull().alias("known"), "__id", "__minor")).alias("at")).orderBy("__part").collect()  # a row a range
-    ghosts = [(r.at[1], r.at[2], first[k - 1]["__part"]) for k, r in enumerate(first)]
-    names = ("g_id", "g_minor", "g_part")
-    ghost = F.broadcast(spark.createDataFrame(pa.table({c: pa.array([g[k] for g in ghosts], pa.int64()) for k, c in enumerate(names)})))
+    marks = placed(keys.select("__id", F.col("major").alias("__major"), F.col("minor").alias("__minor")))
+    first = marks.groupBy("__part").agg(F.min(F.struct(F.col("__id").isNotNull().alias("known"), "__id", "__minor")).alias("at"))
+    ghost = small(before(first).select(F.col("at.__id").alias("g_id"), F.col("at.__minor").alias("g_minor"), F.col("__before").alias("__part")), parts)
     made = sketch(F.col("__text"))
-    parted = part_of(rows.withColumn("__sketch", made), cuts).select("__id", "__text", "__sketch", "__minor", "__part", F.lit(False).alias("__ghost"))
-    ahead = rows.join(ghost, F.col("__id").eqNullSafe(F.col("g_id")) & (F.col("__minor") == F.col("g_minor"))).select("__id", "__text", made.alias("__sketch"), "__minor", F.col("g_part").cast("int").alias("__part"), F.lit(True).alias("__ghost"))
-    moved = parted.unionByName(ahead).repartition(parts, "__part")
+    parted = placed(rows.withColumn("__sketch", made)).select("__id", "__text", "__sketch", "__minor", "__part", F.lit(False).alias("__ghost"))
+    ahead = rows.join(ghost, F.col("__id").eqNullSafe(F.col("g_id")) & (F.col("__minor") == F.col("g_minor"))).select("__id", "__text", made.alias("__sketch"), "__minor", "__part", F.lit(True).alias("__ghost"))
+    moved = parted.unionByName(ahead).repartitionById(parts, "__part")
     return moved, Window.partitionBy("__part").orderBy("__ghost", *order)
 
 
