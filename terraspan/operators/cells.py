@@ -620,7 +620,7 @@ def trajectory_cells(samples: DataFrame, dimension: tuple[int, int, int], origin
     pieces = seg.withColumn("__t", t).withColumn("__s", F.explode(F.transform(F.slice("__t", 1, F.size("__t") - 1), lambda a, n: F.struct(a.alias("a"), F.get("__t", n + 1).alias("b")))))
     at = lambda c, s: F.col(f"{c}1") + s * (F.col(f"{c}2") - F.col(f"{c}1"))
     a, b = F.col("__s.a"), F.col("__s.b")
-    own = pieces.where(b > a).select("well", "seq", a.alias("__a"), at("md", a).alias("md_in"), at("md", b).alias("md_out"), *(at(c, (a + b) / 2).alias(c) for c in "xyz"))
+    own = pieces.where(b - a > 1e-12).select("well", "seq", a.alias("__a"), at("md", a).alias("md_in"), at("md", b).alias("md_out"), *(at(c, (a + b) / 2).alias(c) for c in "xyz"))
     own = box_index(own, dimension, origin, increment).where(F.col("i").isNotNull())
     return visits(own)
 
