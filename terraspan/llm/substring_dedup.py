@@ -52,8 +52,8 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel(), dtype=U)
 
 
-def blocks(docs: DataFrame, text: str, size: int) -> tuple[DataFrame, str]:
-    """The block table, bucketed by __block: the rows of docs, each with its block; and its name in the catalogue."""
+def blocks(docs: DataFrame, text: str, size: int) -> tuple[DataFrame, str, str]:
+    """The block table, bucketed by __block: the rows of docs, each with its block; its name in the catalogue, and its folder."""
     names, place = docs.columns, docs.columns.index(text)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +72,7 @@ def blocks(docs: DataFrame, text: str, size: int) -> tuple[DataFrame, str]:
     path = f"{common.shared_folder(spark)}/{name}"
     schema = T.StructType([T.StructField("__block", T.LongType()), *docs.schema.fields])
     docs.mapInArrow(deal, schema).write.bucketBy(max(4, common.shuffle_partitions(spark), size // BUCKET), "__block").option("path", path).saveAsTable(name)
-    return spark.table(name), name
+    return spark.table(name), name, path
 
 
 @dataclass(frozen=True)
@@ -275,7 +275,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     docs = docs.select(doc_id, text) if digest else docs.drop(*(c for c in new if c not in (doc_id, text)))
     docs = docs.withColumn(text, F.col(text).cast("string"))
     size = int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
-    table, name = blocks(docs, text, size)
+    table, name, path = blocks(docs, text, size)
     slices = max(common.shuffle_partitions(docs.sparkSession), size // 6 // SLICE, 2).bit_length()
     plan = Plan(doc_id, text, window, tuple(levels[:-1]), min(64, max(20, (size // 4).bit_length()) + 10), slices)
     known = None
@@ -285,7 +285,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     kept = [f for f in docs.schema.fields if not digest or f.name == doc_id]
     schema = T.StructType([*kept, T.StructField(new[0], T.LongType()), T.StructField(new[1], T.LongType()), T.StructField(new[2], T.StringType())])
     out = common.save(by_block(table, known, plan, lambda _, block: cut(block, plan, digest), schema), "substring")
-    docs.sparkSession.sql(f"DROP TABLE {name}")  # an external table: its files stay in the shared folder
+    docs.sparkSession.sql(f"DROP TABLE {name}")
+    common.discard(docs.sparkSession, path)  # the result is written, so nothing reads the blocks again
     return out
 
 
