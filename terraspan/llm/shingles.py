@@ -23,6 +23,8 @@ FIRST = 4
 #: One of SAMPLE texts tells which shingles are common: those in COMMON or more of them, LATE at most. They only set the
 #: order of a text's shingles; any order finds all pairs.
 SAMPLE, COMMON, LATE = 16, 8, 100_000
+#: Rows of a shingle from which on only those without the root of most are paired with others one by one.
+LARGE = 64
 #: Rows that are looked at together for pairs, at least.
 ROWS = 1 << 15
 #: Bytes of text whose shingles are worked out together.
@@ -157,11 +159,35 @@ def candidates(posts: DataFrame, similarity: float, rest: bool = False) -> DataF
     """(a, b, h, size) from prefixes(): pairs of rows that share a shingle, unless their sizes or its places rule out the similarity.
 
     First, a text is paired with the FIRST next larger ones of each shingle. If more can be paired, all rows of that shingle
-    are returned, too (b is null), for the second time (rest): then all other pairs whose `root` differs are returned.
+    are returned, too (b is null), for the second time (rest): then all other pairs whose `root` differs are returned. A
+    shingle whose rows have one root costs nothing then, and one with a root that most rows have only what the others need.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("h", pa.int64()), ("size", pa.int64())])
     columns = ["h", "size", "row", *(["root"] if rest else [])]
 
+    def out(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), *[pa.nulls(len(x), pa.int64())] * 2], schema=schema)
+
+    def across(h: np.ndarray, size: np.ndarray, row: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """For rest: pairs of rows of different roots; of large shingles, those of each row that hasn't the root of most."""
+        if not len(h):
+            return
+        starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        lengths = np.diff(starts, append=len(h))
+        mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+        few = np.repeat(mixed & (lengths <= LARGE), lengths)
+        yield from pairs(h[few], size[few], row[few], root[few])
+        for a, b in zip(starts[mixed & (lengths > LARGE)].tolist(), (starts + lengths)[mixed & (lengths > LARGE)].tolist(), strict=True):
+            n, place, own, of = size[a:b] >> 32, size[a:b] & 0xFFFFFFFF, row[a:b], root[a:b]
+            roots, times = np.unique(of, return_counts=True)
+            other = of != roots[times.argmax()]
+            for k in np.flatnonzero(other).tolist():
+                to = np.arange(np.searchsorted(n, similarity * n[k] - SLACK), np.searchsorted(n, (n[k] + SLACK) / similarity, "right"))
+                to = to[(of[to] != of[k]) & (np.abs(to - k) > FIRST) & (~other[to] | (to > k))]
+                to = to[np.minimum(n[k] - place[k], n[to] - place[to]) >= similarity / (1 + similarity) * (n[k] + n[to]) - SLACK]
+                if len(to):
+                    yield out(np.full(len(to), own[k]), own[to])
+
     def pairs(h: np.ndarray, size: np.ndarray, row: np.ndarray, root: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         n, place = size >> 32, size & 0xFFFFFFFF
         at, d = np.arange(len(h)), FIRST + 1 if rest else 1
@@ -177,13 +203,14 @@ def candidates(posts: DataFrame, similarity: float, rest: bool = False) -> DataF
                 ok &= root[at] != root[to]
             x, y = row[at[ok]], row[to[ok]]
             if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), *[pa.nulls(len(x), pa.int64())] * 2], schema=schema)
+                yield out(x, y)
             d += 1
-        if len(at):
+        if len(at) and not rest:
             more = np.isin(h, np.unique(h[at]))
             yield pa.RecordBatch.from_arrays([pa.array(row[more]), pa.nulls(int(more.sum()), pa.int64()), pa.array(h[more]), pa.array(size[more])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = across if rest else pairs
         parts, rows = [], 0
         for b in batches:
             parts.append([x.to_numpy() for x in b.columns])
@@ -191,10 +218,10 @@ def candidates(posts: DataFrame, similarity: float, rest: bool = False) -> DataF
             if rows >= ROWS:
                 held = [np.concatenate(x) for x in zip(*parts, strict=True)]
                 cut = np.searchsorted(held[0], held[0][-1])  # the last shingle's rows may go on
-                yield from pairs(*(x[:cut] for x in held))
+                yield from found(*(x[:cut] for x in held))
                 parts, rows = [[x[cut:] for x in held]], len(held[0]) - cut
         if parts:
-            yield from pairs(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            yield from found(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
     return posts.select(*columns).repartition("h").sortWithinPartitions("h", "size", "row").mapInArrow(run, "a long, b long, h long, size long")
 
