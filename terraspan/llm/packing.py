@@ -22,8 +22,8 @@ from terraspan.llm.tokens import END, library_encoder, vocabulary_path
 
 #: Windows that a partition keeps open.
 OPEN = 32
-#: Partitions whose leftovers are merged by one task: 32 windows each, so 16 MB of ids at most at a length of 4096.
-MERGED = 32
+#: Partitions whose leftovers are merged by one task: 32 windows each, so 4 MB of ids at most at a length of 4096.
+MERGED = 8
 COLUMNS = ("start long", "length long", "ids binary", "doc_tokens long", "sequence_id long", "offset long")
 
 

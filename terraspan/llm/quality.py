@@ -5,27 +5,36 @@ features of a text, and the weights minimise the logistic loss on the feature di
 is the quantile of the training scores that parts good from bad best; a score is the logistic function of the
 distance from it, so 0.5 is the threshold.
 
-Features are worked out where the texts are, from the whole text; nothing is shuffled to score. To the driver come the
-features of at most TRAIN labelled documents, taken in the order of a hash of their ids.
+Features are shares of kinds of bytes and words, and hashed bags of words and of byte triples, so that what parts good
+from bad is learnt from the labels and not only from marks chosen by hand. They are worked out where the texts are, from
+the whole text; nothing is shuffled to score. To the driver come the features of at most TRAIN labelled documents, taken
+in the order of a hash of their ids.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from terraspan.llm import common
+from terraspan.llm.words import Hasher, U, spans
 
 #: Labelled documents that the model is fitted on, at most, and pairs for each of them.
 TRAIN, PAIRS = 20_000, 8
-RIDGE = 1e-3
+RIDGE, STEPS = 1e-3, 150
+#: Texts that are scored at a time.
+STEP = 256
+#: Bytes whose triples are counted at a time.
+BYTES = 1 << 16
+#: Bins of the bags of words, and of byte triples.
+WORDS, TRIPLES = 256, 256
 NAMES = ("size", "exclaim", "bar", "symbol", "upper", "digit", "other", "stop", "again", "distinct", "top", "length", "long", "line", "mixed", "capital")
 LETTERS = np.zeros(256, bool)
 LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -33,8 +42,34 @@ UPPER, DIGITS, SYMBOLS = np.zeros((3, 256), bool)
 UPPER[65:91], DIGITS[48:58], SYMBOLS[[ord(c) for c in "#$%&*+<=>@\\^_`{}~"]] = True, True, True
 
 
-def features(text: bytes) -> list[float]:
-    """Shares of kinds of bytes and words, each between about 0 and 1."""
+def bag(counts: np.ndarray) -> np.ndarray:
+    """Square roots of the bins' counts, of length 1 in all."""
+    return np.sqrt(counts / max(1, counts.sum()))
+
+
+def bags(text: bytes) -> np.ndarray:
+    """Of the words and of the byte triples, A-Z lower-cased."""
+    data = np.frombuffer(text.lower(), np.uint8)
+    words = hasher().words(data, *spans(data)) >> U(64 - WORDS.bit_length() + 1)
+    triples = np.zeros(TRIPLES, np.int64)
+    for at in range(0, len(data) - 2, BYTES):  # a long text some bytes at a time
+        wide = data[at : at + BYTES + 2].astype(np.uint32)
+        mixed = (wide[:-2] * np.uint32(0x9E3779B1) ^ wide[1:-1] * np.uint32(0x85EBCA77) ^ wide[2:] * np.uint32(0xC2B2AE3D)) * np.uint32(0x27D4EB2F)
+        triples += np.bincount((mixed >> np.uint32(32 - TRIPLES.bit_length() + 1)).astype(np.int64), minlength=TRIPLES)
+    return np.concatenate([bag(np.bincount(words.astype(np.int64), minlength=WORDS)), bag(triples)])
+
+
+@lru_cache(1)
+def hasher() -> Hasher:
+    return Hasher(5)
+
+
+def features(text: bytes) -> np.ndarray:
+    return np.concatenate([shares(text), bags(text)]).astype(np.float32)
+
+
+def shares(text: bytes) -> list[float]:
+    """Of kinds of bytes and words, each between about 0 and 1."""
     words, n = text.split(), len(text)
     if not words:
         return [0.0] * len(NAMES)
@@ -65,28 +100,41 @@ def features(text: bytes) -> list[float]:
     ]
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """Features for the way to the driver: shares in two bytes, bags in one."""
+    return x[: len(NAMES)].astype("<f2").tobytes() + np.rint(x[len(NAMES) :] * 255).astype(np.uint8).tobytes()
+
+
+def unsqueezed(rows: list[bytes]) -> np.ndarray:
+    data = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), 2 * len(NAMES) + WORDS + TRIPLES)
+    shares_ = np.ascontiguousarray(data[:, : 2 * len(NAMES)]).view("<f2").astype(np.float32)
+    return np.concatenate([shares_, data[:, 2 * len(NAMES) :].astype(np.float32) / 255], axis=1)
+
+
 def with_features(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
     slim = docs.select(*keep, common.text_or_empty(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = [features(x) for x in common.texts(b.column(len(keep)))]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(own, pa.list_(pa.float64()))], names=[*keep, "__features"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array([squeezed(x) for x in own], pa.binary())], names=[*keep, "__features"])
 
-    return slim.mapInArrow(run, slim.drop("__text").schema.add("__features", T.ArrayType(T.DoubleType())))
+    return slim.mapInArrow(run, slim.drop("__text").schema.add("__features", "binary"))
 
 
 class Ranking:
     """Weights, and the threshold with the scale of scores around it. Without both kinds of labels all documents are good."""
 
     def __init__(self, x: np.ndarray, good: np.ndarray):
-        self.mean, self.scale = (x.mean(axis=0), x.std(axis=0) + 1e-6) if len(x) else (np.zeros(len(NAMES)), np.ones(len(NAMES)))
-        self.weights, self.threshold, self.width = np.zeros(len(NAMES)), 0.0, 1.0
+        size = len(NAMES) + WORDS + TRIPLES
+        self.weights, self.mean, self.threshold, self.width = np.zeros(size, np.float32), np.zeros(size, np.float32), 0.0, 1.0
         if not good.any() or good.all():
             return
-        z = (x - self.mean) / self.scale
-        self.weights = self._fitted(z[good], z[~good])
-        scores = z @ self.weights
+        self.mean = x.mean(axis=0)
+        # shares are brought to one scale; bags have one already
+        scale = np.concatenate([x[:, : len(NAMES)].std(axis=0) + 1e-6, np.full(WORDS + TRIPLES, 0.1)]).astype(np.float32)
+        self.weights = self._fitted((x - self.mean) / scale, good) / scale
+        scores = (x - self.mean) @ self.weights
         # quantiles of the scores, each halfway between two documents; the one with the least error over both kinds
         order = np.argsort(scores, kind="stable")
         ranked = good[order]
@@ -97,23 +145,25 @@ class Ranking:
         self.width = max(1e-6, float(np.std(scores)) / 4)
 
     @staticmethod
-    def _fitted(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
-        """Newton's method on the logistic loss of pairs; each document is in PAIRS of them at least."""
-        n = PAIRS * max(len(good), len(bad))
+    def _fitted(x: np.ndarray, good: np.ndarray) -> np.ndarray:
+        """Gradient steps (Adam) on the logistic loss of pairs; each document is in PAIRS of them at least."""
+        n = PAIRS * max(good.sum(), (~good).sum())
         draw = np.random.default_rng(0)
-        differences = good[np.resize(draw.permutation(len(good)), n)] - bad[np.resize(draw.permutation(len(bad)), n)[draw.permutation(n)]]
-        w = np.zeros(good.shape[1])
-        for _ in range(25):
-            p = 1 / (1 + np.exp(np.clip(differences @ w, -30, 30)))  # how sure the loss is that the pair is wrong
-            step = np.linalg.solve((differences * (p * (1 - p))[:, None]).T @ differences / n + RIDGE * np.eye(len(w)), differences.T @ p / n - RIDGE * w)
-            w += step
-            if np.abs(step).max() < 1e-6:
-                break
+        better = np.resize(draw.permutation(np.flatnonzero(good)), n)
+        worse = np.resize(draw.permutation(np.flatnonzero(~good)), n)[draw.permutation(n)]
+        w, m, v = (np.zeros(x.shape[1], np.float32) for _ in range(3))
+        for step in range(1, STEPS + 1):
+            s = x @ w
+            p = 1 / (1 + np.exp(np.clip(s[better] - s[worse], -30, 30)))  # how sure the loss is that the pair is wrong
+            pull = np.bincount(better, p, len(x)) - np.bincount(worse, p, len(x))
+            g = RIDGE * w - (pull.astype(np.float32) @ x) / np.float32(n)
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            w = w - np.float32(0.1) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         return w
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        s = (((x - self.mean) / self.scale) @ self.weights - self.threshold) / self.width
-        return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
+        s = ((x - self.mean) @ self.weights - self.threshold) / self.width
+        return 1 / (1 + np.exp(-np.clip(s.astype(float), -30, 30)))
 
 
 def held_out(doc_id: str) -> Column:
@@ -127,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     rows = docs.select(doc_id, text).join(F.broadcast(some), F.col(doc_id) == F.col("__id")).select(F.col("__id"), F.col("__good").cast("int").alias("__good"), text)
     # rows that repeat an id would be as many as they like, so no more than TRAIN rows come back
     found = with_features(rows, ["__id", "__good"], text).orderBy(F.xxhash64("__id"), "__id").limit(TRAIN).toArrow()
-    x = np.array(found.column("__features").to_pylist(), float).reshape(-1, len(NAMES))
+    x = unsqueezed(found.column("__features").to_pylist())
     return Ranking(x, np.array(found.column("__good").to_pylist(), int) == 1)
 
 
@@ -142,8 +192,8 @@ def scored(docs: DataFrame, model: Ranking, doc_id: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = np.array([features(x) for x in common.texts(b.column(names.index(text)).cast(pa.string()))], float).reshape(-1, len(NAMES))
-            scores = model(own)
+            texts = common.texts(b.column(names.index(text)).cast(pa.string()))
+            scores = np.concatenate([np.zeros(0), *(model(np.stack([features(x) for x in texts[k : k + STEP]])) for k in range(0, len(texts), STEP))])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
 
     out = docs.mapInArrow(run, docs.select(*names).schema.add("score", "double").add("predicted", "integer"))
