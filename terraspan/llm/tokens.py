@@ -1,9 +1,9 @@
 """Token ids of whole texts, word by word.
 
 The word-level tokenizer's rules never look across white space, and the special tokens hold none. So a text's ids are
-those of its white-space separated chunks in order, and a chunk that has been seen needs only a lookup. Chunks of
-ASCII and Latin-1 letters, digits and marks are split here as the tokenizer's pattern does; others by the tokenizer's own
-normaliser and pre-tokenizer. The ids of all pieces come from piece_ids.
+those of its white-space separated chunks in order. Texts, and chunks of other texts, of ASCII and Latin-1 letters,
+digits and marks are split here as the tokenizer's pattern does; other chunks by the tokenizer's own normaliser and
+pre-tokenizer. The ids of all pieces come from piece_ids; a piece, or chunk, that has been seen needs only a lookup.
 """
 
 from __future__ import annotations
@@ -19,6 +19,9 @@ from tokenizers import Tokenizer
 #: The tokenizer's pattern, over lower-case chunks of the characters that PLAIN allows.
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: The same for whole texts of such characters and white space.
+TEXT_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\t-\r ]+")
+PLAIN_TEXT = re.compile("[!-~À-ÖØ-öø-ÿ\t-\r ]*")
 #: The id that ends a document.
 END = 2
 #: Chunks, and pieces, of one generation that a worker remembers; it keeps two.
@@ -67,12 +70,15 @@ class Encoder:
         self.chunks, self.pieces = Memory(), Memory()
 
     def _by_library(self, piece: bytes) -> list[int]:
-        return [t.id for t in self.tokenizer.model.tokenize("".join(map(self.letters.__getitem__, piece)))]
+        text = piece.decode("latin-1")
+        if not (text.isascii() and text.isprintable()):  # visible ASCII stands for itself
+            text = "".join(map(self.letters.__getitem__, piece))
+        return [t.id for t in self.tokenizer.model.tokenize(text)]
 
     def _piece(self, piece: str) -> bytes:
         if (ids := self.pieces.young.get(piece)) is None:
             ids = self.pieces.old.get(piece)
-            ids = self.pieces.put(piece, np.array(self.piece_ids(piece.encode()), "<u4").tobytes() if ids is None else ids)
+            ids = self.pieces.put(piece, b"".join([i.to_bytes(4, "little") for i in self.piece_ids(piece.encode())]) if ids is None else ids)
         return ids
 
     def _chunk(self, chunk: bytes) -> bytes:
@@ -92,6 +98,10 @@ class Encoder:
         return b"".join(self._piece(bytes(map(self.bytes.__getitem__, x)).decode()) for x, _ in pieces)
 
     def ids(self, text: bytes) -> bytes:
+        whole = text.decode()
+        if PLAIN_TEXT.fullmatch(whole) and "<|" not in whole:
+            known, new = self.pieces.young.get, self._piece
+            return b"".join([known(p) or new(p) for p in TEXT_PIECES.findall(whole.lower())])
         known, new = self.chunks.young.get, self._chunk
         return b"".join([known(c) or new(c) for c in text.split()])
 
