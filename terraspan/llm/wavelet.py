@@ -3,7 +3,9 @@
 A shard file holds the ids of neighbouring documents, in ascending doc_id order. The matrix keeps the ids as bit planes,
 the highest bit first, each plane stably parted by the one before; ranks at block bounds make rank and select one
 lookup and a count within a block. So one file gives single tokens, counts of an id in a range, and the places of its
-occurrences, without being unpacked.
+occurrences, without the tokens being unpacked. In the file each plane is compressed by itself.
+
+tokens_at(), counts() and occurrences() ask all shards at once; a question goes to the shard that can answer it.
 
 Files are the rows of a table in the shared folder, so that any store Spark writes to will do; each row's bytes are a
 file by itself (see ShardFile).
@@ -11,7 +13,6 @@ file by itself (see ShardFile).
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -123,17 +124,20 @@ class WaveletMatrix:
 
     def to_bytes(self) -> bytes:
         head = np.array([self.n, len(self.planes)], "<u8").tobytes() + self.zeros.astype("<u8").tobytes()
-        return head + self.ranks.astype("<u4").tobytes() + self.planes.tobytes()
+        planes = [zstandard.compress(p.tobytes(), 1) for p in self.planes]
+        return head + np.array([len(p) for p in planes], "<u8").tobytes() + self.ranks.astype("<u4").tobytes() + b"".join(planes)
 
     @classmethod
     def from_bytes(cls, data: bytes, at: int = 0) -> WaveletMatrix:
         n, bits = (int(x) for x in np.frombuffer(data, "<u8", 2, at))
         width = -(-n // BLOCK)
         zeros = np.frombuffer(data, "<u8", bits, at + 16)
-        at += 16 + 8 * bits
+        sizes = np.frombuffer(data, "<u8", bits, at + 16 + 8 * bits).astype(np.int64)
+        at += 16 + 16 * bits
         ranks = np.frombuffer(data, "<u4", bits * (width + 1), at).reshape(bits, width + 1)
-        planes = np.frombuffer(data, np.uint8, bits * width * (BLOCK // 8), at + ranks.nbytes).reshape(bits, width * (BLOCK // 8))
-        return cls(n, planes, ranks, zeros)
+        ends = at + ranks.nbytes + np.cumsum(sizes)
+        planes = b"".join(zstandard.decompress(data[b - size : b]) for size, b in zip(sizes.tolist(), ends.tolist(), strict=True))
+        return cls(n, np.frombuffer(planes, np.uint8).reshape(bits, width * (BLOCK // 8)), ranks, zeros)
 
 
 class ShardFile:
@@ -198,11 +202,7 @@ def write_shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
 
 def read_shards(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of each document, from the files; start counts the ids of all documents before it."""
-    sizes = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    parts = sizes.select("part", F.coalesce(F.sum("n").over(before("part")), F.lit(0)).alias("__part"))  # a row a partition
-    within = shards.select("part", "number", F.coalesce(F.sum("n_tokens").over(before("part", "number")), F.lit(0)).alias("__within"))
-    base = within.join(parts, "part").select("part", "number", (F.col("__part") + F.col("__within")).alias("__base"))
+    base = bases(shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -220,6 +220,69 @@ def read_shards(shards: DataFrame) -> DataFrame:
     return each, base
 
 
+def bases(shards: DataFrame) -> DataFrame:
+    """(part, number, __base): how many tokens are before each shard."""
+    sizes = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    parts = sizes.select("part", F.coalesce(F.sum("n").over(before("part")), F.lit(0)).alias("__part"))  # a row a partition
+    within = shards.select("part", "number", F.coalesce(F.sum("n_tokens").over(before("part", "number")), F.lit(0)).alias("__within"))
+    return within.join(parts, "part").select("part", "number", (F.col("__part") + F.col("__within")).alias("__base"))
+
+
+def _asked(shards: DataFrame, questions: DataFrame, answer, schema: str) -> DataFrame:
+    """What answer(matrix, table of questions) gives for each shard that is asked; a shard meets its questions in one group."""
+
+    def run(key: tuple, files: pa.Table, asked: pa.Table) -> pa.Table:
+        if not len(files) or not len(asked):
+            return pa.table({f.name: pa.array([], f.type) for f in kinds})
+        return answer(ShardFile(files.column("file")[0].as_py()).matrix, asked)
+
+    questions = questions.select(*(F.col(c).alias(c) for c in questions.columns))  # columns of its own, as both sides come from the shards
+    kinds = pa.schema([(c.split()[0], pa.int64()) for c in schema.split(", ")])
+    return shards.select("part", "number", "file").groupBy("part", "number").cogroup(questions.groupBy("part", "number")).applyInArrow(run, schema)
+
+
+def tokens_at(shards: DataFrame, places: DataFrame) -> DataFrame:
+    """(place, token) of places(place), counted over all documents; places beyond the end, and null ones, are left out."""
+    base = bases(shards).join(shards.select("part", "number", "n_tokens"), ["part", "number"])
+    spans = base.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("__base") / SHARD), F.floor((F.col("__base") + F.col("n_tokens") - 1) / SHARD))))
+    own = places.select("place", F.floor(F.col("place") / SHARD).alias("__bin")).join(spans, "__bin").where("place >= __base and place < __base + n_tokens")
+
+    def answer(matrix: WaveletMatrix, asked: pa.Table) -> pa.Table:
+        at = (asked.column("place").to_numpy() - asked.column("base").to_numpy()).tolist()
+        return pa.table({"place": asked.column("place"), "token": pa.array([matrix.access(k) for k in at], pa.int64())})
+
+    return _asked(shards, own.select("part", "number", "place", F.col("__base").alias("base")), answer, "place long, token long")
+
+
+def counts(shards: DataFrame, tokens: list[int]) -> DataFrame:
+    """(part, number, token, n): how often each of some tokens occurs in each shard."""
+    wanted = sorted(set(tokens))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, number, data in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                n = [ShardFile(data).matrix.count(t) for t in wanted]
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(n)), pa.array([number] * len(n)), pa.array(wanted, pa.int64()), pa.array(n, pa.int64())], names=["part", "number", "token", "n"])
+
+    return shards.select("part", "number", "file").mapInArrow(run, "part long, number long, token long, n long")
+
+
+def occurrences(shards: DataFrame, wanted: list[tuple[int, int]]) -> DataFrame:
+    """(token, k, place): where the k-th occurrence (from 0) of a token is, over all documents; those that aren't there are left out."""
+    per = counts(shards, [t for t, _ in wanted])
+    w = Window.partitionBy("token").orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("__before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    asked = F.broadcast(shards.sparkSession.createDataFrame(list(wanted), "token long, k long"))
+    own = per.join(asked, "token").where("k >= __before and k < __before + n").join(bases(shards), ["part", "number"])
+
+    def answer(matrix: WaveletMatrix, asked: pa.Table) -> pa.Table:
+        tokens, k, before, base = (asked.column(c).to_pylist() for c in ("token", "k", "before", "base"))
+        return pa.table({"token": asked.column("token"), "k": asked.column("k"), "place": pa.array([b + matrix.occurrence(t, n - m) for t, n, m, b in zip(tokens, k, before, base, strict=True)], pa.int64())})
+
+    return _asked(shards, own.select("part", "number", "token", "k", F.col("__before").alias("before"), F.col("__base").alias("base")), answer, "token long, k long, place long")
+
+
 def with_starts(each: DataFrame, base: DataFrame) -> DataFrame:
     return each.join(base, ["part", "number"]).withColumn("start", F.col("start") + F.col("__base")).drop("part", "number", "__base")
 

@@ -12,7 +12,7 @@ import regex
 import xxhash
 from tokenizers import Tokenizer
 
-from terraspan.llm import bpe, exact_dedup, licenses, packing, quality, sharding, shingles, simhash, substring_dedup, syncmers, wavelet
+from terraspan.llm import bpe, exact_dedup, licenses, packing, quality, sharding, shingles, simhash, substring_dedup, syncmers, tokens, wavelet
 from tests.llm.conftest import CLASHING
 
 TABLES = ["odd", "some"]
@@ -159,6 +159,23 @@ def test_wavelet_files(docs, tokenizer):
         at += len(ids)
 
 
+def test_wavelet_questions(spark, some, tokenizer, monkeypatch):
+    monkeypatch.setattr(wavelet, "SHARD", 2000)
+    docs = some.limit(60)
+    shards = wavelet.write_shards(docs).cache()
+    line = [x for i, t in sorted(rows_of(docs)) for x in tokenizer.encode(t, add_special_tokens=False).ids + [2]]
+    places = [0, 1, 1999, 2000, len(line) - 1, len(line), 5000 % len(line)]
+    got = wavelet.tokens_at(shards, spark.createDataFrame([(p,) for p in places], "place long"))
+    assert sorted(map(tuple, got.collect())) == sorted((p, line[p]) for p in places if p < len(line))
+    assert shards.count() > 3
+    common = [t for t, _ in Counter(line).most_common(3)]
+    sums = wavelet.counts(shards, [*common, 49407]).groupBy("token").sum("n").collect()
+    assert {r[0]: r[1] for r in sums} == {t: line.count(t) for t in [*common, 49407]}
+    wanted = [(t, k) for t in common for k in (0, 5, line.count(t) - 1, line.count(t))]
+    of = {t: [k for k, x in enumerate(line) if x == t] for t in common}
+    assert sorted(map(tuple, wavelet.occurrences(shards, wanted).collect())) == sorted((t, k, of[t][k]) for t, k in wanted if k < len(of[t]))
+
+
 def test_wavelet_matrix():
     x = np.random.default_rng(2).integers(0, 3000, 5000)
     m = wavelet.WaveletMatrix.from_bytes(b"12345678" + wavelet.WaveletMatrix.build(x, 12).to_bytes(), 8)
@@ -187,6 +204,7 @@ def test_bpe_odd_texts(text, tokenizer):
     encoder, decoder = bpe.codec(public_tokenizers.path("word_bpe_49k.json"))
     ids = tokenizer.encode(text, add_special_tokens=False).ids
     got = encoder.ids(text.encode())
+    assert tokens.library_encoder(public_tokenizers.path("word_bpe_49k.json")).ids(text.encode()) == got
     assert np.frombuffer(got, "<u4").tolist() == ids and b"".join(decoder.pieces(got)).decode() == tokenizer.decode(ids, skip_special_tokens=False)
 
 
@@ -460,6 +478,22 @@ def test_pairs_of_a_shingle_in_many_texts(spark):
     assert rest == {(a, b) for a in range(6) for b in range(6, n) if b - a > shingles.FIRST}
 
 
+def test_pairs_across_roots_of_a_large_shingle(spark):
+    r = np.random.default_rng(9)
+    rows = sorted((9, (int(n) << 32) + int(p), k) for k, (n, p) in enumerate(zip(r.integers(90, 140, 150), r.integers(0, 12, 150), strict=True)))
+    rows += [(10, (100 << 32) + k % 3, 1000 + k) for k in range(90)]
+    roots = [int(r.choice([1, 1, 1, 1, 1, 1, 2, 3])) if h == 9 else 7 for h, _, _ in rows]
+    posts = spark.createDataFrame([(*x, y) for x, y in zip(rows, roots, strict=True)], "h long, size long, row long, root long")
+    want = set()
+    for a in range(150):
+        for b in range(a + shingles.FIRST + 1, 150):
+            (n, p), (m, q) = (divmod(rows[k][1], 1 << 32) for k in (a, b))
+            if roots[a] != roots[b] and n >= 0.8 * m - 1e-9 and min(n - p, m - q) >= 0.8 / 1.8 * (n + m) - 1e-9:
+                want.add((min(rows[a][2], rows[b][2]), max(rows[a][2], rows[b][2])))
+    got = [(x.a, x.b) for x in shingles.candidates(posts, 0.8, rest=True).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
+
+
 @pytest.mark.parametrize(("bits", "budget"), [(12, 1), (16, 3), (20, 2)])
 def test_trie_join_in_subtries(spark, monkeypatch, bits, budget):
     """Dense values, cut in many subtries: the components are those of all pairs."""
