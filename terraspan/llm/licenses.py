@@ -58,9 +58,13 @@ Unless required by applicable law or agreed to in writing, software distributed
 ]
 #: Spellings that count as the same.
 SPELLINGS = [("licence", "license"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("merchantibility", "merchantability"), ("copyright owner", "copyright holder")]
+#: What is neither a letter nor a digit, of any script.
+MARKS = r"[^\p{L}\p{N}]+"
 COPYRIGHT = "^(copyright( c)?|c) [0-9]{4}.*"
 #: Lines that name a copyright's holder, in lower case: those of COPYRIGHT, and with the sign or the year elsewhere.
 HOLDER = r"^[^a-z0-9©]*(©|copyright[^a-z0-9]*(©|\(c\))|copyright\b.*\b(19|20)[0-9]{2}\b|\(?c\)?[^a-z0-9]+[0-9]{4})"
+#: The same without sign and year: a name follows, none of the words that follow within licences.
+NAMED = r"^[^A-Za-z0-9]*Copyright (by )?(?!(License|Notice|Holder|Owner|Law|Act|Statement|Interest|Treat|Status|Office))\p{Lu}\p{Ll}"
 #: Characters of a canonical form from which on it is looked for inside of documents; notices are shorter.
 LONG = 400
 
@@ -88,12 +92,12 @@ def canonical(line: Column) -> Column:
     out = F.lower(line)
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(out, "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(out, MARKS, " "))
 
 
 def units(text: Column) -> Column:
     """Canonical forms of the lines, and of the whole text at the end."""
-    named = lambda x: F.lower(x).rlike(HOLDER) | canonical(x).rlike(COPYRIGHT)
+    named = lambda x: F.lower(x).rlike(HOLDER) | x.rlike(NAMED) | canonical(x).rlike(COPYRIGHT)
     both = F.transform(F.split(text, "\n"), lambda x: F.struct(canonical(x).alias("form"), named(x).alias("named")))
     lines = F.filter(both, lambda x: x["form"] != "")
     whole = lambda x: F.array_join(F.transform(F.filter(x, lambda y: ~y["named"]), lambda y: y["form"]), " ")
@@ -146,7 +150,7 @@ def query(spark, sf_dir):
 
 def _sql() -> str:
     def canon(text: str) -> str:
-        return f"trim(regexp_replace({sql_canonical(text)}, '[^a-z0-9]+', ' ', 'g'))"
+        return f"trim(regexp_replace({sql_canonical(text)}, '{MARKS}', ' ', 'g'))"
 
     values = ", ".join(f"""({k}, '{name}', '{text.replace("'", "''")}')""" for k, (name, text) in enumerate(KNOWN))
     return f"""
