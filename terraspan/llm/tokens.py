@@ -25,7 +25,7 @@ PLAIN_TEXT = re.compile("[!-~À-ÖØ-öø-ÿ\t-\r ]*")
 #: The id that ends a document.
 END = 2
 #: Chunks, and pieces, of one generation that a worker remembers; it keeps two.
-REMEMBER = 120_000
+REMEMBER = 200_000
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
