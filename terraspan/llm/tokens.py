@@ -24,8 +24,9 @@ TEXT_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß
 PLAIN_TEXT = re.compile("[!-~À-ÖØ-öø-ÿ\t-\r ]*")
 #: The id that ends a document.
 END = 2
-#: Chunks, and pieces, of one generation that a worker remembers; it keeps two.
-REMEMBER = 200_000
+#: A worker remembers chunks, and pieces, of LONGEST letters at most; of each it keeps two generations, of so many bytes
+#: by an upper estimate (its own, and EACH for the entry) and so many entries at most.
+LONGEST, REMEMBER, REMEMBER_BYTES, EACH = 64, 200_000, 48 << 20, 200
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -42,14 +43,20 @@ def byte_letters() -> list[str]:
 
 
 class Memory:
-    """What has been worked out lately: when a generation is full, the one before it is forgotten. What is used stays."""
+    """What has been worked out lately: when a generation is full, the one before it is forgotten. What is used stays.
+
+    Long keys are never kept, so a generation is bounded in bytes, whatever the texts.
+    """
 
     def __init__(self):
-        self.young, self.old = {}, {}
+        self.young, self.old, self.bytes = {}, {}, 0
 
     def put(self, key, value):
-        if len(self.young) >= REMEMBER:
-            self.young, self.old = {}, self.young
+        if len(key) > LONGEST:
+            return value
+        self.bytes += 2 * len(key) + len(value) + EACH
+        if len(self.young) >= REMEMBER or self.bytes > REMEMBER_BYTES:
+            self.young, self.old, self.bytes = {}, self.young, 2 * len(key) + len(value) + EACH
         self.young[key] = value
         return value
 
