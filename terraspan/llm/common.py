@@ -29,12 +29,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def save(df: DataFrame, what: str) -> DataFrame:
-    """Write df to the shared folder and read it back: later reads survive lost executors and compute nothing anew."""
+def saved(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """Write df to the shared folder and read it back: later reads survive lost executors and compute nothing anew.
+    With the path, for discard()."""
     small_batches(df.sparkSession)
     path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def save(df: DataFrame, what: str) -> DataFrame:
+    return saved(df, what)[0]
 
 
 def discard(spark: SparkSession, path: str) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terraspan.llm import bpe, exact_dedup, licenses, packing, quality, sharding, simhash, substring_dedup, syncmers, wavelet
+from terraspan.llm import bpe, clustering, embedding_dedup, exact_dedup, licenses, packing, periodic, quality, sharding, simhash, substring_dedup, syncmers, wavelet
 
 QUERIES = {
     "op1_sharding": sharding.query,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.query,
     "op9_syncmers": syncmers.query,
     "op10_simhash": simhash.query,
+    "op11_clustering": clustering.query,
+    "op12_periodic": periodic.query,
+    "op13_embedding_dedup": embedding_dedup.query,
 }
-ORACLE_SQL = {"op7_licenses": licenses.SQL, "op4_exact_dedup": exact_dedup.SQL, "op8_substring_dedup": substring_dedup.SQL}
+ORACLE_SQL = {"op4_exact_dedup": exact_dedup.SQL, "op7_licenses": licenses.SQL, "op8_substring_dedup": substring_dedup.SQL, "op11_clustering": clustering.SQL, "op13_embedding_dedup": embedding_dedup.SQL}

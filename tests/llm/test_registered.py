@@ -17,22 +17,30 @@ CONTRACT = {
     "op8_substring_dedup": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
     "op9_syncmers": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
     "op10_simhash": "doc_id bigint, fingerprint string, component_id bigint",
+    "op11_clustering": "vec_id bigint, cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string",
+    "op12_periodic": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
+    "op13_embedding_dedup": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
 }
 
 
 @pytest.fixture(scope="module")
-def folder(spark, odd, tmp_path_factory):
+def folder(spark, odd, vectors, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("tables"))
     odd.write.parquet(f"{path}/documents.parquet")
+    vectors.write.parquet(f"{path}/embeddings.parquet")
     spark.createDataFrame([(0, 1, 0), (3, 0, 0), (9, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     return path
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_columns_and_rows(spark, folder, odd, name):
+def test_columns_and_rows(spark, folder, odd, vectors, name):
     out = QUERIES[name](spark, folder)
     if name in CONTRACT:
         assert ", ".join(f"{c} {t}" for c, t in out.dtypes) == CONTRACT[name]
+    if "vec_id" in out.columns:
+        whole = vectors.where("size(embedding) = 64 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = float('inf'))") if name.startswith("op11") else vectors
+        assert Counter(r.vec_id for r in out.collect()) == Counter(r.vec_id for r in whole.collect())
+        return
     ids, rows = Counter(r.doc_id for r in odd.collect()), out.collect()
     if name == "op3_packing":
         rows = [r for r in rows if r.start == 0]
