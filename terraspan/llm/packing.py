@@ -98,6 +98,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: in
             rows_of(window, True)
         if rows:
             yield flushed()
+        common.give_back()
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         size, window, offset = (table.column(c).to_numpy() for c in ("length", "sequence_id", "offset"))

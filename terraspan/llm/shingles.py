@@ -151,6 +151,7 @@ def prefixes(slim: DataFrame, width: int, similarity: float) -> DataFrame:
                 enough = (sizes - np.ceil(similarity * sizes - SLACK) + 1).astype(np.int64)
                 kept = place < enough[of]
                 yield pa.RecordBatch.from_arrays([pa.array(x[kept].view(np.int64)), pa.array((sizes[of] << 32)[kept] + place[kept]), pa.array(rows[at + of[kept]])], names=["h", "size", "row"])
+        common.give_back()
 
     return slim.select("__row", "__text").mapInArrow(run, "h long, size long, row long")
 
@@ -222,6 +223,8 @@ def candidates(posts: DataFrame, similarity: float, rest: bool = False) -> DataF
                 parts, rows = [[x[cut:] for x in held]], len(held[0]) - cut
         if parts:
             yield from found(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        del parts
+        common.give_back()
 
     return posts.select(*columns).repartition("h").sortWithinPartitions("h", "size", "row").mapInArrow(run, "a long, b long, h long, size long")
 
@@ -250,5 +253,6 @@ def verified(pairs: DataFrame, rows: DataFrame, text: str, width: int, similarit
         for x in batches:
             near = pa.array([jaccard(p, q, width) >= similarity for p, q in zip(common.texts(x.column(2)), common.texts(x.column(3)), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays(x.columns[:2], names=["a", "b"]).filter(near)
+        common.give_back()
 
     return both.mapInArrow(compare, "a long, b long")

@@ -164,11 +164,14 @@ def same_size(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
 def by_block(table: DataFrame, known: DataFrame | None, plan: Plan, work, schema: str | T.StructType) -> DataFrame:
     """What work(number, Block) gives for each block, with its answers where there are any."""
     own = table.groupBy("__block")
-    if known is None:
-        return own.applyInArrow(lambda key, rows: work(key[0].as_py(), Block(plan, rows, [])), schema)
 
-    def run(key: tuple, rows: pa.Table, told: pa.Table) -> pa.Table:
-        return work(key[0].as_py(), Block(plan, rows, told.to_pylist()))
+    def run(key: tuple, rows: pa.Table, told: pa.Table | None = None) -> pa.Table:
+        out = work(key[0].as_py(), Block(plan, rows, told.to_pylist() if told else []))
+        common.give_back()
+        return out
+
+    if known is None:
+        return own.applyInArrow(lambda key, rows: run(key, rows), schema)
 
     return own.cogroup(known.groupBy("__block")).applyInArrow(run, schema)
 
@@ -251,6 +254,7 @@ def answers(messages: DataFrame, plan: Plan, level: int) -> DataFrame:
         blocks_, data = sent_.column("__block").to_numpy(), sent_.column("data").to_pylist()
         bits = answer_full(data, blocks_) if level == plan.window else answer_inner(data, plan.bits)
         n = len(bits)
+        common.give_back()
         return pa.table({"__block": blocks_, "level": pa.array([level] * n, pa.int32()), "slice": pa.array([key[0].as_py()] * n, pa.int32()), "n": pa.array([len(x) for x in bits], pa.int32()), "bits": pa.array([np.packbits(x).tobytes() for x in bits], pa.binary())})
 
     return messages.groupBy("slice").applyInArrow(run, "__block long, level int, slice int, n int, bits binary")
