@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from terraspan.functions.lambdas import let
+
 
 def number(x: Column | float | str) -> Column:
     """A column as it is; a name as its column; a number as a double."""
@@ -169,6 +171,41 @@ def in_tetrahedron(p: Point, a: Point, b: Point, c: Point, d: Point) -> Column:
     return reduce(lambda x, y: x & y, (v * whole >= 0 for v in parts)) & (whole != 0)
 
 
+def plane_point(x: Column, y: Column) -> Column:
+    return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+
+def polygon_area(polygon: Column) -> Column:
+    """The signed area of an array of plane_point()s: positive if they go counter-clockwise; 0 for fewer than three."""
+    after = lambda n: F.get(polygon, (n + 1) % F.size(polygon))
+    return F.aggregate(F.transform(polygon, lambda p, n: (p["x"] * after(n)["y"] - after(n)["x"] * p["y"]) / 2), F.lit(0.0), lambda s, a: s + a)
+
+
+def _left_of(a: Column, b: Column):
+    """Of the points of a polygon, those on the left of the line from a to b, and where its sides cross that line."""
+    left = lambda p: (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
+    none = F.array().cast("array<struct<x:double,y:double>>")
+
+    def kept(points: Column) -> Column:
+        def part(p: Column, n: Column) -> Column:
+            """What the side from the point before to this one adds."""
+            q = F.get(points, (n + F.size(points) - 1) % F.size(points))
+            t = left(q) / (left(q) - left(p))
+            edge = plane_point(q["x"] + t * (p["x"] - q["x"]), q["y"] + t * (p["y"] - q["y"]))
+            return F.when(left(p) >= 0, F.when(left(q) >= 0, F.array(p)).otherwise(F.array(edge, p))).when(left(q) >= 0, F.array(edge)).otherwise(none)
+
+        return F.flatten(F.transform(points, part))
+
+    return kept
+
+
+def polygon_overlap(polygon: Column, ring: Sequence[Column]) -> Column:
+    """What a convex ring of plane_point()s, counter-clockwise, has of a polygon: the polygon cut at one edge after the other."""
+    for a, b in zip(ring, [*ring[1:], ring[0]], strict=True):
+        polygon = let(polygon, _left_of(a, b))
+    return polygon
+
+
 def bilinear(z1: Column, z2: Column, z3: Column, z4: Column, a: Column, b: Column) -> Column:
     """From the corners (0, 0), (1, 0), (0, 1), (1, 1); null if one of them is."""
     return z1 + a * (z2 - z1) + b * (z3 - z1) + a * b * (z4 + z1 - z3 - z2)

@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terraspan.functions import geometry as g
+from terraspan.functions.lambdas import let
+from terraspan.operators.intervals import overlapping
+from terraspan.operators.rounds import cut
 
 CORNERS = [f"c{n}{a}" for n in range(8) for a in "xyz"]
 IJK = ["i", "j", "k"]
@@ -535,33 +538,90 @@ def random_line(fence: DataFrame, cells: DataFrame, prop: str, zmin: float, zmax
     return found.select("poly_id", "seq", "h", "z", F.col(prop).alias("value"))
 
 
-def conform(cells: DataFrame, surfaces: Sequence[DataFrame], header: g.MapHeader, layers: Sequence[int]) -> DataFrame:
+def zone_ends(cells: DataFrame, layers: Sequence[int]) -> DataFrame:
+    """(i, j, n, ni, nj, zone, x0, y0, top, x1, y1, base): of each column, pillar n of its four and zone (from 0): where the zone's first and last layer begin and end on the pillar; (ni, nj) names the node that columns share."""
+    ends = [sum(layers[: n + 1]) for n in range(len(layers))]
+    zone = reduce(lambda a, b: a + b, (F.when(F.col("k") > e, 1).otherwise(0) for e in ends[:-1]), F.lit(0))
+    four = lambda first: F.array(*(F.struct(*(F.col(f"c{n + first}{a}").alias(a) for a in "xyz")) for n in range(4)))
+    own = cells.withColumn("zone", zone).groupBy("i", "j", "zone").agg(F.min_by(four(0), "k").alias("t"), F.max_by(four(4), "k").alias("b"))
+    pillar = F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.lit(di).alias("di"), F.lit(dj).alias("dj"), F.get("t", F.lit(n)).alias("t"), F.get("b", F.lit(n)).alias("b")) for n, (di, dj, _) in enumerate(ENDS[:4]))))
+    own = own.select("i", "j", "zone", pillar.alias("p"))
+    return own.select("i", "j", "p.n", (F.col("i") + F.col("p.di")).alias("ni"), (F.col("j") + F.col("p.dj")).alias("nj"), "zone", *(F.col(f"p.t.{a}").alias(x) for a, x in (("x", "x0"), ("y", "y0"), ("z", "top"))), *(F.col(f"p.b.{a}").alias(x) for a, x in (("x", "x1"), ("y", "y1"), ("z", "base"))))
+
+
+def faulted_nodes(cells: DataFrame, throw: float = 0.01) -> DataFrame:
+    """(ni, nj): nodes on which corners of one layer, of two columns, are further apart than the throw."""
+    at = F.explode(F.array(*(F.struct((F.col("i") + di).alias("ni"), (F.col("j") + dj).alias("nj"), F.col(f"c{n}z").alias("t"), F.col(f"c{n + 4}z").alias("b")) for n, (di, dj, _) in enumerate(ENDS[:4]))))
+    own = cells.select("k", at.alias("p")).groupBy("p.ni", "p.nj", "k")
+    spread = lambda z: F.max(f"p.{z}") - F.min(f"p.{z}")
+    return own.agg(F.greatest(spread("t"), spread("b")).alias("s")).where(F.col("s") > throw).select("ni", "nj").distinct()
+
+
+def conform(cells: DataFrame, surfaces: Sequence[DataFrame], header: g.MapHeader, layers: Sequence[int], faults: str = "keep", pillars: DataFrame | None = None) -> DataFrame:
     """Cells whose zone boundaries lie on maps; layers between them keep their shares. layers: how many each zone has, so there is one map more than zones.
 
-    Pillars are vertical. Where a map has no value at a corner, the corner keeps its depth there.
+    Corners move along their pillars, whatever their slant: pillars(i, j, x_top, y_top, z_top, x_bot, y_bot, z_bot), or else the
+    lines from each node's highest corner to its lowest. A pillar meets a map within half its length beyond its ends, at
+    the first such place; a lower map never lies above a higher one. Columns that share a pillar keep their throw there:
+    on it, the mean of their boundaries lies on the map (faults="keep"). "skip" leaves pillars with a throw of over 0.01
+    as they are, "level" brings each column to the map by itself. Zones without height stay so, and corners of a column
+    never come to lie above those over them. Pillars that miss a map, and level ones, are left as they are.
     """
-    from terraspan.operators.surfaces import sample
-
-    if len(surfaces) != len(layers) + 1:
-        raise ValueError("one map more than zones is asked for")
-    corner4 = F.explode(F.array(*(F.struct(F.lit(n).alias("c"), F.col(f"c{n}x").alias("x"), F.col(f"c{n}y").alias("y")) for n in range(4))))
-    places = cells.groupBy("i", "j").agg(*(F.first(f"c{n}{a}").alias(f"c{n}{a}") for n in range(4) for a in "xy")).select("i", "j", corner4.alias("p")).select("i", "j", "p.c", "p.x", "p.y")
+    from terraspan.operators.surfaces import pierced
+
+    if len(surfaces) != len(layers) + 1 or min(layers, default=0) < 1:
+        raise ValueError("one map more than zones is asked for, and zones of one layer or more")
+    if faults not in ("keep", "skip", "level"):
+        raise ValueError("faults is keep, skip or level")
+    node, zones = ["ni", "nj"], range(len(layers))
+    ends = cut(zone_ends(cells, layers))
+    if pillars is None:
+        line = ends.groupBy(*node).agg(F.min_by(F.struct("x0", "y0", F.col("top").alias("z0")), "top").alias("a"), F.max_by(F.struct("x1", "y1", F.col("base").alias("z1")), "base").alias("b")).select(*node, "a.*", "b.*")
+    else:
+        line = pillars.select(F.col("i").alias("ni"), F.col("j").alias("nj"), *(F.col(f"{a}_{e}").alias(f"{a}{n}") for n, e in (("0", "top"), ("1", "bot")) for a in "xyz"))
+    if faults == "skip":
+        line = line.join(faulted_nodes(cells), node, "left_anti")
+    line = cut(line)
     for n, nodes in enumerate(surfaces):
-        places = sample(places, nodes, header, name=f"__s{n}")
-    lists = places.groupBy("i", "j").agg(*(F.max(F.when(F.col("c") == n, F.array(*(F.col(f"__s{m}") for m in range(len(surfaces)))))).alias(f"__s{n}") for n in range(4)))
-    ends = [sum(layers[: n + 1]) for n in range(len(layers))]
-    zone = reduce(lambda a, b: a + b, (F.when(F.col("k") > e, 1).otherwise(0) for e in ends[:-1]), F.lit(0))
-    w = Window.partitionBy("i", "j", "__zone").orderBy("k")
-    span = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    own = cells.withColumn("__zone", zone).join(lists, ["i", "j"])
-    new = {}
+        line = line.join(pierced(line.select(*node, *(f"{a}{e}" for e in "01" for a in "xyz")), nodes, header, node, f"__s{n}"), node)
+        if n:
+            line = line.withColumn(f"__s{n}", F.greatest(f"__s{n}", f"__s{n - 1}"))
+    boundaries = F.array(*(F.col(f"__s{n}") for n in range(len(surfaces))))
+    line = line.select(*node, *(f"{a}{e}" for e in "01" for a in "xyz"), boundaries.alias("at"))
+    means = ends.groupBy(*node, "zone").agg(F.avg("top").alias("mean_top"), F.avg("base").alias("mean_base"))
+    own = ends.drop("x0", "y0", "x1", "y1").join(line, node).join(means, [*node, "zone"])
+    throw = lambda z: F.lit(0.0) if faults == "level" else F.col(z) - F.col(f"mean_{z}")
+    moved = own.select("i", "j", "n", "zone", "top", "base", (F.get("at", F.col("zone")) + throw("top")).alias("to_top"), (F.get("at", F.col("zone") + 1) + throw("base")).alias("to_base"), *(f"{a}{e}" for e in "01" for a in "xyz"))
+    pick = lambda n: F.first(F.when(F.col("n") == n, F.struct(*(f"{a}{e}" for e in "01" for a in "xyz"))), True).alias(f"__l{n}")
+    zone_of = lambda n: F.array(*(F.max(F.when((F.col("n") == n) & (F.col("zone") == z), F.struct("top", "base", "to_top", "to_base"))) for z in zones)).alias(f"__z{n}")
+    columns = moved.groupBy("i", "j").agg(*(pick(n) for n in range(4)), *(zone_of(n) for n in range(4)))
+    # boundaries never go up from one to the next
+    for n in range(4):
+        out, before = [], None
+        for z in zones:
+            o = F.get(f"__z{n}", F.lit(z))
+            top = F.greatest(o["to_top"], before) if z else o["to_top"]
+            before = F.greatest(o["to_base"], top)
+            out.append(F.struct(o["top"].alias("top"), o["base"].alias("base"), top.alias("to_top"), before.alias("to_base")))
+        columns = columns.withColumn(f"__m{n}", F.array(*out))
+    own = cells.join(columns.drop(*(f"__z{n}" for n in range(4))), ["i", "j"], "left")
+    number = reduce(lambda a, b: a + b, (F.when(F.col("k") > sum(layers[: z + 1]), 1).otherwise(0) for z in list(zones)[:-1]), F.lit(0))
+    zs = {}
     for n in range(8):
-        c, s = n % 4, F.col(f"__s{n % 4}")
-        top, base = F.first(f"c{c}z").over(span), F.last(f"c{c + 4}z").over(span)
-        to, bottom = F.coalesce(F.get(s, F.col("__zone")), top), F.coalesce(F.get(s, F.col("__zone") + 1), base)
-        share = F.coalesce(F.try_divide(F.col(f"c{n}z") - top, base - top), F.lit(0.0))
-        new[f"c{n}z"] = to + share * (bottom - to)
-    return own.withColumns(new).drop("__zone", *(f"__s{n}" for n in range(4)))
+        o = F.get(f"__m{n % 4}", number)
+        thick = o["base"] - o["top"]
+        share = F.when(F.abs(thick) < 1e-6, 0.0 if n < 4 else F.when(F.col("k") == F.element_at(F.array(*(F.lit(sum(layers[: z + 1])) for z in zones)), number + 1), 1.0).otherwise(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(f"c{n}z") - o["top"]) / thick)))
+        zs[f"__c{n}"] = o["to_top"] + share * (o["to_base"] - o["to_top"])
+    own = own.withColumns(zs)
+    over = Window.partitionBy("i", "j").orderBy("k")
+    new = {}
+    for c in range(4):
+        until, line_ = F.max(f"__c{c + 4}").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.col(f"__l{c}")
+        top = F.greatest(F.col(f"__c{c}"), F.coalesce(until, F.col(f"__c{c}")))
+        for n, z in ((c, top), (c + 4, F.greatest(top, F.col(f"__c{c + 4}")))):
+            t = (z - line_["z0"]) / (line_["z1"] - line_["z0"])
+            new |= {f"c{n}z": F.coalesce(z, F.col(f"c{n}z"))} | {f"c{n}{a}": F.coalesce(line_[f"{a}0"] + t * (line_[f"{a}1"] - line_[f"{a}0"]), F.col(f"c{n}{a}")) for a in "xy"}
+    return own.withColumns(new).select(*cells.columns)
 
 
 def box_index(points: DataFrame, dimension: tuple[int, int, int], origin: tuple[float, float, float], increment: tuple[float, float, float], rotation: float = 0.0) -> DataFrame:
@@ -582,6 +642,7 @@ def points_in_cells(points: DataFrame, cells: DataFrame, tile: float, pid: str =
     """
     on = cells.where("actnum = 1")
     box = on.select(*IJK, *(f(*(F.col(f"c{n}{a}") for n in range(8))).alias(f"__{m}{a}") for a in "xyz" for m, f in (("lo", F.least), ("hi", F.greatest))))
+    box = cut(box)  # else the explodes' conditions on the boxes go below the cells' own aggregates
     band = band or max(1e-9, float(box.agg(F.avg(F.col("__hiz") - F.col("__loz"))).first()[0] or 1.0))
     size = {"x": tile, "y": tile, "z": band}
     for a, n in size.items():
@@ -643,6 +704,7 @@ def trajectory_in_cells(samples: DataFrame, cells: DataFrame, tile: float, md: s
 
     on = cells.where("actnum = 1")
     box = on.select(*IJK, *(f(*(F.col(f"c{n}{a}") for n in range(8))).alias(f"__{m}{a}") for a in "xyz" for m, f in (("lo", F.least), ("hi", F.greatest))))
+    box = cut(box)
     band = band or max(1e-9, float(box.agg(F.avg(F.col("__hiz") - F.col("__loz"))).first()[0] or 1.0))
     seg = segments(samples, md)
     ends = seg.withColumns({f"__{m}{a}": f(f"{a}1", f"{a}2") for a in "xyz" for m, f in (("lo", F.least), ("hi", F.greatest))})
@@ -689,9 +751,12 @@ def shared_height(*edges: tuple[Column, Column]) -> Column:
     height = lambda w: F.greatest(F.lit(0.0), F.least(at(ba, w), at(bb, w)) - F.greatest(at(ta, w), at(tb, w)))
     crossing = lambda p, q: F.try_divide(q[0] - p[0], (p[1] - p[0]) - (q[1] - q[0]))
     every = F.array(F.lit(0.0), F.lit(1.0), *(crossing(p, q) for p, q in ((ta, tb), (ba, bb), (ta, bb), (tb, ba), (ta, ba), (tb, bb))))
-    cuts = F.array_sort(F.filter(every, lambda w: (w >= 0) & (w <= 1)))
-    part = lambda w, n: F.coalesce((F.get(cuts, n + 1) - w) * (height(w) + height(F.get(cuts, n + 1))) / 2, F.lit(0.0))
-    return F.aggregate(F.transform(cuts, part), F.lit(0.0), lambda s, x: s + x)
+
+    def mean_height(cuts: Column) -> Column:
+        part = lambda w, n: F.coalesce((F.get(cuts, n + 1) - w) * (height(w) + height(F.get(cuts, n + 1))) / 2, F.lit(0.0))
+        return F.aggregate(F.transform(cuts, part), F.lit(0.0), lambda s, x: s + x)
+
+    return let(F.array_sort(F.filter(every, lambda w: (w >= 0) & (w <= 1))), mean_height)
 
 
 def transmissibilities(cells: DataFrame, perm: Sequence[str] = ("permx", "permy", "permz"), ntg: str | float = 1.0, min_dz: float = 1e-4, units: str = "metric") -> DataFrame:
@@ -735,15 +800,19 @@ def pinchout_connections(cells: DataFrame, permz: str = "permz", min_dz: float =
 def fault_connections(cells: DataFrame, perm: Sequence[str] = ("permx", "permy"), units: str = "metric") -> DataFrame:
     """(axis, i, j, k1, k2, tran): cells of different layers in neighbouring columns whose faces share an area.
 
-    Columns meet by an equi-join on (i, j), so a cell meets only the layers of its neighbour column.
+    Faces of neighbouring columns meet where their depths overlap (intervals.overlapping), so the pairs that are looked at
+    grow with those that touch, not with the square of the layers.
     """
     own = cells.where("actnum = 1").select(*IJK, *(F.col(p).alias(f"__k{a}") for a, p in zip("ij", perm, strict=True)), dx().alias("__di"), dy().alias("__dj"), *(F.col(f"c{n}z") for n in range(8)))
     outs = []
     for axis, across in (("i", "__dj"), ("j", "__di")):
-        other = own.select(*(F.col(c).alias(f"o{c}") for c in own.columns)).withColumns({"i": F.col("oi") - int(axis == "i"), "j": F.col("oj") - int(axis == "j")})
+        faces = [tuple(F.col(f"c{k}z") for k in ends) for ends in FACES[axis]]
+        span = lambda top, base: {"lo": F.least(*top), "hi": F.greatest(*base)}
+        needed = lambda f: [f"__k{axis}", f"__d{axis}", across, *(f"c{k}z" for ends in f for k in ends)]  # noqa: E731, B023
+        first = own.withColumns(span(*faces[:2])).select(*IJK, "lo", "hi", *needed(FACES[axis][:2]))
+        second = own.withColumns(span(*faces[2:])).select((F.col("i") - int(axis == "i")).alias("i"), (F.col("j") - int(axis == "j")).alias("j"), F.col("k").alias("ok"), "lo", "hi", *(F.col(c).alias(f"o{c}") for c in needed(FACES[axis][2:])))
         face = [tuple(F.col(f"{'' if n < 2 else 'o'}c{k}z") for k in ends) for n, ends in enumerate(FACES[axis])]
-        meet = (F.least(*face[0]) < F.greatest(*face[3])) & (F.least(*face[2]) < F.greatest(*face[1]))
-        pairs = own.join(other, ["i", "j"]).where((F.col("k") != F.col("ok")) & meet).withColumn("__h", shared_height(*face)).where("__h > 1e-9")
+        pairs = overlapping(first, second, ["i", "j"]).where(F.col("k") != F.col("ok")).withColumn("__h", shared_height(*face)).where("__h > 1e-9")
         area = (F.col(across) + F.col(f"o{across}")) / 2 * F.col("__h")
         h1, h2 = F.col(f"__k{axis}") * area / (F.col(f"__d{axis}") / 2), F.col(f"o__k{axis}") * area / (F.col(f"o__d{axis}") / 2)
         outs.append(pairs.select(F.lit(axis).alias("axis"), "i", "j", F.col("k").alias("k1"), F.col("ok").alias("k2"), (F.coalesce(F.try_divide(h1 * h2, h1 + h2), F.lit(0.0)) * DARCY[units]).alias("tran")))

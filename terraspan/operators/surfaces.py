@@ -146,6 +146,15 @@ def similarity(a: DataFrame, b: DataFrame) -> DataFrame:
 # --- sampling -------------------------------------------------------------------------------------------------------
 
 
+def node_quads(nodes: DataFrame) -> DataFrame:
+    """(__i, __j, __z0 .. __z3, __n): the four nodes of each square of a map that has all of them, from (__i, __j) on, counted from 0."""
+    known = nodes.where(F.col("value").isNotNull())
+    corner = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(di).alias("di"), F.lit(dj).alias("dj")) for k, (di, dj) in enumerate(((0, 0), (1, 0), (0, 1), (1, 1))))))
+    spread = known.select("i", "j", "value", corner.alias("c")).select((F.col("i") - 1 - F.col("c.di")).alias("__i"), (F.col("j") - 1 - F.col("c.dj")).alias("__j"), "c.k", "value")
+    pick = lambda k: F.max(F.when(F.col("k") == k, F.col("value"))).alias(f"__z{k}")
+    return spread.groupBy("__i", "__j").agg(*(pick(k) for k in range(4)), F.count(F.lit(1)).alias("__n")).where("__n = 4")
+
+
 def sample(places: DataFrame, nodes: DataFrame, header: MapHeader, x: str = "x", y: str = "y", name: str = "sampled", method: str = "bilinear", tolerance: float = 1e-6) -> DataFrame:
     """Adds the map's value at each place (x, y): bilinear in the four nodes around it, or the nearest node's.
 
@@ -162,11 +171,7 @@ def sample(places: DataFrame, nodes: DataFrame, header: MapHeader, x: str = "x",
         near = nodes.select((F.col("i") - 1).alias("__i"), (F.col("j") - 1).alias("__j"), F.col("value").alias(name))
         own = own.withColumns({"__i": F.floor(F.col("__fi") + 0.5).cast("int"), "__j": F.floor(F.col("__fj") + 0.5).cast("int")})
         return own.join(near, ["__i", "__j"], "left").drop("__i", "__j", "__fi", "__fj")
-    known = nodes.where(F.col("value").isNotNull())
-    corner = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(di).alias("di"), F.lit(dj).alias("dj")) for k, (di, dj) in enumerate(((0, 0), (1, 0), (0, 1), (1, 1))))))
-    spread = known.select("i", "j", "value", corner.alias("c")).select((F.col("i") - 1 - F.col("c.di")).alias("__i"), (F.col("j") - 1 - F.col("c.dj")).alias("__j"), "c.k", "value")
-    pick = lambda k: F.max(F.when(F.col("k") == k, F.col("value"))).alias(f"__z{k}")
-    quads = spread.groupBy("__i", "__j").agg(*(pick(k) for k in range(4)), F.count(F.lit(1)).alias("__n")).where("__n = 4")
+    quads = node_quads(nodes)
     last = lambda c, n: F.least(F.floor(F.col(c)).cast("int"), F.lit(max(0, n - 2)))
     own = own.withColumns({"__i": last("__fi", header.ncol), "__j": last("__fj", header.nrow)})
     z = [F.col(f"__z{k}") for k in range(4)]
@@ -174,6 +179,50 @@ def sample(places: DataFrame, nodes: DataFrame, header: MapHeader, x: str = "x",
     return found.withColumn(name, g.bilinear(*z, F.col("__fi") - F.col("__i"), F.col("__fj") - F.col("__j"))).drop("__i", "__j", "__fi", "__fj", "__n", *(f"__z{k}" for k in range(4)))
 
 
+def _where(start: Column, step: Column):
+    return lambda k: (k - start) / step
+
+
+def pierced(lines: DataFrame, nodes: DataFrame, header: MapHeader, keys: Sequence[str], name: str = "depth", beyond: float = 0.5, tolerance: float = 1e-6) -> DataFrame:
+    """(keys, name): the depth at which each line (keys, x0, y0, z0, x1, y1, z1) meets the map; lines that don't are left out.
+
+    Of several places the one nearest to the line's first end; the line goes on for `beyond` of its length at either end,
+    and a vertical one without limit. Level lines meet nothing. The map is bilinear in each square of four nodes, so a
+    line's depth less the map's is a parabola there: lines are cut at the rows and columns of the map, each piece joins
+    its square, and the parabola's root is exact.
+    """
+    x, y, z = ((F.col(f"{a}0"), F.col(f"{a}1") - F.col(f"{a}0")) for a in "xyz")
+    fi, fj = header.fi(x[0], y[0]), header.fj(x[0], y[0])
+    own = lines.withColumns({"__u": fi, "__v": fj, "__du": header.fi(F.col("x1"), F.col("y1")) - fi, "__dv": header.fj(F.col("x1"), F.col("y1")) - fj})
+    upright = (F.abs(x[1]) < 1e-10) & (F.abs(y[1]) < 1e-10)
+    own = own.where(F.abs(z[1]) >= 1e-10).withColumn("__upright", upright)
+    cuts = [F.array(F.lit(-beyond), F.lit(1 + beyond))]
+    for a, n in (("u", header.ncol), ("v", header.nrow)):
+        start, step = F.col(f"__{a}"), F.col(f"__d{a}")
+        ends = start - beyond * step, start + (1 + beyond) * step
+        first, last = F.greatest(F.lit(0), F.ceil(F.least(*ends))).cast("int"), F.least(F.lit(n - 1), F.floor(F.greatest(*ends))).cast("int")
+        planes = F.when((step != 0) & (first <= last), F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        cuts.append(F.transform(planes, _where(start, step)))
+    ts = F.when(F.col("__upright"), cuts[0]).otherwise(F.array_sort(F.array_distinct(F.concat(*cuts))))
+    pieces = F.transform(F.slice("__t", F.lit(1), F.size("__t") - 1), lambda t, n: F.struct(t.alias("a"), F.get("__t", n + 1).alias("b")))
+    own = own.withColumn("__t", ts).withColumn("__s", F.explode(pieces)).drop("__t")
+    middle = F.when(F.col("__upright"), 0.0).otherwise((F.col("__s.a") + F.col("__s.b")) / 2)
+    for a, n, to in (("u", header.ncol, "__i"), ("v", header.nrow, "__j")):
+        at = F.col(f"__{a}") + middle * F.col(f"__d{a}")
+        own = own.withColumn(to, F.when(at.between(-tolerance, n - 1 + tolerance), F.least(F.greatest(F.floor(at), F.lit(0)), F.lit(max(0, n - 2))).cast("int")))
+    met = own.join(node_quads(nodes), ["__i", "__j"])
+    z1, z2, z3, z4 = (F.col(f"__z{k}") for k in range(4))
+    b, c, d = z2 - z1, z3 - z1, z4 + z1 - z2 - z3
+    p, q, du, dv = F.col("__u") - F.col("__i"), F.col("__v") - F.col("__j"), F.col("__du"), F.col("__dv")
+    met = met.withColumns({"__a2": -d * du * dv, "__a1": z[1] - (b * du + c * dv + d * (p * dv + q * du)), "__a0": z[0] - (z1 + b * p + c * q + d * p * q)})
+    a2, a1, a0 = (F.when(F.col("__upright"), straight).otherwise(F.col(f"__a{k}")) for k, straight in ((2, F.lit(0.0)), (1, z[1]), (0, F.col("__a0"))))
+    root = -(a1 + F.when(a1 < 0, -1.0).otherwise(1.0) * F.sqrt(F.when(a1 * a1 - 4 * a2 * a0 >= 0, a1 * a1 - 4 * a2 * a0))) / 2
+    within = lambda t: F.when(F.col("__upright") | t.between(F.col("__s.a") - 1e-9, F.col("__s.b") + 1e-9), t)
+    t = F.least(within(F.try_divide(root, a2)), within(F.try_divide(a0, root)))
+    found = met.withColumn("__root", t).where(F.col("__root").isNotNull())
+    return found.groupBy(*keys).agg(F.min(F.struct(F.col("__root"), (z[0] + F.col("__root") * z[1]).alias("z"))).alias("__m")).select(*keys, F.col("__m.z").alias(name))
+
+
 def resample(nodes: DataFrame, header: MapHeader, target: MapHeader, method: str = "bilinear") -> DataFrame:
     """The map on another map's nodes; nodes without a value are left out."""
     if same_topology(header, target):

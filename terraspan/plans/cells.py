@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from terraspan.functions.geometry import cell_index, linear_index, rounded
 from terraspan.operators import cells as c
+from terraspan.operators import connections as cn
 from terraspan.plans.registry import Registry
 
 R = Registry()
@@ -419,7 +420,55 @@ def grid_conform_to_surfaces(cells, nodes):
     # each column that has cells gets all its seven layers
     full = boxes(cells.groupBy("i", "j").agg(F.max("actnum").alias("actnum")).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(7)))))
     stack = [nodes.withColumn("value", F.col("value") + d) for d in (0.0, 15.0, 60.0)]
-    return c.conform(full, stack, MAP, (2, 5)).select("i", "j", "k", *(rounded(x).alias(x) for x in ("c0z", "c4z")))
+    return c.conform(full, stack, MAP, (2, 5), faults="level").select("i", "j", "k", *(rounded(x).alias(x) for x in ("c0z", "c4z")))
+
+
+#: Of the slanted pillars: how far x and y go with a unit of depth; of a map's columns and rows with it, and how fast the maps fall along them.
+_SX, _SY = 0.3, 0.2
+_US, _VS = f"({_SX} * cos(radians(30)) + {_SY} * sin(radians(30))) / 25", f"({_SY} * cos(radians(30)) - {_SX} * sin(radians(30))) / 20"
+
+
+@R.query(f"""WITH cor AS (SELECT i, j, cast(a AS int) AS a, cast(b AS int) AS b, i + a AS ni, j + b AS nj, 1500.0 + 0.5 * (i + a - 1) + 0.25 * (j + b - 1) + CASE WHEN i > 10 THEN 7.0 ELSE 0.0 END AS t FROM (SELECT DISTINCT i, j FROM cells), range(2) ra(a), range(2) rb(b)),
+nd AS (SELECT ni, nj, min(t) AS lo, max(t) + 70.0 AS hi, avg(t) AS m, ((ni - 1) * 100.0 * cos(radians(30)) + (nj - 1) * 80.0 * sin(radians(30))) / 25 AS u0, ((nj - 1) * 80.0 * cos(radians(30)) - (ni - 1) * 100.0 * sin(radians(30))) / 20 AS v0 FROM cor GROUP BY ni, nj),
+hit AS (SELECT *, u0 + {_US} * (z - 1500) AS u, v0 + {_VS} * (z - 1500) AS v FROM (SELECT nd.*, s, 1500.0 + (3.5 + d + 2 * u0 + 1.5 * v0) / (1 - 2 * {_US} - 1.5 * {_VS}) AS z FROM nd, (VALUES (0, 0.0), (1, 15.0), (2, 60.0)) q(s, d))),
+ok AS (SELECT h.ni, h.nj, h.s, any_value(h.z) AS z, any_value(h.m) AS m FROM hit h JOIN depths d ON d.i - 1 - floor(least(greatest(u, 0), 48.999999)) IN (0, 1) AND d.j - 1 - floor(least(greatest(v, 0), 38.999999)) IN (0, 1) WHERE (z - lo) / (hi - lo) BETWEEN -0.5 AND 1.5 AND u BETWEEN -0.000001 AND 49.000001 AND v BETWEEN -0.000001 AND 39.000001 GROUP BY h.ni, h.nj, h.s HAVING count(*) = 4),
+al AS (SELECT ni, nj, any_value(m) AS m, max(CASE WHEN s = 0 THEN z END) AS z0, max(CASE WHEN s = 1 THEN z END) AS z1, max(CASE WHEN s = 2 THEN z END) AS z2 FROM ok GROUP BY ni, nj HAVING count(*) = 3),
+bd AS (SELECT cor.*, coalesce(z0 + t - m, t) AS b0, coalesce(z1 + t - m, t + 20.0) AS b1, coalesce(z2 + t - m, t + 70.0) AS b2 FROM cor LEFT JOIN al USING (ni, nj)),
+ly AS (SELECT bd.*, cast(k AS int) AS k, CASE WHEN k <= 2 THEN b0 + (k - 1) / 2.0 * (b1 - b0) ELSE b1 + (k - 3) / 5.0 * (b2 - b1) END AS top, CASE WHEN k <= 2 THEN b0 + k / 2.0 * (b1 - b0) ELSE b1 + (k - 2) / 5.0 * (b2 - b1) END AS base FROM bd, range(1, 8) l(k))
+SELECT p.i, p.j, p.k, round(p.top, 6) AS c0z, round(q.base, 6) AS c6z, round(1000 + (p.ni - 1) * 100 + {_SX} * (p.top - 1500), 6) AS c0x, round(2000 + (q.nj - 1) * 80 + {_SY} * (q.base - 1500), 6) AS c6y FROM ly p JOIN ly q USING (i, j, k) WHERE p.a = 0 AND p.b = 0 AND q.a = 1 AND q.b = 1""", "cells", "depths")
+def grid_conform_faulted(cells, nodes):
+    """Slanted pillars, and a fault between columns 10 and 11: its throw stays, and the mean of its sides lies on the maps."""
+    full = boxes(cells.groupBy("i", "j").agg(F.max("actnum").alias("actnum")).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(7)))))
+    full = full.withColumns({f"c{n}{a}": F.col(f"c{n}{a}") + by * (F.col(f"c{n}z") - 1500.0) for n in range(8) for a, by in (("x", _SX), ("y", _SY))})
+    stack = [nodes.withColumn("value", F.col("value") + d) for d in (0.0, 15.0, 60.0)]
+    return c.conform(full, stack, MAP, (2, 5)).select("i", "j", "k", *(rounded(x).alias(x) for x in ("c0z", "c6z", "c0x", "c6y")))
+
+
+_ACROSS = f"{_D!r} * a.perm * b.perm / (a.perm + b.perm)"
+
+
+@R.query(f"""SELECT a.i AS i1, a.j AS j1, a.k AS k1, b.i AS i2, b.j AS j2, b.k AS k2, round({_ACROSS} * 100 * CASE WHEN b.k = a.k THEN 9.75 ELSE 0.25 END / ((1600 + 0.125 * 0.125) / 40), 6) AS tran, 'NestedHybrid' AS type, 'J+' AS direction
+FROM cells a JOIN cells b ON a.j = 9 AND b.j = 11 AND b.i = a.i AND b.k IN (a.k, a.k - 1) AND a.actnum = 1 AND b.actnum = 1 JOIN cells h ON h.i = a.i AND h.j = 10 AND h.k = a.k JOIN cells g ON g.i = b.i AND g.j = 10 AND g.k = b.k""", "cells")
+def grid_nested_connections(cells):
+    """A grid whose tenth row is a hole: the rows on its two sides are connected by the place of their faces."""
+    own = boxes(cells).withColumn("nest_id", F.when(F.col("j") < 10, 1).when(F.col("j") > 10, 2).otherwise(0))
+    return cn.table_connections(own, cn.nested_table(own), ("perm", "perm", "perm")).withColumn("tran", rounded("tran"))
+
+
+@R.query(f"""SELECT a.i AS i1, a.j AS j1, a.k AS k1, b.i AS i2, b.j AS j2, b.k AS k2, round({_ACROSS} * 0.1 * 1600, 6) AS tran, 'NNC' AS type, 'K+' AS direction FROM cells a JOIN cells b ON b.i = a.i AND b.j = a.j AND b.k = a.k + 1
+UNION ALL SELECT a.i, a.j, a.k, b.i, b.j, b.k, round({_ACROSS} * 0.5 * 1000 / 40 * 1600 / (1600 + 0.125 * 0.125), 6), 'NNC', 'J-' FROM cells a JOIN cells b ON b.i = a.i AND b.j = a.j - 1 AND b.k = a.k""", "cells")
+def grid_table_connections(cells):
+    """Every cell's connections down and to the row before, as a table names them; pairs beyond the grid, and unknown directions, go."""
+    pair = lambda dj, dk, d: cells.select(*(F.col(x).alias(f"{x}1") for x in "ijk"), F.col("i").alias("i2"), (F.col("j") + dj).alias("j2"), (F.col("k") + dk).alias("k2"), F.lit(d).alias("direction"))
+    table = pair(0, 1, "K+").unionByName(pair(-1, 0, " J- ")).unionByName(pair(1, 0, "N"))
+    own = boxes(cells).withColumns({"pz": F.col("perm") * 0.1, "half": F.lit(0.5)})
+    return cn.table_connections(own, table, ("perm", "perm", "pz"), "half", kind="NNC").withColumn("tran", rounded("tran"))
+
+
+@R.query("SELECT c.i, c.j, c.k, CASE WHEN c.j = 11 AND c.actnum = 1 AND EXISTS (SELECT 1 FROM cells h WHERE h.i = c.i AND h.j = 10 AND h.k = c.k) AND EXISTS (SELECT 1 FROM cells m JOIN cells g ON g.i = m.i AND g.j = 10 AND g.k = m.k WHERE m.actnum = 1 AND m.j = 9 AND m.i = c.i AND m.k IN (c.k, c.k + 1)) THEN 1 ELSE 0 END AS refined_boundary FROM cells c", "cells")
+def grid_refined_boundary(cells):
+    own = boxes(cells).withColumn("nest_id", F.when(F.col("j") < 10, 1).when(F.col("j") > 10, 2).otherwise(0))
+    return cn.refined_boundary(own, cn.nested_table(own))
 
 
 @R.query(f"""WITH {BOX}, {_NODES}, t AS (SELECT zone, i, j, min(k) AS k FROM box WHERE actnum = 1 GROUP BY zone, i, j), o AS (SELECT box.* FROM box JOIN t USING (zone, i, j, k)), bk AS (SELECT i, j, max(k) AS k FROM box WHERE actnum = 1 GROUP BY i, j), ob AS (SELECT box.* FROM box JOIN bk USING (i, j, k))
