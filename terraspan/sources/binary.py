@@ -1,12 +1,11 @@
 """Files of one map or one set of traces, decoded where they are read: a file is a row of Spark's binaryFile source.
 
 numpy turns a file's bytes into rows; nothing passes the driver. Writers make a table (name, content), a row a file, which
-any sink takes; save_files() puts them in a folder, one file at a time.
+any sink takes; save_files() puts them in a folder, from the tasks that made them. SEG-Y is read in ranges of bytes.
 """
 
 from __future__ import annotations
 
-import os
 import struct
 from collections.abc import Iterator
 
@@ -16,8 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraspan.functions.geometry import MapHeader
+from terraspan.sources.segy import SAMPLES, ibm_floats, read_segy, segy_bytes, segy_files
+from terraspan.sources.splits import save_files
 from terraspan.sources.tables import UNDEF_IRAP_TEXT, UNDEF_MAP
 
+__all__ = ["SAMPLES", "ibm_floats", "ijxyz_lines", "map_files", "read_ijxyz", "read_maps", "read_segy", "save_files", "segy_bytes", "segy_files"]
+
 NODES = "file string, i int, j int, value double"
 HEADERS = "file string, ncol int, nrow int, xori double, yori double, xinc double, yinc double, rotation double, yflip int"
 
@@ -143,23 +146,6 @@ def map_files(nodes: DataFrame, header: MapHeader, file_format: str = "irap_bina
     return nodes.select(F.col(name).cast("string").alias(name), "i", "j", "value").groupBy(name).applyInPandas(write, f"{name} string, content binary")
 
 
-def save_files(files: DataFrame, folder: str, name: str = "name", suffix: str = "") -> int:
-    """Write (name, content) rows as files of a local folder, one at a time; returns how many."""
-    os.makedirs(folder, exist_ok=True)
-    n = 0
-    for row in files.select(name, "content").toLocalIterator():
-        with open(os.path.join(folder, str(row[0]).replace("/", "_") + suffix), "wb") as out:
-            out.write(row[1])
-        n += 1
-    return n
-
-
-def ibm_floats(raw: np.ndarray) -> np.ndarray:
-    """Big-endian words of the base-16 format as doubles."""
-    sign = np.where(raw >> 31, -1.0, 1.0)
-    return sign * (raw & 0xFFFFFF) / float(1 << 24) * 16.0 ** ((raw >> 24 & 0x7F).astype(float) - 64)
-
-
 def read_ijxyz(spark: SparkSession, path: str) -> tuple[MapHeader, DataFrame, DataFrame]:
     """(header, nodes, lines) of one map as lines of inline, xline, x, y and value: the map's geometry comes from the places.
 
@@ -193,56 +179,3 @@ def ijxyz_lines(nodes: DataFrame, header: MapHeader, lines: DataFrame | None = N
     own = own.join(lines, ["i", "j"]) if lines is not None else own.withColumns({"iline": F.col("i"), "xline": F.col("j")})
     place = [F.format_string("%.6f", c) for c in (header.x(F.col("i"), F.col("j")), header.y(F.col("i"), F.col("j")), F.col("value"))]
     return own.orderBy("xline", "iline").select(F.concat_ws("\t", F.col("iline").cast("string"), F.col("xline").cast("string"), *place).alias("value"))
-
-
-#: Sample formats by their codes in a SEG-Y header.
-SAMPLES = {1: ">u4", 2: ">i4", 3: ">i2", 5: ">f4", 6: ">f8", 8: ">i1", 10: ">u4", 11: ">u2", 16: ">u1"}
-
-
-def read_segy(spark: SparkSession, path: str, iline: int = 189, xline: int = 193) -> DataFrame:
-    """(file, n, iline, xline, x, y, traceid, z0, dz, amp) of SEG-Y files, a row a trace. iline and xline are byte places in trace headers.
-
-    Samples of SAMPLES' codes are read; any other code is an error. A file is read by one task, 2 GB at most: large
-    surveys come as one file a line or a swath.
-    """
-    schema = "file string, n int, iline int, xline int, x double, y double, traceid int, z0 double, dz double, amp array<float>"
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for f, c in zip(b["path"], b["content"], strict=True):
-                dt, ns, code = (struct.unpack(">h", c[3200 + k : 3202 + k])[0] for k in (16, 20, 24))
-                if code not in SAMPLES:
-                    raise ValueError(f"{f}: samples of code {code} can't be read")
-                ns &= 0xFFFF
-                size = 240 + np.dtype(SAMPLES[code]).itemsize * ns
-                n = (len(c) - 3600) // size
-                traces = np.frombuffer(c, np.uint8, n * size, 3600).reshape(n, size)
-                word = lambda at, kind=">i4", t=traces: np.ascontiguousarray(t[:, at - 1 : at - 1 + np.dtype(kind).itemsize]).view(kind).ravel()
-                scale = word(71, ">i2").astype(float)
-                scale = np.where(scale < 0, -1 / np.where(scale == 0, 1, scale), np.where(scale == 0, 1, scale))
-                for low in range(0, n, 2000):
-                    part = slice(low, low + 2000)
-                    body = np.ascontiguousarray(traces[part, 240:]).view(SAMPLES[code])
-                    amp = (ibm_floats(body.astype(np.int64)) if code == 1 else body).astype(np.float32)
-                    yield pd.DataFrame({
-                        "file": f, "n": np.arange(low, low + len(amp), dtype=np.int32), "iline": word(iline)[part].astype(np.int32), "xline": word(xline)[part].astype(np.int32), "x": word(181)[part] * scale[part], "y": word(185)[part] * scale[part],
-                        "traceid": word(29, ">i2")[part].astype(np.int32), "z0": word(109, ">i2")[part].astype(float), "dz": dt / 1000.0, "amp": list(amp),
-                    })
-
-    return files.mapInPandas(decode, schema)
-
-
-def segy_bytes(traces: pd.DataFrame, dz: float, z0: float = 0.0) -> bytes:
-    """A SEG-Y file (IEEE floats) of traces(iline, xline, x, y, traceid, amp) in the order given."""
-    ns = len(traces["amp"].iloc[0])
-    head = bytearray(400)
-    for at, v in ((16, round(dz * 1000)), (20, ns), (24, 5), (300, 0x0100), (302, 1)):
-        head[at : at + 2] = struct.pack(">h", v)
-    out = [b" " * 3200, bytes(head)]
-    for k, r in enumerate(traces.itertuples()):
-        t = bytearray(240)
-        for at, kind, v in ((1, ">i", k + 1), (29, ">h", r.traceid), (71, ">h", -100), (109, ">h", round(z0)), (115, ">h", ns), (117, ">h", round(dz * 1000)), (181, ">i", round(r.x * 100)), (185, ">i", round(r.y * 100)), (189, ">i", r.iline), (193, ">i", r.xline)):
-            t[at - 1 : at - 1 + struct.calcsize(kind)] = struct.pack(kind, v)
-        out += [bytes(t), np.asarray(r.amp, ">f4").tobytes()]
-    return b"".join(out)

@@ -9,13 +9,18 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader
+from pyspark.sql.types import StructType
 
 from terraspan.operators.cells import CORNERS, ENDS, IJK
+from terraspan.sources.splits import SPLIT, Part, Pushed, Ranged, opened, read_ranges
 
 #: The format's types, and what is undefined in each.
 KINDS = {"int": "i4", "float": "f4", "double": "f8", "bool": "u1", "byte": "u1"}
@@ -87,22 +92,119 @@ def tags(data: bytes) -> Iterator[tuple]:
     return _binary(data) if head == b"roff-bin" else _text(data)
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+@dataclass
+class Stored:
+    """An array of a binary file that isn't read yet."""
+
+    file: object
+    at: int
+    form: np.dtype
+    size: int
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        low, high, _ = part.indices(self.size)
+        return np.frombuffer(self.file.read_at((high - low) * self.form.itemsize, self.at + low * self.form.itemsize), self.form)
+
+
+class Scan:
+    """The tags of a binary file, with arrays of numbers left where they are: only their places are worked out."""
+
+    def __init__(self, file, size: int):
+        self.file, self.size, self.at, self.order = file, size, 0, "<"
+
+    def word(self) -> str:
+        out = b""
+        while True:
+            own = self.file.read_at(min(256, self.size - self.at), self.at)
+            end = own.find(b"\0")
+            out += own if end < 0 else own[:end]
+            self.at += len(own) if end < 0 else end + 1
+            if end >= 0 or not own:
+                return out.decode("latin-1")
+
+    def items(self) -> Iterator[tuple]:
+        tag = self.word() and ""
+        while self.at < self.size:
+            token = self.word()
+            if token == "tag":
+                tag = self.word()
+            elif token == "endtag":
+                if tag == "eof":
+                    return
+            elif token and not token.startswith("#"):
+                many = token == "array"
+                kind, key = (self.word(), self.word()) if many else (token, self.word())
+                n = int(self._numbers("int", 1)[:][0]) if many else 1
+                value = [self.word() for _ in range(n)] if kind == "char" else self._numbers(kind, n)
+                if key == "byteswaptest" and value[:][0] != 1:
+                    self.order = ">"
+                yield tag, key, kind, value
+
+    def _numbers(self, kind: str, n: int) -> Stored:
+        out = Stored(self.file, self.at, np.dtype(KINDS[kind]).newbyteorder(self.order), n)
+        self.at += n * out.form.itemsize
+        return out
+
+
+def _items(file, size: int) -> tuple[bool, list[tuple]]:
+    """Is the file one that can be read in parts; (tag, key, kind, values), values of a binary file being Stored."""
+    head = file.read_at(8, 0)
+    return (True, list(Scan(file, size).items())) if head == b"roff-bin" else (False, list(tags(file.read_at(size, 0))))
+
+
+class GridRanges(Ranged):
+    """Cells of a part of a file's columns: those of a range of i, whose numbers lie together in all its arrays."""
+
+    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+        store, path, _ = opened(part.path)
+        with store.open_input_file(path) as f:
+            ranged, items = _items(f, part.size)
+            found = {(t, k): v for t, k, _, v in items}
+            nx, ny, nz = (int(found["dimensions", k][:][0]) for k in ("nX", "nY", "nZ"))
+            low, high = part.share(nx) if ranged else (0, nx if part.number == 0 else 0)
+            if low < high:
+                for frame in _cells(_of_columns(found, low, high, ny, nz), int(self.options.get("at_once", 16))):
+                    frame = frame.assign(file=part.path, i=frame["i"] + low)
+                    yield pa.RecordBatch.from_pandas(frame[list(self.columns)].astype({c: np.int32 for c in ("i", "j", "k", "subgrid", "actnum") if c in self.columns}), preserve_index=False)
+
 
+def _of_columns(found: dict, low: int, high: int, ny: int, nz: int) -> dict:
+    """The arrays of the columns from low to high, as a file of those columns alone would have them."""
+    out = {key: v[:] for key, v in found.items() if key[1] != "data" and key[1] != "splitEnz"} | {("dimensions", "nX"): [high - low]}
+    out["cornerLines", "data"] = found["cornerLines", "data"][low * (ny + 1) * 6 : (high + 1) * (ny + 1) * 6]
+    plane, before = (ny + 1) * (nz + 1), low * (ny + 1) * (nz + 1)
+    size = (high - low + 1) * plane
+    if ("zvalues", "splitEnz") in found:
+        split = found["zvalues", "splitEnz"]
+        # depths of a node follow those of all nodes before it: count these, some MB at a time
+        first = sum(int(np.asarray(split[k : min(k + (1 << 22), before)]).astype(np.int64).sum()) for k in range(0, before, 1 << 22))
+        out["zvalues", "splitEnz"] = split[before : before + size]
+        before, size = first, int(np.asarray(out["zvalues", "splitEnz"]).astype(np.int64).sum())
+    out["zvalues", "data"] = found["zvalues", "data"][before : before + size]
+    if ("active", "data") in found:
+        out["active", "data"] = found["active", "data"][low * ny * nz : high * ny * nz]
+    return out
 
-def read_roff_grid(spark: SparkSession, path: str, columns: int = 16) -> DataFrame:
-    """(file, i, j, k, subgrid, actnum, c0x .. c7z) of grid files, a row a cell. A file is read by one task, `columns` columns of cells at a time."""
-    schema = "file string, i int, j int, k int, subgrid int, actnum int, " + ", ".join(f"{c} double" for c in CORNERS)
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for f, content in zip(b["path"], b["content"], strict=True):
-                found = {(t, k): v for t, k, _, v in tags(content)}
-                for frame in _cells(found, columns):
-                    yield frame.assign(file=f)[["file", *IJK, "subgrid", "actnum", *CORNERS]]
+class GridSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "roff_grid_ranges"
 
-    return _files(spark, path).mapInPandas(decode, schema)
+    def schema(self) -> str:
+        return "file string, i int, j int, k int, subgrid int, actnum int, " + ", ".join(f"{c} double" for c in CORNERS)
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return GridRanges(self.options, schema)
+
+
+def read_roff_grid(spark: SparkSession, path: str, columns: int = 16, fields: Sequence[str] | None = None, split: int = SPLIT) -> DataFrame:
+    """(file, i, j, k, subgrid, actnum, c0x .. c7z) of grid files, a row a cell, or some of these fields.
+
+    A binary file is read by as many tasks as it has ranges of `split` bytes, each a range of i, `columns` of them at a
+    time; a text file by one.
+    """
+    return read_ranges(spark, GridSource, path, fields, split, at_once=columns)
 
 
 def _cells(found: dict, columns: int) -> Iterator[pd.DataFrame]:
@@ -136,37 +238,80 @@ def _cells(found: dict, columns: int) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(frame)
 
 
-def read_roff_property(spark: SparkSession, path: str, names: Sequence[str] | None = None) -> DataFrame:
-    """(file, name, i, j, k, value, code) of property files, or of the named ones; code: the name of a discrete value. Undefined values are null."""
-    schema = "file string, name string, i int, j int, k int, value double, code string"
+class _Properties:
+    early = ("i", "j", "k")
+
+    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+        store, path, _ = opened(part.path)
+        names = self.options.get("names")
+        with store.open_input_file(path) as f:
+            ranged, items = _items(f, part.size)
+            for name, shape, kind, values, codes in _properties(items):
+                if names is not None and name not in names.split("\n"):
+                    continue
+                plane = shape[1] * shape[2]
+                low, high = part.share(shape[0]) if ranged else (0, shape[0] if part.number == 0 else 0)
+                step = max(1, (1 << 20) // max(1, plane))
+                for at in range(low, high, step):
+                    to = min(at + step, high)
+                    yield from self.batches(part.path, name, at, to, shape, kind, np.asarray(values[at * plane : to * plane]), codes)
+
+    def batches(self, file: str, name: str, low: int, high: int, shape: tuple, kind: str, values: np.ndarray, codes: dict) -> Iterator[pa.RecordBatch]:
+        i, j, c = (x.ravel() for x in np.meshgrid(np.arange(low, high), np.arange(shape[1]), np.arange(shape[2]), indexing="ij"))
+        own = {"i": (i + 1).astype(np.int32), "j": (j + 1).astype(np.int32), "k": (shape[2] - c).astype(np.int32)}
+        keep = self.kept(own, len(values))
+        values, n = values[keep], int(keep.sum())
+        known = values != UNDEFINED[kind]
+        make = {a: (lambda a=a: pa.array(own[a][keep])) for a in own} | {
+            "file": lambda: pa.array([file] * n, pa.string()), "name": lambda: pa.array([name] * n, pa.string()), "value": lambda: pa.array(values.astype(float), mask=~known),
+            "code": lambda: pa.array([codes.get(int(v)) if ok else None for v, ok in zip(values, known, strict=True)] if codes else [None] * n, pa.string()),
+        }
+        if n:
+            yield pa.RecordBatch.from_arrays([make[x]() for x in self.columns], names=list(self.columns))
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for f, content in zip(b["path"], b["content"], strict=True):
-                for name, shape, kind, values, codes in _properties(content):
-                    if names is not None and name not in names:
-                        continue
-                    i, j, c = (x.ravel() for x in np.meshgrid(*map(np.arange, shape), indexing="ij"))
-                    known = values != UNDEFINED[kind]
-                    code = [codes.get(int(v)) if k else None for v, k in zip(values, known, strict=True)] if codes else None
-                    yield pd.DataFrame({"file": f, "name": name, "i": i + 1, "j": j + 1, "k": shape[2] - c, "value": np.where(known, values.astype(float), np.nan), "code": code}).replace({"value": {np.nan: None}})
 
-    return _files(spark, path).mapInPandas(decode, schema).withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+class PropertyRanges(_Properties, Ranged):
+    pass
 
 
-def _properties(content: bytes) -> Iterator[tuple]:
+class PropertyPushed(_Properties, Pushed):
+    pass
+
+
+class PropertySource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "roff_property_ranges"
+
+    def schema(self) -> str:
+        return "file string, name string, i int, j int, k int, value double, code string"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return (PropertyPushed if self.options.get("pushed") == "true" else PropertyRanges)(self.options, schema)
+
+
+def read_roff_property(spark: SparkSession, path: str, names: Sequence[str] | None = None, fields: Sequence[str] | None = None, split: int = SPLIT) -> DataFrame:
+    """(file, name, i, j, k, value, code) of property files, or of the named ones; code: the name of a discrete value. Undefined values are null.
+
+    A binary file is read by ranges, as by read_roff_grid(). Comparisons of i, j and k (a layer, a box) are applied before
+    rows are made, where the session has spark.sql.python.filterPushdown.enabled.
+    """
+    return read_ranges(spark, PropertySource, path, fields, split, **({} if names is None else {"names": "\n".join(names)}))
+
+
+def _properties(items: Sequence[tuple]) -> Iterator[tuple]:
     shape, own = None, {}
-    for tag, key, kind, value in tags(content):
+    for tag, key, kind, value in items:
         if tag == "dimensions":
-            own[key] = int(value[0])
+            own[key] = int(value[:][0])
             shape = tuple(own.get(k, 0) for k in ("nX", "nY", "nZ"))
         elif tag == "parameter":
             if key == "name":
                 own |= {"name": value[0], "codeNames": (), "codeValues": ()}
             elif key == "data":
-                yield own["name"], shape, kind, np.asarray(value), dict(zip(map(int, own["codeValues"]), own["codeNames"], strict=True))
+                yield own["name"], shape, kind, value, dict(zip(map(int, own["codeValues"]), own["codeNames"], strict=True))
             else:
-                own[key] = value
+                own[key] = value[:]
 
 
 def _item(kind: str, key: str, value, many: bool = False) -> bytes:
@@ -211,6 +356,15 @@ def roff_grid_bytes(cells: pd.DataFrame, layers: Sequence[int] | None = None) ->
     return _file("grid", parts)
 
 
+def roff_grid_files(cells: DataFrame, layers: Sequence[int] | None = None, name: str = "name") -> DataFrame:
+    """(name, content): a grid file for each name of cells(name, i, j, k, actnum, c0x .. c7z). A grid is put together by one task."""
+
+    def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({name: [key[0]], "content": [roff_grid_bytes(pdf, layers)]})
+
+    return cells.select(F.col(name).cast("string").alias(name), *IJK, "actnum", *CORNERS).groupBy(name).applyInPandas(write, f"{name} string, content binary")
+
+
 def roff_property_bytes(values: pd.DataFrame, name: str, column: str = "value", codes: dict[int, str] | None = None) -> bytes:
     """A binary property file of values(i, j, k, value), one for each cell; with codes it is discrete. Undefined ones are null."""
     nx, ny, nz = (int(values[a].max()) for a in IJK)
