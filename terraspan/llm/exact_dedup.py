@@ -25,6 +25,8 @@ from terraspan.llm import common
 BITS = 48
 #: Fingerprints that a task gathers before it closes a set of filters.
 GATHER = 2_000_000
+#: Fingerprints in a slice, about.
+SLICE = 2_000_000
 #: Fingerprints, or keys of copies, that are broadcast at most (some 40 bytes each); more are joined by a shuffle.
 BROADCAST = 1_000_000
 
@@ -77,8 +79,11 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def repeated_fingerprints(rows: DataFrame) -> DataFrame:
-    """Fingerprints (column __fp) that occur more than once, by merging the partitions' filters."""
-    top = max(2, common.shuffle_partitions(rows.sparkSession) - 1).bit_length()
+    """Fingerprints (column __fp) that occur more than once, by merging the partitions' filters.
+
+    A slice of the fingerprints is merged in one group, so there are as many as the rows ask for.
+    """
+    top = max(2, common.shuffle_partitions(rows.sparkSession) - 1, rows.count() // SLICE).bit_length()
     low = BITS - top
     schema = pa.schema([("__slice", pa.int32()), ("__filter", pa.binary())])
 

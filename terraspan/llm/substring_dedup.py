@@ -37,6 +37,8 @@ from terraspan.llm.words import Hasher, U, spans
 BLOCK = 2 << 20
 #: Bytes of text in a bucket of the block table, about.
 BUCKET = 64 << 20
+#: Buckets of the block table, at most: Spark has a limit of 100 000. Beyond it buckets are larger; a task holds one block at a time still.
+BUCKETS = 50_000
 #: Windows in a slice of the hash space, about, over all blocks.
 SLICE = 2_000_000
 
@@ -71,7 +73,7 @@ def blocks(docs: DataFrame, text: str, size: int) -> tuple[DataFrame, str, str]:
     spark, name = docs.sparkSession, f"substring_blocks_{uuid.uuid4().hex}"
     path = f"{common.shared_folder(spark)}/{name}"
     schema = T.StructType([T.StructField("__block", T.LongType()), *docs.schema.fields])
-    docs.mapInArrow(deal, schema).write.bucketBy(max(4, common.shuffle_partitions(spark), size // BUCKET), "__block").option("path", path).saveAsTable(name)
+    docs.mapInArrow(deal, schema).write.bucketBy(min(BUCKETS, max(4, common.shuffle_partitions(spark), size // BUCKET)), "__block").option("path", path).saveAsTable(name)
     return spark.table(name), name, path
 
 
