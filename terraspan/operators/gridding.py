@@ -23,6 +23,12 @@ from terraspan.operators.surfaces import lattice, with_xy
 CHUNK = 1000
 #: Points that a dense system is solved for, at most.
 DENSE = 5000
+#: Points of a square in which nearest ones are sought first, at most.
+CROWD = 64
+#: Points that a patch of radial functions has, at most; and at least, before it takes means of points around it.
+PATCH, FEW = 1000, 30
+#: Neighbours that tell a point's gradient.
+GRADIENT = 12
 #: Points of a tile that is triangulated by one task, about, before those around it.
 TILE = 500
 
@@ -113,6 +119,56 @@ def moving_average(points: DataFrame, header: MapHeader, radius: float, min_poin
     return out
 
 
+# --- neighbours -----------------------------------------------------------------------------------------------------
+
+
+def nearest_points(targets: DataFrame, points: DataFrame, k: int, apart: bool = False) -> DataFrame:
+    """targets(x, y, ...) with `near`: the k nearest of points(x, y, z), as (d, x, y, z) by distance, then place; all, if there are fewer. apart: not those at the target's own place.
+
+    Targets and points meet in squares and the eight around them. The first squares are so small that none has over CROWD
+    points; what is not sure to have found its k there goes on with squares of twice the side, so targets among many points
+    meet few of them. Targets are told apart by all their columns.
+    """
+    names = targets.columns
+    own = points.select(F.col("x").alias("__x"), F.col("y").alias("__y"), F.col("z").alias("__z"))
+    row = own.agg(F.count(F.lit(1)).alias("n"), *(f(f"__{c}").alias(f"{m}{c}") for c in "xy" for m, f in (("lo", F.min), ("hi", F.max)))).first()
+    if not row.n:
+        return targets.withColumn("near", F.array().cast("array<struct<d:double,x:double,y:double,z:double>>"))
+    span = max(row.hix - row.lox, row.hiy - row.loy, 1e-9)
+    at = lambda c, side: F.floor(F.col(c) / side).cast("long")
+    side = span / max(1.0, math.sqrt(row.n / (k + 1)))
+    while side > span * 1e-6 and own.groupBy(at("__x", side), at("__y", side)).count().agg(F.max("count")).first()[0] > CROWD:
+        side /= 4
+    open_, done = targets.distinct(), None
+    while True:
+        around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
+        laid = own.withColumn("__s", around).withColumns({"__tx": at("__x", side) + F.col("__s.a"), "__ty": at("__y", side) + F.col("__s.b")}).drop("__s")
+        met = open_.withColumns({"__tx": at("x", side), "__ty": at("y", side)}).join(laid, ["__tx", "__ty"], "left").drop("__tx", "__ty")
+        met = met.withColumn("__d", F.hypot(F.col("x") - F.col("__x"), F.col("y") - F.col("__y")))
+        wanted = F.col("__d").isNotNull() & (F.col("__d") > 0) if apart else F.col("__d").isNotNull()
+        near = F.slice(F.array_sort(F.collect_list(F.when(wanted, F.struct(F.col("__d").alias("d"), F.col("__x").alias("x"), F.col("__y").alias("y"), F.col("__z").alias("z"))))), 1, k)
+        found = cut(met.groupBy(*names).agg(near.alias("near")))
+        # all points within a side are seen; beyond the last round's side there are none left
+        last = side > 2 * span and side > 2 * _farthest(open_, row)
+        sure = F.lit(last) | ((F.size("near") == k) & (F.element_at(F.col("near"), -1)["d"] <= side))
+        some = found.where(F.coalesce(sure, F.lit(False)))
+        done = some if done is None else done.unionByName(some)
+        if last:
+            return done
+        open_ = cut(found.where(~F.coalesce(sure, F.lit(False))).drop("near"))
+        if not open_.limit(1).count():
+            return done
+        side *= 2
+
+
+def _farthest(targets: DataFrame, row) -> float:
+    """The largest coordinate difference between targets and the points' bounds."""
+    own = targets.agg(*(f(c).alias(f"{m}{c}") for c in "xy" for m, f in (("lo", F.min), ("hi", F.max)))).first()
+    if own.lox is None:
+        return 0.0
+    return max(row.hix - own.lox, own.hix - row.lox, row.hiy - own.loy, own.hiy - row.loy)
+
+
 # --- triangulation --------------------------------------------------------------------------------------------------
 
 
@@ -164,17 +220,87 @@ def in_hull(places: DataFrame, hulls: DataFrame, slack: float) -> DataFrame:
     return places.join(ring, "__g").where(F.forall(F.transform("__r", left_of), lambda ok: ok)).drop("__r")
 
 
-def linear(points: DataFrame, header: MapHeader, group: str | None = None, tile: int | None = None, beyond: bool = False) -> DataFrame:
+def with_gradients(points: DataFrame, k: int = GRADIENT) -> DataFrame:
+    """Points (__g, x, y, z) with gx and gy: the gradient there of the parabola through the point that fits its k nearest neighbours best, near ones most."""
+    parts = []
+    for r in points.select("__g").distinct().collect():  # a row a group
+        own = points.where(F.col("__g").eqNullSafe(F.lit(r["__g"])))
+        parts.append(nearest_points(own.select("__g", "x", "y", "z"), own, k, apart=True))
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = np.zeros((len(b), 2))
+            for n, (x, y, z, near) in enumerate(zip(b["x"], b["y"], b["z"], b["near"], strict=True)):
+                if not len(near):
+                    continue
+                d = np.array([(q["x"] - x, q["y"] - y, q["z"] - z) for q in near])
+                size = np.hypot(d[:, 0], d[:, 1]).max()
+                u, v = d[:, 0] / size, d[:, 1] / size
+                terms = np.column_stack([u, v, u * u, u * v, v * v])[:, : 5 if len(d) >= 5 else 2]
+                weight = 1 / np.hypot(u, v)
+                out[n] = np.linalg.lstsq(terms * weight[:, None], d[:, 2] * weight, rcond=1e-9)[0][:2] / size
+            yield b[["__g", "x", "y", "z"]].assign(gx=out[:, 0], gy=out[:, 1])
+
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    schema = points.select("__g", "x", "y", "z").schema.add("gx", "double").add("gy", "double")
+    return every.select("__g", "x", "y", "z", "near").mapInPandas(fit, schema)
+
+
+def clough_tocher(p: np.ndarray, z: np.ndarray, g: np.ndarray, s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Values in a triangle of corners p (3, 2), values z and gradients g, at the places p0 + s (p1 - p0) + t (p2 - p0).
+
+    A cubic on each third of the triangle (Clough and Tocher, 1965); slopes across an edge are linear along it, so that
+    neighbouring triangles join smoothly, and parabolas are met exactly. By control values: at corners, at thirds of the
+    edges, towards the middle m, one inside each third, and around m.
+    """
+    m = p.mean(axis=0)
+    edge = {(a, b): z[a] + g[a] @ (p[b] - p[a]) / 3 for a in range(3) for b in range(3) if a != b}
+    spoke = [z[a] + g[a] @ (m - p[a]) / 3 for a in range(3)]
+    inside = {}
+    for a, b in ((0, 1), (1, 2), (2, 0)):
+        w = (m - p[a]) @ (p[b] - p[a]) / ((p[b] - p[a]) @ (p[b] - p[a]))  # where m falls on the edge
+        first = spoke[a] - (1 - w) * z[a] - w * edge[a, b]
+        last = spoke[b] - (1 - w) * edge[b, a] - w * z[b]
+        inside[a, b] = inside[b, a] = (1 - w) * edge[a, b] + w * edge[b, a] + (first + last) / 2
+    ring = [(spoke[a] + inside[a, (a + 1) % 3] + inside[a, (a + 2) % 3]) / 3 for a in range(3)]
+    top = sum(ring) / 3
+    share = np.stack([1 - s - t, s, t])
+    out, low = np.empty(len(s)), share.argmin(axis=0)
+    for c in range(3):
+        at = low == c
+        a, b = (c + 1) % 3, (c + 2) % 3
+        u, v, w = share[a, at] - share[c, at], share[b, at] - share[c, at], 3 * share[c, at]
+        out[at] = (
+            z[a] * u**3 + 3 * edge[a, b] * u * u * v + 3 * edge[b, a] * u * v * v + z[b] * v**3
+            + 3 * spoke[a] * u * u * w + 6 * inside[a, b] * u * v * w + 3 * spoke[b] * v * v * w + 3 * ring[a] * u * w * w + 3 * ring[b] * v * w * w + top * w**3
+        )
+    return out
+
+
+def cubic(points: DataFrame, header: MapHeader, group: str | None = None, tile: int | None = None, beyond: bool = False) -> DataFrame:
+    """([group,] i, j, value): smooth (one derivative) and cubic in the Delaunay triangles of the points, on linear()'s nodes and by its tiles.
+
+    Gradients come from each point's GRADIENT nearest neighbours; planes and parabolas are met exactly.
+    """
+    return linear(points, header, group, tile, beyond, smooth=True)
+
+
+def linear(points: DataFrame, header: MapHeader, group: str | None = None, tile: int | None = None, beyond: bool = False, smooth: bool = False) -> DataFrame:
     """([group,] i, j, value): linear in the Delaunay triangles of the points; nodes outside their hull are left out.
 
     Points at one place are averaged first. Tiles of nodes are triangulated with the points around them. A triangle is
     one of the whole set's if its circle, as far as the points' bounds reach, lies within the part that the tile knows;
     nodes without such a triangle are tried again with twice the points around, so any number of points will do. tile:
     columns and rows of nodes in a tile; from the number of points where it is not given. beyond: take points out of the
-    map, too.
+    map, too. smooth: see cubic().
     """
     h = header
     own = (points.where(F.col("z").isNotNull()) if beyond else inside_map(points, h)).withColumn("__g", F.col(group) if group else F.lit(0)).groupBy("__g", "x", "y").agg(F.avg("z").alias("z"))
+    if smooth:
+        own = cut(own)
+        own = with_gradients(own) if own.limit(1).count() else own.withColumns({"gx": F.lit(0.0), "gy": F.lit(0.0)})
     own = cut(own.withColumns({"fi": h.fi(F.col("x"), F.col("y")), "fj": h.fj(F.col("x"), F.col("y"))}))
     bounds = own.groupBy("__g").agg(*(f(c).alias(f"{n}{c}") for c in ("fi", "fj") for n, f in (("lo", F.min), ("hi", F.max))), F.count(F.lit(1)).alias("n")).where("n > 2")
     most = bounds.agg(F.max(F.col("n") / (F.greatest(F.col("hifi") - F.col("lofi"), F.lit(1.0)) * F.greatest(F.col("hifj") - F.col("lofj"), F.lit(1.0))))).first()[0]
@@ -193,6 +319,7 @@ def linear(points: DataFrame, header: MapHeader, group: str | None = None, tile:
         hi = pdf[["hifi", "hifj"]].to_numpy()[0], (np.array(k[1:]) + 1) * tile + reach
         pdf = pdf.sort_values(["x", "y"])
         x, y, z, fi, fj = (pdf[c].to_numpy() for c in ("x", "y", "z", "fi", "fj"))
+        slopes = pdf[["gx", "gy"]].to_numpy() if smooth else None
         triangles = delaunay(*shaken(x, y, 1e-6 * min(h.xinc, h.yinc)).T)
         if not len(triangles):
             return empty
@@ -220,7 +347,10 @@ def linear(points: DataFrame, header: MapHeader, group: str | None = None, tile:
             s = ((gi - fi[a]) * (fj[c] - fj[a]) - (gj - fj[a]) * (fi[c] - fi[a])) / det
             t = ((fi[b] - fi[a]) * (gj - fj[a]) - (fj[b] - fj[a]) * (gi - fi[a])) / det
             ok = (s >= -1e-9) & (t >= -1e-9) & (s + t <= 1 + 1e-9)
-            values[gi[ok] - i0, gj[ok] - j0] = (z[a] + s * (z[b] - z[a]) + t * (z[c] - z[a]))[ok]
+            if smooth:
+                values[gi[ok] - i0, gj[ok] - j0] = clough_tocher(np.column_stack([x, y])[corner], z[corner], slopes[corner], s[ok], t[ok])
+            else:
+                values[gi[ok] - i0, gj[ok] - j0] = (z[a] + s * (z[b] - z[a]) + t * (z[c] - z[a]))[ok]
         out = wanted[["__g", "i", "j"]].assign(value=values[wanted["i"] - 1 - i0, wanted["j"] - 1 - j0])
         return out[np.isfinite(out["value"])]
 
@@ -274,52 +404,208 @@ KERNELS = {
 SCALED = ("multiquadric", "inverse_multiquadric", "inverse_quadratic", "gaussian")
 
 
+class RadialFunctions:
+    """The functions of one set of points, with a plane; it is exact at the points without smoothing."""
+
+    def __init__(self, xy: np.ndarray, z: np.ndarray, function: str, smoothing: float, epsilon: float | None):
+        self.middle, self.width = xy.mean(axis=0), max(np.ptp(xy, axis=0).max(), 1e-12)
+        self.points, self.kernel, n = (xy - self.middle) / self.width, KERNELS[function], len(z)
+        d = self._distances(self.points)
+        if epsilon is None:
+            self.epsilon = 1 / max(1e-12, np.sort(d, axis=1)[:, 1 : min(6, n)].mean()) if function in SCALED and n > 1 else 1.0
+        else:
+            self.epsilon = epsilon * self.width
+        system = np.zeros((n + 3, n + 3))
+        system[:n, :n] = self.kernel(d * self.epsilon) + smoothing * np.eye(n)
+        system[:n, n:] = np.column_stack([np.ones(n), self.points])
+        system[n:, :n] = system[:n, n:].T
+        right = np.append(z, np.zeros(3))
+        try:
+            self.weights = np.linalg.solve(system, right)
+            ok = np.abs(system @ self.weights - right).max() <= 1e-6 * max(1.0, np.abs(right).max())
+        except np.linalg.LinAlgError:
+            ok = False
+        if not ok:  # points on a line, or nearly one system twice
+            self.weights = np.linalg.lstsq(system, right, rcond=None)[0]
+
+    def _distances(self, q: np.ndarray) -> np.ndarray:
+        return np.hypot(q[:, None, 0] - self.points[None, :, 0], q[:, None, 1] - self.points[None, :, 1])
+
+    def at(self, xy: np.ndarray) -> np.ndarray:
+        q, n = (xy - self.middle) / self.width, len(self.points)
+        value = self.weights[n] + q @ self.weights[n + 1 :]
+        for k in range(0, len(q), 1000):
+            value[k : k + 1000] += self.kernel(self._distances(q[k : k + 1000]) * self.epsilon) @ self.weights[:n]
+        return value
+
+
+#: How far a patch reaches over the edge of its square, as a part of the side; nodes that are evaluated in one task.
+OVER, NODES = 0.25, 1 << 16
+
+
+def _squares(x: str, y: str, level: Column | int, side: float) -> Column:
+    """The squares (a, b) of a level whose patches hold a place: one to four."""
+    width = F.lit(float(side)) / F.pow(F.lit(2.0), level)
+    first, last = (lambda c: F.floor(F.col(c) / width - OVER).cast("int")), (lambda c: F.floor(F.col(c) / width + OVER).cast("int"))
+    along = lambda c: F.array_distinct(F.array(first(c), last(c)))
+    return F.flatten(F.transform(along(x), lambda a: F.transform(along(y), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+
+
+def patches(own: DataFrame, side: float) -> tuple[DataFrame, DataFrame]:
+    """(leaves (level, a, b), their points (level, a, b, u, v, z)) of points (u, v, z): squares, halved while their patch has over PATCH points.
+
+    A patch of fewer than FEW points also gets means of the points in its parent's patch, one for each of 32 by 32 cells.
+    """
+    key = ["level", "a", "b"]
+    open_ = own.sparkSession.createDataFrame([(0, 0, 0)], "level int, a int, b int")
+    leaves, held, level, before = None, None, 0, None
+    while True:
+        laid = own.withColumn("__s", F.explode(_squares("u", "v", level, side))).select(F.lit(level).alias("level"), "__s.a", "__s.b", "u", "v", "z")
+        laid = cut(laid.join(open_, key, "left_semi"))
+        counts = cut(open_.join(laid.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), key, "left").fillna(0, ["n"]))
+        small = counts.where(F.col("n") <= PATCH)
+        mine = laid.join(small.select(*key), key, "left_semi")
+        if before is not None:
+            few = small.where(F.col("n") < FEW).select(*key, F.lit(level - 1).alias("p"), F.shiftright("a", 1).alias("pa"), F.shiftright("b", 1).alias("pb"))
+            fine = F.lit(float(side)) / F.pow(F.lit(2.0), F.lit(level + 4))  # a 32nd of the parent's side
+            width = F.lit(float(side)) / F.pow(F.lit(2.0), F.lit(level))
+            means = before.groupBy("level", "a", "b", F.floor(F.col("u") / fine), F.floor(F.col("v") / fine)).agg(*(F.avg(c).alias(c) for c in "uvz")).select(F.col("level").alias("p"), F.col("a").alias("pa"), F.col("b").alias("pb"), "u", "v", "z")
+            apart = lambda c, k: F.abs(F.col(c) / width - (F.col(k) + 0.5)) > 0.5 + OVER  # noqa: E731, B023
+            mine = mine.unionByName(few.join(means, ["p", "pa", "pb"]).where(apart("u", "a") | apart("v", "b")).select(*key, "u", "v", "z"))
+        small, mine = cut(small.select(*key)), cut(mine)
+        leaves, held = (small, mine) if leaves is None else (leaves.unionByName(small), held.unionByName(mine))
+        halved = F.explode(F.array(*(F.struct((F.col("a") * 2 + x).alias("a"), (F.col("b") * 2 + y).alias("b")) for x in (0, 1) for y in (0, 1))))
+        large = counts.where(F.col("n") > PATCH).select(*key)
+        if not large.limit(1).count():
+            return leaves, held
+        if level >= 30:
+            raise ValueError("points lie too close together to be told apart")
+        before = laid.join(large, key, "left_semi")
+        open_ = cut(large.withColumn("__c", halved).select(F.lit(level + 1).alias("level"), "__c.a", "__c.b"))
+        level += 1
+
+
 def rbf(points: DataFrame, header: MapHeader, function: str = "thin_plate_spline", smoothing: float = 0.0, epsilon: float | None = None) -> DataFrame:
-    """(i, j, value): radial functions with a plane through all points, DENSE at most (points are few; nodes are many).
+    """(i, j, value): radial functions with a plane through the points.
 
-    The system is solved once, on the driver; its weights go to the tasks that evaluate nodes.
+    The map is halved into squares until each has PATCH points at most, with a margin that it shares with its neighbours.
+    Each patch has functions of its own, and where patches overlap they are blended by weights that fall to zero at a
+    patch's rim (a partition of unity), so the result is smooth, and exact at points. Up to PATCH points are one patch,
+    which is the system of all points. Points at one place are averaged.
     """
-    own = inside_map(points, header).groupBy("x", "y").agg(F.avg("z").alias("z"))
-    pdf = own.limit(DENSE + 1).toPandas()
-    if len(pdf) > DENSE:
-        raise ValueError(f"more than {DENSE} points; coarsen them")
-    if len(pdf) < 3:
+    h = header
+    own = inside_map(points, h).groupBy("x", "y").agg(F.avg("z").alias("z"))
+    side = max((h.ncol - 1) * h.xinc, (h.nrow - 1) * h.yinc, 1e-9) * (1 + 1e-6)
+    place = {"u": h.fi(F.col("x"), F.col("y")) * h.xinc, "v": h.fj(F.col("x"), F.col("y")) * h.yinc}
+    own = cut(own.select(*(F.greatest(F.lit(0.0), F.least(c, F.lit(side * (1 - 1e-9)))).alias(k) for k, c in place.items()), "z"))
+    if own.limit(3).count() < 3:
         raise ValueError("three points or more are asked for")
-    xy, z = pdf[["x", "y"]].to_numpy(), pdf["z"].to_numpy()
-    middle, width = xy.mean(axis=0), max(np.ptp(xy, axis=0).max(), 1e-12)
-    p = (xy - middle) / width
-    d = np.hypot(p[:, None, 0] - p[None, :, 0], p[:, None, 1] - p[None, :, 1])
-    if epsilon is None:
-        epsilon = 1 / max(1e-12, np.sort(d, axis=1)[:, 1 : min(6, len(p))].mean()) if function in SCALED else 1.0
-    else:
-        epsilon = epsilon * width
-    kernel = KERNELS[function]
-    n = len(p)
-    system = np.zeros((n + 3, n + 3))
-    system[:n, :n] = kernel(d * epsilon) + smoothing * np.eye(n)
-    system[:n, n:] = np.column_stack([np.ones(n), p])
-    system[n:, :n] = system[:n, n:].T
-    weights = np.linalg.lstsq(system, np.append(z, np.zeros(3)), rcond=None)[0]
-
-    def evaluate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            q = (b[["x", "y"]].to_numpy() - middle) / width
-            value = weights[n] + q @ weights[n + 1 :]
-            for k in range(0, len(q), 1000):
-                r = np.hypot(q[k : k + 1000, None, 0] - p[None, :, 0], q[k : k + 1000, None, 1] - p[None, :, 1])
-                value[k : k + 1000] += kernel(r * epsilon) @ weights[:n]
-            yield pd.DataFrame({"i": b["i"], "j": b["j"], "value": value})
-
-    return with_xy(lattice(points.sparkSession, header), header).mapInPandas(evaluate, "i int, j int, value double")
+    leaves, held = patches(own, side)
+    levels = [r[0] for r in leaves.select("level").distinct().collect()]  # 31 at most
+    nodes = lattice(points.sparkSession, h).withColumns({"u": (F.col("i") - 1) * float(h.xinc), "v": (F.col("j") - 1) * float(h.yinc)})
+    at = F.explode(F.flatten(F.array(*(_named(_squares("u", "v", n, side), n) for n in levels))))
+    tile = int(math.sqrt(NODES))
+    asked = nodes.withColumn("__s", at).select("__s.level", "__s.a", "__s.b", F.floor((F.col("i") - 1) / tile).cast("int").alias("ti"), F.floor((F.col("j") - 1) / tile).cast("int").alias("tj"), "i", "j", "u", "v").join(leaves, ["level", "a", "b"], "left_semi")
+    asked = cut(asked)
+    key = ["level", "a", "b", "ti", "tj"]
+    dealt = held.join(asked.select(*key).distinct(), ["level", "a", "b"])
+    dealt = dealt.select(*(F.col(c).alias(c) for c in dealt.columns))  # columns of its own, as both sides come from the nodes
+
+    def evaluate(k: tuple, wanted: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf) or not len(wanted):
+            return pd.DataFrame({"i": [], "j": [], "w": [], "wz": []})
+        pdf = pdf.sort_values(["u", "v"])
+        made = RadialFunctions(pdf[["u", "v"]].to_numpy(), pdf["z"].to_numpy(), function, smoothing, epsilon)
+        q = wanted[["u", "v"]].to_numpy()
+        width = side / 2 ** k[0]
+        off = np.abs(q / width - (np.array(k[1:3]) + 0.5)) / (0.5 + OVER)
+        weight = np.prod(np.maximum(1 - off**2, 1e-12) ** 2, axis=1)
+        return pd.DataFrame({"i": wanted["i"], "j": wanted["j"], "w": weight, "wz": weight * made.at(q)})
+
+    out = asked.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInPandas(evaluate, "i int, j int, w double, wz double")
+    return out.groupBy("i", "j").agg((F.sum("wz") / F.sum("w")).alias("value"))
+
+
+def _named(squares: Column, level: int) -> Column:
+    return F.transform(squares, lambda s: F.struct(F.lit(level).alias("level"), s["a"].alias("a"), s["b"].alias("b")))
 
 
 #: Correlation at a distance in ranges; at one range about 5 % is left, for the spherical model nothing.
 VARIOGRAMS = {
     "exponential": lambda h: np.exp(-3 * h), "gaussian": lambda h: np.exp(-3 * h**2), "spherical": lambda h: np.where(h < 1, 1 - 1.5 * h + 0.5 * h**3, 0.0), "cubic": lambda h: np.where(h < 1, 1 - 7 * h**2 + 8.75 * h**3 - 3.5 * h**5 + 0.75 * h**7, 0.0),
     "stable": lambda h: np.exp(-3 * h**1.5), "linear": lambda h: np.maximum(0.0, 1 - h),
+    "matern": lambda h: (1 + 4.7439 * h) * np.exp(-4.7439 * h), "matern52": lambda h: (1 + 5.9186 * h + (5.9186 * h) ** 2 / 3) * np.exp(-5.9186 * h),
 }
 
 
+def variogram(points: DataFrame, header: MapHeader, lags: int = 20, longest: float | None = None, most: int = 20_000) -> DataFrame:
+    """(lag, n, distance, gamma): half the mean squared difference of pairs of points, by their distance, in `lags` steps up to `longest` (a third of the map's diagonal).
+
+    Pairs meet in squares as wide as the longest distance, and are counted once, by bins. Of more than `most` points a
+    share of about so many, by a hash of their places, is used: the documented sample of this estimate.
+    """
+    h = header
+    own = inside_map(points, h).groupBy("x", "y").agg(F.avg("z").alias("z"))
+    every = -(-own.count() // most)
+    own = own.where(F.pmod(F.xxhash64("x", "y"), F.lit(max(1, every))) == 0)
+    longest = longest or math.hypot((h.ncol - 1) * h.xinc, (h.nrow - 1) * h.yinc) / 3
+    at = lambda c: F.floor(F.col(c) / longest).cast("long")
+    around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
+    other = own.select(F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz")).withColumn("s", around).withColumns({"tx": at("ox") + F.col("s.a"), "ty": at("oy") + F.col("s.b")})
+    met = own.withColumns({"tx": at("x"), "ty": at("y")}).join(other, ["tx", "ty"]).where("x < ox or (x = ox and y < oy)")
+    met = met.select(F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")).alias("d"), F.pow(F.col("z") - F.col("oz"), 2).alias("q")).where(F.col("d") <= longest)
+    lag = F.least(F.floor(F.col("d") / longest * lags), F.lit(lags - 1)).cast("int").alias("lag")
+    return met.groupBy(lag).agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("distance"), (F.avg("q") / 2).alias("gamma"))
+
+
+def fitted(points: DataFrame, header: MapHeader, model: str = "gaussian", lags: int = 20, longest: float | None = None) -> dict[str, float]:
+    """range_, variance and nugget of a model that fit variogram() best, bins by their number of pairs. For kriging(**fitted(...))."""
+    rows = sorted(variogram(points, header, lags, longest).collect())  # a row a lag
+    if not rows:
+        raise ValueError("no pairs of points")
+    n, d, gamma = (np.array([float(r[k]) for r in rows]) for k in ("n", "distance", "gamma"))
+    best = None
+    for range_ in d.max() * np.geomspace(0.05, 3, 120):
+        rise = 1 - VARIOGRAMS[model](d / range_)
+        for terms in (np.column_stack([rise, np.ones(len(d))]), rise[:, None]):
+            got = np.linalg.lstsq(terms * np.sqrt(n)[:, None], gamma * np.sqrt(n), rcond=None)[0]
+            sill, nugget = got[0], got[1] if len(got) > 1 else 0.0
+            if sill > 0 and nugget >= 0:
+                off = float((n * (terms @ got - gamma) ** 2).sum())
+                if best is None or off < best[0] * (1 - 1e-9):
+                    best = off, range_, sill, nugget
+    if best is None:
+        return {"range_": float(d.max()), "variance": max(float((n * gamma).sum() / n.sum()), 1e-12), "nugget": 0.0}
+    return {"range_": float(best[1]), "variance": float(best[2]), "nugget": float(best[3])}
+
+
+def kriging_by_neighbours(points: DataFrame, header: MapHeader, neighbours: int = 24, model: str = "gaussian", range_: float = 1000.0, nugget: float = 0.0, variance: float = 1.0, angle: float = 0.0, ratio: float = 1.0, mean: float | None = None) -> DataFrame:
+    """(i, j, value): kriging() with each node's own system, of its nearest points alone, at any distance. angle and ratio as there; nearest is by plain distance."""
+    own = cut(inside_map(points, header).groupBy("x", "y").agg(F.avg("z").alias("z")))
+    near = nearest_points(with_xy(lattice(points.sparkSession, header), header), own, neighbours)
+    c, s, rho, free = math.cos(math.radians(angle)), math.sin(math.radians(angle)), VARIOGRAMS[model], mean is None
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def cov(dx: np.ndarray, dy: np.ndarray) -> np.ndarray:
+            return variance * rho(np.hypot(dx * c + dy * s, (dy * c - dx * s) / ratio) / range_)
+
+        for b in batches:
+            out, sizes = np.full(len(b), np.nan), b["near"].map(len).to_numpy()
+            for k in set(sizes.tolist()) - {0}:  # one size but at the rim
+                for at in np.array_split(np.flatnonzero(sizes == k), -(-(sizes == k).sum() // 500)):
+                    p = np.array([[(q["x"], q["y"], q["z"]) for q in b["near"].iloc[n]] for n in at])
+                    left, right = np.zeros((len(at), k + free, k + free)), np.ones((len(at), k + free))
+                    left[:, :k, :k] = cov(p[:, :, None, 0] - p[:, None, :, 0], p[:, :, None, 1] - p[:, None, :, 1]) + (nugget + 1e-10 * variance) * np.eye(k)
+                    right[:, :k] = cov(p[:, :, 0] - b["x"].to_numpy()[at, None], p[:, :, 1] - b["y"].to_numpy()[at, None])
+                    if free:
+                        left[:, k, :k] = left[:, :k, k] = 1
+                    w = np.linalg.solve(left, right[..., None])[:, :k, 0]
+                    out[at] = (w * p[..., 2]).sum(1) if free else mean + (w * (p[..., 2] - mean)).sum(1)
+            yield pd.DataFrame({"i": b["i"], "j": b["j"], "value": out})
+
+    return near.select("i", "j", "x", "y", "near").mapInPandas(solve, "i int, j int, value double").where("value is not null and not isnan(value)")
+
+
 def kriging(points: DataFrame, header: MapHeader, model: str = "gaussian", range_: float = 1000.0, nugget: float = 0.0, variance: float = 1.0, angle: float = 0.0, ratio: float = 1.0, mean: float | None = None, max_points: int | None = None, block: int = 25) -> DataFrame:
     """(i, j, value): ordinary kriging, or simple kriging about a known mean.
 

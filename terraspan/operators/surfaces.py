@@ -304,14 +304,21 @@ def fill(nodes: DataFrame, header: MapHeader, value: float | None = None, reach:
     """All nodes of the lattice: masked ones get a constant, or the value of the nearest defined node (by place; of equally near ones the least i, then j).
 
     Nearest nodes are sought in rings of growing reach, each an equi-join on tiles, so the work stays local; each round
-    takes only what the one before left open. method "linear": masked nodes within the hull of the defined ones get the
-    value of the Delaunay triangle they are in first.
+    takes only what the one before left open. method "linear" or "cubic": masked nodes within the hull of the defined ones
+    get the value of the Delaunay triangle they are in first, flat or smooth. "radial": all masked nodes get the value of
+    thin-plate splines through the defined ones.
     """
-    if method == "linear" and value is None:
+    if method == "radial" and value is None:
         from terraspan.operators import gridding
 
         known = with_xy(nodes.where(F.col("value").isNotNull()).select("i", "j", "value"), header)
-        made = gridding.linear(known.withColumnRenamed("value", "z"), header, beyond=True)
+        made = gridding.rbf(known.withColumnRenamed("value", "z"), header)
+        return made.withColumnRenamed("value", "__made").join(known.select("i", "j", "value"), ["i", "j"], "left").select("i", "j", F.coalesce("value", "__made").alias("value"))
+    if method in ("linear", "cubic") and value is None:
+        from terraspan.operators import gridding
+
+        known = with_xy(nodes.where(F.col("value").isNotNull()).select("i", "j", "value"), header)
+        made = gridding.linear(known.withColumnRenamed("value", "z"), header, beyond=True, smooth=method == "cubic")
         nodes = cut(made.withColumnRenamed("value", "__made").join(known.select("i", "j", "value"), ["i", "j"], "left").select("i", "j", F.coalesce("value", "__made").alias("value")))
     own = lattice(nodes.sparkSession, header).join(nodes.select("i", "j", "value"), ["i", "j"], "left")
     if value is not None:
