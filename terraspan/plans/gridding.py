@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from terraspan.functions.geometry import MapHeader, rounded
 from terraspan.operators import gridding as gr
+from terraspan.operators.surfaces import lattice, with_xy
 from terraspan.plans.registry import Registry
 
 R = Registry()
@@ -36,6 +37,37 @@ def gridding_linear(points):
     return gr.linear(points, GRID, "attr").withColumn("value", rounded("value"))
 
 
+@R.query(f"""WITH {_LAT}, p AS (SELECT DISTINCT attr, x, y FROM pin), e AS (SELECT a.attr, a.x, a.y, b.x - a.x AS ex, b.y - a.y AS ey FROM p a JOIN p b ON a.attr = b.attr AND (a.x <> b.x OR a.y <> b.y) JOIN p c ON c.attr = a.attr GROUP BY a.attr, a.x, a.y, b.x, b.y HAVING min((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) >= 0)
+SELECT g.attr, l.i, l.j, round(10 + 0.25 * l.x - 0.125 * l.y + 0.001 * l.x * l.x - 0.0005 * l.x * l.y + 0.00075 * l.y * l.y, 4) AS value FROM lat l, (SELECT DISTINCT attr FROM p) g WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.attr = g.attr AND e.ex * (l.y - e.y) - e.ey * (l.x - e.x) < -0.000001)""", "points")
+def gridding_cubic(points):
+    """Smooth triangles over the points' own places; a parabola as their depth, which they meet exactly."""
+    x, y = F.col("x"), F.col("y")
+    own = points.withColumn("z", 10 + 0.25 * x - 0.125 * y + 0.001 * x * x - 0.0005 * x * y + 0.00075 * y * y)
+    return gr.cubic(own, GRID, "attr").withColumn("value", rounded("value", 4))
+
+
+@R.query("""WITH p AS (SELECT x, y, avg(z) AS z FROM points WHERE x BETWEEN 0 AND 1000 AND y BETWEEN 0 AND 960 GROUP BY x, y), d AS (SELECT sqrt((a.x - b.x)**2 + (a.y - b.y)**2) AS d, (a.z - b.z)**2 / 2 AS g FROM p a JOIN p b ON a.x < b.x OR (a.x = b.x AND a.y < b.y))
+SELECT cast(least(floor(d / 64 * 8), 7) AS int) AS lag, count(*) AS n, round(avg(d), 6) AS distance, round(avg(g), 3) AS gamma FROM d WHERE d <= 64 GROUP BY 1""", "points")
+def gridding_variogram(points):
+    return gr.variogram(points, GRID, 8, 64.0, 1 << 40).withColumns({"distance": rounded("distance"), "gamma": rounded("gamma", 3)})
+
+
+@R.query(f"""WITH {_LAT}, u AS (SELECT x, y, avg(z) AS z FROM pin GROUP BY x, y), d AS (SELECT i, j, u.x, u.y, sqrt((lat.x - u.x)**2 + (lat.y - u.y)**2) AS d FROM lat, u)
+SELECT i, j, cast(row_number() OVER (PARTITION BY i, j ORDER BY d, x, y) AS int) AS rank, round(d, 6) AS d, x, y FROM d QUALIFY rank <= 5""", "points")
+def points_nearest(points):
+    """The five nearest points of each node."""
+    own = gr.inside_map(points, GRID).groupBy("x", "y").agg(F.avg("z").alias("z"))
+    near = gr.nearest_points(with_xy(lattice(points.sparkSession, GRID), GRID), own, 5)
+    return near.select("i", "j", F.posexplode("near").alias("rank", "q")).select("i", "j", (F.col("rank") + 1).alias("rank"), rounded(F.col("q.d")).alias("d"), "q.x", "q.y")
+
+
+@R.query(None, "points")
+def gridding_kriging_neighbours(points):
+    """Each node by its 16 nearest points, with the model that fits all pairs within 100 best."""
+    model = gr.fitted(points, GRID, "exponential", 10, 100.0)
+    return gr.kriging_by_neighbours(points, GRID, 16, "exponential", **model).withColumn("value", rounded("value", 4))
+
+
 @R.query(None, "points")
 def gridding_rbf(points):
     return gr.rbf(points, GRID).withColumn("value", rounded("value", 4))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from terraspan.functions.geometry import MapHeader, rounded
@@ -15,20 +17,35 @@ R = Registry()
 DOME = MapHeader(40, 30, 500.0, 600.0, 20.0, 25.0)
 
 
-@R.query("SELECT cast(a.i AS int) AS i, cast(b.j AS int) AS j, 1234.5 AS value FROM range(1, 21) a(i), range(1, 26) b(j)", "traces")
+def _sizes(table, *columns):
+    """The largest index in each column; a row of them comes to the driver."""
+    return [int(x or 0) for x in table.agg(*(F.max(c) for c in columns)).first()]
+
+
+_RANGES = "n AS (SELECT max(i) AS ni, max(j) AS nj FROM traces), lat AS (SELECT cast(i AS int) AS i, cast(j AS int) AS j, ni, nj FROM (SELECT unnest(range(1, {0} + 1)) AS i, ni, nj FROM n) a, (SELECT unnest(range(1, {1} + 1)) AS j FROM n) b)"
+
+
+@R.query(f"WITH {_RANGES.format('ni', 'nj')} SELECT i, j, 1234.5 AS value FROM lat", "traces")
 def surface_from_cube(traces):
-    return s.constant(traces.sparkSession, CUBE.map, 1234.5)
+    """A constant map over the cube's own lines."""
+    ni, nj = _sizes(traces, "i", "j")
+    return s.constant(traces.sparkSession, replace(CUBE.map, ncol=ni, nrow=nj), 1234.5)
 
 
-@R.query("""WITH l AS (SELECT cast(a.i AS int) AS i, cast(b.j AS int) AS j, (a.i - 1) * 20.0 AS x, (b.j - 1) * 25.0 AS y FROM range(1, 41) a(i), range(1, 31) b(j)),
-z AS (SELECT i, j, (x * sin(radians(60)) + y * cos(radians(60))) * tan(radians(2)) - 40.0 * sqrt(greatest(0, 1 - ((x - 390) / 250)**2 - ((y - 362.5) / 200)**2)) AS z FROM l) SELECT i, j, round(z - min(z) OVER () + 1500, 6) AS value FROM z""", "traces")
+@R.query(f"""WITH {_RANGES.format('2 * ni', 'nj + 5')}, l AS (SELECT i, j, (i - 1) * 20.0 AS x, (j - 1) * 25.0 AS y, (2 * ni - 1) * 10.0 AS cx, (nj + 4) * 12.5 AS cy FROM lat),
+z AS (SELECT i, j, (x * sin(radians(60)) + y * cos(radians(60))) * tan(radians(2)) - 40.0 * sqrt(greatest(0, 1 - ((x - cx) / 250)**2 - ((y - cy) / 200)**2)) AS z FROM l) SELECT i, j, round(z - min(z) OVER () + 1500, 6) AS value FROM z""", "traces")
 def surface_synthetic(traces):
-    return s.synthetic(traces.sparkSession, DOME, 250.0, 200.0, 40.0, 1500.0, 2.0, 60.0).withColumn("value", rounded("value"))
+    """A dome over twice as many columns as the cube has lines, and five more rows."""
+    ni, nj = _sizes(traces, "i", "j")
+    return s.synthetic(traces.sparkSession, replace(DOME, ncol=2 * ni, nrow=nj + 5), 250.0, 200.0, 40.0, 1500.0, 2.0, 60.0).withColumn("value", rounded("value"))
 
 
-@R.query("""SELECT cast(i AS int) AS i, cast(j AS int) AS j, cast(k AS int) AS k, round(10 + (i - 0.5) * 5 * cos(radians(30)) - (j - 0.5) * 6 * sin(radians(30)), 6) AS x, round(20 + (i - 0.5) * 5 * sin(radians(30)) + (j - 0.5) * 6 * cos(radians(30)), 6) AS y, 1000 + (k - 0.5) * 7 AS z, 210.0 AS volume FROM range(1, 9) a(i), range(1, 8) b(j), range(1, 7) d(k)""", "traces")
-def grid_box(traces):
-    own = c.with_centre(c.box_grid(traces.sparkSession, (8, 7, 6), (10, 20, 1000), (5, 6, 7), 30.0))
+@R.query("""WITH m AS (SELECT max(i) AS ni, max(j) AS nj, max(k) AS nk FROM cells)
+SELECT cast(i AS int) AS i, cast(j AS int) AS j, cast(k AS int) AS k, round(10 + (i - 0.5) * 5 * cos(radians(30)) - (j - 0.5) * 6 * sin(radians(30)), 6) AS x, round(20 + (i - 0.5) * 5 * sin(radians(30)) + (j - 0.5) * 6 * cos(radians(30)), 6) AS y, 1000 + (k - 0.5) * 7 AS z, 210.0 AS volume
+FROM (SELECT unnest(range(1, ni + 1)) AS i FROM m) a, (SELECT unnest(range(1, nj + 1)) AS j FROM m) b, (SELECT unnest(range(1, nk + 1)) AS k FROM m) d""", "cells")
+def grid_box(cells):
+    """A box of as many cells as the grid has places."""
+    own = c.with_centre(c.box_grid(cells.sparkSession, tuple(_sizes(cells, "i", "j", "k")), (10, 20, 1000), (5, 6, 7), 30.0))
     return own.select("i", "j", "k", *(rounded(x).alias(x) for x in "xyz"), rounded(c.bulk_volume()).alias("volume"))
 
 
