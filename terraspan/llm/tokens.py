@@ -26,7 +26,7 @@ PLAIN_TEXT = re.compile("[!-~À-ÖØ-öø-ÿ\t-\r ]*")
 END = 2
 #: A worker remembers chunks, and pieces, of LONGEST letters at most; of each it keeps two generations, of so many bytes
 #: by an upper estimate (its own, and EACH for the entry) and so many entries at most.
-LONGEST, REMEMBER, REMEMBER_BYTES, EACH = 64, 200_000, 24 << 20, 200
+LONGEST, REMEMBER, REMEMBER_BYTES, EACH = 64, 200_000, 36 << 20, 200
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:

@@ -31,8 +31,8 @@ MAGIC = b"WMTX0001"
 BLOCK = 512
 #: Tokens in a shard, about; a longer document is a shard by itself.
 SHARD = 1 << 20
-#: Bytes of text in a range of documents, which one task encodes, about.
-RANGE = 64 << 20
+#: Documents in a range, which one task encodes, about.
+RANGE = 1 << 14
 
 
 class WaveletMatrix:
@@ -176,8 +176,8 @@ def write_shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
     path = vocabulary or vocabulary_path()
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("__id"), common.text_or_empty(text).alias("__text"))
-    size = int(rows.agg(F.sum(F.octet_length("__text"))).first()[0] or 0)
-    ordered = rows.repartitionByRange(max(common.shuffle_partitions(spark), size // RANGE), "__id").sortWithinPartitions("__id", "__text")
+    # counted without the texts; a range of long ones is sorted on disk, and encoded as it is read
+    ordered = rows.repartitionByRange(max(common.shuffle_partitions(spark), docs.count() // RANGE), "__id").sortWithinPartitions("__id", "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, bits, part, number = library_encoder(path), symbol_bits(path), TaskContext.get().partitionId(), 0
