@@ -347,7 +347,8 @@ def merge(a: DataFrame, b: DataFrame, columns_of_a: int, layers_a: Sequence[int]
     """Two grids side by side, with an empty column between; a property that one lacks is null there.
 
     layers_a and layers_b: the layer of the merged grid that each of a grid's layers becomes, ascending; without them
-    layers stay. Layers of the merged grid that a grid has none for are without cells there.
+    layers stay. Layers of the merged grid that a grid has none for are without cells there, and so is the column between:
+    rectangular() adds inactive ones.
     """
 
     def moved(cells: DataFrame, layers: Sequence[int] | None) -> DataFrame:
@@ -360,6 +361,44 @@ def merge(a: DataFrame, b: DataFrame, columns_of_a: int, layers_a: Sequence[int]
     return moved(a, layers_a).unionByName(moved(b.withColumn("i", F.col("i") + columns_of_a + 1), layers_b), allowMissingColumns=True)
 
 
+def rectangular(cells: DataFrame, dimension: tuple[int, int, int]) -> DataFrame:
+    """A cell for each (i, j, k): those that are missing come as inactive ones, their properties null.
+
+    Their corners lie on the nodes around them. A node's depth between two layers is the mean of its cells' corners there; one
+    that no cell has is that above it, or else that below, so missing layers have no height, and close the gap. A node
+    without cells takes place and depths of the nearest one that has some (by indices; of equally near ones the least i,
+    then j), and stands upright. So a merged grid has its gap filled, and any writer can take it.
+    """
+    from terraspan.operators.surfaces import fill, lattice
+
+    nx, ny, nz = dimension
+    at = F.explode(F.array(*(F.struct((F.col("i") + di).alias("ni"), (F.col("j") + dj).alias("nj"), (F.col("k") - 1 + dk).alias("m"), *(F.col(f"c{n}{a}").alias(a) for a in "xyz")) for n, (di, dj, dk) in enumerate(ENDS))))
+    corners_ = cells.select(at.alias("p")).select("p.*")
+    means = corners_.groupBy("ni", "nj", "m").agg(*(F.avg(a).alias(a) for a in "xyz"))
+    line = lambda e, of: of(F.struct("x", "y", "z"), "z").alias(e)
+    nodes = means.groupBy("ni", "nj").agg(F.map_from_entries(F.collect_list(F.struct("m", "z"))).alias("at"), line("t", F.min_by), line("b", F.max_by))  # an entry a layer
+    every = F.sequence(F.lit(0), F.lit(nz))
+    known = F.transform(every, lambda m: F.try_element_at("at", m))
+    above = F.transform(every, lambda m: F.try_element_at(F.filter(F.slice("z", F.lit(1), m + 1), lambda z: z.isNotNull()), F.lit(-1)))
+    below = F.try_element_at(F.filter("z", lambda z: z.isNotNull()), F.lit(1))
+    nodes = cut(nodes.withColumn("z", known).withColumn("z", F.transform(above, lambda z: F.coalesce(z, below))).select("ni", "nj", "t", "b", "z"))
+    # which node each one takes its place from
+    own = nodes.select(F.col("ni").alias("i"), F.col("nj").alias("j"), ((F.col("ni") - 1) * (ny + 1) + F.col("nj")).cast("double").alias("value"))
+    source = fill(own, g.MapHeader(nx + 1, ny + 1)).select(F.col("i").alias("ni"), F.col("j").alias("nj"), (F.floor((F.col("value") - 1) / (ny + 1)) + 1).cast("int").alias("si"), (F.pmod(F.col("value") - 1, F.lit(ny + 1)) + 1).cast("int").alias("sj"))
+    placed = cut(source.join(nodes.withColumnsRenamed({"ni": "si", "nj": "sj"}), ["si", "sj"]).select("ni", "nj", F.struct("t", "b", "z", ((F.col("ni") == F.col("si")) & (F.col("nj") == F.col("sj"))).alias("own")).alias("p")))
+    columns = lattice(cells.sparkSession, g.MapHeader(nx, ny))
+    missing = columns.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(nz)))).join(cells.select(*IJK), IJK, "left_anti")
+    for n, (di, dj, _) in enumerate(ENDS[:4]):
+        missing = missing.join(placed.select((F.col("ni") - di).alias("i"), (F.col("nj") - dj).alias("j"), F.col("p").alias(f"__p{n}")), ["i", "j"])
+    new = {}
+    for n in range(8):
+        q = F.col(f"__p{n % 4}")
+        z = F.get(q["z"], F.col("k") - (1 if n < 4 else 0))
+        share = F.when(q["own"], F.coalesce(F.try_divide(z - q["t"]["z"], q["b"]["z"] - q["t"]["z"]), F.lit(0.0))).otherwise(0.0)
+        new |= {f"c{n}{a}": q["t"][a] + share * (q["b"][a] - q["t"][a]) for a in "xy"} | {f"c{n}z": z}
+    return cells.unionByName(missing.withColumns({"actnum": F.lit(0), **new}).drop(*(f"__p{n}" for n in range(4))), allowMissingColumns=True)
+
+
 def reduce_to_one_layer(cells: DataFrame) -> DataFrame:
     """One cell a column: the top of its first layer, the base of its last, active if any was."""
     tops, bases = F.struct(*(f"c{n}{x}" for n in range(4) for x in "xyz")), F.struct(*(f"c{n}{x}" for n in range(4, 8) for x in "xyz"))

@@ -8,6 +8,7 @@ from terraspan.functions.geometry import cell_index, linear_index, rounded
 from terraspan.operators import cells as c
 from terraspan.operators import connections as cn
 from terraspan.plans.registry import Registry
+from terraspan.sources.simulator import dual_order
 
 R = Registry()
 INC, ORI = (100.0, 80.0, 10.0), (1000.0, 2000.0, 1500.0)
@@ -141,6 +142,24 @@ def grid_merge(cells):
     return c.merge(left, right, 10)
 
 
+@R.query("""WITH m AS (SELECT i, j, k, actnum, poro FROM cells WHERE i <= 10 UNION ALL SELECT i + 1, j, k, actnum, NULL FROM cells WHERE i > 10), x AS (SELECT max(i) AS ni, max(j) AS nj, max(k) AS nk FROM m),
+b AS (SELECT cast(i AS int) AS i, cast(j AS int) AS j, cast(k AS int) AS k FROM (SELECT unnest(range(1, ni + 1)) AS i FROM x) p, (SELECT unnest(range(1, nj + 1)) AS j FROM x) q, (SELECT unnest(range(1, nk + 1)) AS k FROM x) r)
+SELECT b.i, b.j, b.k, coalesce(actnum, 0) AS actnum, round(poro, 6) AS poro FROM b LEFT JOIN m ON m.i = b.i AND m.j = b.j AND m.k = b.k""", "cells")
+def grid_merge_filled(cells):
+    """The two halves of grid_merge() with a cell at every place, also between them."""
+    own = boxes(cells).drop("perm", "zone")
+    out = c.merge(own.where("i <= 10"), own.where("i > 10").withColumn("i", F.col("i") - 10).drop("poro"), 10)
+    size = out.agg(*(F.max(a) for a in "ijk")).first()
+    return c.rectangular(out, tuple(size)).select("i", "j", "k", "actnum", rounded("poro").alias("poro"))
+
+
+@R.query("""WITH d AS (SELECT i, j, k, (i + 2 * j + 3 * k) % 4 AS a FROM cells), m AS (SELECT 'matrix' AS medium, i, j, k, row_number() OVER (ORDER BY k, j, i) - 1 AS pos FROM d WHERE a IN (1, 3)), f AS (SELECT 'fracture' AS medium, i, j, k, row_number() OVER (ORDER BY k, j, i) - 1 + (SELECT count(*) FROM m) AS pos FROM d WHERE a IN (2, 3))
+SELECT * FROM m UNION ALL SELECT * FROM f""", "cells")
+def grid_dual_order(cells):
+    """Places of the cells of both media in a dual-porosity run's records."""
+    return dual_order(cells.withColumn("actnum", (F.col("i") + 2 * F.col("j") + 3 * F.col("k")) % 4))
+
+
 @R.query(f"WITH {BOX} SELECT i, j, 1 AS k, max(actnum) AS actnum, arg_min(c0z, k) AS c0z, arg_max(c6z, k) AS c6z FROM box GROUP BY i, j", "cells")
 def grid_reduce_to_one_layer(cells):
     return c.reduce_to_one_layer(boxes(cells)).select("i", "j", "k", "actnum", "c0z", "c6z")

@@ -111,6 +111,43 @@ def scatter(found: DataFrame, cells: DataFrame) -> DataFrame:
     return found.join(active_order(cells), "pos").select("file", "date", "keyword", "i", "j", "k", "value")
 
 
+# --- dual porosity --------------------------------------------------------------------------------------------------
+
+#: ACTNUM of cells that are active in the matrix, and in the fractures.
+MEDIA = {"matrix": (1, 3), "fracture": (2, 3)}
+
+
+def dual_order(cells: DataFrame) -> DataFrame:
+    """(medium, i, j, k, pos) of cells with ACTNUM 0 to 3: places in arrays that hold active cells only, the matrix's before the fractures'."""
+    matrix, fracture = (active_order(cells.withColumn("actnum", F.col("actnum").isin(*codes).cast("int"))).withColumn("medium", F.lit(m)) for m, codes in MEDIA.items())
+    before = matrix.agg(F.count(F.lit(1)).alias("__n"))  # one row
+    fracture = fracture.join(F.broadcast(before)).withColumn("pos", F.col("pos") + F.col("__n")).drop("__n")
+    return matrix.unionByName(fracture).select("medium", "i", "j", "k", "pos")
+
+
+def scatter_dual(found: DataFrame, cells: DataFrame, nx: int, ny: int, nz: int) -> DataFrame:
+    """(file, date, keyword, medium, i, j, k, value) of values of dual-porosity runs; cells that a medium isn't active in are left out.
+
+    A record has a value for every cell of both media, matrix first, or for those that are active in each; its length tells.
+    """
+    n = nx * ny * nz
+    length = found.groupBy("file", "date", "keyword").agg((F.max("pos") + 1).alias("__length"))
+    known = ["file", "keyword"]
+    told = found.join(length.withColumnRenamed("date", "__date"), known).where(F.col("date").eqNullSafe(F.col("__date"))).drop("__date")
+    cell = F.col("pos") % n
+    whole = told.where(F.col("__length") == 2 * n).select("file", "date", "keyword", F.when(F.col("pos") < n, "matrix").otherwise("fracture").alias("medium"), (cell % nx + 1).cast("int").alias("i"), (F.floor(cell / nx) % ny + 1).cast("int").alias("j"), (F.floor(cell / (nx * ny)) + 1).cast("int").alias("k"), "value")
+    order = dual_order(cells)
+    whole = whole.join(order.select("medium", "i", "j", "k"), ["medium", "i", "j", "k"], "left_semi")
+    some = told.where(F.col("__length") != 2 * n).join(order, "pos")
+    columns = ["file", "date", "keyword", "medium", "i", "j", "k", "value"]
+    return whole.select(*columns).unionByName(some.select(*columns))
+
+
+def dual_arrays(values_: DataFrame, cells: DataFrame) -> DataFrame:
+    """(keyword, pos, value): values(keyword, medium, i, j, k, value) as records of active cells hold them; the inverse of scatter_dual()."""
+    return values_.join(dual_order(cells), ["medium", "i", "j", "k"]).select("keyword", "pos", "value")
+
+
 # --- geometry -------------------------------------------------------------------------------------------------------
 
 
@@ -152,3 +189,47 @@ def grdecl_lines(arrays: DataFrame, keyword: str, per_line: int = 6, digits: int
     rows = own.groupBy("n").agg(F.concat(F.lit(" "), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "__s"))), lambda s: s["__s"]), " ")).alias("value"))
     ends = arrays.sparkSession.createDataFrame([(0, keyword), (1 << 60, "/")], "n long, value string")
     return rows.unionByName(ends)
+
+
+#: Values of a record that are put together at a time: whole blocks.
+TOGETHER = 100_000
+
+
+def record_parts(arrays: DataFrame, kinds: dict[str, tuple[str, int]], first: int = 1) -> DataFrame:
+    """(seq, content): the records of arrays(keyword, pos, value) as a file holds them, in pieces to be written by seq.
+
+    kinds: type and number of values of each keyword, in the file's order. Values that arrays lack are zero.
+    """
+    names = list(kinds)
+    wrap = lambda b: struct.pack(">i", len(b)) + b + struct.pack(">i", len(b))
+    heads = [((first + n) << 40, wrap(k.ljust(8).encode() + struct.pack(">i", count) + kind.encode())) for n, (k, (kind, count)) in enumerate(kinds.items())]
+    wanted = arrays.sparkSession.createDataFrame([(k, n, c) for n, (k, (_, count)) in enumerate(kinds.items()) for c in range(-(-count // TOGETHER))], "keyword string, n int, chunk long")
+    values_ = arrays.where(F.col("keyword").isin(names)).withColumn("chunk", F.floor(F.col("pos") / TOGETHER))
+
+    def write(key: tuple, pieces: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for n in pieces["n"]:
+            kind, count = kinds[key[0]]
+            form, block = KINDS[kind]
+            own = np.zeros(min(TOGETHER, count - key[1] * TOGETHER))
+            own[pdf["pos"].to_numpy() - key[1] * TOGETHER] = pdf["value"].to_numpy()
+            own = own.astype(form)
+            out.append(((first + int(n)) << 40 | key[1] + 1, b"".join(wrap(own[k : k + block].tobytes()) for k in range(0, len(own), block))))
+        return pd.DataFrame(out, columns=["seq", "content"])
+
+    made = wanted.groupBy("keyword", "chunk").cogroup(values_.groupBy("keyword", "chunk")).applyInPandas(write, "seq long, content binary")
+    return arrays.sparkSession.createDataFrame(heads, "seq long, content binary").unionByName(made)
+
+
+def egrid_parts(cells: DataFrame, nx: int, ny: int, nz: int, dual: bool = False, unit: str = "METRES") -> DataFrame:
+    """(seq, content): an EGRID file of cells on straight pillars, to be written by seq (splits.save_parts()).
+
+    Pillars and depths are worked out of the cells where these are, and put together some 100 000 values at a time; a file
+    of any size passes through no one task as a whole. dual: ACTNUM is 0 to 3. All cells have to be there (see
+    cells.rectangular()).
+    """
+    kinds = {"COORD": ("REAL", (nx + 1) * (ny + 1) * 6), "ZCORN": ("REAL", 8 * nx * ny * nz), "ACTNUM": ("INTE", nx * ny * nz)}
+    head = record_bytes("FILEHEAD", "INTE", [3, 2007, 0, 0, 0, int(dual), 0, *(0,) * 93]) + record_bytes("GRIDUNIT", "CHAR", [unit, ""]) + record_bytes("GRIDHEAD", "INTE", [1, nx, ny, nz, *(0,) * 20, 1, 1, *(0,) * 74])
+    spark = cells.sparkSession
+    rim = spark.createDataFrame([(0, head), (1 << 60, record_bytes("ENDGRID", "INTE", []))], "seq long, content binary")
+    return rim.unionByName(record_parts(corner_arrays(cells, nx, ny), kinds))

@@ -130,17 +130,23 @@ class FilesWriter(DataSourceWriter):
 
     def __init__(self, options: dict):
         self.folder, self.suffix = options["path"].rstrip("/"), options.get("suffix", "")
+        self.together = options.get("together") == "true"  # rows of one name that follow each other are one file
         self.temporary = f"{self.folder}/_temporary-{uuid.uuid4().hex}"
 
     def write(self, iterator) -> Written:
         store, temporary, _ = opened(self.temporary)
         store.create_dir(temporary, recursive=True)
-        out = []
+        out, before, to = [], None, None
         for name, content in iterator:
-            at = f"{temporary}/{uuid.uuid4().hex}"  # of its own for each attempt of a task
-            with store.open_output_stream(at) as to:
-                to.write(content if content is not None else b"")
-            out.append((at, str(name).replace("/", "_") + self.suffix))
+            if to is None or not self.together or name != before:
+                if to:
+                    to.close()
+                at = f"{temporary}/{uuid.uuid4().hex}"  # of its own for each attempt of a task
+                to, before = store.open_output_stream(at), name
+                out.append((at, str(name).replace("/", "_") + self.suffix))
+            to.write(content if content is not None else b"")
+        if to:
+            to.close()
         return Written(out)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -185,3 +191,10 @@ def save_files(files: DataFrame, folder: str, name: str = "name", suffix: str =
     own = files.select(F.col(name).cast("string").alias("name"), "content").observe(seen, F.count(F.lit(1)).alias("n"))
     own.write.format(FilesSink.name()).mode("append").option("suffix", suffix).save(folder)
     return int(seen.get["n"])
+
+
+def save_parts(parts: DataFrame, folder: str, name: str = "name", seq: str = "seq", suffix: str = "") -> None:
+    """Write files of (name, seq, content) rows: a file's pieces one after the other by seq, from one task that holds one piece at a time. Else as save_files()."""
+    parts.sparkSession.dataSource.register(FilesSink)
+    own = parts.select(F.col(name).cast("string").alias("name"), F.col(seq).alias("seq"), "content").repartition("name").sortWithinPartitions("name", "seq")
+    own.select("name", "content").write.format(FilesSink.name()).mode("append").option("suffix", suffix).option("together", "true").save(folder)
