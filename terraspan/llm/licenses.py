@@ -3,7 +3,10 @@
 A document's whole text and each of its lines are brought to a canonical form: lower case, one spelling where licences
 have two, punctuation and white space reduced to single spaces; of whole texts, copyright lines are left out. The form
 is digested and hash-joined to the digests of known licence texts. Only units as long as some known text are digested.
-A known text of many words is found inside a longer document, too, however its lines are broken.
+
+A known text of several lines is found wherever its words stand in a longer document, however its lines are broken there:
+at each word that some known text begins with, the hash of the next words is looked up; where it is that of a known text,
+as many words as that has are digested and compared with it. What this costs doesn't depend on how many texts are known.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terraspan.functions.lambdas import let
 from terraspan.llm import common
 
 #: Licence texts and notices as their owners word them, by SPDX identifier (or a name of ours where SPDX has none).
@@ -60,13 +64,16 @@ Unless required by applicable law or agreed to in writing, software distributed
 SPELLINGS = [("licence", "license"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("merchantibility", "merchantability"), ("copyright owner", "copyright holder")]
 #: What is neither a letter nor a digit, of any script.
 MARKS = r"[^\p{L}\p{N}]+"
-COPYRIGHT = "^(copyright( c)?|c) [0-9]{4}.*"
-#: Lines that name a copyright's holder, in lower case: those of COPYRIGHT, and with the sign or the year elsewhere.
+#: Lines that name a copyright's holder. In lower case: with the sign, or with a year.
 HOLDER = r"^[^a-z0-9©]*(©|copyright[^a-z0-9]*(©|\(c\))|copyright\b.*\b(19|20)[0-9]{2}\b|\(?c\)?[^a-z0-9]+[0-9]{4})"
-#: The same without sign and year: a name follows, none of the words that follow within licences.
-NAMED = r"^[^A-Za-z0-9]*Copyright (by )?(?!(License|Notice|Holder|Owner|Law|Act|Statement|Interest|Treat|Status|Office))\p{Lu}\p{Ll}"
-#: Characters of a canonical form from which on it is looked for inside of documents; notices are shorter.
-LONG = 400
+#: In canonical form: short ones without either, but for those whose next word is one that follows within licences.
+NAMED = r"^(c )?copyright( c)?( by)?( [^ ]+){1,8}$"
+NOT_NAMED = r"^(c )?copyright( c)?( by)? (license|licenses|notice|notices|holder|holders|owner|owners|law|laws|act|acts|statement|interest|treaty|status|office|permission|claim|claims|and|or|in|on|to|is|as|of|for|the|this|that|with|under)( |$)"
+#: Words whose hash finds where a known text may begin.
+ANCHOR = 6
+#: What a notice of one line may end with, and titles that MIT's text has besides its own.
+ENDINGS = (" See LICENSE for details.", " See the LICENSE file for details.", " See LICENSE for more information.")
+TITLES = ("The MIT License (MIT)", "The MIT License")
 
 
 @lru_cache(1)
@@ -77,7 +84,20 @@ def full_texts() -> list[tuple[str, str]]:
     holder = regents.replace("the University nor", "the copyright holder nor").replace("THE REGENTS AND CONTRIBUTORS", "THE COPYRIGHT HOLDERS AND CONTRIBUTORS").replace("THE REGENTS OR CONTRIBUTORS", "THE COPYRIGHT HOLDER OR CONTRIBUTORS")
     two = lambda x: x[: x.index("3. Neither")] + x[x.index("THIS SOFTWARE") :]
     out = [*found.items(), ("BSD-3-Clause", holder), ("BSD-2-Clause", two(holder)), ("BSD-2-Clause", two(regents))]
-    return out + [(n, t.replace("All rights reserved.", "")) for n, t in out if n.startswith("BSD")] + [("MIT", t.replace("MIT License\n", "")) for n, t in KNOWN if t.startswith("MIT License\n")]
+    out += [(n, t.replace("All rights reserved.", "")) for n, t in out if n.startswith("BSD")]
+    out.append(("Apache-2.0", found["Apache-2.0"][: found["Apache-2.0"].index("APPENDIX:")]))
+    mit = next(t for n, t in KNOWN if t.startswith("MIT License\n")).removeprefix("MIT License\n")
+    return [*out, ("MIT", mit), *(("MIT", f"{title}\n{mit}") for title in TITLES)]
+
+
+def notices() -> list[tuple[str, str]]:
+    """Notices of one line with what they may end with."""
+    own = [(n, t) for n, t in KNOWN if "\n" not in t and " " in t.strip() and not t.startswith(("SPDX", "All"))]
+    return [(n, t + e) for n, t in own for e in ENDINGS]
+
+
+def every_text() -> list[tuple[str, str]]:
+    return [*KNOWN, *notices(), *full_texts()]
 
 
 def sql_canonical(text: str) -> str:
@@ -95,53 +115,83 @@ def canonical(line: Column) -> Column:
     return F.trim(F.regexp_replace(out, MARKS, " "))
 
 
+def named(line: Column, form: Column) -> Column:
+    """Does a line, with this canonical form, name a copyright's holder?"""
+    return F.lower(line).rlike(HOLDER) | (form.rlike(NAMED) & ~form.rlike(NOT_NAMED))
+
+
 def units(text: Column) -> Column:
-    """Canonical forms of the lines, and of the whole text at the end."""
-    named = lambda x: F.lower(x).rlike(HOLDER) | x.rlike(NAMED) | canonical(x).rlike(COPYRIGHT)
-    both = F.transform(F.split(text, "\n"), lambda x: F.struct(canonical(x).alias("form"), named(x).alias("named")))
-    lines = F.filter(both, lambda x: x["form"] != "")
+    """(lines, whole): canonical forms of the lines that have one, and that of the whole text without its copyright lines."""
+    both = F.transform(F.split(text, "\n"), lambda x: let(canonical(x), lambda f: F.struct(f.alias("form"), named(x, f).alias("named"))))
+    kept = F.filter(both, lambda x: x["form"] != "")
     whole = lambda x: F.array_join(F.transform(F.filter(x, lambda y: ~y["named"]), lambda y: y["form"]), " ")
-    return F.get(F.transform(F.array(lines), lambda x: F.concat(F.transform(x, lambda y: F.struct(F.lit(False).alias("whole"), y["form"].alias("form"))), F.array(F.struct(F.lit(True).alias("whole"), whole(x).alias("form"))))), F.lit(0))
+    return let(kept, lambda x: F.struct(F.transform(x, lambda y: y["form"]).alias("lines"), whole(x).alias("whole")))
+
+
+def joined(words: Column, start: Column, n: Column | int) -> Column:
+    return F.array_join(F.slice(words, start + 1, n if isinstance(n, Column) else F.lit(n)), " ")
+
+
+def anchor(words: Column, start: Column) -> Column:
+    return F.xxhash64(joined(words, start, ANCHOR))
 
 
 def known(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
-    """(form, digest, size, license): the known texts' canonical forms, each once; two licences with one form keep the first name."""
-    rows = spark.createDataFrame(texts, "license string, text string")
-    forms = rows.select("license", F.element_at(units(F.col("text")), -1)["form"].alias("form"))
-    return forms.groupBy("form", F.sha2("form", 256).alias("digest"), F.length("form").alias("size")).agg(F.min("license").alias("license"))
+    """(license, digest, size, words, first, anchor, inside) of the known texts' canonical forms, each once; two licences with one form keep the first name.
+
+    inside: is it a text of several lines, to be found inside of others? first and anchor: its first word, and the hash of
+    its first words.
+    """
+    rows = spark.createDataFrame([(n, t, "\n" in t.strip()) for n, t in texts], "license string, text string, inside boolean")
+    forms = rows.select("license", "inside", units(F.col("text"))["whole"].alias("form"), F.element_at(units(F.col("text"))["lines"], 1).alias("line"))
+    # a notice is a line of its own, whatever it names
+    forms = forms.withColumn("form", F.when(F.col("inside"), F.col("form")).otherwise(F.col("line"))).withColumn("w", F.split("form", " "))
+    each = forms.groupBy("form").agg(F.min("license").alias("license"), F.max("inside").alias("inside"), F.first("w").alias("w"))
+    return each.select("license", F.sha2("form", 256).alias("digest"), F.length("form").alias("size"), F.size("w").alias("words"), F.get("w", F.lit(0)).alias("first"), anchor(F.col("w"), F.lit(0)).alias("anchor"), "inside")
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """One row per document: doc_id, n_lines (lines that are a known licence or notice), licenses (all that were found,
-    in order, joined by commas; empty if none), whole_license (the one that the whole text is, null if none). Licences
-    include those whose LONG text is a part of the document.
+    in order, joined by commas; empty if none), whole_license (the one that the whole text is, null if none).
 
-    texts: the known (name, text) pairs; they are few, so they are collected and broadcast. Null and empty texts have
-    no findings. Rows that repeat an id and a text have the same findings. Other columns are ignored.
+    A known text of one line is found as a line, or as the whole text; one of several lines as the whole text, or inside
+    of it. Copyright lines don't count in either. texts: the known (name, text) pairs; they are few, so they are collected
+    and broadcast. Null and empty texts have no findings. Rows that repeat an id and a text have the same findings. Other
+    columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    forms = known(spark, texts or KNOWN + full_texts()).collect()
-    table = [(r.license, r.digest, r.size) for r in forms]
-    digests = F.broadcast(spark.createDataFrame(table, "license string, digest string, size int"))
-    sizes = sorted({n for _, _, n in table})
+    forms = known(spark, texts or every_text()).collect()
+    names = "license string, digest string, size int, words int, first string, anchor long, inside boolean"
+    table = F.broadcast(spark.createDataFrame(forms, names))
+    parts = [r for r in forms if r.inside and r.words >= ANCHOR]
+    sizes, firsts, anchors = sorted({r.size for r in forms}), sorted({r.first for r in parts}), sorted({r.anchor for r in parts})
     rows = docs.select(F.col(doc_id), common.text_or_empty(text).alias("__text"))
     mark = [common.key_of(doc_id).alias("__key"), F.xxhash64("__text").alias("__hash")]
-    # only forms as long as a known one leave the document
-    parts = [(r.license, f" {r.form} ", r.size) for r in forms if r.size >= LONG]
-    # a document's form as the last unit, longer than the known text, may have it inside
-    inside = lambda u: F.array_compact(F.array(*(F.when((F.length(u["form"]) > n) & F.concat(F.lit(" "), u["form"], F.lit(" ")).contains(F.lit(x)), F.lit(name)) for name, x, n in parts)))
-    nothing = F.array().cast("array<string>")
-    kinds = lambda u: F.when(u["whole"] & (F.length(u["form"]) > LONG), inside(u)).otherwise(nothing) if parts else nothing
-    each = F.transform(units(F.col("__text")), lambda u: F.struct(u["whole"].alias("whole"), u["form"].alias("form"), kinds(u).alias("inside")))
-    kept = rows.select(*mark, F.explode(F.filter(each, lambda u: F.length(u["form"]).isin(sizes) | (F.size(u["inside"]) > 0))).alias("u"))
-    equal = kept.select("__key", "__hash", "u.whole", F.sha2("u.form", 256).alias("digest"), "u.inside").join(digests.select("license", "digest"), "digest", "left")
-    hits = equal.where(F.col("license").isNotNull() | (F.size("inside") > 0))
+    nothing = F.array().cast("array<struct<at:int,words:array<string>>>")
+
+    def begun(words: Column) -> Column:
+        """Where a known text may begin, with the words from there on."""
+        starts = F.filter(F.transform(words, lambda w, n: F.when(w.isin(firsts), n)), lambda n: n.isNotNull())
+        return F.transform(F.filter(starts, lambda n: anchor(words, n).isin(anchors)), lambda n: F.struct(n.alias("at"), words.alias("words")))
+
+    def made(u: Column) -> Column:
+        lines = F.filter(u["lines"], lambda x: F.length(x).isin(sizes))
+        digests = F.concat(F.transform(lines, lambda x: F.struct(F.lit("line").alias("kind"), F.sha2(x, 256).alias("digest"))), F.when(F.length(u["whole"]).isin(sizes), F.array(F.struct(F.lit("whole").alias("kind"), F.sha2(u["whole"], 256).alias("digest")))).otherwise(F.array().cast("array<struct<kind:string,digest:string>>")))
+        return F.struct(digests.alias("digests"), (let(F.split(u["whole"], " "), begun) if parts else nothing).alias("begun"))
+
+    found = rows.select(*mark, let(units(F.col("__text")), made).alias("u")).where((F.size("u.digests") > 0) | (F.size("u.begun") > 0))
+    equal = found.select("__key", "__hash", F.explode("u.digests").alias("d")).select("__key", "__hash", "d.kind", "d.digest").join(table.select("license", "digest"), "digest").select("__key", "__hash", "kind", "license")
+    # as many words as the known text has, digested where it begins
+    begins = found.select("__key", "__hash", F.explode("u.begun").alias("b")).select("__key", "__hash", "b.at", "b.words", anchor(F.col("b.words"), F.col("b.at")).alias("anchor"))
+    there = table.where("inside").select("license", "anchor", F.col("digest").alias("wanted"), F.col("words").alias("n"))
+    inside = begins.join(there, "anchor").where(F.sha2(joined(F.col("words"), F.col("at"), F.col("n")), 256) == F.col("wanted")).select("__key", "__hash", F.lit("inside").alias("kind"), "license")
+    hits = equal.unionByName(inside)
     # a row's lines are counted within one row of repeated ones, so repeats are told apart by how many there are
     times = rows.groupBy(*mark).agg(F.count(F.lit(1)).alias("__rows"))
-    found = hits.groupBy("__key", "__hash").agg(F.sum((~F.col("whole")).cast("long")).alias("n"), F.array_join(F.array_sort(F.array_distinct(F.concat(F.collect_set("license"), F.flatten(F.collect_list("inside"))))), ",").alias("licenses"), F.min(F.when(F.col("whole"), F.col("license"))).alias("whole"))
-    per = found.join(times, ["__key", "__hash"]).select("__key", "__hash", (F.col("n") / F.col("__rows")).cast("long").alias("n"), "licenses", "whole")
-    joined = rows.select(doc_id, *mark).join(per, ["__key", "__hash"], "left")
-    return joined.select(doc_id, F.coalesce("n", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("licenses", F.lit("")).alias("licenses"), F.col("whole").alias("whole_license"))
+    per = hits.groupBy("__key", "__hash").agg(F.sum((F.col("kind") == "line").cast("long")).alias("n"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"), F.min(F.when(F.col("kind") == "whole", F.col("license"))).alias("whole"))
+    per = per.join(times, ["__key", "__hash"]).select("__key", "__hash", (F.col("n") / F.col("__rows")).cast("long").alias("n"), "licenses", "whole")
+    out = rows.select(doc_id, *mark).join(per, ["__key", "__hash"], "left")
+    return out.select(doc_id, F.coalesce("n", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("licenses", F.lit("")).alias("licenses"), F.col("whole").alias("whole_license"))
 
 
 def query(spark, sf_dir):
@@ -152,16 +202,18 @@ def _sql() -> str:
     def canon(text: str) -> str:
         return f"trim(regexp_replace({sql_canonical(text)}, '{MARKS}', ' ', 'g'))"
 
-    values = ", ".join(f"""({k}, '{name}', '{text.replace("'", "''")}')""" for k, (name, text) in enumerate(KNOWN))
+    quoted = lambda x: x.replace("'", "''")
+    values = ", ".join(f"""({k}, '{name}', '{quoted(text)}', {"true" if chr(10) in text.strip() else "false"})""" for k, (name, text) in enumerate(every_text()))
     return f"""
-WITH known AS (SELECT * FROM (VALUES {values}) v(k, license, text)),
+WITH known AS (SELECT * FROM (VALUES {values}) v(k, license, text, inside)),
 t AS (SELECT 'd' AS kind, doc_id AS id, coalesce(text, '') AS text FROM documents UNION ALL SELECT 'k', k, text FROM known),
-l AS (SELECT kind, id, u.n, {canon("u.line")} AS form FROM (SELECT kind, id, unnest(list_transform(range(1, len(s) + 1), lambda i: {{'n': i, 'line': s[i]}})) AS u FROM (SELECT kind, id, string_split(text, chr(10)) AS s FROM t))),
-w AS (SELECT kind, id, string_agg(form, ' ' ORDER BY n) AS form FROM l WHERE form <> '' AND NOT regexp_matches(form, '{COPYRIGHT}') GROUP BY kind, id),
-forms AS (SELECT sha256(form) AS digest, min(license) AS license FROM w JOIN known ON k = id WHERE kind = 'k' GROUP BY 1),
-u AS (SELECT id, false AS is_whole, form FROM l WHERE kind = 'd' AND form <> '' UNION ALL SELECT id, true, form FROM w WHERE kind = 'd'),
-hit AS (SELECT id, is_whole, license FROM u JOIN forms ON sha256(form) = digest),
-f AS (SELECT id, count(*) FILTER (NOT is_whole) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, min(license) FILTER (is_whole) AS whole FROM hit GROUP BY id)
+r AS (SELECT kind, id, u.n, u.line, {canon("u.line")} AS form FROM (SELECT kind, id, unnest(list_transform(range(1, len(s) + 1), lambda i: {{'n': i, 'line': s[i]}})) AS u FROM (SELECT kind, id, string_split(text, chr(10)) AS s FROM t))),
+l AS (SELECT * FROM r WHERE form <> ''),
+w AS (SELECT kind, id, string_agg(form, ' ' ORDER BY n) AS form FROM l WHERE NOT regexp_matches(lower(line), '{HOLDER}') AND NOT (regexp_matches(form, '{NAMED}') AND NOT regexp_matches(form, '{NOT_NAMED}')) GROUP BY kind, id),
+forms AS (SELECT form, min(license) AS license, bool_or(inside) AS inside FROM (SELECT w.form, license, true AS inside FROM w JOIN known ON k = id WHERE kind = 'k' AND inside UNION ALL SELECT arg_min(l.form, l.n), any_value(license), false FROM l JOIN known ON k = id WHERE kind = 'k' AND NOT inside GROUP BY id) GROUP BY form),
+hit AS (SELECT l.id, 'line' AS kind, license FROM l JOIN forms USING (form) WHERE l.kind = 'd' UNION ALL SELECT w.id, 'whole', license FROM w JOIN forms USING (form) WHERE w.kind = 'd'
+UNION ALL SELECT w.id, 'inside', license FROM w JOIN forms f ON f.inside AND contains(' ' || w.form || ' ', ' ' || f.form || ' ') WHERE w.kind = 'd'),
+f AS (SELECT id, count(*) FILTER (kind = 'line') AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, min(license) FILTER (kind = 'whole') AS whole FROM hit GROUP BY id)
 SELECT doc_id, coalesce(n, 0) AS n_lines, coalesce(licenses, '') AS licenses, whole AS whole_license FROM documents LEFT JOIN f ON id = doc_id
 """
 

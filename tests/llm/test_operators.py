@@ -208,7 +208,9 @@ def test_bpe_odd_texts(text, tokenizer):
     assert np.frombuffer(got, "<u4").tolist() == ids and b"".join(decoder.pieces(got)).decode() == tokenizer.decode(ids, skip_special_tokens=False)
 
 
-def test_licenses(spark, docs):
+def plain_licenses(rows):
+    """Counter of (doc_id, n_lines, licenses, whole_license), text by text."""
+
     def canonical(line):
         line = line.lower()
         for a, b in licenses.SPELLINGS:
@@ -216,19 +218,55 @@ def test_licenses(spark, docs):
         return regex.sub(r"[^\p{L}\p{N}]+", " ", line).strip()
 
     def units(text):
-        lines = [x for x in map(canonical, text.split("\n")) if x]
-        return lines, " ".join(x for x in lines if not re.match(licenses.COPYRIGHT, x))
+        lines = [(x, canonical(x)) for x in text.split("\n")]
+        names = lambda x, f: re.search(licenses.HOLDER, x.lower()) or (re.search(licenses.NAMED, f) and not re.search(licenses.NOT_NAMED, f))
+        return [f for _, f in lines if f], " ".join(f for x, f in lines if f and not names(x, f))
 
-    known = {}
-    for name, text in licenses.KNOWN:
-        form = units(text)[1]
+    known, several = {}, {}
+    for name, text in licenses.every_text():
+        form = units(text)[1] if "\n" in text.strip() else units(text)[0][0]
         known[form] = min(name, known.get(form, name))
+        several[form] = several.get(form, False) or "\n" in text.strip()
     want = Counter()
-    for i, t in rows_of(docs):
+    for i, t in rows:
         lines, whole = units(t)
         hits = [known[x] for x in lines if x in known]
-        want[i, len(hits), ",".join(sorted(set(hits) | ({known[whole]} if whole in known else set()))), known.get(whole)] += 1
-    assert Counter(tuple(r) for r in licenses.scan(docs).collect()) == want
+        inside = {known[x] for x, more in several.items() if more and f" {x} " in f" {whole} "}
+        want[i, len(hits), ",".join(sorted({*hits, *inside} | ({known[whole]} if whole in known else set()))), known.get(whole)] += 1
+    return want
+
+
+def planted_licenses():
+    """Every known text by itself, within others, with its lines broken elsewhere, with holders of all kinds, in capitals, and cut short."""
+    rows = []
+    for k, (_, t) in enumerate(licenses.every_text()):
+        w = t.split()
+        broken = " ".join(w) if k % 3 else "\n".join(" ".join(w[i : i + 9]) for i in range(0, len(w), 9))
+        rows += [t, f"Some words before.\n{t}\nand after it", f"intro text {broken} end", f"Copyright (c) 2020 Jane Doe\n{t.upper()}", f"copyright jane doe\n\n{t}", "© Jane\n" + t.replace("license", "licence"), t[:-20]]
+    mit = next(t for n, t in licenses.full_texts() if n == "MIT")
+    rows += [f"The MIT License (MIT)\n\nCopyright (c) 2015 X\n\n{mit}", "Licensed under the MIT License. See LICENSE for details.", "", "copyright law\nMIT", f"MIT License {mit} {dict(licenses.full_texts())['GPL-3.0']}"]
+    return list(enumerate(rows))
+
+
+def test_licenses(spark, docs):
+    assert Counter(tuple(r) for r in licenses.scan(docs).collect()) == plain_licenses(rows_of(docs))
+
+
+def test_planted_licenses_by_a_plain_version_and_by_sql(spark, tmp_path):
+    rows = planted_licenses()
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in licenses.scan(table).collect())
+    assert got == plain_licenses(rows) and sum(n for (_, _, found, _), n in got.items() if found) > 450
+    of = {r[0]: r[1:] for r in got}
+    last = len(rows) - 5
+    assert [of[last + k] for k in range(5)] == [(0, "MIT", "MIT"), (1, "MIT", "MIT"), (0, "", None), (0, "", None), (0, "GPL-3.0,MIT", None)]
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    names = [d[0] for d in con.sql(licenses.SQL).description]
+    assert names == ["doc_id", "n_lines", "licenses", "whole_license"] and Counter(con.sql(licenses.SQL).fetchall()) == got
 
 
 def test_full_licenses_whole_and_inside(spark):

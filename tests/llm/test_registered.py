@@ -14,6 +14,7 @@ CONTRACT = {
     "op4_exact_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
     "op5_wavelet": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
     "op6_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    "op7_licenses": "doc_id bigint, n_lines bigint, licenses string, whole_license string",
     "op8_substring_dedup": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
     "op9_syncmers": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
     "op10_simhash": "doc_id bigint, fingerprint string, component_id bigint",
