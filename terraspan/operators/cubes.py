@@ -7,6 +7,7 @@ traceid 2 marks a dead trace.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraspan.functions.geometry import MapHeader
+from terraspan.operators.rounds import cut
 
 DEAD = 2
 
@@ -246,6 +248,52 @@ def window_attributes(traces: DataFrame, header: CubeHeader, upper: DataFrame, l
     )
 
 
+def slice_map(traces: DataFrame, header: CubeHeader, nodes: DataFrame, geometry: MapHeader, method: str = "nearest", dead: bool = True, through: str = "nodes") -> DataFrame:
+    """(i, j, value): the amplitude along a map of any geometry, on the map's own nodes; null off the cube and (dead) at dead traces.
+
+    through="nodes": each node gets the cube's value at its place (nearest, trilinear or catmull_rom). "traces": the map is
+    brought to the cube's traces, sliced there (nearest, or linear in depth), and the result brought back to the map's
+    nodes, bilinear in both steps; nodes without four traces around them are left out. On a map with the cube's geometry
+    both are slice_surface().
+    """
+    from terraspan.operators import surfaces
+
+    if through == "traces":
+        own = surfaces.resample(nodes.where(F.col("value").isNotNull()).select("i", "j", "value"), geometry, header.map)
+        cut_ = slice_surface(traces, header, own, "nearest" if method == "nearest" else "linear", dead)
+        return surfaces.resample(cut_.where(F.col("value").isNotNull()), header.map, geometry)
+    if through != "nodes":
+        raise ValueError("through is nodes or traces")
+    places = surfaces.with_xy(nodes.where(F.col("value").isNotNull()).select("i", "j", F.col("value").alias("z")), geometry)
+    live = traces.where(F.col("traceid") != DEAD) if dead else traces
+    return with_samples(places, live, header, method, "value").select("i", "j", "value")
+
+
+def window_map(traces: DataFrame, header: CubeHeader, surface: DataFrame, other: DataFrame | float, geometry: MapHeader, attributes: Sequence[str] = ("mean",), other_position: str = "below", ndiv: int = 10, minimum_thickness: float = 0.1, method: str = "linear") -> DataFrame:
+    """(i, j, attributes): window_attributes() between two maps of any one geometry, on their nodes.
+
+    other lies "below" or "above" the surface; a number is a distance to both sides of it. Maps are brought to the cube's
+    traces, and each attribute back to the nodes, bilinear. Where the window isn't thicker than the minimum, there is none.
+    """
+    from terraspan.operators import surfaces
+
+    if other_position not in ("below", "above"):
+        raise ValueError("other_position is below or above")
+    known = lambda m: m.where(F.col("value").isNotNull()).select("i", "j", "value")
+    own = cut(surfaces.resample(known(surface), geometry, header.map))
+    if isinstance(other, DataFrame):
+        second = cut(surfaces.resample(known(other), geometry, header.map))
+        upper, lower = (own, second) if other_position == "below" else (second, own)
+    else:
+        upper, lower = (own.withColumn("value", F.col("value") + d) for d in (-float(other), float(other)))
+    found = cut(window_attributes(traces, header, upper, lower, ndiv, minimum_thickness, method).select("i", "j", *attributes))
+    out = surfaces.lattice(traces.sparkSession, geometry)
+    for a in attributes:
+        back = surfaces.resample(found.select("i", "j", F.col(a).alias("value")).where(F.col("value").isNotNull()), header.map, geometry)
+        out = out.join(back.withColumnRenamed("value", a), ["i", "j"], "left")
+    return out.where(reduce(lambda p, q: p | q, (F.col(a).isNotNull() for a in attributes)))
+
+
 def to_cells(cells: DataFrame, traces: DataFrame, header: CubeHeader, method: str = "nearest", outside: float = 0.0, name: str = "sampled_cube") -> DataFrame:
     """Adds the cube's value at each cell's centre (columns x, y, z)."""
     return with_samples(cells, traces, header, method, name, outside)

@@ -54,6 +54,24 @@ def cube_slice_linear(traces):
     return q.slice_surface(traces, CUBE, _maps(traces)[0], "trilinear", dead=False).withColumn("value", rounded("value"))
 
 
+@R.query(f"""WITH {SAMPLES}, n AS (SELECT i, j, value - 480.375 AS z, (3.03 + (i - 1) * 25.0 * cos(radians(30)) - (j - 1) * 20.0 * sin(radians(30))) / 50 AS fi, (1.71 + (i - 1) * 25.0 * sin(radians(30)) + (j - 1) * 20.0 * cos(radians(30))) / 40 AS fj FROM depths),
+p AS (SELECT *, (z - 1000) / 4 AS fk, fi BETWEEN -0.5 AND 19.5 AND fj BETWEEN -0.5 AND 24.5 AS ok FROM n)
+SELECT p.i, p.j, CASE WHEN ok AND fk BETWEEN -0.5 AND 63.5 THEN v END AS value FROM p LEFT JOIN smp s ON traceid <> 2 AND s.i = round_even(least(greatest(fi, 0), 19), 0) + 1 AND s.j = round_even(least(greatest(fj, 0), 24), 0) + 1 AND s.k = round_even(least(greatest(fk, 0), 63), 0) + 1""", "traces", "depths")
+def cube_slice_rotated(traces, nodes):
+    """Along a map that is turned against the cube, and closer."""
+    from terraspan.plans.views import MAP
+
+    return q.slice_map(traces, CUBE, nodes.withColumn("value", F.col("value") - 480.375), MAP.moved(3.03, 1.71))
+
+
+@R.query(_window(4, 15.0).replace(", ".join(f"round({x}, 6) + 0.0 AS {x}" for x in q.ATTRIBUTES), "round(rms, 6) + 0.0 AS rms, round(max, 6) + 0.0 AS max"), "traces")
+def cube_window_map(traces):
+    """Between two maps, the lower one named first; on the cube's own lattice, where a map stays as it is."""
+    upper, lower = _maps(traces)
+    out = q.window_map(traces, CUBE, lower, upper, CUBE.map, ("rms", "max"), "above", 4, 15.0)
+    return out.select("i", "j", rounded("rms").alias("rms"), rounded("max").alias("max"))
+
+
 @R.query(f"WITH {SAMPLES} SELECT cast((i - 1) // 2 + 1 AS int) AS i, cast((j - 1) // 3 + 1 AS int) AS j, cast((k - 1) // 4 + 1 AS int) AS k, v FROM smp WHERE (i - 1) % 2 = 0 AND (j - 1) % 3 = 0 AND (k - 1) % 4 = 0", "traces")
 def cube_thinning(traces):
     own, _ = q.thin(traces, CUBE, 2, 3, 4)
