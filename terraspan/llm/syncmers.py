@@ -73,9 +73,28 @@ def matched(pairs: DataFrame, pair: str = "pair", left: str = "left", right: str
     return pairs.select(pair).join(found, pair, "left").select(pair, F.coalesce("n_left", none).alias("n_left"), F.coalesce("n_right", none).alias("n_right"), "best.shift", F.coalesce("best.n", none).alias("n_shift"))
 
 
+def _least(p: Column) -> Column:
+    return F.slice(F.sort_array(F.array_distinct(chosen(p, lambda a, b, _: F.shiftrightunsigned(F.xxhash64(a, b), 32)))), 1, SKETCH)
+
+
+def _placed(p: Column) -> Column:
+    return chosen(p, lambda a, b, i: F.xxhash64(F.xxhash64(a, b), i))
+
+
 def sketch(text: Column) -> Column:
-    hashes = let(pairs(text), lambda p: chosen(p, lambda a, b, _: F.shiftrightunsigned(F.xxhash64(a, b), 32)))
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH)
+    """The least hashes of the anchors: what a fingerprint is made of."""
+    return let(pairs(text), _least)
+
+
+def placed(text: Column) -> Column:
+    """Each anchor with its place, as one number: texts share those that stand at the same place in both."""
+    return let(pairs(text), _placed)
+
+
+def placed_likeness(a: Column, b: Column) -> Column:
+    """0 to 1: the share of all anchors of two texts, given by placed(), that stand at the same place; texts without anchors are alike."""
+    n = F.size(a) + F.size(b)
+    return F.when(n == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / n)
 
 
 def shown(sketch_: Column) -> Column:
@@ -156,7 +175,10 @@ def with_next(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Windo
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, placed_edited.
+
+    A fingerprint is the SKETCH least hashes of the anchors, and near_edited and near_next estimate from those;
+    placed_edited is exact: the share of all anchors of the text and its edited text that stand at one place in both.
 
     The edited text is the text with its last floor(n_chars / 2) code points replaced by the first as many of the next
     document, ascending doc_id; after the last comes the first. Null text counts as empty; texts without words have an
@@ -169,9 +191,11 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     n = F.length("__text")
     edited = seen.withColumn("__edited", F.concat(F.substring(F.col("__text"), F.lit(1), n - F.floor(n / 2).cast("int")), F.substring(F.col("__next"), F.lit(1), F.floor(n / 2).cast("int"))))
     # the sketch is worked out once, and what is made of it follows inside
-    made = edited.withColumn("__all", let(sketch(F.col("__edited")), lambda s: F.struct(
-        shown(F.col("__sketch")).alias("fingerprint"), shown(s).alias("edited_fingerprint"), likeness(F.col("__sketch"), s).alias("near_edited"), likeness(F.col("__sketch"), F.col("__next_sketch")).alias("near_next"))))
-    return made.select(F.col("__id").alias(doc_id), n.cast("long").alias("n_chars"), F.sha2(F.col("__edited").cast("binary"), 256).alias("edited_sha256"), "__all.fingerprint", "__all.edited_fingerprint", "__all.near_edited", "__all.near_next")
+    both = let(pairs(F.col("__edited")), lambda p: F.struct(_least(p).alias("sketch"), _placed(p).alias("placed")))
+    made = edited.withColumn("__all", let(both, lambda s: F.struct(
+        shown(F.col("__sketch")).alias("fingerprint"), shown(s["sketch"]).alias("edited_fingerprint"), likeness(F.col("__sketch"), s["sketch"]).alias("near_edited"),
+        likeness(F.col("__sketch"), F.col("__next_sketch")).alias("near_next"), let(placed(F.col("__text")), lambda a: placed_likeness(a, s["placed"])).alias("placed_edited"))))
+    return made.select(F.col("__id").alias(doc_id), n.cast("long").alias("n_chars"), F.sha2(F.col("__edited").cast("binary"), 256).alias("edited_sha256"), "__all.fingerprint", "__all.edited_fingerprint", "__all.near_edited", "__all.near_next", "__all.placed_edited")
 
 
 def query(spark, sf_dir):

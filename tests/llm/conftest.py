@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-CLASHING = "shard slot size text_crc32 law grown_shard held_out score predicted start length ids doc_tokens sequence_id offset keep_id group_size kept text_sha256 n_tokens ids_crc32 ids_sha256 decoded_sha256 n_lines licenses whole_license n_words n_removed kept_text kept_sha256 fingerprint edited_fingerprint near_edited near_next component_id bin low cuts major minor part number file u v a b n level slice data bits form whole digest license runs top collapsed n_runs period exponent_milli runs_sha256 collapsed_sha256".split()
+CLASHING = "shard slot size text_crc32 law grown_shard held_out score predicted start length ids doc_tokens sequence_id offset keep_id group_size kept text_sha256 n_tokens ids_crc32 ids_sha256 decoded_sha256 n_lines licenses whole_license n_words n_removed kept_text kept_sha256 fingerprint edited_fingerprint near_edited near_next component_id bin low cuts major minor part number file u v a b n level slice data bits form whole digest license runs top collapsed n_runs period exponent_milli runs_sha256 collapsed_sha256 placed_edited".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
 
 

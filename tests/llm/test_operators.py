@@ -359,6 +359,11 @@ def plain_likeness(a, b):
     return 2 * len({*a} & {*b} & {*least}) / (len({*a} & {*least}) + len({*b} & {*least})) if least else 1.0
 
 
+def plain_placed(a, b):
+    x, y = plain_anchors(a), plain_anchors(b)
+    return 2 * len({*x} & {*y}) / (len(x) + len(y)) if x or y else 1.0
+
+
 def test_syncmers_are_those_of_the_rule(spark, some):
     docs = some.limit(120)
     rows = sorted(rows_of(docs), key=lambda x: id_key(x[0]))
@@ -367,7 +372,7 @@ def test_syncmers_are_those_of_the_rule(spark, some):
         after = rows[(k + 1) % len(rows)][1]
         edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
         s, e, n = map(plain_sketch, (t, edited, after))
-        want[i] = len(t), sha(edited.encode()), "".join(f"{x:08x}" for x in s), "".join(f"{x:08x}" for x in e), plain_likeness(s, e), plain_likeness(s, n)
+        want[i] = len(t), sha(edited.encode()), "".join(f"{x:08x}" for x in s), "".join(f"{x:08x}" for x in e), plain_likeness(s, e), plain_likeness(s, n), plain_placed(t, edited)
     assert {r[0]: tuple(r[1:]) for r in syncmers.fingerprints(docs).collect()} == want
 
 
