@@ -164,28 +164,28 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", texts: lis
     names = "license string, digest string, size int, words int, first string, anchor long, inside boolean"
     table = F.broadcast(spark.createDataFrame(forms, names))
     parts = [r for r in forms if r.inside and r.words >= ANCHOR]
-    sizes, firsts, anchors = sorted({r.size for r in forms}), sorted({r.first for r in parts}), sorted({r.anchor for r in parts})
+    sizes, firsts = sorted({r.size for r in forms}), sorted({r.first for r in parts})
+    # how many words the known texts have that begin with an anchor
+    lengths = {h: sorted({r.words for r in parts if r.anchor == h}) for h in {r.anchor for r in parts}}
     rows = docs.select(F.col(doc_id), common.text_or_empty(text).alias("__text"))
     mark = [common.key_of(doc_id).alias("__key"), F.xxhash64("__text").alias("__hash")]
-    nothing = F.array().cast("array<struct<at:int,words:array<string>>>")
+    digest = lambda kind, form: F.struct(F.lit(kind).alias("kind"), F.sha2(form, 256).alias("digest"))
+    nothing = F.array().cast("array<struct<kind:string,digest:string>>")
 
-    def begun(words: Column) -> Column:
-        """Where a known text may begin, with the words from there on."""
+    def inside(words: Column) -> Column:
+        """Where a known text may begin, the digests of as many words as such texts have."""
         starts = F.filter(F.transform(words, lambda w, n: F.when(w.isin(firsts), n)), lambda n: n.isNotNull())
-        return F.transform(F.filter(starts, lambda n: anchor(words, n).isin(anchors)), lambda n: F.struct(n.alias("at"), words.alias("words")))
+        of = F.create_map(*(x for h, n in lengths.items() for x in (F.lit(h), F.array(*map(F.lit, n)))))
+        sizes_at = lambda n: F.coalesce(F.try_element_at(of, anchor(words, n)), F.array().cast("array<int>"))
+        return F.flatten(F.transform(starts, lambda n: F.transform(sizes_at(n), lambda size: digest("inside", joined(words, n, size)))))
 
     def made(u: Column) -> Column:
-        lines = F.filter(u["lines"], lambda x: F.length(x).isin(sizes))
-        digests = F.concat(F.transform(lines, lambda x: F.struct(F.lit("line").alias("kind"), F.sha2(x, 256).alias("digest"))), F.when(F.length(u["whole"]).isin(sizes), F.array(F.struct(F.lit("whole").alias("kind"), F.sha2(u["whole"], 256).alias("digest")))).otherwise(F.array().cast("array<struct<kind:string,digest:string>>")))
-        return F.struct(digests.alias("digests"), (let(F.split(u["whole"], " "), begun) if parts else nothing).alias("begun"))
-
-    found = rows.select(*mark, let(units(F.col("__text")), made).alias("u")).where((F.size("u.digests") > 0) | (F.size("u.begun") > 0))
-    equal = found.select("__key", "__hash", F.explode("u.digests").alias("d")).select("__key", "__hash", "d.kind", "d.digest").join(table.select("license", "digest"), "digest").select("__key", "__hash", "kind", "license")
-    # as many words as the known text has, digested where it begins
-    begins = found.select("__key", "__hash", F.explode("u.begun").alias("b")).select("__key", "__hash", "b.at", "b.words", anchor(F.col("b.words"), F.col("b.at")).alias("anchor"))
-    there = table.where("inside").select("license", "anchor", F.col("digest").alias("wanted"), F.col("words").alias("n"))
-    inside = begins.join(there, "anchor").where(F.sha2(joined(F.col("words"), F.col("at"), F.col("n")), 256) == F.col("wanted")).select("__key", "__hash", F.lit("inside").alias("kind"), "license")
-    hits = equal.unionByName(inside)
+        lines = F.transform(F.filter(u["lines"], lambda x: F.length(x).isin(sizes)), lambda x: digest("line", x))
+        whole = F.when(F.length(u["whole"]).isin(sizes), F.array(digest("whole", u["whole"]))).otherwise(nothing)
+        return F.concat(lines, whole, let(F.split(u["whole"], " "), inside) if parts else nothing)
+
+    found = rows.select(*mark, F.explode(let(units(F.col("__text")), made)).alias("d"))
+    hits = found.select("__key", "__hash", "d.kind", "d.digest").join(table.select("license", "digest"), "digest")
     # a row's lines are counted within one row of repeated ones, so repeats are told apart by how many there are
     times = rows.groupBy(*mark).agg(F.count(F.lit(1)).alias("__rows"))
     per = hits.groupBy("__key", "__hash").agg(F.sum((F.col("kind") == "line").cast("long")).alias("n"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"), F.min(F.when(F.col("kind") == "whole", F.col("license"))).alias("whole"))
