@@ -466,11 +466,21 @@ def grid_conform_faulted(cells, nodes):
 _ACROSS = f"{_D!r} * a.perm * b.perm / (a.perm + b.perm)"
 
 
-@R.query(f"""SELECT a.i AS i1, a.j AS j1, a.k AS k1, b.i AS i2, b.j AS j2, b.k AS k2, round({_ACROSS} * 100 * CASE WHEN b.k = a.k THEN 9.75 ELSE 0.25 END / ((1600 + 0.125 * 0.125) / 40), 6) AS tran, 'NestedHybrid' AS type, 'J+' AS direction
-FROM cells a JOIN cells b ON a.j = 9 AND b.j = 11 AND b.i = a.i AND b.k IN (a.k, a.k - 1) AND a.actnum = 1 AND b.actnum = 1 JOIN cells h ON h.i = a.i AND h.j = 10 AND h.k = a.k JOIN cells g ON g.i = b.i AND g.j = 10 AND g.k = b.k""", "cells")
-def grid_nested_connections(cells):
-    """A grid whose tenth row is a hole: the rows on its two sides are connected by the place of their faces."""
-    own = boxes(cells).withColumn("nest_id", F.when(F.col("j") < 10, 1).when(F.col("j") > 10, 2).otherwise(0))
+#: A grid without gaps: three cells under each trace of the cube; its tenth row is a hole.
+_DENSE = "dense AS (SELECT i, j, cast(k AS int) AS k, CASE WHEN traceid = 2 THEN 0 ELSE 1 END AS actnum, abs(cast(amp[k] AS double)) * 100.0 + 1.0 AS perm FROM (SELECT *, unnest(range(1, 4)) AS k FROM traces))"
+
+
+def _nested(traces):
+    own = traces.select("i", "j", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k"), F.when(F.col("traceid") == 2, 0).otherwise(1).alias("actnum"), "amp")
+    own = boxes(own.withColumn("perm", F.abs(F.element_at("amp", F.col("k")).cast("double")) * 100.0 + 1.0).drop("amp"))
+    return own.withColumn("nest_id", F.when(F.col("j") < 10, 1).when(F.col("j") > 10, 2).otherwise(0))
+
+
+@R.query(f"""WITH {_DENSE} SELECT a.i AS i1, a.j AS j1, a.k AS k1, b.i AS i2, b.j AS j2, b.k AS k2, round({_ACROSS} * 100 * CASE WHEN b.k = a.k THEN 9.75 ELSE 0.25 END / ((1600 + 0.125 * 0.125) / 40), 6) AS tran, 'NestedHybrid' AS type, 'J+' AS direction
+FROM dense a JOIN dense b ON a.j = 9 AND b.j = 11 AND b.i = a.i AND b.k IN (a.k, a.k - 1) AND a.actnum = 1 AND b.actnum = 1""", "traces")
+def grid_nested_connections(traces):
+    """The rows on the two sides of the hole are connected by the place of their faces."""
+    own = _nested(traces)
     return cn.table_connections(own, cn.nested_table(own), ("perm", "perm", "perm")).withColumn("tran", rounded("tran"))
 
 
@@ -484,9 +494,9 @@ def grid_table_connections(cells):
     return cn.table_connections(own, table, ("perm", "perm", "pz"), "half", kind="NNC").withColumn("tran", rounded("tran"))
 
 
-@R.query("SELECT c.i, c.j, c.k, CASE WHEN c.j = 11 AND c.actnum = 1 AND EXISTS (SELECT 1 FROM cells h WHERE h.i = c.i AND h.j = 10 AND h.k = c.k) AND EXISTS (SELECT 1 FROM cells m JOIN cells g ON g.i = m.i AND g.j = 10 AND g.k = m.k WHERE m.actnum = 1 AND m.j = 9 AND m.i = c.i AND m.k IN (c.k, c.k + 1)) THEN 1 ELSE 0 END AS refined_boundary FROM cells c", "cells")
-def grid_refined_boundary(cells):
-    own = boxes(cells).withColumn("nest_id", F.when(F.col("j") < 10, 1).when(F.col("j") > 10, 2).otherwise(0))
+@R.query(f"WITH {_DENSE} SELECT c.i, c.j, c.k, CASE WHEN c.j = 11 AND c.actnum = 1 AND EXISTS (SELECT 1 FROM dense m WHERE m.actnum = 1 AND m.j = 9 AND m.i = c.i AND m.k IN (c.k, c.k + 1)) THEN 1 ELSE 0 END AS refined_boundary FROM dense c", "traces")
+def grid_refined_boundary(traces):
+    own = _nested(traces)
     return cn.refined_boundary(own, cn.nested_table(own))
 
 
