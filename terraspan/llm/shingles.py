@@ -25,6 +25,8 @@ FIRST = 4
 SAMPLE, COMMON, LATE = 16, 8, 100_000
 #: Rows of a shingle from which on only those without the root of most are paired with others one by one.
 LARGE = 64
+#: Rows of such a shingle that each of those is paired with before all others: those in which it comes earliest.
+CENTRAL = 8
 #: Rows that are looked at together for pairs, at least.
 ROWS = 1 << 15
 #: Bytes of text whose shingles are worked out together.
@@ -156,12 +158,17 @@ def prefixes(slim: DataFrame, width: int, similarity: float) -> DataFrame:
     return slim.select("__row", "__text").mapInArrow(run, "h long, size long, row long")
 
 
-def candidates(posts: DataFrame, similarity: float, rest: bool = False) -> DataFrame:
+def candidates(posts: DataFrame, similarity: float, rest: bool = False, central: int | None = None) -> DataFrame:
     """(a, b, h, size) from prefixes(): pairs of rows that share a shingle, unless their sizes or its places rule out the similarity.
 
     First, a text is paired with the FIRST next larger ones of each shingle. If more can be paired, all rows of that shingle
     are returned, too (b is null), for the second time (rest): then all other pairs whose `root` differs are returned. A
     shingle whose rows have one root costs nothing then, and one with a root that most rows have only what the others need.
+
+    With `central`, a row of a large shingle is paired with so many at most, and the rows of large shingles that have several
+    roots are returned once more (b is null), for a last time without it. Near copies of one text are nearest to those with
+    few edits of their own; in these a common shingle comes early. So most rows that belong to a large group join it by a few
+    pairs, and only those that don't are compared with all.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("h", pa.int64()), ("size", pa.int64())])
     columns = ["h", "size", "row", *(["root"] if rest else [])]
@@ -169,6 +176,9 @@ def candidates(posts: DataFrame, similarity: float, rest: bool = False) -> DataF
     def out(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), *[pa.nulls(len(x), pa.int64())] * 2], schema=schema)
 
+    def again(h: np.ndarray, size: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(row), pa.nulls(len(row), pa.int64()), pa.array(h), pa.array(size)], schema=schema)
+
     def across(h: np.ndarray, size: np.ndarray, row: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
         """For rest: pairs of rows of different roots; of large shingles, those of each row that hasn't the root of most."""
         if not len(h):
@@ -178,6 +188,9 @@ def candidates(posts: DataFrame, similarity: float, rest: bool = False) -> DataF
         mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
         few = np.repeat(mixed & (lengths <= LARGE), lengths)
         yield from pairs(h[few], size[few], row[few], root[few])
+        if central is not None:
+            more = np.repeat(mixed & (lengths > LARGE), lengths)
+            yield again(h[more], size[more], row[more])
         for a, b in zip(starts[mixed & (lengths > LARGE)].tolist(), (starts + lengths)[mixed & (lengths > LARGE)].tolist(), strict=True):
             n, place, own, of = size[a:b] >> 32, size[a:b] & 0xFFFFFFFF, row[a:b], root[a:b]
             roots, times = np.unique(of, return_counts=True)
@@ -186,6 +199,8 @@ def candidates(posts: DataFrame, similarity: float, rest: bool = False) -> DataF
                 to = np.arange(np.searchsorted(n, similarity * n[k] - SLACK), np.searchsorted(n, (n[k] + SLACK) / similarity, "right"))
                 to = to[(of[to] != of[k]) & (np.abs(to - k) > FIRST) & (~other[to] | (to > k))]
                 to = to[np.minimum(n[k] - place[k], n[to] - place[to]) >= similarity / (1 + similarity) * (n[k] + n[to]) - SLACK]
+                if central is not None and len(to) > central:
+                    to = to[np.argsort(place[to], kind="stable")[:central]]
                 if len(to):
                     yield out(np.full(len(to), own[k]), own[to])
 
@@ -208,7 +223,7 @@ def candidates(posts: DataFrame, similarity: float, rest: bool = False) -> DataF
             d += 1
         if len(at) and not rest:
             more = np.isin(h, np.unique(h[at]))
-            yield pa.RecordBatch.from_arrays([pa.array(row[more]), pa.nulls(int(more.sum()), pa.int64()), pa.array(h[more]), pa.array(size[more])], schema=schema)
+            yield again(h[more], size[more], row[more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = across if rest else pairs

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraspan.llm import common
-from terraspan.llm.shingles import candidates, not_ruled_out, prefixes, signatures, verified
+from terraspan.llm.shingles import CENTRAL, candidates, not_ruled_out, prefixes, signatures, verified
 
 #: Distinct fingerprints in a subtrie, at most, unless the cut is the finest; and in the subtries that a task joins, about.
 SUBTRIE, TOGETHER = 5_000, 100_000
@@ -259,11 +259,14 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     maybe = common.save(candidates(prefixes(slim, shingle, similarity), similarity), "candidates")
     near = lambda pairs: verified(common.save(not_ruled_out(pairs, marks, similarity), "pairs"), rows, text, shingle, similarity)
     linked = components(sure.unionByName(near(maybe.where("b IS NOT NULL"))))
-    more = maybe.where("b IS NULL").select("h", "size", F.col("a").alias("row"))
-    if more.limit(1).count():
+    for central in (CENTRAL, None):
+        more = maybe.where("b IS NULL").select("h", "size", F.col("a").alias("row"))
+        if not more.limit(1).count():
+            break
         more = more.join(linked.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
         joined = linked.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
-        linked = components(joined.unionByName(near(candidates(more, similarity, rest=True))))
+        maybe = common.save(candidates(more, similarity, rest=True, central=central), "candidates")
+        linked = components(joined.unionByName(near(maybe.where("b IS NOT NULL"))))
     ids = linked.join(rows.select(F.col("__row").alias("node"), F.col(doc_id).alias("__id")), "node")
     keep = ids.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "node")).alias("__keep")).select(F.col("__keep.node").alias("node"))
     lost = linked.select("node").join(keep, "node", "left_anti").select(F.col("node").alias("__row"))

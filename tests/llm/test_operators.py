@@ -537,6 +537,40 @@ def test_pairs_across_roots_of_a_large_shingle(spark):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
 
 
+def test_a_large_group_of_near_copies_takes_few_pairs(spark, monkeypatch):
+    r = np.random.default_rng(12)
+    base, seen = [f"w{x}" for x in range(150)], []
+    edits = [0, 0, *[1] * 100, *[2] * 80, *[3] * 60, *[4] * 30]  # of 150 words; 3 are near the unchanged ones, 4 hardly any
+    rows = []
+    for n, k in enumerate(edits):
+        words = [f"end{n}" if not k and x == 149 else w for x, w in enumerate(base)]
+        for x in r.choice(np.arange(8, 140, 9), k, replace=False):
+            words[x] = f"new{n}x{x}"
+        rows.append((int(r.integers(1 << 40)), " ".join(words)))
+    rows.sort()
+    not_ruled_out = simhash.not_ruled_out
+    monkeypatch.setattr(simhash, "not_ruled_out", lambda pairs, *more: seen.append(pairs.distinct().count()) or not_ruled_out(pairs, *more))
+    root = near_groups(rows)
+    kept = {x.doc_id for x in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {rows[k][0] for k in set(root)} and len(kept) < 40
+    assert sum(seen) < 4000, seen
+
+
+def test_rows_of_a_large_shingle_meet_central_ones_first(spark):
+    n, roots = 100, [7] * 80 + [k for k in range(80, 100)]
+    posts = spark.createDataFrame([(9, (100 << 32) + (k * 7) % 10 + (k >= 80), k, root) for k, root in enumerate(roots)] + [(10, 100 << 32, k, root) for k, root in enumerate(roots[70:90], 70)] + [(11, 100 << 32, k, 7) for k in range(80)], "h long, size long, row long, root long")
+    got = shingles.candidates(posts, 0.8, rest=True, central=3).collect()
+    again = Counter((x.h, x.a) for x in got if x.b is None)
+    assert again == Counter((9, k) for k in range(n))  # not those of small shingles, or of one root
+    pairs = {(x.a, x.b) for x in got if x.b is not None}
+    small = {(a, b) for a in range(70, 90) for b in range(max(80, a + shingles.FIRST + 1), 90)}
+    assert small <= pairs and len(pairs - small) <= 20 * 3
+    assert all(min((x * 7) % 10 for x in p if x < 80) == 0 for p in pairs - small if min(p) < 80)
+    more = spark.createDataFrame([(x.h, x.size, x.a, roots[x.a]) for x in got if x.b is None], "h long, size long, row long, root long")
+    last = {(x.a, x.b) for x in shingles.candidates(more, 0.8, rest=True).collect()}
+    assert pairs - small <= last and len(last) > 1000
+
+
 @pytest.mark.parametrize(("bits", "budget"), [(12, 1), (16, 3), (20, 2)])
 def test_trie_join_in_subtries(spark, monkeypatch, bits, budget):
     """Dense values, cut in many subtries: the components are those of all pairs."""
