@@ -8,11 +8,13 @@ log_codes(log, code, name). Wells are short (thousands of samples), so a window
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraspan.functions import geometry as g
+from terraspan.operators.rounds import cut
 
 KEY = ("well", "seq")
 PROTECTED = ("well", "seq", "x", "y", "z")
@@ -392,16 +394,28 @@ def parallel_samples(samples: DataFrame, tolerance: dict[str, float]) -> DataFra
     return pairs.select("well", "seq", "other").distinct()
 
 
-def may_overlap(samples: DataFrame, tile: float = 1000.0) -> DataFrame:
-    """Pairs of wells whose bounding boxes in the map overlap; boxes are compared in the tiles that both touch."""
-    box = samples.groupBy("well").agg(*(f(c).alias(f"{n}{c}") for c in ("x", "y") for n, f in (("min", F.min), ("max", F.max))))
+def may_overlap(samples: DataFrame, tile: float = 1000.0, block: int = 2048) -> DataFrame:
+    """Pairs of wells whose bounding boxes in the map overlap, each once; boxes are compared in the tiles that both touch.
+
+    A tile's boxes are dealt into blocks of that size, and two blocks meet under a key of their own: however many wells
+    start from one place, no task holds more than it looks at, and all pairs of a tile are many keys.
+    """
+    box = samples.where(F.col("well").isNotNull()).groupBy("well").agg(*(f(c).alias(f"{n}{c}") for c in ("x", "y") for n, f in (("min", F.min), ("max", F.max))))
+    tiles = cut(box)
     for c in ("x", "y"):
-        box = box.withColumn(f"t{c}", F.explode(F.sequence(F.floor(F.col(f"min{c}") / tile).cast("long"), F.floor(F.col(f"max{c}") / tile).cast("long"))))
-    a, b = box.alias("a"), box.alias("b")
-    meet = (F.col("a.tx") == F.col("b.tx")) & (F.col("a.ty") == F.col("b.ty")) & (F.col("a.well") < F.col("b.well"))
+        tiles = tiles.withColumn(f"t{c}", F.explode(F.sequence(F.floor(F.col(f"min{c}") / tile).cast("long"), F.floor(F.col(f"max{c}") / tile).cast("long"))))
+    blocks = tiles.groupBy("tx", "ty").agg(F.ceil(F.count(F.lit(1)) / block).alias("n"))
+    dealt = tiles.join(blocks, ["tx", "ty"]).withColumn("at", F.pmod(F.xxhash64("well"), F.col("n")))
+    # of two blocks, the lesser one's boxes are a's: so each pair of boxes has one key
+    a = dealt.withColumns({"p": F.col("at"), "q": F.explode(F.sequence(F.col("at"), F.col("n") - 1))}).alias("a")
+    b = dealt.withColumns({"q": F.col("at"), "p": F.explode(F.sequence(F.lit(0).cast("long"), F.col("at")))}).alias("b")
+    meet = reduce(lambda s, t: s & t, (F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("tx", "ty", "p", "q")))
     for c in ("x", "y"):
         meet = meet & (F.col(f"a.min{c}") <= F.col(f"b.max{c}")) & (F.col(f"b.min{c}") <= F.col(f"a.max{c}"))
-    return a.join(b, meet).select(F.col("a.well").alias("well"), F.col("b.well").alias("other")).distinct()
+        # of the tiles that both touch, the first one counts
+        meet = meet & (F.col(f"a.t{c}") == F.floor(F.greatest(f"a.min{c}", f"b.min{c}") / tile))
+    meet = meet & ((F.col("a.p") < F.col("a.q")) | (F.col("a.well") < F.col("b.well")))
+    return a.join(b, meet).select(F.least("a.well", "b.well").alias("well"), F.greatest("a.well", "b.well").alias("other"))
 
 
 def with_cell_properties(samples: DataFrame, cells: DataFrame, props: Sequence[str], suffix: str = "_model") -> DataFrame:
