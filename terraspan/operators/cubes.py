@@ -73,20 +73,30 @@ def describe(traces: DataFrame) -> DataFrame:
     return traces.agg(F.count(F.lit(1)).alias("n_traces"), F.min(F.array_min("amp")).cast("double").alias("min"), F.max(F.array_max("amp")).cast("double").alias("max"), (F.sum(s) / F.sum(n)).alias("mean"))
 
 
+def on_trace(z: Column, header: CubeHeader, method: str = "nearest", amp: str = "amp") -> Column:
+    """Whether a trace has the depth's nearest sample, or (linear) one at or above and the next one."""
+    k = (z - header.zori) / header.zinc
+    return F.rint(k).between(0, F.size(amp) - 1) if method == "nearest" else (k >= 0) & (F.floor(k) < F.size(amp) - 1)
+
+
 def at_depth(z: Column, header: CubeHeader, method: str = "nearest", amp: str = "amp") -> Column:
-    """A trace's value at a depth: the nearest sample's, or linear between two; null off the trace."""
+    """A trace's value at a depth: the nearest sample's, or linear between two; null off the trace, which ends half a step beyond its outer samples (nearest) or at them."""
     k = (z - header.zori) / header.zinc
-    inside = k.between(0, header.nlay - 1)
     if method == "nearest":
-        return F.when(inside, F.get(amp, F.rint(k).cast("int")).cast("double"))
-    low = F.least(F.floor(k).cast("int"), F.lit(header.nlay - 2))
+        return F.when(on_trace(z, header, method, amp), F.get(amp, F.rint(k).cast("int")).cast("double"))
+    low = F.least(F.floor(k).cast("int"), F.size(amp) - 2)
     a, b = F.get(amp, low).cast("double"), F.get(amp, low + 1).cast("double")
-    return F.when(inside, a + (k - low) * (b - a))
+    return F.when(k.between(0, F.size(amp) - 1), a + (k - low) * (b - a))
 
 
-def slice_surface(traces: DataFrame, header: CubeHeader, nodes: DataFrame, method: str = "nearest", dead: bool = True) -> DataFrame:
-    """(i, j, value): the amplitude along a map of the cube's geometry; null off the cube and (dead) in dead traces."""
+def slice_surface(traces: DataFrame, header: CubeHeader, nodes: DataFrame, method: str = "nearest", dead: bool = True, outside: bool = True) -> DataFrame:
+    """(i, j, value): the amplitude along a map of the cube's geometry; null off the cube and (dead) in dead traces.
+
+    Without outside, nodes off the cube are left out, and so are those that lack one of the two samples around them (linear).
+    """
     own = nodes.where(F.col("value").isNotNull()).select("i", "j", F.col("value").alias("__z")).join(traces, ["i", "j"])
+    if not outside:
+        own = own.where(on_trace(F.col("__z"), header, method))
     value = at_depth(F.col("__z"), header, method)
     if dead:
         value = F.when(F.col("traceid") != DEAD, value)
