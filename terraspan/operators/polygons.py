@@ -179,32 +179,49 @@ def compare_z(points: DataFrame, operation: str, value: float) -> DataFrame:
     return points.withColumn("hit", OPERATIONS[operation](F.col("z"), F.lit(float(value))))
 
 
-def close_pairs(points: DataFrame, distance: float, pid: str = "pid") -> DataFrame:
-    """(a, b), a < b: points that are within the distance in the map, by an equi-join on tiles of that size."""
-    own = points.select(F.col(pid).alias("b"), "x", "y", F.floor(F.col("x") / distance).alias("tx"), F.floor(F.col("y") / distance).alias("ty"))
-    near = lambda c: F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: F.col(c) + k))
-    other = own.select(F.col("b").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), near("tx").alias("tx"), "ty").withColumn("ty", near("ty"))
+def close_cells(places: DataFrame, distance: float, side: float) -> DataFrame:
+    """(a, b): squares (struct of cx, cy) that hold places(x, y, cx, cy) within the distance in the map, but aren't the same; each once."""
+    reach = int(distance // side) + 1
+    after = [(i, j) for i in range(reach + 1) for j in range(-reach, reach + 1) if (i, j) > (0, 0)]
+    step = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in after)))
+    look = places.select(F.col("x").alias("ax"), F.col("y").alias("ay"), F.struct("cx", "cy").alias("a"), step.alias("s"))
+    look = look.select("ax", "ay", "a", (F.col("a.cx") + F.col("s.i")).alias("cx"), (F.col("a.cy") + F.col("s.j")).alias("cy"))
     dx, dy = F.col("x") - F.col("ax"), F.col("y") - F.col("ay")
-    return own.join(other, ["tx", "ty"]).where((F.col("a") < F.col("b")) & (dx * dx + dy * dy <= distance * distance)).select("a", "b")
+    return places.join(look, ["cx", "cy"]).where(dx * dx + dy * dy <= distance * distance).select("a", F.struct("cx", "cy").alias("b")).distinct()
 
 
-def clusters(points: DataFrame, distance: float, pid: str = "pid") -> DataFrame:
-    """(pid, cluster): the least id that is reached from a point by steps of at most the distance.
+def with_cluster(points: DataFrame, distance: float, pid: str = "pid") -> DataFrame:
+    """Adds cluster: the least id that is reached from a point by steps of at most the distance; points without a place have their own id.
 
-    Labels are lowered round by round, each written to the checkpoint folder, with a jump to the label's own label, so
-    the rounds grow with the logarithm of a chain's length.
+    Squares are so small that their points are close to each other, so a square has one label, and points of one place are
+    one place: what is written grows with squares that are close, not with pairs of points. Labels are lowered round by
+    round, each written to the checkpoint folder, with a jump to the label's own label, so the rounds grow with the
+    logarithm of a chain's length.
     """
-    pairs = close_pairs(points, distance, pid)
+    side = distance / 1.5  # the diagonal is 0.94 of the distance, far from rounding
+    finite = lambda c: F.col(c) - F.col(c) == 0
+    cell = lambda c: F.when(finite("x") & finite("y"), F.floor(F.col(c) / side)).alias(f"c{c}")
+    own = points.withColumns({"cx": cell("x"), "cy": cell("y")})
+    places = cut(own.where("cx is not null").groupBy("cx", "cy", "x", "y").agg(F.min(pid).alias("l")))
+    pairs = close_cells(places, distance, side)
     both = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut(points.select(F.col(pid).alias("a"), F.col(pid).alias("l")))
+    # a square's name is its least id, too
+    labels = cut(places.groupBy(F.struct("cx", "cy").alias("a")).agg(F.min("l").alias("me")).withColumn("l", F.col("me")))
     while True:
         lower = both.join(labels.select(F.col("a").alias("b"), F.col("l").alias("lb")), "b").groupBy("a").agg(F.min("lb").alias("lb"))
-        new = labels.join(lower, "a", "left").select("a", F.least("l", F.coalesce("lb", "l")).alias("l"), F.col("l").alias("old"))
-        up = new.select(F.col("a").alias("l"), F.col("l").alias("ll"))
-        new = cut(new.join(up, "l").select("a", F.least("l", "ll").alias("l"), "old"))
+        new = labels.join(lower, "a", "left").select("a", "me", F.least("l", F.coalesce("lb", "l")).alias("l"), F.col("l").alias("old"))
+        up = new.select(F.col("me").alias("l"), F.col("l").alias("ll"))
+        new = cut(new.join(up, "l").select("a", "me", F.least("l", "ll").alias("l"), "old"))
         if not new.where("l <> old").limit(1).count():
-            return new.select(F.col("a").alias(pid), F.col("l").alias("cluster"))
-        labels = new.select("a", "l")
+            break
+        labels = new.select("a", "me", "l")
+    found = new.select("a.cx", "a.cy", F.col("l").alias("__l"))
+    return own.join(found, ["cx", "cy"], "left").withColumn("cluster", F.coalesce("__l", pid)).drop("cx", "cy", "__l")
+
+
+def clusters(points: DataFrame, distance: float, pid: str = "pid") -> DataFrame:
+    """(pid, cluster) of with_cluster()."""
+    return with_cluster(points, distance, pid).select(pid, "cluster")
 
 
 def merge_close(points: DataFrame, distance: float, method: str = "average", pid: str = "pid") -> DataFrame:
@@ -212,7 +229,7 @@ def merge_close(points: DataFrame, distance: float, method: str = "average", pid
 
     average and median of each coordinate; first, min_z and max_z: the point with the least id, least z, largest z.
     """
-    own = points.select(pid, "x", "y", "z").join(clusters(points, distance, pid), pid)
+    own = with_cluster(points.select(pid, "x", "y", "z"), distance, pid)
     whole = F.struct("x", "y", "z")
     how = {
         "average": [F.avg(c).alias(c) for c in "xyz"],

@@ -1,10 +1,13 @@
 """Many wells and points at one place: work is dealt out, and every pair counts once."""
 
 import random
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
-from terraspan.operators import wells
+from terraspan.operators import polygons, wells
+from terraspan.operators.rounds import shared_folder
 
 
 def crowd(spark, n=150, spread=2500):
@@ -29,3 +32,43 @@ def test_overlapping_boxes_in_blocks(spark, block):
     meet = lambda a, b: a[0] <= b[1] and b[0] <= a[1] and a[2] <= b[3] and b[2] <= a[3]
     want = sorted((p, q) for p in boxes for q in boxes if p < q and meet(boxes[p], boxes[q]))
     assert sorted(map(tuple, wells.may_overlap(samples, 300.0, block).collect())) == want and len(want) > 1000
+
+
+def close(rows, distance):
+    """The least id that each of rows (pid, x, y, z) reaches."""
+    least = {r[0]: r[0] for r in rows}
+    known = [r for r in rows if r[1] is not None and abs(r[1]) < float("inf")]
+    for first in sorted(known):
+        if least[first[0]] != first[0]:
+            continue
+        todo = [first]
+        while todo:
+            _, x, y, _ = todo.pop()
+            for q in known:
+                if least[q[0]] == q[0] and q[0] > first[0] and (q[1] - x) ** 2 + (q[2] - y) ** 2 <= distance * distance:
+                    least[q[0]] = first[0]
+                    todo.append(q)
+    return least
+
+
+def test_clusters_of_crowded_points(spark):
+    rnd = random.Random(7)
+    rows = [(k, rnd.randrange(0, 300) / 8 * (5 if k % 2 else 1), rnd.randrange(0, 300) / 8 * (5 if k % 3 else 1), k / 8) for k in rnd.sample(range(1000), 220)]
+    rows += [(1000, None, 1.0, 0.0), (1001, float("inf"), 1.0, 0.0), (1002, float("nan"), 0.0, 0.0)]
+    points = spark.createDataFrame(rows, "pid long, x double, y double, z double")
+    for distance in (1.0, 3.0, 6.5):
+        want = close(rows, distance)
+        assert {r.pid: r.cluster for r in polygons.clusters(points, distance).collect()} == want and 20 < len(set(want.values())) < 220
+
+
+@pytest.mark.parametrize("method", ["min_z"])
+def test_copies_of_a_place_are_not_paired(spark, method):
+    """3000 points at three places: what is written doesn't grow with their pairs."""
+    k = F.col("id")
+    points = spark.range(3000).select(k.alias("pid"), (k % 3 * 10.0).alias("x"), F.lit(5.0).alias("y"), (k % 700 * 1.0).alias("z"))
+    root = Path(shared_folder(spark).removeprefix("file://"))
+    size = lambda: sum(f.stat().st_size for f in root.rglob("*") if f.is_file())
+    before = size()
+    out = polygons.merge_close(points, 12.0, method).collect()
+    assert [(r.cluster, r.n) for r in out] == [(0, 3000)]
+    assert size() - before < 1_000_000
