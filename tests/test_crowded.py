@@ -61,7 +61,7 @@ def test_clusters_of_crowded_points(spark):
         assert {r.pid: r.cluster for r in polygons.clusters(points, distance).collect()} == want and 20 < len(set(want.values())) < 220
 
 
-@pytest.mark.parametrize("method", ["min_z"])
+@pytest.mark.parametrize("method", ["average", "min_z"])
 def test_copies_of_a_place_are_not_paired(spark, method):
     """3000 points at three places: what is written doesn't grow with their pairs."""
     k = F.col("id")
