@@ -7,9 +7,11 @@ A query that needs few corner columns reads only those. Neighbours are found by
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -733,47 +735,62 @@ def visits(pieces: DataFrame) -> DataFrame:
     return own.groupBy("well", "visit", *IJK).agg(F.min("md_in").alias("md_in"), F.max("md_out").alias("md_out")).withColumn("length_md", F.col("md_out") - F.col("md_in"))
 
 
-def trajectory_in_cells(samples: DataFrame, cells: DataFrame, tile: float, md: str = "md", band: float | None = None) -> DataFrame:
+def trajectory_in_cells(samples: DataFrame, cells: DataFrame, tile: float, md: str = "md", band: float | None = None, broadcast: int = 100_000) -> DataFrame:
     """trajectory_cells() for active cells of any shape: per well and cell that its trajectory passes, entry and exit md, and the length between, in the order of the path.
 
-    Segments and cells meet by their boxes, in tiles of the map and bands of depth; each pair once. A segment is then cut
-    to each of the cell's six tetrahedra: shares of the corners are linear along it, and inside none is negative.
+    Segments and cells meet by their boxes, in tiles of the map and bands of depth; each pair once, and only if the segment
+    itself passes the cell's box. A segment is then cut to each of the cell's six tetrahedra, by numpy in Arrow batches.
+    Up to so many cells, which are counted first, are broadcast, so that segments aren't moved for that.
     """
     from terraspan.operators.wells import segments
 
-    on = cells.where("actnum = 1")
-    box = on.select(*IJK, *(f(*(F.col(f"c{n}{a}") for n in range(8))).alias(f"__{m}{a}") for a in "xyz" for m, f in (("lo", F.least), ("hi", F.greatest))))
-    box = cut(box)
-    band = band or max(1e-9, float(box.agg(F.avg(F.col("__hiz") - F.col("__loz"))).first()[0] or 1.0))
+    on = cells.where("actnum = 1").select(*IJK, *CORNERS)
+    box = cut(on.withColumns({f"__c{m}{a}": f(*(F.col(f"c{n}{a}") for n in range(8))) for a in "xyz" for m, f in (("lo", F.least), ("hi", F.greatest))}))
+    known = box.agg(F.count(F.lit(1)), F.avg(F.col("__chiz") - F.col("__cloz"))).first()
+    band = band or max(1e-9, float(known[1] or 1.0))
     seg = segments(samples, md)
     ends = seg.withColumns({f"__{m}{a}": f(f"{a}1", f"{a}2") for a in "xyz" for m, f in (("lo", F.least), ("hi", F.greatest))})
     at = lambda c, n: F.floor(F.col(c) / n).cast("long")
     for a, n in (("x", tile), ("y", tile), ("z", band)):
-        span = F.explode(F.sequence(at(f"__lo{a}", n), at(f"__hi{a}", n)))
-        box, ends = box.withColumn(f"__t{a}", span), ends.withColumn(f"__t{a}", span)
-    own = box.withColumnsRenamed({f"__{m}{a}": f"__c{m}{a}" for a in "xyz" for m in ("lo", "hi")})
-    met = ends.join(own, ["__tx", "__ty", "__tz"])
+        span = lambda m, a=a, n=n: F.explode(F.sequence(at(f"__{m}lo{a}", n), at(f"__{m}hi{a}", n)))
+        box, ends = box.withColumn(f"__t{a}", span("c")), ends.withColumn(f"__t{a}", span(""))
+    met = ends.join(F.broadcast(box) if known[0] <= broadcast else box, ["__tx", "__ty", "__tz"])
+    enter, leave = [F.lit(0.0)], [F.lit(1.0)]
     for a, n in (("x", tile), ("y", tile), ("z", band)):
         met = met.where((F.col(f"__lo{a}") <= F.col(f"__chi{a}")) & (F.col(f"__clo{a}") <= F.col(f"__hi{a}")) & (F.col(f"__t{a}") == F.greatest(at(f"__lo{a}", n), at(f"__clo{a}", n))))
-    pairs = met.select("well", "seq", *(f"{a}{e}" for a in ("x", "y", "z", "md") for e in "12"), *IJK).join(on.select(*IJK, *CORNERS), IJK)
-    p, q = ((F.col(f"x{e}"), F.col(f"y{e}"), F.col(f"z{e}")) for e in "12")
-    every = F.array(*(F.struct(*(F.struct(*(F.col(f"c{n}{a}").alias(a) for a in "xyz")).alias(v) for n, v in zip(t, "abcd", strict=True))) for t in g.AROUND))
-
-    def within(t: Column) -> Column:
-        """The shares of the segment at which it goes into and out of a tetrahedron."""
-        v = [(t[c]["x"], t[c]["y"], t[c]["z"]) for c in "abcd"]
-        whole = F.nullif(g.tetrahedron(*v), F.lit(0.0))
-        share = lambda o: [g.tetrahedron(*(o if m == n else c for m, c in enumerate(v))) / whole for n in range(4)]
-        first, last = [F.lit(0.0)], [F.lit(1.0)]
-        for a, b in zip(share(p), share(q), strict=True):
-            out = F.when((a == b) & (a < 0), 2.0)  # along a face, outside of it
-            first.append(F.coalesce(out, F.when(b > a, -a / (b - a)), F.lit(0.0)))
-            last.append(F.coalesce(F.when(b < a, a / (a - b)), F.lit(1.0)))
-        return F.when(whole.isNotNull(), F.struct(F.greatest(*first).alias("a"), F.least(*last).alias("b")))
-
-    pieces = pairs.withColumn("__s", F.explode(F.filter(F.transform(every, within), lambda s: s["b"] - s["a"] > 1e-12)))
-    depth = lambda s: F.col("md1") + s * (F.col("md2") - F.col("md1"))
-    return visits(pieces.select("well", "seq", *IJK, F.col("__s.a").alias("__a"), depth(F.col("__s.a")).alias("md_in"), depth(F.col("__s.b")).alias("md_out")))
+        step = F.nullif(F.col(f"{a}2") - F.col(f"{a}1"), F.lit(0.0))
+        one, two = ((F.col(f"__c{m}{a}") - F.col(f"{a}1")) / step for m in ("lo", "hi"))
+        enter.append(F.least(one, two))
+        leave.append(F.greatest(one, two))
+    # nulls, of axes that a segment doesn't move along, are passed over; the rest is for rounding
+    met = met.where(F.greatest(*enter) <= F.least(*leave) + 1e-9)
+    pairs = met.select("well", "seq", *(f"{a}{e}" for a in ("x", "y", "z", "md") for e in "12"), *IJK, *CORNERS)
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    return visits(pairs.mapInArrow(_cut_to_tetrahedra, ", ".join([*(f"{c} {kinds[c]}" for c in ("well", "seq", *IJK)), "__a double, md_in double, md_out double"])))
+
+
+def _cut_to_tetrahedra(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs of a segment and a cell, the pieces within its tetrahedra: shares of the corners are linear along it, and inside none is negative."""
+    for batch in batches:
+        col = lambda c, batch=batch: batch.column(c).to_numpy(zero_copy_only=False)
+        p, q = (tuple(col(f"{a}{e}") for a in "xyz") for e in "12")
+        md1, md2 = col("md1"), col("md2")
+        cell = [tuple(col(f"c{n}{a}") for a in "xyz") for n in range(8)]
+        rows, first, last = [], [], []
+        with np.errstate(all="ignore"):
+            for t in g.AROUND:
+                v = [cell[n] for n in t]
+                whole = g.tetrahedron(*v)
+                share = lambda o, v=v, whole=whole: [g.tetrahedron(*(o if m == n else c for m, c in enumerate(v))) / whole for n in range(4)]
+                low, high = np.zeros(len(whole)), np.ones(len(whole))
+                for a, b in zip(share(p), share(q), strict=True):
+                    low = np.maximum(low, np.where((a == b) & (a < 0), 2.0, np.where(b > a, -a / (b - a), 0.0)))  # 2: along a face, outside of it
+                    high = np.minimum(high, np.where(b < a, a / (a - b), 1.0))
+                hit = np.flatnonzero((whole != 0) & (high - low > 1e-12))
+                rows.append(hit), first.append(low[hit]), last.append(high[hit])
+        at, a, b = (np.concatenate(x) for x in (rows, first, last))
+        depth = lambda s, at=at, md1=md1, md2=md2: pa.array(md1[at] + s * (md2[at] - md1[at]))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in ("well", "seq", *IJK)), pa.array(a), depth(a), depth(b)], ["well", "seq", *IJK, "__a", "md_in", "md_out"])
 
 
 #: Of a cell and the next one in i or j, the corners on the two pillars between them: the first one's top and base, the next one's top and base.

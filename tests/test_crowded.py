@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from terraspan.operators import polygons, wells
+from terraspan.operators import cells, polygons, wells
 from terraspan.operators.rounds import shared_folder
 
 
@@ -72,3 +72,15 @@ def test_copies_of_a_place_are_not_paired(spark, method):
     out = polygons.merge_close(points, 12.0, method).collect()
     assert [(r.cluster, r.n) for r in out] == [(0, 3000)]
     assert size() - before < 1_000_000
+
+
+@pytest.mark.parametrize("broadcast", [0, 100_000])
+def test_long_paths_through_cells(spark, broadcast):
+    """Segments through many cells at once give what cutting them at the planes of the box grid gives, with and without a broadcast."""
+    rnd, dim, origin, step = random.Random(5), (9, 8, 6), (100.0, 200.0, 1000.0), (20.0, 25.0, 5.0)
+    rows = [(f"W{w}", seq, rnd.uniform(60, 320), rnd.uniform(160, 440), rnd.uniform(995, 1035), 50.0 * seq) for w in range(6) for seq in range(8)]
+    samples = spark.createDataFrame(rows, "well string, seq int, x double, y double, z double, md double")
+    grid = cells.box_grid(spark, dim, origin, step)
+    order = lambda df: sorted((r.well, r.visit, r.i, r.j, r.k, round(r.md_in, 6), round(r.md_out, 6)) for r in df.collect())
+    want = order(cells.trajectory_cells(samples, dim, origin, step))
+    assert order(cells.trajectory_in_cells(samples, grid, 37.0, broadcast=broadcast)) == want and len(want) > 200
