@@ -84,3 +84,19 @@ def test_long_paths_through_cells(spark, broadcast):
     order = lambda df: sorted((r.well, r.visit, r.i, r.j, r.k, round(r.md_in, 6), round(r.md_out, 6)) for r in df.collect())
     want = order(cells.trajectory_cells(samples, dim, origin, step))
     assert order(cells.trajectory_in_cells(samples, grid, 37.0, broadcast=broadcast)) == want and len(want) > 200
+
+
+@pytest.mark.parametrize("block", [5, 4096])
+def test_crossings_in_blocks(spark, block):
+    """Each crossing of a crowd has its two rows, whatever the blocks."""
+    rows, samples = crowd(spark, 40)
+    seg = [(p, q) for p, q in zip(rows, rows[1:], strict=False) if p[0] == q[0] and p[0]]
+    want = []
+    for p, q in seg:
+        for u, v in seg:
+            rx, ry, sx, sy, qx, qy = q[2] - p[2], q[3] - p[3], v[2] - u[2], v[3] - u[3], u[2] - p[2], u[3] - p[3]
+            det = rx * sy - ry * sx
+            if p[0] != u[0] and det and 0 <= (qx * sy - qy * sx) / det < 1 and 0 <= (qx * ry - qy * rx) / det < 1:
+                want.append((p[0], p[1], u[0]))
+    got = wells.intersections(samples, tile=40.0, block=block, blocks=6).collect()
+    assert sorted((r.well, r.seq, r.other) for r in got) == sorted(want) and len(want) > 100
